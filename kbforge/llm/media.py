@@ -168,7 +168,9 @@ class ArchiveReader(DataSourceReader):
                 time.sleep(0.05 * 2**attempt)
         raise RuntimeError(f"{info.filename} at {info.header_offset} of {path}: {why}")
 
-    def read(self, partition: ByteRange) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: ByteRange | None) -> Iterator[pa.RecordBatch]:
+        if partition is None:  # there is no archive
+            return
         store, _ = fs.FileSystem.from_uri(self.folder)
         with store.open_input_file(partition.path) as source:
             members = [m for m in zipfile.ZipFile(source).infolist() if partition.start <= m.header_offset < partition.stop]
