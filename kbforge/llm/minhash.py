@@ -12,8 +12,8 @@ Work per step, with D documents and B bands:
   are no hot group), and only one representative goes on;
 * in each bucket every member is first compared with the bucket's smallest id only. Confirmed
   links are contracted to components; pairs inside a component need no comparison any more.
-  Only pairs of a bucket that still lie in different components, and whose sizes allow the
-  threshold, are compared in the last round. So a bucket of n near copies costs n comparisons,
+  Only pairs of a bucket that still lie in different components, and whose sizes and sketches
+  (four bits of each signature value) allow the threshold, are compared in the last round. So a bucket of n near copies costs n comparisons,
   and no link between different texts is lost.
 
 Defined cases: null or blank text has size 0 and links with nothing; rows that share a doc_id
@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from .shingles import mix, shingle_sets
 from .workspace import written
 
-SIGNATURE = "doc_id long, n_shingles long, set_key binary, bands array<long>"
+SIGNATURE = "doc_id long, n_shingles long, set_key binary, bands array<long>, sketch array<long>"
 #: Shingles hashed at once under all permutations: bounds the memory of a very long text.
 BLOCK = 1 << 12
 
@@ -57,14 +57,19 @@ def min_max(hashes: np.ndarray, multipliers: np.ndarray, shifts: np.ndarray) ->
 
 
 def signatures(docs: DataFrame, width: int = 5, bands: int = 24, perms_per_band: int = 3) -> DataFrame:
-    """(doc_id, n_shingles, set_key, bands): a band key covers the minima and maxima of ``perms_per_band`` permutations."""
+    """(doc_id, n_shingles, set_key, bands, sketch) of each document.
+
+    A band key covers the minima and maxima of ``perms_per_band`` permutations. The sketch keeps
+    four bits of every signature value, sixteen values to a long.
+    """
     count = bands * perms_per_band
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         multipliers, shifts = _permutations(count)
         salts = mix(np.arange(1, bands + 1, dtype=np.uint64))
+        places = np.arange(0, 64, 4, dtype=np.uint64)
         for batch in batches:
-            sizes, digests, keys = [], [], []
+            sizes, digests, keys, sketches = [], [], [], []
             for hashes in shingle_sets(batch.column("text"), width):
                 sizes.append(len(hashes))
                 digests.append(xxhash.xxh3_128_digest(hashes.tobytes()))
@@ -74,18 +79,36 @@ def signatures(docs: DataFrame, width: int = 5, bands: int = 24, perms_per_band:
                     for column in values.T:
                         key = mix(key * np.uint64(0x9E3779B97F4A7C15) + column)
                     keys.append(key.view(np.int64))
+                    nibbles = np.zeros(-(-2 * count // 16) * 16, np.uint64)
+                    nibbles[: 2 * count] = mix(values.ravel()) & np.uint64(15)
+                    sketches.append((nibbles.reshape(-1, 16) << places).sum(axis=1, dtype=np.uint64).view(np.int64))
                 else:
                     keys.append(np.empty(0, np.int64))
-            flat = pa.array(np.concatenate(keys) if keys else np.empty(0, np.int64))
-            ends = pa.array(np.cumsum([0, *map(len, keys)]), pa.int32())
+                    sketches.append(keys[-1])
+            lists = lambda parts: pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, parts)]), pa.int32()), pa.array(np.concatenate([np.empty(0, np.int64), *parts])))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.ListArray.from_arrays(ends, flat)],
-                ["doc_id", "n_shingles", "set_key", "bands"],
+                [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), lists(keys), lists(sketches)],
+                ["doc_id", "n_shingles", "set_key", "bands", "sketch"],
             )
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(sign, SIGNATURE)
 
 
+def alike(x: str, y: str, values: int, percent: int) -> str:
+    """SQL for whether two sketches (arrays of longs) can belong to sets of at least the threshold.
+
+    Values that differ show in one of their four bits, so a match has a chance of J + (1 - J) / 16.
+    Pairs six standard deviations below what the threshold gives (a chance of 1e-9) are left out.
+    """
+    q = percent / 100 + (1 - percent / 100) / 16
+    most = values - int(values * q - 6 * (values * q * (1 - q)) ** 0.5)
+    apart = []
+    for k in range(-(-values // 16)):
+        d = f"({x}[{k}] ^ {y}[{k}])"
+        apart.append(f"bit_count(({d} | shiftrightunsigned({d}, 1) | shiftrightunsigned({d}, 2) | shiftrightunsigned({d}, 3)) & 1229782938247303441L)")
+    return f"({' + '.join(apart)}) <= {most}"
+
+
 def confirm(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
     """(a, b, linked) of the (a, b) in ``pairs``, on the full shingle sets of ``texts`` (doc_id, text)."""
     left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
@@ -145,18 +168,20 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
     a pair at 0.85 is missed with a probability of 1e-5, at 0.8 of 1e-3; more bands lower that.
     """
     signed = written(signatures(docs, width, bands, perms_per_band), "signed")
-    classes = signed.where("n_shingles > 0 and doc_id is not null").groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.any_value("n_shingles").alias("n"), F.any_value("bands").alias("bands"))
+    classes = signed.where("n_shingles > 0 and doc_id is not null").groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.any_value("n_shingles").alias("n"), F.any_value("bands").alias("bands"), F.any_value("sketch").alias("sketch"))
     members = written(
         classes.select("rep", "n", F.posexplode("bands").alias("band", "key")), "bands"
     )
     shared = members.groupBy("band", "key").agg(F.min("rep").alias("centre"), F.max("rep").alias("last")).where("centre < last").drop("last")
     close = lambda x, y: f"100 * least({x}, {y}) >= {percent} * greatest({x}, {y})"  # noqa: E731  of no smaller similarity
-    sizes = members.where("band = 0").select(F.col("rep").alias("centre"), F.col("n").alias("centre_n")).groupBy("centre").agg(F.max("centre_n").alias("centre_n"))
+    both = close("x.n", "y.n") + " and " + alike("x.sketch", "y.sketch", 2 * bands * perms_per_band, percent)
     buckets = written(members.join(shared, ["band", "key"]), "buckets")  # only members of buckets that hold several
-    stars = buckets.where("rep <> centre").groupBy("rep", "centre").agg(F.max("n").alias("n"))
-    stars = stars.join(sizes, "centre").where(close("n", "centre_n"))
-    stars = written(stars.select(F.col("centre").alias("a"), F.col("rep").alias("b")), "stars")
     ids = buckets.select(F.col("rep").alias("doc_id")).distinct()
+    known = classes.join(ids, F.col("rep") == F.col("doc_id"), "left_semi").groupBy("rep").agg(F.max("n").alias("n"), F.any_value("sketch").alias("sketch"))
+    known = written(known, "sketches")
+    stars = buckets.where("rep <> centre").select(F.col("centre").alias("a"), F.col("rep").alias("b")).distinct()
+    stars = stars.join(known.alias("x"), F.expr("a = x.rep")).join(known.alias("y"), F.expr("b = y.rep and " + both))
+    stars = written(stars.select("a", "b"), "stars")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     texts = written(texts.join(ids, "doc_id", "left_semi"), "texts")
 
@@ -172,9 +197,10 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
     # What is left of a bucket: members of different components that no centre has linked.
     placed = _labelled(buckets, labels, "rep", "comp")
     mixed = placed.groupBy("band", "key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("band", "key")
-    placed = written(placed.join(mixed, ["band", "key"]).select("band", "key", "rep", "n", "comp"), "mixed")
+    placed = placed.join(mixed, ["band", "key"]).select("band", "key", "rep", "comp")
+    placed = written(placed.join(known, "rep"), "mixed")
     x, y = placed.alias("x"), placed.alias("y")
-    pairs = x.join(y, F.expr("x.band = y.band and x.key = y.key and x.rep < y.rep and x.comp <> y.comp and " + close("x.n", "y.n")))
+    pairs = x.join(y, F.expr("x.band = y.band and x.key = y.key and x.rep < y.rep and x.comp <> y.comp and " + both))
     pairs = pairs.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
     done = checked.unionByName(checked_2).select("a", "b")
     checked_3 = written(confirm(pairs.join(done, ["a", "b"], "left_anti"), texts, width, percent), "checked")
