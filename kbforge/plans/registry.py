@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES: list = []
+from . import chunk_queries, text_queries
+
+MODULES = [text_queries, chunk_queries]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
