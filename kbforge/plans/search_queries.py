@@ -46,7 +46,7 @@ def _vectors(spark, d):
 
 def _nearest(spark, d, k=5):
     v = _vectors(spark, d)
-    return r.nearest(v.where("vec_id < 10").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector")), v, k)
+    return r.nearest(v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector")), v, k)
 
 
 def _fused(spark, d):
@@ -58,7 +58,7 @@ def _fused(spark, d):
 def _second(spark, d):
     """A second ranking: vectors of the query's label by id."""
     e = table(spark, d, "embeddings")
-    q = e.where("vec_id < 10").select(F.col("vec_id").alias("query_id"), "label")
+    q = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "label")
     rows = e.join(q, "label").where("vec_id <> query_id").select("query_id", F.col("vec_id").alias("chunk_id"))
     return r.top(rows, 30, ["query_id"], [F.col("chunk_id")])
 
@@ -86,7 +86,7 @@ def _jaccard_pairs(spark, d):
 
 def _gate(spark, d):
     hits = _nearest(spark, d, 3).select("query_id", F.col("similarity").alias("score"), "rank")
-    return r.quality_gate(hits, _vectors(spark, d).where("vec_id < 20").select(F.col("vec_id").alias("query_id")))
+    return r.quality_gate(hits, _vectors(spark, d).where("vec_id % 25 = 0").select(F.col("vec_id").alias("query_id")))
 
 
 def _expand(spark, d):
@@ -95,7 +95,8 @@ def _expand(spark, d):
 
 def _shortcut(spark, d):
     pages = table(spark, d, "part").select(F.concat(F.lit("part-"), "p_partkey").alias("slug"), F.col("p_name").alias("title"), F.concat_ws(" ", "p_type", "p_brand").alias("content"))
-    queries = table(spark, d, "part").where("p_partkey <= 20").select(F.col("p_partkey").alias("query_id"), F.when(F.col("p_partkey") % 2 == 0, F.substring_index("p_name", " ", 1)).otherwise(F.col("p_brand")).alias("query"))
+    words = table(spark, d, "part").select(F.explode(F.array(F.substring_index("p_name", " ", 1), "p_brand")).alias("query"))
+    queries = words.distinct().select(F.col("query").alias("query_id"), "query")
     return r.shortcut(queries, pages)
 
 
@@ -132,8 +133,8 @@ _BM25 = _POSTED + """, asked as (select distinct item_id as query_id, unnest(reg
         from asked join posted using (term) join dl using (chunk_id) join df using (term), whole group by 1, 2),
     bm as (select *, row_number() over (partition by query_id order by score desc, chunk_id) as rank from scored)"""
 _NEAR = """near as (select *, row_number() over (partition by query_id order by similarity desc, vec_id) as rank from
-    (select q.vec_id as query_id, v.vec_id, round(list_cosine_similarity(cast(q.embedding as double[]), cast(v.embedding as double[])), 6) as similarity from embeddings q join embeddings v on q.vec_id <> v.vec_id where q.vec_id < 10))"""
-_FUSED = _NEAR + """, second as (select *, row_number() over (partition by query_id order by chunk_id) as rank from (select q.vec_id as query_id, v.vec_id as chunk_id from embeddings q join embeddings v on q.label = v.label and q.vec_id <> v.vec_id where q.vec_id < 10)),
+    (select q.vec_id as query_id, v.vec_id, round(list_cosine_similarity(cast(q.embedding as double[]), cast(v.embedding as double[])), 6) as similarity from embeddings q join embeddings v on q.vec_id <> v.vec_id where q.vec_id % 50 = 0))"""
+_FUSED = _NEAR + """, second as (select *, row_number() over (partition by query_id order by chunk_id) as rank from (select q.vec_id as query_id, v.vec_id as chunk_id from embeddings q join embeddings v on q.label = v.label and q.vec_id <> v.vec_id where q.vec_id % 50 = 0)),
     fused as (select query_id, chunk_id, round(sum(part), 9) as score, case when count(distinct source) > 1 then 'both' else min(source) end as source from
         (select query_id, vec_id as chunk_id, 2.0::double / (60 + rank) as part, 'vector' as source from near where rank <= 30 union all select query_id, chunk_id, 1.0::double / (60 + rank), 'bm25' from second where rank <= 30) group by 1, 2)"""
 _DIVERSE = _BM25 + """, titled as (select query_id, chunk_id, project_id as title, score, row_number() over (partition by query_id, project_id order by score desc, chunk_id) as nth from bm join chunks using (chunk_id) where rank <= 20)"""
@@ -148,7 +149,7 @@ ORACLES = {
     "r6_nearest": f"with {_NEAR} select query_id, vec_id, similarity, rank from near where rank <= 5",
     "r8_rank_fusion": f"with {_FUSED} select * from fused",
     "r10_candidate_cut": f"with {_FUSED} select * from (select *, row_number() over (partition by query_id order by score desc, chunk_id) as rank from fused) where rank <= 10",
-    "r12_shortcut": """with q as (select p_partkey as query_id, case when p_partkey % 2 = 0 then string_split(p_name, ' ')[1] else p_brand end as query from part where p_partkey <= 20),
+    "r12_shortcut": """with q as (select distinct x as query_id, x as query from (select string_split(p_name, ' ')[1] as x from part union all select p_brand from part)),
         s as (select query_id, 'part-' || p_partkey as slug, case when contains(lower(p_name), lower(query)) then 0.7::double else 0.4::double end as score from part join q on contains(lower(p_name), lower(query)) or contains(lower(p_type || ' ' || p_brand), lower(query)))
         select * from s where query_id in (select query_id from s group by 1 having max(score) > 0.5)""",
     "r13_rerank_jaccard": f"""with {_BM25}, hits as (select query_id, chunk_id, list_distinct(regexp_extract_all(lower(b.text), '[a-z0-9]+')) as q, list_distinct(regexp_extract_all(lower(content), '[a-z0-9]+')) as c
@@ -156,7 +157,7 @@ ORACLES = {
         s as (select query_id, chunk_id, round(len(list_intersect(q, c)) / len(list_distinct(list_concat(q, c))), 6) as score from hits)
         select * from (select *, row_number() over (partition by query_id order by score desc, chunk_id) as rank from s) where rank <= 5""",
     "r14_quality_gate": f"""with {_NEAR}, s as (select query_id, max(similarity) as best, avg(similarity) as mean3 from near where rank <= 3 group by 1),
-        r as (select vec_id as query_id, concat_ws(',', case when best is null then 'empty' end, case when best < 0.3 then 'low_top' end, case when mean3 < 0.2 then 'low_mean' end) as reasons from embeddings left join s on vec_id = query_id where vec_id < 20)
+        r as (select vec_id as query_id, concat_ws(',', case when best is null then 'empty' end, case when best < 0.3 then 'low_top' end, case when mean3 < 0.2 then 'low_mean' end) as reasons from embeddings left join s on vec_id = query_id where vec_id % 25 = 0)
         select query_id, reasons = '' as sufficient, reasons from r""",
     "r16_expand": """with q as (select item_id as query_id, text[1:40] as q from benchmark)
         select distinct query_id, variant from (select query_id, unnest([q, case when not contains(q, 'ERP') then 'ERP ' || q end, case when not contains(q, 'the') then 'the ' || q end, case when replace(q, 'the', 'a') <> q then replace(q, 'the', 'a') end]) as variant from q) where variant is not null""",
