@@ -58,15 +58,19 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when((F.size(a) != F.size(b)) | (norm == 0), 0.0).otherwise(dot(a, b) / norm)
 
 
+def small(rows: DataFrame, most: int) -> DataFrame:
+    """``rows`` to be broadcast, after a check that there are at most ``most``; more are refused, never cut."""
+    if rows.limit(most + 1).count() > most:
+        raise ValueError(f"more than {most} rows to broadcast: ask in parts")
+    return F.broadcast(rows)
+
+
 def nearest(queries: DataFrame, vectors: DataFrame, k: int = 5, most_queries: int = 4096) -> DataFrame:
     """(query_id, vec_id, similarity, rank): exact nearest by cosine for (query_id, vector), up to ``most_queries`` at once.
 
-    The queries are broadcast, so their number is checked; a larger set goes through the shards of
-    a block search instead (ask in parts).
+    The queries are broadcast, so their number is checked first.
     """
-    if queries.limit(most_queries + 1).count() > most_queries:
-        raise ValueError(f"more than {most_queries} queries: ask in parts")
-    pairs = vectors.join(F.broadcast(queries), F.col("vec_id") != F.col("query_id"))
+    pairs = vectors.join(small(queries, most_queries), F.col("vec_id") != F.col("query_id"))
     scored = pairs.select("query_id", "vec_id", F.round(cosine(F.col("vector"), F.col("embedding")), 6).alias("similarity"))
     return top(scored, k, ["query_id"], [F.col("similarity").desc(), F.col("vec_id")])
 
@@ -96,7 +100,7 @@ def diversify(hits: DataFrame, k: int, title: str = "title", key: str = "chunk_i
 def shortcut(queries: DataFrame, pages: DataFrame, gate: float = 0.5) -> DataFrame:
     """Curated pages for (query_id, query): 0.7 where the title holds the query, 0.4 where only the content does; only queries whose best passes ``gate``."""
     low = lambda c: F.lower(F.col(c))
-    pairs = pages.join(F.broadcast(queries.limit(4096)), F.contains(low("title"), low("query")) | F.contains(low("content"), low("query")))
+    pairs = pages.join(small(queries, 4096), F.contains(low("title"), low("query")) | F.contains(low("content"), low("query")))
     scored = pairs.select("query_id", "slug", F.when(F.contains(low("title"), low("query")), 0.7).otherwise(0.4).alias("score"))
     best = scored.groupBy("query_id").agg(F.max("score").alias("best")).where(F.col("best") > gate).select("query_id")
     return scored.join(best, "query_id", "left_semi")

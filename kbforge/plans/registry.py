@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import analytics_queries, chunk_queries, graph_queries, search_queries, text_queries
+from . import analytics_queries, chunk_queries, graph_queries, search_queries, stream_queries, table_queries, text_queries
 
-MODULES = [text_queries, chunk_queries, search_queries, graph_queries, analytics_queries]
+MODULES = [text_queries, chunk_queries, search_queries, graph_queries, analytics_queries, table_queries, stream_queries]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
