@@ -1,7 +1,8 @@
 """Personal data by weak supervision, in DataFrame functions only (operator 1).
 
 1. Candidates. Rows that can hold any (a digit, an at sign) are set aside; four base patterns and
-   two wider ones (obfuscated addresses, national phone numbers) give candidate spans with some
+   three wider ones (obfuscated addresses, numbers of cards that stand next to other digits,
+   national phone numbers) give candidate spans with some
    characters of context. Offsets come from the lengths of the pieces between matches.
 2. Votes. A pattern labeler (the base rule holds, fails, or abstains), a gazetteer labeler (known
    top-level domains, card issuers, country codes, reserved networks), a context labeler (cue
@@ -12,7 +13,8 @@
    itself and the votes; it decides on the candidates that the base rules do not cover.
 
 Base spans are never taken away. A further span is added if its probability reaches
-``threshold`` and it overlaps no base span.
+``threshold``, no rule of its kind (a checksum, a count of digits) fails for it, and it overlaps
+no base span.
 
 Defined cases: null text is empty; empty texts have no spans; repeated rows are handled each;
 an empty table gives an empty result; other columns are carried by ``redact`` and ignored else.
@@ -40,6 +42,7 @@ PATTERNS = {
 }
 WIDE = {
     "email": r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++ ?[\[({] ?(?:at|AT|@) ?[\])}] ?[A-Za-z0-9-]++(?: ?[\[({] ?(?:dot|DOT|\.) ?[\])}] ?[A-Za-z0-9-]++|\.[A-Za-z0-9-]++)++",
+    "card": r"(?<![0-9])(?:[0-9]{4}[ -]){3}[0-9]{4}(?![0-9])|(?<![0-9])[0-9]{13,19}(?![0-9])",
     "phone": r"(?<![0-9+.-])(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9.-])",
 }
 #: Gazetteers and cue words.
@@ -102,7 +105,7 @@ def _spans(rows: DataFrame, kind: str, pattern: str, base: bool) -> DataFrame:
 def _votes(kind: str, base: bool) -> Column:
     """The four labelers' votes, each -1, 0 or 1."""
     found, before, after = F.col("found"), F.col("left.tail"), F.col("right.head")
-    rule = F.when(holds(kind, found), 1).otherwise(-1) if base else F.lit(0)
+    rule = F.when(holds(kind, found), 1).otherwise(-1) if base or kind == "card" else F.lit(0)
     context = F.when(before.rlike(CUES[kind]), 1).when(before.rlike(AGAINST), -1).otherwise(0)
     bounded = F.when(before.rlike(r"[\p{L}0-9_#=/]$") | after.rlike(r"^[\p{L}0-9_=/]"), -1).otherwise(1)
     return F.array(rule, _gazetteer(kind, found), context, bounded)
@@ -197,7 +200,7 @@ def detect(rows: DataFrame, threshold: float = 0.95) -> DataFrame:
     """(uid, bases, spans): each an array of (start, rank of the kind, stop) in order, for ``rows`` (uid, text) with any."""
     candidates = written(find_candidates(rows), "candidates")
     span = F.struct("start", F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind")).cast("int").alias("rank"), "stop")
-    extra = (F.col("probability") >= threshold) & ~F.col("base")
+    extra = (F.col("probability") >= threshold) & ~F.col("base") & (F.get("votes", F.lit(0)) >= 0)
     found = classify(candidates).where(F.col("base") | extra).select("uid", "base", span.alias("span"))
     found = found.groupBy("uid").agg(F.array_sort(F.collect_list(F.when(F.col("base"), F.col("span")))).alias("bases"), F.array_sort(F.collect_set(F.when(~F.col("base"), F.col("span")))).alias("extras"))
     apart = lambda e, b: (e["stop"] <= b["start"]) | (b["stop"] <= e["start"])
