@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import analytics_queries, chunk_queries, graph_queries, search_queries, stream_queries, table_queries, text_queries
+from . import analytics_queries, chunk_queries, graph_queries, more_queries, search_queries, stream_queries, table_queries, text_queries
 
-MODULES = [text_queries, chunk_queries, search_queries, graph_queries, analytics_queries, table_queries, stream_queries]
+MODULES = [text_queries, chunk_queries, search_queries, graph_queries, analytics_queries, table_queries, stream_queries, more_queries]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -17,3 +17,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {name: sql for module in MODULES for name, sql in module.ORACLES.items()}
+
+
+QUERY_NAMES = [name for module in MODULES for name in module.QUERIES]
