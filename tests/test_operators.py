@@ -132,7 +132,7 @@ def test_verification_report(spark):
 
 def test_transcripts(spark):
     assert one(spark, transcript.collapse_repeats, "然后然后我好好好想那个那个那个") == "然后我好好想那个"
-    assert one(spark, transcript.restore_marks, "我们先看看但是没有时间") == "我们先看看，但是没有时间？"
+    assert one(spark, transcript.restore_marks, "我们先看看但是没有时间") == "我们先看看，但是没有时间。"
     assert one(spark, transcript.merge_short, "这是一个比较长的句子内容。短句。另一个也足够长的句子在这里。") == "这是一个比较长的句子内容，短句。另一个也足够长的句子在这里。"
     assert one(spark, transcript.tidy_blanks, "中 文 字  ok  x\n\n y ") == "中文字 ok x\ny"
     assert one(spark, transcript.clean_transcript, "") == ""
