@@ -79,11 +79,17 @@ def score_blocks(queries: pd.DataFrame, rows: pd.DataFrame, k: int, block_rows:
     return pd.DataFrame({"query_id": np.concatenate(out_q), "vec_id": np.concatenate(out_v), "score": np.concatenate(out_s)})
 
 
-def top_k(vectors: DataFrame, is_query: str = "vec_id % 50 = 0", k: int = 5, scale: int = 256, shard_rows: int = 16384, query_rows: int = 1024, block_rows: int = 128) -> DataFrame:
-    """(query_id, rank, vec_id, score): for each row for which ``is_query`` holds, the ``k`` others of highest score."""
+def top_k(vectors: DataFrame, is_query: str = "vec_id % 50 = 0", k: int = 5, scale: int = 256, shard_rows: int = 65536, query_rows: int = 8192, block_rows: int = 128) -> DataFrame:
+    """(query_id, rank, vec_id, score): for each row for which ``is_query`` holds, the ``k`` others of highest score.
+
+    A unit of work has about ``shard_rows`` candidates and ``query_rows`` queries, so queries are
+    repeated once a shard and candidates once a group; small tables get a shard a core.
+    """
     rows = written(integer_vectors(vectors, scale), "vectors")
     counts = rows.agg(F.count("*").alias("rows"), F.count_if(F.expr(is_query)).alias("queries")).first()
-    shards, groups = max(1, math.ceil(counts["rows"] / shard_rows)), max(1, math.ceil(counts["queries"] / query_rows))
+    cores = vectors.sparkSession.sparkContext.defaultParallelism
+    shards = max(1, math.ceil(counts["rows"] / shard_rows), min(cores, counts["rows"] // 1024))
+    groups = max(1, math.ceil(counts["queries"] / query_rows))
     spread = lambda n, seed: F.pmod(F.xxhash64("vec_id", "vec", F.lit(seed)), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     asked = rows.where(is_query).groupBy("vec_id").agg(F.min("vec").alias("vec")).withColumn("dims", F.size("vec"))
