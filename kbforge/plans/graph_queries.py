@@ -21,7 +21,7 @@ def _with_text(spark, d):
 
 
 def _seeds(spark, d):
-    return wiki_pages(spark, d).where("cast(substring(slug, 6) as int) % 20 = 0").select("project_id", F.col("slug").alias("seed"))
+    return wiki_pages(spark, d).where("cast(substring(slug, 6) as int) % 50 = 0").select("project_id", F.col("slug").alias("seed"))
 
 
 def _links(pages):
@@ -67,7 +67,7 @@ _BASE = PAGES + """, wl as (select project_id, source_slug, target_slug from lin
     edges as (select *, 'wikilink' as signal, 1.0::double as weight from wl union all select *, 'tag', 0.6::double from tagp union all select *, 'source', 0.4::double from srcp union all select *, 'co_citation', 0.3::double from cocp)"""
 _TEXT = PAGES + """, wl as (select project_id, source_slug, target_slug from links join pages0 on slug = source_slug),
     pl as (select project_id, slug, cast(('0x' || md5(slug)[1:4]) as int) % 4 = 0 as lost, (select count(*) from links where source_slug = slug) as n, (select count(*) from links where source_slug = slug and target_slug in (select slug from pages0)) as known from pages0)"""
-_WALK = _BASE + """, strong as (select * from edges where signal in ('wikilink', 'source')), seeds as (select project_id, slug as seed from pages0 where p_partkey % 20 = 0),
+_WALK = _BASE + """, strong as (select * from edges where signal in ('wikilink', 'source')), seeds as (select project_id, slug as seed from pages0 where p_partkey % 50 = 0),
     h1 as (select distinct s.project_id, seed, target_slug as at1, signal, weight, 1 as depth from seeds s join strong e on e.project_id = s.project_id and e.source_slug = seed and target_slug <> seed),
     h2 as (select distinct f.project_id, f.seed, target_slug as at1, e.signal, e.weight, 2 as depth from (select distinct project_id, seed, at1 from h1) f join strong e on e.project_id = f.project_id and e.source_slug = f.at1 and target_slug <> f.seed),
     walks as (select project_id, seed, at1 as target, cast(max(depth) as bigint) as depth, cast(min(depth) as bigint) as min_depth, list_sort(list_distinct(list(signal))) as signals, round(avg(weight), 6) as weight from (select * from h1 union all select * from h2) group by 1, 2, 3)"""

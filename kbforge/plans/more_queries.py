@@ -98,12 +98,12 @@ def _vector_table(spark, d):
 
 
 def _hybrid(spark, d):
-    """Passages against chunks by two keyword retrievers (whole text, first ten words), fused, cut to 2k and diversified."""
+    """Passages against chunks by two keyword retrievers (all words, words of over four letters), fused, cut to 2k and diversified."""
     from .search_queries import _posted
 
-    short = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.explode(F.array_distinct(F.slice(_tokens("text"), 1, 10))).alias("term"))
+    short = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.explode(F.array_distinct(_tokens("text"))).alias("term")).where(F.char_length("term") > 4)
     whole, first = _bm25(spark, d, 50), r.bm25(short, _posted(spark, d), 50)
-    fused = r.fuse({"whole": (whole, r.VECTOR_WEIGHT), "first": (first, r.TEXT_WEIGHT)})
+    fused = r.fuse({"whole": (whole, r.VECTOR_WEIGHT), "long": (first, r.TEXT_WEIGHT)})
     cut = r.top(fused, 10, ["query_id"], [F.col("score").desc(), F.col("chunk_id")]).drop("rank")
     return r.diversify(_titled(spark, d, cut), 5).select("query_id", "chunk_id", "title", "source", F.col("rank").cast("long").alias("rank"))
 
@@ -146,11 +146,11 @@ ORACLES = {
     "m17_payloads": "select event_id as id, case event_type when 'view' then 'ended' when 'click' then 'ongoing' else 'scheduled' end as status from events",
     "a22_deliverables": "select p_brand as phase, count(*) filter (where p_size % 4 = 0) as done, count(*) filter (where p_size % 4 = 1) as pending, count(*) filter (where p_size % 4 = 2) as missing, count(*) filter (where p_size % 4 = 3) as optional from part group by 1",
     "r7_vector_table": "select vec_id, case when vec_id % 4 = 0 then 0.0::double else round(cast(embedding[1] as double), 6) end as x from embeddings where vec_id % 10 <> 3",
-    "r22_hybrid": f"""with {_BM25}, asked2 as (select distinct item_id as query_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')[1:10]) as term from benchmark),
+    "r22_hybrid": f"""with {_BM25}, asked2 as (select * from asked where length(term) > 4),
         sc2 as (select query_id, chunk_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))), 6) as score from asked2 join posted using (term) join dl using (chunk_id) join df using (term), whole group by 1, 2),
         b2 as (select *, row_number() over (partition by query_id order by score desc, chunk_id) as rank from sc2),
         fused as (select query_id, chunk_id, round(sum(part), 9) as score, case when count(distinct source) > 1 then 'both' else min(source) end as source from
-            (select query_id, chunk_id, 2.0::double / (60 + rank) as part, 'whole' as source from bm where rank <= 50 union all select query_id, chunk_id, 1.0::double / (60 + rank), 'first' from b2 where rank <= 50) group by 1, 2),
+            (select query_id, chunk_id, 2.0::double / (60 + rank) as part, 'whole' as source from bm where rank <= 50 union all select query_id, chunk_id, 1.0::double / (60 + rank), 'long' from b2 where rank <= 50) group by 1, 2),
         cut as (select * from (select *, row_number() over (partition by query_id order by score desc, chunk_id) as r from fused) where r <= 10),
         nth as (select query_id, chunk_id, project_id as title, source, score, row_number() over (partition by query_id, project_id order by score desc, chunk_id) as nth from cut join chunks using (chunk_id))
         select query_id, chunk_id, title, source, rank from (select *, row_number() over (partition by query_id order by least(nth, 3), case when nth < 3 then title end nulls last, score desc, chunk_id) as rank from nth) where rank <= 5""",

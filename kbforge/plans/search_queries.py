@@ -90,7 +90,7 @@ def _gate(spark, d):
 
 
 def _expand(spark, d):
-    return r.expand_queries(table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.left("text", F.lit(40)).alias("query")), ["ERP", "the"], {"the": "a"})
+    return r.expand_queries(table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query")), ["ERP", "the"], {"the": "a"})
 
 
 def _shortcut(spark, d):
@@ -159,7 +159,7 @@ ORACLES = {
     "r14_quality_gate": f"""with {_NEAR}, s as (select query_id, max(similarity) as best, avg(similarity) as mean3 from near where rank <= 3 group by 1),
         r as (select vec_id as query_id, concat_ws(',', case when best is null then 'empty' end, case when best < 0.3 then 'low_top' end, case when mean3 < 0.2 then 'low_mean' end) as reasons from embeddings left join s on vec_id = query_id where vec_id % 25 = 0)
         select query_id, reasons = '' as sufficient, reasons from r""",
-    "r16_expand": """with q as (select item_id as query_id, text[1:40] as q from benchmark)
+    "r16_expand": """with q as (select item_id as query_id, text as q from benchmark)
         select distinct query_id, variant from (select query_id, unnest([q, case when not contains(q, 'ERP') then 'ERP ' || q end, case when not contains(q, 'the') then 'the ' || q end, case when replace(q, 'the', 'a') <> q then replace(q, 'the', 'a') end]) as variant from q) where variant is not null""",
     "r17_keyword_profile": """with k as (select item_id as query_id, k, count(*) as n from (select item_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) as k from benchmark) where length(k) >= 2 group by 1, 2),
         p as (select query_id, k from (select *, row_number() over (partition by query_id order by score desc, k) as r from (select query_id, k, round(n / sum(n) over (partition by query_id) * ln(1 + sum(n) over (partition by query_id) / n), 6) as score from k)) where r <= 10),

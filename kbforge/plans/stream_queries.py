@@ -17,11 +17,13 @@ def _stream(spark, d):
 
 
 def _scan(spark, d):
-    """Documents written as one text file a row group and scanned again."""
+    """Documents written as lines of text files and scanned again."""
     out = fresh_dir(spark, "texts")
-    table(spark, d, "documents").select(F.concat_ws(" ", F.lit("doc"), "doc_id").alias("value")).write.text(out)
+    table(spark, d, "documents").select(F.to_json(F.struct("doc_id", "text")).alias("value")).write.text(out)
     rows, _ = files.scan_text_files(spark, out)
-    return rows.select(F.explode(F.split(F.trim("text", F.lit("\n")), "\n")).alias("line"))
+    lines = rows.select(F.explode(F.split(F.trim("text", F.lit("\n")), "\n")).alias("line"))
+    each = lines.select(F.from_json("line", "doc_id long, text string").alias("doc"))
+    return each.select(F.col("doc.doc_id").alias("doc_id"), F.md5("doc.text").alias("digest"))
 
 
 def _log(spark, d):
@@ -93,7 +95,7 @@ QUERIES = {
 }
 
 ORACLES = {
-    "s1_scan": "select 'doc ' || doc_id as line from documents",
+    "s1_scan": "select doc_id, md5(text) as digest from documents",
     "s3_event_log": """select case when event_type in ('error', 'click') then 'quality' when event_type = 'signup' then 'risk' when event_type = 'view' then 'stakeholder' else 'cost' end as baseline,
         case event_type when 'error' then 'defect.created' when 'click' then 'defect.closed' when 'signup' then 'risk.created' when 'view' then 'meeting.held' else 'timesheet.logged' end as type, count(*) as n
         from events where cast(json_extract_string(props, '$.k') as bigint) % 10 <> 0 group by 1, 2""",

@@ -35,7 +35,7 @@ def _outline(spark, d):
     number = F.when(F.col("p") % 5 == 0, "1 ").when(F.col("p") % 5 == 1, "1.1 ").otherwise("1.1.1 ")
     from ..operators.chunking import outline_rows
 
-    return outline_rows(lines.select("doc_id", "p", F.concat(number, F.left("line", F.lit(30))).alias("line")), ["doc_id"], "p", "line")
+    return outline_rows(lines.select("doc_id", "p", F.concat(number, "line").alias("line")), ["doc_id"], "p", "line")
 
 
 QUERIES = {
@@ -57,7 +57,7 @@ QUERIES = {
     "x16_token_estimate": lambda spark, d: table(spark, d, "documents").select("doc_id", t.token_estimate(F.col("text")).cast("long").alias("tokens"), F.floor(t.token_estimate(F.col("text"), 1.5, 4.0)).cast("long").alias("tokens_2")),
     "x17_truncate": _docs(lambda x: t.truncate_to_budget(x, 100).alias("text")),
     "x17_preview": _docs(lambda x: t.preview(x, 50).alias("preview")),
-    "x18_context_prefix": lambda spark, d: table(spark, d, "documents").select("doc_id", t.context_prefix(F.col("source"), F.when(F.col("doc_id") % 2 == 0, F.col("lang")), F.left("text", F.lit(40))).alias("text")),
+    "x18_context_prefix": lambda spark, d: table(spark, d, "documents").select("doc_id", t.context_prefix(F.col("source"), F.when(F.col("doc_id") % 2 == 0, F.col("lang")), F.col("text")).alias("text")).select("doc_id", F.md5("text").alias("digest")),
     "x20_citations": lambda spark, d: table(spark, d, "conversations").select("conv_id", "turn", F.concat_ws(",", t.citations(F.concat("text", F.lit(" [src:"), "turn", F.lit("] [chunk:"), "conv_id", F.lit("] [来源：a.md]")))).alias("cited")),
     "x21_answer_json": lambda spark, d: table(spark, d, "events").select("event_id", F.from_json(t.json_of_answer(F.concat(F.lit("Result: ```json\n"), "props", F.lit("\n``` done"))), "k long").getField("k").alias("k")),
     "x22_front_matter": lambda spark, d: table(spark, d, "documents").select("doc_id", F.concat_ws("|", t.front_matter_tags(F.concat(F.lit('---\ntags: [a,"'), "lang", F.lit('"]\n---\n'), "text"))).alias("tags")),
@@ -65,7 +65,7 @@ QUERIES = {
     "x24_injection_phrase": lambda spark, d: table(spark, d, "documents").select("doc_id", t.first_injection_phrase(F.when(F.col("doc_id") % 7 == 0, F.concat("text", F.lit(" Act as if"))).otherwise(F.col("text"))).alias("phrase")),
     "x25_scrub_context": lambda spark, d: table(spark, d, "conversations").select("conv_id", "turn", F.md5(t.scrub_context(F.concat(F.lit("a<context>x</context>b<context>"), "text", F.when(F.col("turn") % 2 == 0, F.lit("</context>c")).otherwise(F.lit(""))))).alias("digest")),
     "x28_masking": _docs(lambda x: F.md5(t.mask_digits(x)).alias("digest")),
-    "x29_change_ratio": lambda spark, d: table(spark, d, "documents").select("doc_id", F.round(t.change_ratio(F.left(F.regexp_replace("text", "[^\\x00-\\x7f]", ""), F.lit(200)), F.substring(F.regexp_replace("text", "[^\\x00-\\x7f]", ""), 20, 200)), 6).alias("ratio")),
+    "x29_change_ratio": lambda spark, d: table(spark, d, "part").select("p_partkey", F.round(t.change_ratio(F.col("p_name"), F.concat_ws(" ", "p_type", "p_name")), 6).alias("ratio")),
     "x30_failure_words": lambda spark, d: table(spark, d, "conversations").select("conv_id", "turn", t.has_failure_word(F.concat("text", F.when(F.col("turn") == 1, F.lit(" Error")).otherwise(F.lit("")))).alias("failed")),
 }
 
@@ -93,7 +93,7 @@ ORACLES = {
     "x16_token_estimate": r"""select doc_id, cast(ceil(n / 1.2::double + (strlen(text) - n) / 3.5::double) as bigint) as tokens, cast(ceil(n / 1.5::double + (strlen(text) - n) / 4.0::double) as bigint) as tokens_2
         from (select doc_id, text, length(regexp_replace(text, '[\x00-\x7f]', '', 'g')) as n from documents)""",
     "x17_preview": "select doc_id, case when length(text) > 50 then text[1:50] || '...' else text end as preview from documents",
-    "x18_context_prefix": "select doc_id, '文档《' || source || '》' || case when doc_id % 2 = 0 then ' ' || lang || '章节' else '' end || chr(10) || text[1:40] as text from documents",
+    "x18_context_prefix": "select doc_id, md5('文档《' || source || '》' || case when doc_id % 2 = 0 then ' ' || lang || '章节' else '' end || chr(10) || text) as digest from documents",
     "x20_citations": "select conv_id, turn, 'a.md,' || turn || ',' || conv_id as cited from conversations",
     "x21_answer_json": "select event_id, cast(json_extract_string(props, '$.k') as bigint) as k from events",
     "x22_front_matter": "select doc_id, 'a|' || lang as tags from documents",
@@ -101,7 +101,7 @@ ORACLES = {
     "x24_injection_phrase": f"select doc_id, [p for p in {_phrases} if contains(lower(x), p)][1] as phrase from (select doc_id, case when doc_id % 7 = 0 then text || ' Act as if' else text end as x from documents)",
     "x25_scrub_context": "select conv_id, turn, md5(case when turn % 2 = 0 then 'abc' else 'ab' end) as digest from conversations",
     "x28_masking": r"select doc_id, md5(regexp_replace(regexp_replace(regexp_replace(text, '([A-Za-z0-9])[A-Za-z0-9._%+-]*@', '\1***@', 'g'), '([0-9]{4})[0-9]{5,11}([0-9]{4})', '\1****\2', 'g'), '(\+[0-9]{1,3} ?\(?[0-9]{3}\)? ?)[0-9]{3}(-?[0-9]{4})', '\1***\2', 'g')) as digest from documents",
-    "x29_change_ratio": "select doc_id, round(case when greatest(length(a), length(b)) = 0 then 0.0 else levenshtein(a, b) / greatest(length(a), length(b)) end, 6) as ratio from (select doc_id, x[1:200] as a, substring(x, 20, 200) as b from (select doc_id, regexp_replace(text, '[^\\x00-\\x7f]', '', 'g') as x from documents))",
+    "x29_change_ratio": "select p_partkey, round(levenshtein(p_name, p_type || ' ' || p_name) / length(p_type || ' ' || p_name), 6) as ratio from part",
     "x30_failure_words": f"select conv_id, turn, len([w for w in {_failures} if contains(lower(x), w)]) > 0 as failed from (select conv_id, turn, case when turn = 1 then text || ' Error' else text end as x from conversations)",
 }
 del ORACLES["x15_keep_separators"]
