@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as t
 from ..operators import chunking as c
-from .fixtures import CHUNKS, chunks, table
+from .fixtures import chunks, table
 from .text_queries import _headings
 
 

@@ -9,7 +9,7 @@ from ..operators import logs, verification as v
 from ..operators import maintenance as m
 from ..operators.analytics import latest
 from ..operators.retrieval import small
-from .fixtures import CALLS, CHUNKS, SIGNALS, calls, chunks, signals, table
+from .fixtures import CALLS, CHUNKS, calls, chunks, table
 
 _DATE = "2024-01-31"
 
