@@ -13,35 +13,29 @@ FUSION_K, VECTOR_WEIGHT, TEXT_WEIGHT, CANDIDATES = 60, 2.0, 1.0, 200
 
 
 def postings(chunks: DataFrame, tokens: Column, key: str = "chunk_id", scope: str = "project_id") -> DataFrame:
-    """(scope, key, term, tf): one row for each term of each chunk."""
-    return chunks.select(scope, key, F.explode(tokens).alias("term")).groupBy(scope, key, "term").agg(F.count("*").alias("tf"))
+    """(scope, key, dl, term, tf): one row for each term of each chunk, with the chunk's length.
 
-
-def lengths(posted: DataFrame, key: str = "chunk_id") -> DataFrame:
-    return posted.groupBy(key).agg(F.sum("tf").alias("dl"))
-
-
-def document_frequency(posted: DataFrame) -> DataFrame:
-    return posted.groupBy("term").agg(F.count("*").alias("df"))
+    The length travels with the posting, so scoring needs no join for it. Store the result
+    (``sources.scratch.stored``, or a table partitioned by scope) and ask it many times.
+    """
+    each = chunks.select(scope, key, tokens.alias("__t")).select(scope, key, F.size("__t").cast("long").alias("dl"), F.explode("__t").alias("term"))
+    return each.groupBy(scope, key, "dl", "term").agg(F.count("*").alias("tf"))
 
 
 def bm25(queries: DataFrame, posted: DataFrame, k: int = 5, key: str = "chunk_id", k1: float = K1, b: float = B) -> DataFrame:
     """(query_id, key, score, rank): the ``k`` best chunks of each query of (query_id, term).
 
-    Only postings of asked terms are touched: document frequencies are counted after the join with
-    the distinct query terms, chunk lengths are joined to the matches alone. The collection's
-    size and mean length are one row of aggregates, joined on a constant key.
+    Only postings of asked terms are shuffled, by term, and document frequencies are counted on
+    them. The collection's size and mean length are two numbers.
     """
     terms = queries.select("query_id", "term").distinct()
-    asked = terms.select("term").distinct()
-    hit = posted.join(asked, "term", "left_semi")
-    df = document_frequency(hit)
-    dl = lengths(posted, key)
-    whole = dl.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")).first()
+    hit = posted.join(terms.select("term").distinct(), "term", "left_semi")
+    df = hit.groupBy("term").agg(F.count("*").alias("df"))
+    whole = posted.groupBy(key).agg(F.any_value("dl").alias("dl")).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")).first()
     n, avgdl = whole["n"], whole["avgdl"] or 1.0
     idf = F.log(1 + (F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.lit(avgdl)))
-    scored = hit.join(df, "term").join(dl, key).withColumn("part", part).join(terms, "term")
+    scored = hit.join(df, "term").withColumn("part", part).join(terms, "term")
     total = scored.groupBy("query_id", key).agg(F.round(F.sum("part"), 6).alias("score"))
     return top(total, k, ["query_id"], [F.col("score").desc(), F.col(key)])
 

@@ -11,7 +11,7 @@ from ..operators import maintenance as m
 from ..operators import retrieval as r
 from ..streaming import streams as st
 from .fixtures import table
-from .search_queries import _BM25, _bm25, _titled, _tokens
+from .search_queries import _BM25, _asked, _posted, _titled, _tokens
 from .stream_queries import _stream
 
 
@@ -99,10 +99,9 @@ def _vector_table(spark, d):
 
 def _hybrid(spark, d):
     """Passages against chunks by two keyword retrievers (all words, words of over four letters), fused, cut to 2k and diversified."""
-    from .search_queries import _posted
-
     short = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.explode(F.array_distinct(_tokens("text"))).alias("term")).where(F.char_length("term") > 4)
-    whole, first = _bm25(spark, d, 50), r.bm25(short, _posted(spark, d), 50)
+    posted = _posted(spark, d)  # stored once, asked twice
+    whole, first = r.bm25(_asked(spark, d), posted, 50), r.bm25(short, posted, 50)
     fused = r.fuse({"whole": (whole, r.VECTOR_WEIGHT), "long": (first, r.TEXT_WEIGHT)})
     cut = r.top(fused, 10, ["query_id"], [F.col("score").desc(), F.col("chunk_id")]).drop("rank")
     return r.diversify(_titled(spark, d, cut), 5).select("query_id", "chunk_id", "title", "source", F.col("rank").cast("long").alias("rank"))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as t
 from ..operators import retrieval as r
+from ..sources.scratch import stored
 from .fixtures import CHUNKS, chunks, table
 
 WORDS = r"[a-z0-9]+"
@@ -16,7 +17,7 @@ def _tokens(column="content"):
 
 
 def _posted(spark, d):
-    return r.postings(chunks(spark, d), _tokens())
+    return stored(r.postings(chunks(spark, d), _tokens()), "postings")
 
 
 def _asked(spark, d):
@@ -28,7 +29,7 @@ def _bm25(spark, d, k=5):
 
 
 def _postings(spark, d):
-    return _posted(spark, d).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
+    return r.postings(chunks(spark, d), _tokens()).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
 
 
 def _titled(spark, d, hits):
@@ -108,7 +109,7 @@ def _path_match(spark, d):
 QUERIES = {
     "search_bm25_diverse": _diverse,
     "r1_postings": _postings,
-    "r2_postings_delete": lambda spark, d: _posted(spark, d).where("chunk_id % 3 <> 0").groupBy("project_id").agg(F.count("*").alias("n"), F.sum("tf").alias("tf")),
+    "r2_postings_delete": lambda spark, d: r.postings(chunks(spark, d), _tokens()).where("chunk_id % 3 <> 0").groupBy("project_id").agg(F.count("*").alias("n"), F.sum("tf").alias("tf")),
     "r3_bm25": lambda spark, d: _bm25(spark, d).withColumn("rank", F.col("rank").cast("long")),
     "r4_phrase_tokens": lambda spark, d: table(spark, d, "documents").select("doc_id", F.size(F.filter(t.literals(["of the", "in the", "de la", "und der"]), lambda p: F.contains(F.lower("text"), p))).cast("long").alias("phrases")),
     "r6_nearest": lambda spark, d: _nearest(spark, d).withColumn("rank", F.col("rank").cast("long")),

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def fresh_dir(spark: SparkSession, name: str) -> str:
@@ -15,3 +15,10 @@ def fresh_dir(spark: SparkSession, name: str) -> str:
         base = "file://" + tempfile.mkdtemp(prefix="kbforge-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/kbforge/{name}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written as Parquet into the shared folder, read back with its schema: computed once, kept when executors are lost."""
+    path = fresh_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
