@@ -89,7 +89,12 @@ ORACLES = {
     "x12_headings": r"""select doc_id, cast(i - 1 as bigint) as line_no, cast(len(string_split(line, ' ')) as bigint) as level, trim(line) as heading
         from (select doc_id, unnest(string_split(text, chr(10))) as line, unnest(range(1, len(string_split(text, chr(10))) + 1)) as i from documents)
         where len(string_split(line, ' ')) <= 6 and trim(line) <> ''""",
-    "x15_keep_separators": "select doc_id, cast(len([x for x in string_split(translate(text, '.', '。'), '。') if x <> '']) + len(regexp_extract_all(text, '^\\.|\\.\\.')) as bigint) as pieces from documents where false",
+    "x13_outline": """with l as (select doc_id, i - 1 as p, trim(line) as line from (select doc_id, unnest(string_split(text, chr(10))) as line, unnest(range(1, len(string_split(text, chr(10))) + 1)) as i from documents)),
+        q as (select doc_id, p, row_number() over (partition by doc_id order by p) as ordinal, line as question from l where p % 5 >= 2)
+        select q.doc_id, ordinal, s.line as section, c.line as category, question from q join l s on s.doc_id = q.doc_id and s.p = q.p // 5 * 5 join l c on c.doc_id = q.doc_id and c.p = q.p // 5 * 5 + 1""",
+    "x15_keep_separators": "select doc_id, cast(len(regexp_extract_all(x, '[。！？；]')) + case when x = '' or right(x, 1) in ('。', '！', '？', '；') then 0 else 1 end as bigint) as pieces from (select doc_id, translate(text, '.', '。') as x from documents)",
+    "x17_truncate": r"""with n as (select doc_id, text, unnest(range(0, least(length(text), 400) + 1)) as n from documents), e as (select *, length(regexp_replace(text[1:n], '[\x00-\x7f]', '', 'g')) as w from n)
+        select doc_id, max_by(text[1:n], n) as text from e where ceil(w / 1.2::double + (strlen(text[1:n]) - w) / 3.5::double) <= 100 group by doc_id""",
     "x16_token_estimate": r"""select doc_id, cast(ceil(n / 1.2::double + (strlen(text) - n) / 3.5::double) as bigint) as tokens, cast(ceil(n / 1.5::double + (strlen(text) - n) / 4.0::double) as bigint) as tokens_2
         from (select doc_id, text, length(regexp_replace(text, '[\x00-\x7f]', '', 'g')) as n from documents)""",
     "x17_preview": "select doc_id, case when length(text) > 50 then text[1:50] || '...' else text end as preview from documents",
@@ -104,4 +109,3 @@ ORACLES = {
     "x29_change_ratio": "select p_partkey, round(levenshtein(p_name, p_type || ' ' || p_name) / length(p_type || ' ' || p_name), 6) as ratio from part",
     "x30_failure_words": f"select conv_id, turn, len([w for w in {_failures} if contains(lower(x), w)]) > 0 as failed from (select conv_id, turn, case when turn = 1 then text || ' Error' else text end as x from conversations)",
 }
-del ORACLES["x15_keep_separators"]
