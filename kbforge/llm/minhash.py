@@ -12,8 +12,9 @@ Work per step, with D documents and B bands:
   are no hot group), and only one representative goes on;
 * in each bucket every member is first compared with the bucket's smallest id only. Confirmed
   links are contracted to components; pairs inside a component need no comparison any more.
-  Only pairs of a bucket that still lie in different components, and whose sizes and sketches
-  (four bits of each signature value) allow the threshold, are compared in the last round. So a bucket of n near copies costs n comparisons,
+  Only members of a bucket that still lie in different components, and whose sizes and sketches
+  (four bits of each signature value) allow the threshold, are compared in the last round, by
+  blocks inside tasks. So a bucket of n near copies costs n comparisons,
   and no link between different texts is lost.
 
 Defined cases: null or blank text has size 0 and links with nothing; rows that share a doc_id
@@ -94,19 +95,22 @@ def signatures(docs: DataFrame, width: int = 5, bands: int = 24, perms_per_band:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(sign, SIGNATURE)
 
 
+def most_apart(values: int, percent: int) -> int:
+    """How many of ``values`` sketch values may differ: six standard deviations beyond what the threshold gives (a chance of 1e-9)."""
+    q = percent / 100 + (1 - percent / 100) / 16
+    return values - int(values * q - 6 * (values * q * (1 - q)) ** 0.5)
+
+
 def alike(x: str, y: str, values: int, percent: int) -> str:
     """SQL for whether two sketches (arrays of longs) can belong to sets of at least the threshold.
 
     Values that differ show in one of their four bits, so a match has a chance of J + (1 - J) / 16.
-    Pairs six standard deviations below what the threshold gives (a chance of 1e-9) are left out.
     """
-    q = percent / 100 + (1 - percent / 100) / 16
-    most = values - int(values * q - 6 * (values * q * (1 - q)) ** 0.5)
     apart = []
     for k in range(-(-values // 16)):
         d = f"({x}[{k}] ^ {y}[{k}])"
         apart.append(f"bit_count(({d} | shiftrightunsigned({d}, 1) | shiftrightunsigned({d}, 2) | shiftrightunsigned({d}, 3)) & 1229782938247303441L)")
-    return f"({' + '.join(apart)}) <= {most}"
+    return f"({' + '.join(apart)}) <= {most_apart(values, percent)}"
 
 
 def confirm(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
@@ -126,6 +130,87 @@ def confirm(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Dat
     return both.mapInArrow(compare, "a long, b long, linked boolean")
 
 
+def _unit_links(rows: list[dict], percent: int, values: int) -> list[tuple[int, int]]:
+    """Links between members of one unit in different components: enough to join all that belong together."""
+    band, crossed = rows[0]["band"], rows[0]["i"] != rows[0]["j"]
+    block, comp = np.array([r["block"] for r in rows]), np.array([r["comp"] for r in rows])
+    if (comp == comp[0]).all():
+        return []
+    keys = np.array([r["bands"][:band] for r in rows], np.int64).reshape(len(rows), -1)
+    longs = np.array([r["sketch"] for r in rows], np.int64).view(np.uint64)
+    sketch = (longs[:, :, None] >> np.arange(0, 64, 4, dtype=np.uint64) & np.uint64(15)).astype(np.uint8).reshape(len(rows), -1)[:, :values]
+    sets = [np.frombuffer(r["hashes"], np.uint64) for r in rows]
+    size = np.array([len(x) for x in sets])
+    root = {c: c for c in comp.tolist()}
+
+    def find(c: int) -> int:
+        while root[c] != c:
+            root[c] = root[root[c]]
+            c = root[c]
+        return c
+
+    links, least = [], values - most_apart(values, percent)
+    for x in range(len(rows) - 1):
+        y = slice(x + 1, len(rows))
+        fit = (comp[y] != comp[x]) & (100 * np.minimum(size[y], size[x]) >= percent * np.maximum(size[y], size[x]))
+        if crossed:
+            fit &= block[y] != block[x]
+        at = x + 1 + np.flatnonzero(fit)
+        at = at[~(keys[at] == keys[x]).any(axis=1)]  # met in an earlier band
+        at = at[(sketch[at] == sketch[x]).sum(axis=1) >= least]
+        for k in at.tolist():
+            p, q = find(int(comp[x])), find(int(comp[k]))
+            if p != q:
+                common = len(np.intersect1d(sets[x], sets[k], assume_unique=True))
+                if 100 * common >= percent * (len(sets[x]) + len(sets[k]) - common):
+                    root[max(p, q)] = min(p, q)
+                    links.append((rows[x]["rep"], rows[k]["rep"]))
+    return links
+
+
+def link_leftovers(placed: DataFrame, keys: DataFrame, texts: DataFrame, width: int, percent: int, values: int, unit: int = 512) -> DataFrame:
+    """(a, b): links between members of a bucket that lie in different components, from (band, key, m, rep, comp).
+
+    A bucket of ``m`` members is dealt into blocks of about ``unit``, and each pair of blocks is one
+    unit of work, compared inside its task; pairs are never rows. A pair that shares several
+    buckets is compared in the first of them only.
+    """
+    blocks = F.ceil(F.col("m") / unit).cast("int")
+    rows = placed.withColumn("block", F.pmod(F.hash("rep"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    rows = rows.select("band", "key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep", "comp")
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [x.tobytes() for x in shingle_sets(batch.column("text"), width)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found, pa.binary())], ["rep", "hashes"])
+
+    needed = texts.join(placed.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    sets = needed.select("doc_id", "text").mapInArrow(hashed, "rep long, hashes binary")
+    unit_key = ["band", "key", "i", "j"]
+    rows = rows.join(keys.join(sets, "rep"), "rep").repartition(*unit_key).sortWithinPartitions(*unit_key)
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held = None, []
+        for batch in batches:
+            links = []
+            for row in batch.to_pylist():
+                here = tuple(row[k] for k in unit_key)
+                if here != at:
+                    if held:
+                        links += _unit_links(held, percent, values)
+                    at, held = here, []
+                held.append(row)
+            yield _link_batch(links)
+        if held:
+            yield _link_batch(_unit_links(held, percent, values))
+
+    return rows.mapInArrow(search, "a long, b long")
+
+
+def _link_batch(links: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, component): the smallest id reachable over ``edges`` (a, b), for each id that they hold.
 
@@ -195,16 +280,12 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
     labels = components(checked.where("linked").unionByName(checked_2.where("linked")))
 
     # What is left of a bucket: members of different components that no centre has linked.
-    placed = _labelled(buckets, labels, "rep", "comp")
-    mixed = placed.groupBy("band", "key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("band", "key")
-    placed = placed.join(mixed, ["band", "key"]).select("band", "key", "rep", "comp")
-    placed = written(placed.join(known, "rep"), "mixed")
-    x, y = placed.alias("x"), placed.alias("y")
-    pairs = x.join(y, F.expr("x.band = y.band and x.key = y.key and x.rep < y.rep and x.comp <> y.comp and " + both))
-    pairs = pairs.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
-    done = checked.unionByName(checked_2).select("a", "b")
-    checked_3 = written(confirm(pairs.join(done, ["a", "b"], "left_anti"), texts, width, percent), "checked")
-    labels = components(checked.unionByName(checked_2).unionByName(checked_3).where("linked"))
+    placed = _labelled(buckets.select("band", "key", "rep"), labels, "rep", "comp")
+    mixed = placed.groupBy("band", "key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("m")).where("low < high").select("band", "key", "m")
+    placed = written(placed.join(mixed, ["band", "key"]), "mixed")
+    keys = classes.groupBy("rep").agg(F.any_value("bands").alias("bands"), F.any_value("sketch").alias("sketch"))
+    left = written(link_leftovers(placed, keys, texts, width, percent, 2 * bands * perms_per_band), "left")
+    labels = components(checked.where("linked").select("a", "b").unionByName(checked_2.where("linked").select("a", "b")).unionByName(left))
 
     reps = classes.select("set_key", "rep")
     out = signed.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("set_key")).alias("set_key")).join(reps, "set_key", "left")
