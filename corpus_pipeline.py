@@ -34,8 +34,9 @@ def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources are mixed to their targets: documents are repeated, left out, or cut at the end of a source's share."""
-    queued = written(mixing.queue(docs, carry=[F.col("text"), F.col("lang"), F.col("n_chars")]), "queued")
-    return mixing.mixed_documents(mixing.mix_sources(queued)).select(*docs.columns)
+    queued = written(mixing.queue(docs), "queued")
+    mixed = mixing.mixed_documents(docs, mixing.mix_sources(queued))
+    return mixed.withColumn("n_chars", F.coalesce(F.char_length("text"), F.lit(0)).cast("long"))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

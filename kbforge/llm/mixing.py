@@ -55,15 +55,19 @@ def source_targets(sizes: DataFrame, weights: Sequence[float] = (5, 2, 1), share
     return found.select("source", "source_size", target.alias("target"), F.ceil("budget").alias("budget"))
 
 
-def queue(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, most: float = 2.0, seed: int = 7, blocks: int = 1024, carry: Sequence[Column] = ()) -> DataFrame:
-    """Each document with its size, its source's size and target, and where its words start in the source's queue."""
+def _key(seed: int) -> Column:
+    """The shuffle hash: of id and text, so that only rows that agree in both share it."""
+    return F.xxhash64(F.lit(seed), F.col("doc_id").cast("long"), F.hash(F.col("text").cast("string")))
+
+
+def queue(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, most: float = 2.0, seed: int = 7, blocks: int = 1024) -> DataFrame:
+    """Each document (without its text) with its size, its source's size and target, and where its words start in the source's queue."""
     text = F.col("text").cast("string")
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.col("source").cast("string").alias("source"),
         F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-        F.xxhash64(F.lit(seed), "doc_id", F.hash(text)).alias("shuffle"),
-        *carry,
+        _key(seed).alias("shuffle"),
     )
     rows = written(rows.withColumn("block", F.floor((F.col("shuffle") / F.lit(2.0**64) + 0.5) * blocks).cast("int")), "sized")
     targets = source_targets(rows, weights, share, most).withColumnRenamed("source", "__of")
@@ -93,12 +97,24 @@ def mix_sources(queued: DataFrame, most: float = 2.0, blocks: int = 1024) -> Dat
     return copies.drop("block").repartitionByRange(*order).sortWithinPartitions(*order)
 
 
-def mixed_documents(mix: DataFrame) -> DataFrame:
-    """The rows of ``mix`` with ``text`` cut to the words taken, for documents taken in part."""
-    words = F.slice(F.split("text", r"[\x20\x09-\x0D]+"), 1, (F.col("taken") + F.when(F.col("text").rlike(r"^[\x20\x09-\x0D]"), 1).otherwise(0)).cast("int"))
-    part = F.col("taken") < F.col("size")
-    text = F.when(part, F.array_join(words, " ")).otherwise(F.col("text"))
-    return mix.withColumn("text", text).withColumn("n_chars", F.when(part, F.char_length(text).cast("long")).otherwise(F.col("n_chars")))
+def mixed_documents(docs: DataFrame, mix: DataFrame, seed: int = 7, in_order: bool = False) -> DataFrame:
+    """The documents of ``mix``, as often as it takes them, with all columns of ``docs``; texts taken in part are cut to the words taken.
+
+    Texts are shuffled once, to meet the narrow rows of the mix; ``in_order`` also sorts them by
+    virtual finish time. Rows that agree in id and text are interchangeable, so one stands for all.
+    """
+    keyed = docs.withColumns({"__id": F.col("doc_id").cast("long"), "__key": _key(seed)})
+    if not keyed.groupBy("__id", "__key").count().where("count > 1").isEmpty():  # ids and hashes only
+        keyed = keyed.dropDuplicates(["__id", "__key"])
+    rows = mix.select(F.col("doc_id").alias("__mix_id"), F.col("shuffle").alias("__mix_key"), F.col("taken").alias("__taken"), F.col("size").alias("__size"), F.col("virtual_finish").alias("__finish"))
+    found = rows.join(keyed, F.col("__id").eqNullSafe(F.col("__mix_id")) & (F.col("__key") == F.col("__mix_key")))
+    text = F.col("text").cast("string")
+    lead = F.when(text.rlike(r"^[\x20\x09-\x0D]"), 1).otherwise(0)
+    words = F.slice(F.split(text, r"[\x20\x09-\x0D]+"), 1, (F.col("__taken") + lead).cast("int"))
+    found = found.withColumn("text", F.when(F.col("__taken") < F.col("__size"), F.array_join(words, " ")).otherwise(text))
+    if in_order:
+        found = found.repartitionByRange("__finish", "__mix_id").sortWithinPartitions("__finish", "__mix_id")
+    return found.select(docs.columns)
 
 
 def words_taken(queued: DataFrame, mix: DataFrame) -> DataFrame:
