@@ -2,9 +2,7 @@
 
 The file is that of the ``tokenizers`` library. Its vocabulary's ids are its merge ranks, so
 ``tiktoken`` gives the same ids from it several times as fast (tests hold both against each
-other). Texts are cut at single spaces, where the pattern always cuts, and the ids of a piece are
-remembered. Texts with special tokens, and those where a space meets other white space, go whole
-through the respective library.
+other). Texts that hold a special token's string go through ``tokenizers`` itself.
 """
 
 from __future__ import annotations
@@ -18,23 +16,6 @@ from .tokens import byte_level_pieces
 
 #: The published split pattern of this family of vocabularies (fixed value).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Pieces that a worker remembers; it starts anew beyond.
-MEMO = 1 << 18
-UNSURE = re.compile(r" \s|\s ")
-
-
-class _Memo(dict):
-    def __init__(self, encode):
-        super().__init__()
-        self.encode = encode
-
-    def __missing__(self, piece: str) -> bytes:
-        ids = np.array(self.encode(piece), "<i4").tobytes()
-        if len(piece) < 64:
-            if len(self) >= MEMO:
-                self.clear()
-            self[piece] = ids
-        return ids
 
 
 class DocumentTokenizer:
@@ -48,7 +29,6 @@ class DocumentTokenizer:
         self.fast = tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.special = re.compile("|".join(map(re.escape, special)) or r"(?!)")
         self.json, self.whole = tokenizer_json, None
-        self.memo = _Memo(self.fast.encode_ordinary)
 
     def ids(self, text: str) -> np.ndarray:
         """Ids as int32, as ``encode(text, add_special_tokens=False)`` gives them."""
@@ -58,8 +38,4 @@ class DocumentTokenizer:
 
                 self.whole = Tokenizer.from_str(self.json)
             return np.array(self.whole.encode(text, add_special_tokens=False).ids, np.int32)
-        if UNSURE.search(text):
-            return np.array(self.fast.encode_ordinary(text), np.int32)
-        first, *rest = text.split(" ")
-        found = self.memo.__getitem__
-        return np.frombuffer(b"".join([found(first), *[found(" " + x) for x in rest]]), np.int32)
+        return np.array(self.fast.encode_ordinary(text), np.int32)
