@@ -235,6 +235,19 @@ def test_top_k_matches_brute_force(spark):
     assert not out  # the one query of another length has no partner
 
 
+def test_empty_tables_and_further_columns(spark):
+    none = spark.createDataFrame([], "vec_id long, embedding array<double>, vec string, dims string, group int, shard int")
+    assert topk.top_k(none).isEmpty()
+    some = spark.createDataFrame([(0, [1.0, 2.0], "a", "b", 1, 2), (7, [2.0, 1.0], None, None, None, None), (7, [2.0, 1.0], None, None, None, None)], none.schema)
+    assert [(r.query_id, r["rank"], r.vec_id) for r in topk.top_k(some).collect()] == [(0, 1, 7), (0, 2, 7)]
+    turns = spark.createDataFrame([(1, 0, "user", "x", 9, 9, 9, 9)], "conv_id long, turn long, role string, text string, pos long, block long, n long, one long")
+    assert chat.render_chat(turns).count() == 1
+    empty = odd_documents(spark).limit(0)
+    assert tokens.token_counts(empty, queries._vocabulary()).isEmpty()
+    assert pii.personal_data(empty).isEmpty() and pii.redact(empty).isEmpty()
+    assert langid.identify(empty, langid.learn(empty)).isEmpty()
+
+
 def test_language_held_out_accuracy(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     model = langid.learn(docs)
@@ -277,6 +290,9 @@ def test_mixing_meets_targets(spark, make):
     assert all(abs(taken[s] - want[s]) <= 1 for s in sizes)
     finish = [r.virtual_finish for r in mix.select("virtual_finish").collect()]
     assert finish == sorted(finish)
+    mixed = mixing.mixed_documents(docs, mix, in_order=True)
+    assert mixed.columns == docs.columns and mixed.count() == mix.count()
+    assert sum(len(WORD.findall(r.text)) for r in mixed.collect()) == sum(taken.values())
     key = lambda rows: sorted((str(r.doc_id), r.size, r.taken) for r in rows)
     again = mixing.queue(docs.repartition(3), blocks=16)
     assert key(mixing.words_taken(again, mixing.mix_sources(again, blocks=16)).collect()) == key(out)
