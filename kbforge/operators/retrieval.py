@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -52,21 +56,97 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when((F.size(a) != F.size(b)) | (norm == 0), 0.0).otherwise(dot(a, b) / norm)
 
 
-def small(rows: DataFrame, most: int) -> DataFrame:
-    """``rows`` to be broadcast, after a check that there are at most ``most``; more are refused, never cut."""
-    if rows.limit(most + 1).count() > most:
-        raise ValueError(f"more than {most} rows to broadcast: ask in parts")
-    return F.broadcast(rows)
+def blocked(rows: DataFrame, asked: DataFrame, on: Column, most: int, shard_rows: int = 16384) -> DataFrame:
+    """``rows`` joined with ``asked`` on any condition: broadcast up to ``most`` rows asked, by blocks of about ``most`` beyond.
+
+    Beyond, every (block of ``asked``, shard of ``rows``) pair is a unit of its own, so no number of
+    rows on either side is refused or makes a larger unit.
+    """
+    blocks = math.ceil(asked.count() / most)
+    if blocks <= 1:
+        return rows.join(F.broadcast(asked), on)
+    shards = max(1, math.ceil(rows.count() / shard_rows))
+    left = rows.withColumns({"__shard": _dealt(rows, shards), "__block": _every(blocks)})
+    right = asked.withColumns({"__block_of": _dealt(asked, blocks), "__shard_of": _every(shards)})
+    unit = (F.col("__shard") == F.col("__shard_of")) & (F.col("__block") == F.col("__block_of"))
+    return left.join(right, unit & on).drop("__shard", "__block", "__shard_of", "__block_of")
+
+
+def _dealt(rows: DataFrame, n: int) -> Column:
+    return F.pmod(F.xxhash64(*rows.columns), F.lit(n)).cast("int")
+
+
+def _every(n: int) -> Column:
+    return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
 
 
-def nearest(queries: DataFrame, vectors: DataFrame, k: int = 5, most_queries: int = 4096) -> DataFrame:
-    """(query_id, vec_id, similarity, rank): exact nearest by cosine for (query_id, vector), up to ``most_queries`` at once.
+def nearest(queries: DataFrame, vectors: DataFrame, k: int = 5, most_queries: int = 4096, shard_rows: int = 16384) -> DataFrame:
+    """(query_id, vec_id, similarity, rank): exact nearest by cosine for any number of (query_id, vector).
 
-    The queries are broadcast, so their number is checked first.
+    Every (block of about ``most_queries`` queries, shard of about ``shard_rows`` vectors) pair is a
+    unit of work, compared inside its task; the ``k`` best of each are merged.
     """
-    pairs = vectors.join(small(queries, most_queries), F.col("vec_id") != F.col("query_id"))
-    scored = pairs.select("query_id", "vec_id", F.round(cosine(F.col("vector"), F.col("embedding")), 6).alias("similarity"))
-    return top(scored, k, ["query_id"], [F.col("similarity").desc(), F.col("vec_id")])
+    asked = queries.select("query_id", F.col("vector").cast("array<double>").alias("v")).where("query_id is not null")
+    rows = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("v")).where("vec_id is not null")
+    n, cores = rows.count(), rows.sparkSession.sparkContext.defaultParallelism
+    shards = max(1, math.ceil(n / shard_rows), min(cores, n // 1024))
+    blocks = max(1, math.ceil(asked.count() / most_queries))
+    left = asked.withColumns({"block": _dealt(asked, blocks), "shard": _every(shards)})
+    right = rows.withColumns({"shard": _dealt(rows, shards), "block": _every(blocks)})
+    kinds = [x.schema[c].dataType.simpleString() for x, c in ((asked, "query_id"), (rows, "vec_id"))]
+    found = left.groupBy("block", "shard").cogroup(right.groupBy("block", "shard")).applyInArrow(lambda q, v: _unit_nearest(q, v, k), f"query_id {kinds[0]}, vec_id {kinds[1]}, similarity double")
+    return top(found, k, ["query_id"], [F.col("similarity").desc(), F.col("vec_id")])
+
+
+def _unit_nearest(queries: pa.Table, rows: pa.Table, k: int, at_once: int = 256) -> pa.Table:
+    """The ``k`` best rows of each query, as ``cosine`` rounded to six places has it; null similarities last, NaN first."""
+    rows = rows.take(pc.sort_indices(rows["vec_id"]))  # ties go to the smaller id
+    ids, asked = rows["vec_id"].to_numpy(), queries["query_id"].to_numpy()
+    (lq, mq), (lv, mv) = _matrices(queries["v"]), _matrices(rows["v"])
+    out_q, out_v, out_s = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0)]
+    for begin in range(0, len(asked), at_once) if len(ids) else ():
+        part = slice(begin, begin + at_once)
+        scores = np.zeros((len(lq[part]), len(ids)))  # -inf stands for null
+        scores[lq[part] == -1], scores[:, lv == -1] = -np.inf, -np.inf
+        for size, (at, m, gap, norm) in mv.items():
+            if size in mq:
+                qat, qm, qgap, qnorm = mq[size]
+                mine = (qat >= begin) & (qat < begin + at_once)
+                with np.errstate(all="ignore"):
+                    over = qnorm[mine][:, None] * norm[None, :]
+                    dot = (qm[mine] @ m.T) / over
+                    dot = np.copysign(np.floor(np.abs(dot) * 1e6 + 0.5) / 1e6, dot)
+                dot[over == 0] = 0.0
+                dot[qgap[mine][:, None] | gap[None, :]] = -np.inf
+                scores[np.ix_(qat[mine] - begin, at)] = dot
+        keys = np.where(np.isnan(scores), np.inf, scores)
+        for i in range(len(scores)):
+            others = np.flatnonzero(ids != asked[begin + i])
+            key = keys[i, others]
+            if len(others) > k:
+                fit = np.flatnonzero(key >= np.partition(key, len(key) - k)[len(key) - k])
+                others, key = others[fit], key[fit]
+            best = others[np.argsort(-key, kind="stable")[:k]]
+            out_q.append(np.full(len(best), begin + i))
+            out_v.append(best)
+            out_s.append(scores[i, best])
+    similarity = np.concatenate(out_s)
+    taken = [queries["query_id"].take(pa.array(np.concatenate(out_q))), rows["vec_id"].take(pa.array(np.concatenate(out_v)))]
+    return pa.table([*taken, pa.array(similarity, mask=np.isneginf(similarity))], names=["query_id", "vec_id", "similarity"])
+
+
+def _matrices(column: pa.ChunkedArray) -> tuple[np.ndarray, dict]:
+    """The lengths of the vectors (-1 for null), and by length: their places, matrix, whether a component is null, norms."""
+    lengths = pc.fill_null(pc.list_value_length(column), -1).to_numpy().astype(np.int64)
+    flat = pc.list_flatten(column).combine_chunks()
+    values, gaps = pc.fill_null(flat, 0.0).to_numpy(zero_copy_only=False), pc.is_null(flat).to_numpy(zero_copy_only=False)
+    ends, found = np.cumsum(np.maximum(lengths, 0)), {}
+    for size in np.unique(lengths[lengths >= 0]).tolist():
+        at = np.flatnonzero(lengths == size)
+        cells = ends[at][:, None] - size + np.arange(size)[None, :]
+        m = values[cells]
+        found[size] = at, m, gaps[cells].any(axis=1), np.sqrt((m * m).sum(axis=1))
+    return lengths, found
 
 
 def fuse(ranked: dict[str, tuple[DataFrame, float]], k: int = CANDIDATES, constant: int = FUSION_K, key: str = "chunk_id") -> DataFrame:
@@ -91,10 +171,10 @@ def diversify(hits: DataFrame, k: int, title: str = "title", key: str = "chunk_i
     return top(rows, k, ["query_id"], [F.col("round"), *by, F.col("score").desc(), F.col(key)])
 
 
-def shortcut(queries: DataFrame, pages: DataFrame, gate: float = 0.5) -> DataFrame:
+def shortcut(queries: DataFrame, pages: DataFrame, gate: float = 0.5, most_queries: int = 4096) -> DataFrame:
     """Curated pages for (query_id, query): 0.7 where the title holds the query, 0.4 where only the content does; only queries whose best passes ``gate``."""
     low = lambda c: F.lower(F.col(c))
-    pairs = pages.join(small(queries, 4096), F.contains(low("title"), low("query")) | F.contains(low("content"), low("query")))
+    pairs = blocked(pages, queries, F.contains(low("title"), low("query")) | F.contains(low("content"), low("query")), most_queries)
     scored = pairs.select("query_id", "slug", F.when(F.contains(low("title"), low("query")), 0.7).otherwise(0.4).alias("score"))
     best = scored.groupBy("query_id").agg(F.max("score").alias("best")).where(F.col("best") > gate).select("query_id")
     return scored.join(best, "query_id", "left_semi")

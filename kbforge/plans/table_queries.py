@@ -8,7 +8,7 @@ from ..functions import text as t
 from ..operators import logs, verification as v
 from ..operators import maintenance as m
 from ..operators.analytics import latest
-from ..operators.retrieval import small
+from ..operators.retrieval import blocked
 from .fixtures import CALLS, CHUNKS, calls, chunks, table
 
 _DATE = "2024-01-31"
@@ -50,7 +50,7 @@ def _parents(spark, d):
 def _suggest(spark, d):
     parts = table(spark, d, "part").select(F.concat(F.lit("part-"), "p_partkey").alias("slug"), F.col("p_name").alias("title"))
     words = parts.select(F.substring_index("title", " ", -1).alias("query")).distinct()
-    hits = parts.join(small(words, 1000), F.contains("title", F.col("query")))
+    hits = blocked(parts, words, F.contains("title", F.col("query")), 1000)
     return latest(hits, ["query"], [F.col("title"), F.col("slug")], 5).select("query", "slug")
 
 

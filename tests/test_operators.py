@@ -92,6 +92,26 @@ def test_vectors_find_themselves_and_zero_norm(spark):
     assert out[0] == (1, 1.0) and out[1][0] == 2 and out[2:] == [(3, 0.0), (4, 0.0)]
 
 
+def test_any_number_of_queries_is_answered(spark):
+    ids = spark.range(60)
+    v = ids.select(F.col("id").alias("vec_id"), F.array(F.cos("id"), F.sin("id"), (F.col("id") % 3).cast("double")).alias("embedding"))
+    q = v.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    odd = spark.createDataFrame([(60, None), (61, [1.0]), (62, [0.0, 0.0, 0.0]), (63, [1.0, None, 0.0]), (64, [])], "vec_id long, embedding array<double>")
+    v = v.unionByName(odd)
+    pairs = v.join(q, F.col("vec_id") != F.col("query_id")).select("query_id", "vec_id", F.round(retrieval.cosine(F.col("vector"), F.col("embedding")), 6).alias("similarity"))
+    for k in (4, 63):
+        want = retrieval.top(pairs, k, ["query_id"], [F.col("similarity").desc(), F.col("vec_id")])
+        for got in (retrieval.nearest(q, v, k, 7, 10), retrieval.nearest(q, v, k)):
+            assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    many = spark.range(5000).select(F.col("id").alias("query_id"), F.array(F.cos("id"), F.sin("id"), F.lit(0.0)).alias("vector"))
+    assert retrieval.nearest(many, v, 2).count() == 10000
+    pages = ids.select(F.concat(F.lit("p"), "id").alias("slug"), F.col("id").cast("string").alias("title"), F.lit("7 x").alias("content"))
+    asked = ids.select(F.col("id").alias("query_id"), F.col("id").cast("string").alias("query"))
+    want = sorted(map(tuple, retrieval.shortcut(asked, pages).collect()))
+    assert want and sorted(map(tuple, retrieval.shortcut(asked, pages, most_queries=7).collect())) == want
+    assert sorted(map(tuple, retrieval.blocked(pages, asked, F.contains("title", F.col("query")), 7, 10).collect())) == sorted(map(tuple, pages.join(asked, F.contains("title", F.col("query"))).collect()))
+
+
 def test_weighted_health_golden(spark):
     now = datetime.datetime(2024, 1, 1)
     rows = spark.createDataFrame([(1, 1, "attendance", 80.0, now), (1, 2, "data_delay", 60.0, now), (1, 0, "attendance", 1.0, now)], "project_id long, metric_id long, indicator_type string, value double, recorded_at timestamp")
