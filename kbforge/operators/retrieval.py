@@ -80,8 +80,8 @@ def _every(n: int) -> Column:
     return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
 
 
-def nearest(queries: DataFrame, vectors: DataFrame, k: int = 5, most_queries: int = 4096, shard_rows: int = 16384) -> DataFrame:
-    """(query_id, vec_id, similarity, rank): exact nearest by cosine for any number of (query_id, vector).
+def nearest(queries: DataFrame, vectors: DataFrame, k: int = 5, most_queries: int = 4096, shard_rows: int = 16384, itself: bool = False) -> DataFrame:
+    """(query_id, vec_id, similarity, rank): exact nearest by cosine for any number of (query_id, vector), without a row of the query's own id unless ``itself``.
 
     Every (block of about ``most_queries`` queries, shard of about ``shard_rows`` vectors) pair is a
     unit of work, compared inside its task; the ``k`` best of each are merged.
@@ -94,11 +94,11 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int = 5, most_queries: in
     left = asked.withColumns({"block": _dealt(asked, blocks), "shard": _every(shards)})
     right = rows.withColumns({"shard": _dealt(rows, shards), "block": _every(blocks)})
     kinds = [x.schema[c].dataType.simpleString() for x, c in ((asked, "query_id"), (rows, "vec_id"))]
-    found = left.groupBy("block", "shard").cogroup(right.groupBy("block", "shard")).applyInArrow(lambda q, v: _unit_nearest(q, v, k), f"query_id {kinds[0]}, vec_id {kinds[1]}, similarity double")
+    found = left.groupBy("block", "shard").cogroup(right.groupBy("block", "shard")).applyInArrow(lambda q, v: _unit_nearest(q, v, k, itself), f"query_id {kinds[0]}, vec_id {kinds[1]}, similarity double")
     return top(found, k, ["query_id"], [F.col("similarity").desc(), F.col("vec_id")])
 
 
-def _unit_nearest(queries: pa.Table, rows: pa.Table, k: int, at_once: int = 256) -> pa.Table:
+def _unit_nearest(queries: pa.Table, rows: pa.Table, k: int, itself: bool = False, at_once: int = 256) -> pa.Table:
     """The ``k`` best rows of each query, as ``cosine`` rounded to six places has it; null similarities last, NaN first."""
     rows = rows.take(pc.sort_indices(rows["vec_id"]))  # ties go to the smaller id
     ids, asked = rows["vec_id"].to_numpy(), queries["query_id"].to_numpy()
@@ -121,7 +121,7 @@ def _unit_nearest(queries: pa.Table, rows: pa.Table, k: int, at_once: int = 256)
                 scores[np.ix_(qat[mine] - begin, at)] = dot
         keys = np.where(np.isnan(scores), np.inf, scores)
         for i in range(len(scores)):
-            others = np.flatnonzero(ids != asked[begin + i])
+            others = np.arange(len(ids)) if itself else np.flatnonzero(ids != asked[begin + i])
             key = keys[i, others]
             if len(others) > k:
                 fit = np.flatnonzero(key >= np.partition(key, len(key) - k)[len(key) - k])
@@ -217,3 +217,26 @@ def rerank(hits: DataFrame, scorer: Callable[[Column, Column], Column], query: s
     """The hits of each query sorted anew by ``scorer`` over the query's and the hit's text."""
     scored = hits.drop("rank").withColumn("score", F.round(scorer(F.col(query), F.col(content)), 6))
     return top(scored, k, ["query_id"], [F.col("score").desc(), F.col(key)])
+
+
+def hybrid(
+    queries: DataFrame, terms: DataFrame, asked: DataFrame, pages: DataFrame, excluded: DataFrame, posted: DataFrame, vectors: DataFrame, chunks: DataFrame, scorer: Callable[[Column, Column], Column], k: int = 5
+) -> DataFrame:
+    """(query_id, chunk_id, slug, title, source, score, rank): search end to end for (query_id, query) with their ``terms`` (query_id, term) and vectors ``asked`` (query_id, vector).
+
+    Queries that curated ``pages`` answer get these only. For the others, chunks less ``excluded``
+    (chunk_id) are ranked by ``vectors`` (chunk_id, embedding) and by BM25 over ``posted``, fused,
+    cut to 2k, diversified by title to k, and sorted anew by ``scorer``. Queries without vector
+    are ranked by BM25 alone.
+    """
+    curated = top(shortcut(queries, pages), k, ["query_id"], [F.col("score").desc(), F.col("slug")]).join(pages.select("slug", "title"), "slug")
+    curated = curated.select("query_id", F.lit(None).cast(chunks.schema["chunk_id"].dataType).alias("chunk_id"), "slug", "title", F.lit("page").alias("source"), "score", "rank")
+    answered = curated.select("query_id").distinct()
+    rest, allowed = queries.join(answered, "query_id", "left_anti"), lambda rows: rows.join(excluded, "chunk_id", "left_anti")
+    ours = lambda rows: rows.join(rest.select("query_id"), "query_id", "left_semi")
+    near = nearest(ours(asked), allowed(vectors).withColumnRenamed("chunk_id", "vec_id"), CANDIDATES, itself=True).withColumnRenamed("vec_id", "chunk_id")
+    found = fuse({"vector": (near, VECTOR_WEIGHT), "bm25": (bm25(ours(terms), allowed(posted), CANDIDATES), TEXT_WEIGHT)})
+    cut = top(found, 2 * k, ["query_id"], [F.col("score").desc(), F.col("chunk_id")]).drop("rank")
+    diverse = diversify(cut.join(chunks.select("chunk_id", "title", "content"), "chunk_id"), k)
+    ranked = rerank(diverse.join(rest, "query_id"), scorer, "query", "content", k)
+    return ranked.select("query_id", "chunk_id", F.lit(None).cast("string").alias("slug"), "title", "source", "score", "rank").unionByName(curated)

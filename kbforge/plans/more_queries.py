@@ -10,7 +10,7 @@ from ..operators import graph as g
 from ..operators import maintenance as m
 from ..operators import retrieval as r
 from ..streaming import streams as st
-from .fixtures import table
+from .fixtures import chunks, table
 from .search_queries import _BM25, _asked, _posted, _titled, _tokens
 from .stream_queries import _stream
 
@@ -107,6 +107,22 @@ def _hybrid(spark, d):
     return r.diversify(_titled(spark, d, cut), 5).select("query_id", "chunk_id", "title", "source", F.col("rank").cast("long").alias("rank"))
 
 
+def _end_to_end(spark, d):
+    """Passages, every eighth a word that pages answer, against chunks; a document's vector stands for its first chunk, every 25th document is an attachment."""
+    text = F.when(F.col("item_id") % 8 == 0, "widget").otherwise(F.col("text"))
+    queries = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), text.alias("query"))
+    terms = queries.select("query_id", F.explode(F.array_distinct(_tokens("query"))).alias("term"))
+    pages = table(spark, d, "part").select(F.concat(F.lit("part-"), "p_partkey").alias("slug"), F.col("p_name").alias("title"), F.concat_ws(" ", "p_type", "p_brand").alias("content"))
+    lines = chunks(spark, d).withColumnRenamed("project_id", "title")
+    first = lines.groupBy(F.col("document_id").alias("vec_id")).agg(F.min("chunk_id").alias("chunk_id"))
+    e = table(spark, d, "embeddings")
+    asked = e.join(queries.select("query_id"), F.expr("vec_id = query_id * 3")).select("query_id", F.col("embedding").alias("vector"))
+    excluded = lines.where("document_id % 25 = 0").select("chunk_id")
+    words = lambda c: F.array_distinct(_tokens(c))
+    found = r.hybrid(queries, terms, asked, pages, excluded, _posted(spark, d), first.join(e, "vec_id").select("chunk_id", "embedding"), lines, lambda q, c: r.jaccard(words(q), words(c)))
+    return found.withColumn("rank", F.col("rank").cast("long"))
+
+
 def _snapshots(spark, d):
     """Daily peak values by user group from the stream; the last batch wins."""
     daily = _stream(spark, d).groupBy(F.window("at", "1 day"), (F.col("user_id") % 20).alias("project_id")).agg(F.max("value").alias("score"))
@@ -127,6 +143,7 @@ QUERIES = {
     "a22_deliverables": _deliverables,
     "r7_vector_table": _vector_table,
     "r22_hybrid": _hybrid,
+    "r22_end_to_end": _end_to_end,
     "st6_snapshots": _snapshots,
 }
 
@@ -153,5 +170,21 @@ ORACLES = {
         cut as (select * from (select *, row_number() over (partition by query_id order by score desc, chunk_id) as r from fused) where r <= 10),
         nth as (select query_id, chunk_id, project_id as title, source, score, row_number() over (partition by query_id, project_id order by score desc, chunk_id) as nth from cut join chunks using (chunk_id))
         select query_id, chunk_id, title, source, rank from (select *, row_number() over (partition by query_id order by least(nth, 3), case when nth < 3 then title end nulls last, score desc, chunk_id) as rank from nth) where rank <= 5""",
+    "r22_end_to_end": "with q as (select item_id as query_id, case when item_id % 8 = 0 then 'widget' else text end as query from benchmark), "
+    + _BM25.replace("from chunks)", "from chunks where document_id % 25 <> 0)").replace("distinct item_id as query_id, unnest(regexp_extract_all(lower(text)", "distinct query_id, unnest(regexp_extract_all(lower(query)").replace("from benchmark)", "from q)")
+    + """, m as (select query_id, 'part-' || p_partkey as slug, p_name as title, case when contains(lower(p_name), lower(query)) then 0.7::double else 0.4::double end as score from part join q on contains(lower(p_name), lower(query)) or contains(lower(p_type || ' ' || p_brand), lower(query))),
+        pg as (select *, row_number() over (partition by query_id order by score desc, slug) as rank from m where query_id in (select query_id from m group by 1 having max(score) > 0.5)),
+        vc as (select min(chunk_id) as chunk_id, any_value(embedding) as embedding from chunks join embeddings on vec_id = document_id where document_id % 25 <> 0 group by document_id),
+        vs as (select query_id, chunk_id, round(list_cosine_similarity(cast(e.embedding as double[]), cast(vc.embedding as double[])), 6) as s from q join embeddings e on e.vec_id = query_id * 3, vc),
+        nr as (select *, row_number() over (partition by query_id order by s desc, chunk_id) as rank from vs),
+        fused as (select query_id, chunk_id, round(sum(part), 9) as score, case when count(distinct source) > 1 then 'both' else min(source) end as source from
+            (select query_id, chunk_id, 2.0::double / (60 + rank) as part, 'vector' as source from nr where rank <= 200 union all select query_id, chunk_id, 1.0::double / (60 + rank), 'bm25' from bm where rank <= 200) where query_id not in (select query_id from pg) group by 1, 2),
+        cut as (select * from (select *, row_number() over (partition by query_id order by score desc, chunk_id) as r from fused) where r <= 10),
+        nth as (select query_id, chunk_id, project_id as title, content, source, score, row_number() over (partition by query_id, project_id order by score desc, chunk_id) as nth from cut join chunks using (chunk_id)),
+        dv as (select * from (select *, row_number() over (partition by query_id order by least(nth, 3), case when nth < 3 then title end nulls last, score desc, chunk_id) as r from nth) where r <= 5),
+        w as (select dv.*, list_distinct(regexp_extract_all(lower(query), '[a-z0-9]+')) as a, list_distinct(regexp_extract_all(lower(content), '[a-z0-9]+')) as b from dv join q using (query_id)),
+        rr as (select query_id, chunk_id, title, source, round(len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))), 6) as score from w)
+        select query_id, chunk_id, cast(null as varchar) as slug, title, source, score, row_number() over (partition by query_id order by score desc, chunk_id) as rank from rr
+        union all select query_id, null, slug, title, 'page', score, rank from pg where rank <= 5""",
     "st6_snapshots": "select cast(ts as date) as day, user_id % 20 as project_id, max(value) as score from events group by 1, 2",
 }

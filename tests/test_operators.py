@@ -112,6 +112,20 @@ def test_any_number_of_queries_is_answered(spark):
     assert sorted(map(tuple, retrieval.blocked(pages, asked, F.contains("title", F.col("query")), 7, 10).collect())) == sorted(map(tuple, pages.join(asked, F.contains("title", F.col("query"))).collect()))
 
 
+def test_hybrid_takes_every_step(spark):
+    lines = spark.createDataFrame([(1, "a", "alpha beta"), (2, "a", "alpha"), (3, "b", "gamma"), (4, "b", "alpha beta")], "chunk_id long, title string, content string")
+    queries = spark.createDataFrame([(1, "alpha beta"), (2, "manual")], "query_id long, query string")
+    words = lambda c: F.split(c, " ")
+    terms = queries.select("query_id", F.explode(words("query")).alias("term"))
+    asked = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0, 0.0])], "query_id long, vector array<double>")
+    vectors = spark.createDataFrame([(1, [0.0, 1.0]), (3, [1.0, 0.0]), (4, [1.0, 0.0])], "chunk_id long, embedding array<double>")
+    pages = spark.createDataFrame([("m", "The Manual", "x"), ("n", "y", "a manual")], "slug string, title string, content string")
+    posted = retrieval.postings(lines, words("content"), scope="title")
+    out = retrieval.hybrid(queries, terms, asked, pages, spark.createDataFrame([(4,)], "chunk_id long"), posted, vectors, lines, lambda q, c: retrieval.jaccard(words(q), words(c)))
+    found = [(r.query_id, r.chunk_id, r.slug, r.source, r.score) for r in out.orderBy("query_id", "rank").collect()]
+    assert found == [(1, 1, None, "both", 1.0), (1, 2, None, "bm25", 0.5), (1, 3, None, "vector", 0.0), (2, None, "m", "page", 0.7), (2, None, "n", "page", 0.4)]
+
+
 def test_weighted_health_golden(spark):
     now = datetime.datetime(2024, 1, 1)
     rows = spark.createDataFrame([(1, 1, "attendance", 80.0, now), (1, 2, "data_delay", 60.0, now), (1, 0, "attendance", 1.0, now)], "project_id long, metric_id long, indicator_type string, value double, recorded_at timestamp")
