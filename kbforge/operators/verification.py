@@ -12,7 +12,9 @@ from .retrieval import cosine
 
 #: Hedging words and words that state a product fact.
 HEDGES = ["可能", "应该", "一般来说", "通常", "据说", "maybe", "probably", "usually", "generally"]
-NEGATIONS = ["不", "没有", "无法", "不支持", "不能"]
+NEGATIONS = ["不支持", "无法", "不能", "不可", "没有"]
+AFFIRMATIONS = ["支持", "可以", "能", "可", "有"]
+PLEASANTRIES = ["你好", "请问", "抱歉", "谢谢", "可以", "请", "您好", "总结", "根据", "综上所述"]
 
 
 def citation_check(answers: DataFrame) -> DataFrame:
@@ -22,16 +24,33 @@ def citation_check(answers: DataFrame) -> DataFrame:
     return answers.select("answer_id", ((n == 0) | (found == n)).alias("passed"), F.when(n == 0, 0.7).otherwise(F.round(found / n, 6)).alias("confidence"))
 
 
-def grounding(sentences: DataFrame, grams: Column, context: str = "context", share: float = 0.6) -> DataFrame:
-    """``sentences`` with ``supported``: at most ``share`` of their n-grams are missing from the context."""
-    missing = F.size(F.filter(F.col("__g"), lambda g: ~F.contains(F.col(context), g)))
+def grounding(sentences: DataFrame, grams: Column, context: str = "context", share: float = 0.6, negations: Sequence[str] = NEGATIONS, affirmations: Sequence[str] = AFFIRMATIONS, pleasantries: Sequence[str] = PLEASANTRIES) -> DataFrame:
+    """``sentences`` with ``supported``: null for sentences that claim nothing (they begin with one of ``pleasantries``).
+
+    Of the others, at most ``share`` of the n-grams may be missing from the context, where each of
+    ``negations`` in the sentence counts as missing if the context holds one of ``affirmations`` and
+    not that negation. Without n-grams no such mismatch may occur.
+    """
+    words = lambda w: t.literals(list(w)) if w else F.array().cast("array<string>")
+    sentence, known = F.col("sentence"), F.coalesce(F.col(context), F.lit(""))
+    affirmed = F.exists(words(affirmations), lambda w: F.contains(known, w))
+    mismatches = F.when(affirmed, F.size(F.filter(words(negations), lambda w: F.contains(sentence, w) & ~F.contains(known, w)))).otherwise(0)
+    missing = F.size(F.filter(F.col("__g"), lambda g: ~F.contains(known, g))) + mismatches
     n = F.size("__g")
-    return sentences.withColumn("__g", grams).withColumn("supported", (n == 0) | (missing <= F.floor(n * share))).drop("__g")
+    claim = ~F.exists(words(pleasantries), lambda w: F.startswith(sentence, w))
+    return sentences.withColumn("__g", grams).withColumn("supported", F.when(claim, F.when(n == 0, mismatches == 0).otherwise(missing <= F.floor(n * share)))).drop("__g")
 
 
-def grounding_verdict(sentences: DataFrame, least: float = 0.8) -> DataFrame:
-    """(answer_id, ratio, passed) from (answer_id, supported)."""
-    return sentences.groupBy("answer_id").agg(F.round(F.avg(F.col("supported").cast("int")), 6).alias("ratio")).withColumn("passed", F.col("ratio") >= least)
+def grounding_verdict(sentences: DataFrame, least: float = 0.8, context: str | None = None) -> DataFrame:
+    """(answer_id, ratio, passed) from (answer_id, supported), null where nothing is claimed.
+
+    Answers without claims pass at 1.0. If ``context`` names a column, answers whose context is null
+    or empty everywhere pass at 0.5.
+    """
+    ratio = F.coalesce(F.round(F.avg(F.col("supported").cast("int")), 6), F.lit(1.0))
+    blank = F.max(F.coalesce(F.col(context), F.lit("")) != "") == F.lit(False) if context else F.lit(False)
+    found = sentences.groupBy("answer_id").agg(ratio.alias("ratio"), blank.alias("blank"))
+    return found.select("answer_id", F.when(F.col("blank"), 0.5).otherwise(F.col("ratio")).alias("ratio"), (F.col("blank") | (F.col("ratio") >= least)).alias("passed"))
 
 
 def vector_grounding(pairs: DataFrame, ok: float = 0.7, weak: float = 0.4) -> DataFrame:

@@ -209,10 +209,16 @@ def _bigrams(column):
     return F.when(F.size(w) >= 2, F.transform(F.sequence(F.lit(0), F.greatest(F.size(w) - 2, F.lit(0))), lambda i: F.concat(F.get(w, i), F.lit(" "), F.get(w, i + 1)))).otherwise(F.array().cast("array<string>"))
 
 
+def _claims(spark, d):
+    """Every third answer without context; the tables' invented words stand for negations, affirmations and pleasantries."""
+    rows = _answers(spark, d).withColumn("context", F.when(F.col("answer_id") % 3 > 0, F.col("context")).otherwise(""))
+    return v.grounding(rows, _bigrams("sentence"), share=0.95, negations=["with", "are"], affirmations=["and", "the"], pleasantries=["Th", "A", "In", "On"])
+
+
 def _checks(spark, d):
     """Three checks of each answer in long form."""
     s = _answers(spark, d)
-    g = v.grounding_verdict(v.grounding(s, _bigrams("sentence"))).select("answer_id", F.lit("grounding").alias("check_name"), "passed", F.col("ratio").alias("confidence"))
+    g = v.grounding_verdict(v.grounding(s, _bigrams("sentence")), context="context").select("answer_id", F.lit("grounding").alias("check_name"), "passed", F.col("ratio").alias("confidence"))
     h = v.hedging(s, ["the th", "of on"], ["with"]).select("answer_id", F.lit("hedging").alias("check_name"), (F.col("issues") == 0).alias("passed"), "confidence")
     c = v.contradictions(s, _bigrams("sentence"), ["by"]).select("answer_id").distinct().withColumn("bad", F.lit(True))
     k = s.select("answer_id").distinct().join(c, "answer_id", "left").select("answer_id", F.lit("contradiction").alias("check_name"), F.col("bad").isNull().alias("passed"), F.when(F.col("bad"), 0.4).otherwise(1.0).alias("confidence"))
@@ -321,7 +327,8 @@ QUERIES = {
     "v1_citations": _cited,
     "v2_grounding": lambda spark, d: v.grounding(_answers(spark, d), _bigrams("sentence")).select("answer_id", F.col("n").cast("long").alias("n"), "supported"),
     "v3_vector_grounding": _vector_grounding,
-    "v4_verdict": lambda spark, d: v.grounding_verdict(v.grounding(_answers(spark, d), _bigrams("sentence"))),
+    "v4_verdict": lambda spark, d: v.grounding_verdict(v.grounding(_answers(spark, d), _bigrams("sentence")), context="context"),
+    "v4_claims": lambda spark, d: v.grounding_verdict(_claims(spark, d), context="context"),
     "v5_contradictions": lambda spark, d: v.contradictions(_answers(spark, d), _bigrams("sentence"), ["by"]).select("answer_id", F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j")),
     "v6_hedging": lambda spark, d: v.hedging(_answers(spark, d), ["the th", "of on"], ["with"]),
     "v7_report": lambda spark, d: v.report(_checks(spark, d)),
@@ -402,6 +409,11 @@ ORACLES = {
     "v3_vector_grounding": """with p as (select s.vec_id as sentence_id, c.vec_id as chunk_id, round(list_cosine_similarity(cast(s.embedding as double[]), cast(c.embedding as double[])), 6) as similarity from embeddings s join embeddings c on s.label = c.label and s.vec_id <> c.vec_id where s.vec_id % 50 = 0)
         select sentence_id, chunk_id, similarity, case when similarity >= 0.7 then 'supported' when similarity >= 0.4 then 'weak' else 'unsupported' end as verdict from (select *, row_number() over (partition by sentence_id order by similarity desc, chunk_id) as r from p) where r = 1""",
     "v4_verdict": f"with {_ANS} select * from gv",
+    "v4_claims": f"""with {_ANS}, cl as (select *, case when answer_id % 3 > 0 then context else '' end as c from bi),
+        mm as (select *, case when contains(c, 'and') or contains(c, 'the') then cast(contains(sentence, 'with') and not contains(c, 'with') as int) + cast(contains(sentence, 'are') and not contains(c, 'are') as int) else 0 end as bad from cl),
+        ok as (select answer_id, c, case when not regexp_matches(sentence, '^(Th|A|In|On)') then case when len(g) = 0 then bad = 0 else len([x for x in g if not contains(c, x)]) + bad <= floor(len(g) * 0.95::double) end end as supported from mm),
+        v as (select answer_id, max(c) = '' as blank, coalesce(round(avg(supported::int), 6), 1.0) as ratio from ok group by 1)
+        select answer_id, case when blank then 0.5 else ratio end as ratio, blank or ratio >= 0.8 as passed from v""",
     "v5_contradictions": f"with {_ANS} select * from con",
     "v6_hedging": f"with {_ANS} select answer_id, issues, round(1 - issues / total, 6) as confidence from hg",
     "v7_report": f"""with {_ANS}, ck as (select answer_id, 'grounding' as c, passed, ratio as conf from gv union all select answer_id, 'hedging', issues = 0, round(1 - issues / total, 6) from hg

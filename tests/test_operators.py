@@ -158,6 +158,18 @@ def test_rate_limit_counts_accepted_only(spark):
     assert [r.accepted for r in logs.rate_limit(calls, 2).orderBy("call_id").collect()] == [True, True, False, True, False, True]
 
 
+def test_grounding_of_claims(spark):
+    known = "金蝶云星空支持多组织架构"
+    rows = [(1, "你好，世界和平。", known), (1, "金蝶云星空支持多组织架构。", known), (2, "谢谢你的问题。", known), (3, "没有上下文。", ""), (4, "金蝶不支持云星", known), (5, "abc 无法 x", known), (6, "金蝶不支持云星", known + "，不支持云")]
+    s = spark.createDataFrame(rows, "answer_id long, sentence string, context string")
+    x = F.col("sentence")
+    bigrams = F.filter(F.transform(F.sequence(F.lit(1), F.length(x) - 1), lambda i: F.substring(x, i, F.lit(2))), lambda g: g.rlike("^[一-龥]{2}$"))
+    checked = verification.grounding(s, bigrams, share=0.4)
+    assert [r.supported for r in checked.orderBy("answer_id", "sentence").collect()] == [None, True, None, False, False, False, True]
+    out = {r.answer_id: (r.ratio, r.passed) for r in verification.grounding_verdict(checked, context="context").collect()}
+    assert out == {1: (1.0, True), 2: (1.0, True), 3: (0.5, True), 4: (0.0, False), 5: (0.0, False), 6: (1.0, True)}
+
+
 def test_verification_report(spark):
     rows = [(1, "citation", True, 1.0), (1, "grounding", True, 0.9), (2, "citation", False, 0.2), (2, "grounding", False, 0.1), (3, "citation", True, 1.0), (3, "grounding", False, 0.6)]
     out = {r.answer_id: (r.level, r.labels) for r in verification.report(spark.createDataFrame(rows, "answer_id long, check_name string, passed boolean, confidence double")).collect()}
