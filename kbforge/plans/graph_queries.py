@@ -50,6 +50,7 @@ QUERIES = {
     "g8_neighbours": lambda spark, d: g.neighbours(g.wikilink_edges(wiki_pages(spark, d)), wiki_pages(spark, d)).select("project_id", "source_slug", "target_slug", "title"),
     "g9_statistics": lambda spark, d: g.statistics(_graph(spark, d)),
     "g10_display": lambda spark, d: g.display_graph(_graph(spark, d), wiki_pages(spark, d), 500),
+    "g10_display_whole": lambda spark, d: g.display_graph(_graph(spark, d), wiki_pages(spark, d)),
     "g11_recommend": lambda spark, d: g.recommend(_walk(spark, d), 5).select("project_id", "seed", "target", "score", "depth", "rank"),
     "g12_diagnose": lambda spark, d: g.diagnose(_with_text(spark, d), F.contains("content", F.lit("[["))).withColumn("samples", F.array_join("samples", ",")),
     "j5_backlinks": lambda spark, d: wiki_pages(spark, d).select(F.explode("wikilinks").alias("target"), "slug").groupBy("target").agg(F.count("*").alias("backlinks"), F.min("slug").alias("first")),
@@ -95,3 +96,4 @@ ORACLES = {
     "j5_backlinks": f"with {_BASE} select target_slug as target, count(*) as backlinks, min(source_slug) as first from wl group by 1",
     "j6_broken_links": f"with {_BASE} select source_slug as slug, target_slug as target from wl where target_slug not in (select slug from pages0 where page_type <> 'LARGE')",
 }
+ORACLES["g10_display_whole"] = ORACLES["g10_display"].replace("r <= 500)", "r <= 5000)")

@@ -78,7 +78,7 @@ def _session_snapshot(spark, d):
 
 
 def _coverage(spark, d):
-    """Required words of each brand's parts, matched in part names either way; the first match by key, missing else."""
+    """Required words of each brand's parts, that part names hold; the first match by key, missing else."""
     parts = table(spark, d, "part")
     required = parts.select("p_brand").distinct().withColumn("word", F.explode(t.literals(["af", "am", "as", "eu", "mi"])))
     hit = required.join(parts, "p_brand").where(F.contains("p_name", F.col("word"))).groupBy("p_brand", "word").agg(F.min("p_partkey").alias("first_part"))
