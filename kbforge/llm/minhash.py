@@ -32,6 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .running import blocked_running_sum
 from .shingles import mix, shingle_sets
 from .workspace import written
 
@@ -299,12 +300,28 @@ def keep_one(docs: DataFrame, width: int = 5, percent: int = 80, bands: int = 32
 
     With 32 bands of 4 values a pair at 0.8 is missed with a probability of 5e-8. The texts are
     read again and joined with the ids to drop only, which are few next to those that stay. Of
-    rows that repeat an id and a text one stays.
+    rows that repeat an id and a text one stays. Where ids repeat, each (id, text) is a document of
+    its own: they are numbered in the order of ids, and what to drop is found by id and digest.
     """
-    found = near_duplicates(docs, width, percent, bands, perms_per_band)
-    extra = found.where("not kept").select(F.col("doc_id").alias("__drop")).distinct()
-    left = docs.join(extra, F.col("doc_id") == F.col("__drop"), "left_anti")
-    return left.dropDuplicates(["doc_id", "text"]) if _repeats(docs) else left
+    ident, digest = F.col("doc_id").cast("long"), F.coalesce(F.sha2(F.col("text").cast("string"), 256), F.lit(""))
+    if not _repeats(docs):
+        extra = near_duplicates(docs, width, percent, bands, perms_per_band).where("not kept").select(F.col("doc_id").alias("__drop")).distinct()
+        return docs.join(extra, F.col("doc_id") == F.col("__drop"), "left_anti")
+    keys = written(_numbered(docs.select(ident.alias("__id"), digest.alias("__digest")).where("__id is not null").distinct()), "keys")
+    each = docs.select(ident.alias("__id"), digest.alias("__digest"), "text").join(keys, ["__id", "__digest"])
+    found = near_duplicates(each.select(F.col("n").alias("doc_id"), "text"), width, percent, bands, perms_per_band)
+    extra = keys.join(found.where("not kept").select(F.col("doc_id").alias("n")).distinct(), "n", "left_semi")
+    left = docs.join(extra, (ident == F.col("__id")) & (digest == F.col("__digest")), "left_anti")
+    return left.dropDuplicates(["doc_id", "text"])
+
+
+def _numbered(keys: DataFrame, blocks: int = 1024) -> DataFrame:
+    """Distinct (__id, __digest) with ``n``, their place in this order."""
+    ends = keys.agg(F.min("__id").cast("double").alias("low"), F.max("__id").cast("double").alias("high")).first()
+    low, wide = ends["low"] or 0.0, max((ends["high"] or 0.0) - (ends["low"] or 0.0), 1.0)
+    block = F.floor((F.col("__id").cast("double") - low) / wide * (blocks - 1)).cast("int")
+    rows = keys.withColumns({"block": block, "one": F.lit(1).cast("long")})
+    return blocked_running_sum(rows, [], "block", [F.col("__id"), F.col("__digest")], "one", "n").select("__id", "__digest", "n")
 
 
 def _repeats(docs: DataFrame) -> bool:

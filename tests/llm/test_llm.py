@@ -170,6 +170,13 @@ def test_near_duplicates_odd_tables(spark):
     assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(["0", "1", "2", "3", "4", "6", "8", "9", "10", "11", "None"])
 
 
+def test_keep_one_drops_texts_not_ids(spark):
+    near, clean = " ".join(f"w{k}" for k in range(60)), " ".join(f"clean{k}" for k in range(60))
+    rows = [(1, near), (5, near + " end"), (5, clean), (7, clean + " end"), (7, "short"), (9, None), (9, ""), (9, "")]
+    kept = minhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.text or "", r.text is None) for r in kept) == sorted([(1, near, False), (5, clean, False), (7, "short", False), (9, "", True), (9, "", False)])
+
+
 def test_document_tokenizer_equals_library():
     from tokenizers import Tokenizer
 
