@@ -3,9 +3,9 @@
 A source's documents queue in a shuffled order (a hash of id and seed, so reruns agree), and queue
 again for each further pass. A document's virtual finish time is the number of words that its
 source has then sent, divided by the source's target; ordered by it, every prefix of the mix has
-all sources in proportion. The mix is sorted globally by virtual finish and truncated where the
-words reach the total budget, which is when each source has sent its target: the one document of
-a source that is in service then is taken in part.
+all sources in proportion. The mix is sorted globally by virtual finish. The cut is made per
+source, where it has sent its target: the document that is in service then is taken in part, one
+a source at most. The targets add up to the total budget or less, so no further cut follows.
 
 Running totals, within a source and over the mix, go by blocks of the shuffle hash and of virtual
 time, so a source that holds a third of all rows is spread over tasks like any other.
@@ -98,7 +98,7 @@ def mix_sources(queued: DataFrame, most: float = 2.0, blocks: int = 1024) -> Dat
 
 
 def mixed_documents(docs: DataFrame, mix: DataFrame, seed: int = 7, in_order: bool = False) -> DataFrame:
-    """The documents of ``mix``, as often as it takes them, with all columns of ``docs``; texts taken in part are cut to the words taken.
+    """The documents of ``mix``, as often as it takes them, with all columns of ``docs``; texts taken in part are cut behind the last word taken, their spacing stays.
 
     Texts are shuffled once, to meet the narrow rows of the mix; ``in_order`` also sorts them by
     virtual finish time. Rows that agree in id and text are interchangeable, so one stands for all.
@@ -109,9 +109,9 @@ def mixed_documents(docs: DataFrame, mix: DataFrame, seed: int = 7, in_order: bo
     rows = mix.select(F.col("doc_id").alias("__mix_id"), F.col("shuffle").alias("__mix_key"), F.col("taken").alias("__taken"), F.col("size").alias("__size"), F.col("virtual_finish").alias("__finish"))
     found = rows.join(keyed, F.col("__id").eqNullSafe(F.col("__mix_id")) & (F.col("__key") == F.col("__mix_key")))
     text = F.col("text").cast("string")
-    lead = F.when(text.rlike(r"^[\x20\x09-\x0D]"), 1).otherwise(0)
-    words = F.slice(F.split(text, r"[\x20\x09-\x0D]+"), 1, (F.col("__taken") + lead).cast("int"))
-    found = found.withColumn("text", F.when(F.col("__taken") < F.col("__size"), F.array_join(words, " ")).otherwise(text))
+    pieces = F.split(text, r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])")  # each word with the spacing before it
+    prefix = F.array_join(F.slice(pieces, 1, F.col("__taken").cast("int")), "")
+    found = found.withColumn("text", F.when(F.col("__taken") < F.col("__size"), prefix).otherwise(text))
     if in_order:
         found = found.repartitionByRange("__finish", "__mix_id").sortWithinPartitions("__finish", "__mix_id")
     return found.select(docs.columns)

@@ -177,6 +177,13 @@ def test_keep_one_drops_texts_not_ids(spark):
     assert sorted((r.doc_id, r.text or "", r.text is None) for r in kept) == sorted([(1, near, False), (5, clean, False), (7, "short", False), (9, "", True), (9, "", False)])
 
 
+def test_cut_texts_keep_their_spacing(spark):
+    docs = spark.createDataFrame([(1, "s", "\n a\n\n  b\tc d e "), (2, "t", "x")], "doc_id long, source string, text string")
+    mix = mixing.queue(docs).where("doc_id = 1").withColumn("virtual_finish", F.lit(1.0))
+    for taken, text in ((1, "\n a"), (3, "\n a\n\n  b\tc"), (5, "\n a\n\n  b\tc d e ")):
+        assert mixing.mixed_documents(docs, mix.withColumn("taken", F.lit(taken))).first().text == text
+
+
 def test_document_tokenizer_equals_library():
     from tokenizers import Tokenizer
 
