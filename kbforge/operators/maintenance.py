@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import fresh_dir, stored
 from .analytics import latest
 from .retrieval import cosine
 
@@ -133,14 +134,34 @@ def sync_diff(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     return kept.unionByName(gone).unionByName(added)
 
 
-def tree_levels(nodes: DataFrame, most: int = 32) -> DataFrame:
-    """(session_id, node_id, parent_id, depth) of an adjacency list, level by level until a level is empty."""
-    level = nodes.where("parent_id is null").withColumn("depth", F.lit(0).cast("long"))
-    out = level
-    for depth in range(1, most + 1):
-        above = level.select("session_id", F.col("node_id").alias("parent_id"))
-        level = nodes.join(above, ["session_id", "parent_id"], "left_semi").withColumn("depth", F.lit(depth).cast("long"))
+def tree_levels(nodes: DataFrame) -> DataFrame:
+    """(session_id, node_id, parent_id, depth) of an adjacency list, level by level until a level is empty.
+
+    Levels are written to the shared folder, so the plan does not grow with the depth. Nodes whose
+    parent is missing, and those below, have no level; a cycle raises.
+    """
+    nodes = stored(nodes, "nodes")
+    ids = nodes.select("session_id", F.col("node_id").alias("parent_id"))
+    rooted = _walk(nodes, nodes.where("parent_id is null"))
+    if rooted.count() < nodes.count():
+        lost = _walk(nodes, nodes.where("parent_id is not null").join(ids, ["session_id", "parent_id"], "left_anti"))
+        if rooted.count() + lost.count() < nodes.count():
+            raise ValueError("nodes on or below a cycle")
+    return rooted
+
+
+def _walk(nodes: DataFrame, start: DataFrame) -> DataFrame:
+    """``start`` at depth 0 and all nodes below."""
+    spark, base, depth, most = nodes.sparkSession, fresh_dir(nodes.sparkSession, "levels"), 0, nodes.count()
+    schema = nodes.withColumn("depth", F.lit(0).cast("long")).schema
+    level = start
+    while True:
+        path = f"{base}/{depth}"
+        level.withColumn("depth", F.lit(depth).cast("long")).select(*schema.names).write.parquet(path)
+        level = spark.read.schema(schema).parquet(path)
         if level.isEmpty():
-            break
-        out = out.unionByName(level)
-    return out
+            return spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(base)
+        if depth > most:
+            raise ValueError("a node is its own ancestor")
+        above = level.select("session_id", F.col("node_id").alias("parent_id"))
+        level, depth = nodes.join(above, ["session_id", "parent_id"], "left_semi"), depth + 1

@@ -2,6 +2,7 @@
 
 import datetime
 
+import pytest
 from pyspark.sql import functions as F
 
 from kbforge.functions import text as t
@@ -142,6 +143,16 @@ def test_items_and_upsert(spark):
     assert {(r.k, r.v) for r in merged.collect()} == {(1, "c"), (2, "b"), (3, "e")}
 
 
+def test_trees_of_any_depth_and_cycles(spark):
+    tree = lambda rows: spark.createDataFrame(rows, "session_id long, node_id long, parent_id long")
+    chain = [(1, k, k - 1 if k else None) for k in range(36)]
+    found = maintenance.tree_levels(tree([*chain, (2, 0, None), (2, 5, 4), (2, 6, 5)])).collect()
+    assert sorted((r.session_id, r.node_id, r.depth) for r in found) == [*[(1, k, k) for k in range(36)], (2, 0, 0)]
+    assert maintenance.tree_levels(tree([])).isEmpty()
+    with pytest.raises(ValueError):
+        maintenance.tree_levels(tree([(1, 0, None), (1, 1, 2), (1, 2, 1), (1, 3, 2)])).collect()
+
+
 def test_redaction_round_trip(spark):
     text = "card 6222020200112233445 id 11010519900307123X tel 13812345678 mail a.b@c.org ¥1,200.50 Secret Project [$$_EMAIL_1]"
     safe, found = redaction.redact_one(text, ["Secret", "Secret Project"])
