@@ -123,6 +123,9 @@ def neighbours(edges: DataFrame, pages: DataFrame) -> DataFrame:
 def diagnose(pages: DataFrame, bracketed: Column) -> DataFrame:
     """Per project: pages, pages with links, three samples of them, pages whose text holds brackets."""
     linked = F.size("wikilinks") > 0
-    return pages.groupBy("project_id").agg(
-        F.count("*").alias("pages"), F.count_if(linked).alias("linked"), F.slice(F.array_sort(F.collect_list(F.when(linked, F.col("slug")))), 1, 3).alias("samples"), F.count_if(bracketed).alias("bracketed")
-    )
+    counts = pages.groupBy("project_id").agg(F.count("*").alias("pages"), F.count_if(linked).alias("linked"), F.count_if(bracketed).alias("bracketed"))
+    nth = F.row_number().over(Window.partitionBy("project_id").orderBy("slug"))  # the cut is pushed below the shuffle
+    first = pages.where(linked & F.col("slug").isNotNull()).select("project_id", "slug").withColumn("nth", nth).where("nth <= 3")
+    shown = first.groupBy(F.col("project_id").alias("__of")).agg(F.array_sort(F.collect_list("slug")).alias("samples"))
+    found = counts.join(shown, F.col("project_id").eqNullSafe(F.col("__of")), "left")
+    return found.select("project_id", "pages", "linked", F.coalesce("samples", F.array().cast("array<string>")).alias("samples"), "bracketed")

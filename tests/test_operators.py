@@ -76,6 +76,15 @@ def test_links_and_backfill(spark):
     assert {(r.target, r.depth, r.min_depth) for r in walks.collect()} == {("b", 2, 1), ("c", 1, 1)}
 
 
+def test_diagnose_takes_three_samples_without_gathering(spark, capsys):
+    rows = [(1, f"s{9 - k}", ["x"], "[[x]]") for k in range(6)] + [(1, "a", [], ""), (2, "b", [], "[["), (None, "c", ["x"], "")]
+    out = graph.diagnose(spark.createDataFrame(rows, "project_id long, slug string, wikilinks array<string>, content string"), F.contains("content", F.lit("[[")))
+    found = {r.project_id: (r.pages, r.linked, r.samples, r.bracketed) for r in out.collect()}
+    assert found == {1: (7, 6, ["s4", "s5", "s6"], 6), 2: (1, 0, [], 1), None: (1, 1, ["c"], 0)}
+    out.explain()
+    assert "WindowGroupLimit" in capsys.readouterr().out
+
+
 def test_bm25_ranks_scopes_and_deletes(spark):
     rows = spark.createDataFrame([(1, "a", "alpha beta gamma"), (2, "a", "delta epsilon zeta"), (3, "b", "delta delta eta")], "chunk_id long, project_id string, content string")
     posted = retrieval.postings(rows, F.split("content", " "))
