@@ -2,7 +2,9 @@
 
 The file is that of the ``tokenizers`` library. Its vocabulary's ids are its merge ranks, so
 ``tiktoken`` gives the same ids from it several times as fast (tests hold both against each
-other). Texts that hold a special token's string go through ``tokenizers`` itself.
+other). Texts that hold a special token's string go through ``tokenizers`` itself, and so does any
+text on which the fast path gives up (its pattern overflows a stack on a run of about a million
+blanks), so no text is too long.
 """
 
 from __future__ import annotations
@@ -33,9 +35,17 @@ class DocumentTokenizer:
     def ids(self, text: str) -> np.ndarray:
         """Ids as int32, as ``encode(text, add_special_tokens=False)`` gives them."""
         if self.special.search(text):
-            if self.whole is None:
-                from tokenizers import Tokenizer
-
-                self.whole = Tokenizer.from_str(self.json)
-            return np.array(self.whole.encode(text, add_special_tokens=False).ids, np.int32)
-        return np.array(self.fast.encode_ordinary(text), np.int32)
+            return self._by_library(text)
+        try:
+            return np.array(self.fast.encode_ordinary(text), np.int32)
+        except BaseException as e:
+            if type(e).__name__ != "PanicException":  # the fast path's only own exception; it derives from BaseException
+                raise
+            return self._by_library(text)
+
+    def _by_library(self, text: str) -> np.ndarray:
+        if self.whole is None:
+            from tokenizers import Tokenizer
+
+            self.whole = Tokenizer.from_str(self.json)
+        return np.array(self.whole.encode(text, add_special_tokens=False).ids, np.int32)
