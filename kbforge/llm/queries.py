@@ -90,7 +90,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 ORACLES = {
     "op2_chat": r"""
         with rows as (select conv_id, coalesce(role, 'unknown') as shown, role, text,
-                   row_number() over (partition by conv_id order by turn nulls first, role nulls first, text nulls first) as pos
+                   row_number() over (partition by conv_id order by turn nulls first, md5(coalesce(md5(role), '') || '|' || coalesce(md5(text), ''))) as pos
             from conversations where conv_id is not null),
         whole as (select conv_id, count(*) as n, list(struct_pack(r := role, t := text) order by pos) as turns,
                    string_agg('<|im_start|>' || shown || chr(10) || coalesce(text, '') || '<|im_end|>', chr(10) order by pos) as rendered
