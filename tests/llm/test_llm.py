@@ -82,6 +82,18 @@ def test_chat_keeps_maximal_conversations(spark):
     assert chat.render_chat(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).isEmpty()
 
 
+def test_chat_ties_and_long_conversations(spark):
+    rows = [(1, k, "user", f"t{k}") for k in range(3000)] + [(2, k, "user", f"t{k}") for k in range(2500)] + [(3, k, "user", f"t{k}" if k != 2400 else "other") for k in range(2500)]
+    rows += [(4, None, "user", f"n{k}") for k in range(50)] + [(5, 1, "user", "b"), (5, 1, "assistant", "a"), (6, 1, "assistant", "a"), (6, 1, "user", "b"), (6, 2, "user", "c"), (8, 0, "user", ""), (9, 0, "user", None)]
+    random.seed(1)
+    random.shuffle(rows)
+    made = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(5)
+    out = {r.conv_id: r for r in chat.render_chat(made).collect()}
+    assert set(out) == {1, 3, 4, 6, 8, 9}  # 2 is a prefix of 1, 5 one of 6; null and empty texts differ
+    assert out[1].n_turns == 3000 and out[1].rendered == "\n".join(f"<|im_start|>user\nt{k}<|im_end|>" for k in range(3000))
+    assert out[4].n_turns == 50 and out[6].rendered.endswith("<|im_start|>user\nc<|im_end|>")
+
+
 def test_token_counts_match_naive_longest_match(spark):
     with open(queries._vocabulary(), encoding="utf-8") as f:
         pieces = tokens.byte_level_pieces(f.read())
@@ -177,6 +189,33 @@ def test_keep_one_drops_texts_not_ids(spark):
     assert sorted((r.doc_id, r.text or "", r.text is None) for r in kept) == sorted([(1, near, False), (5, clean, False), (7, "short", False), (9, "", True), (9, "", False)])
 
 
+def test_leftover_buckets_cross_blocks(spark, monkeypatch):
+    """Buckets of far more than ``unit`` members in several components: pairs of blocks are compared, and no link is lost."""
+    random.seed(8)
+    base, rows = [f"w{k}" for k in range(80)], []
+    for k in range(120):
+        words = list(base)
+        for _ in range(random.choice([0, 1, 2, 4, 8])):
+            words[random.randrange(80)] = f"x{random.randrange(40)}"
+        rows.append((k, " ".join(words)))
+    seen, real = [], minhash.link_leftovers
+    monkeypatch.setattr(minhash, "link_leftovers", lambda placed, *a: seen.append(placed.agg(F.max("m")).first()[0]) or real(placed, *a))
+    comps, sizes = brute_components(rows, 3, 85)
+    out = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85, bands=40, perms_per_band=1, unit=8).collect()
+    assert seen[0] > 16 and {r.doc_id: r.component_id for r in out} == comps
+
+
+def test_repeated_and_null_ids_follow_one_rule(spark):
+    near = " ".join(f"w{k}" for k in range(60))
+    rows = [(3, "text a one two"), (7, "text b one two"), (7, "text a one two"), (9, "text c one two"), (None, near), (None, near)]
+    kept = lambda rows: sorted((str(r.doc_id), r.text) for r in minhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    want = [("3", "text a one two"), ("7", "text b one two"), ("9", "text c one two"), ("None", near), ("None", near)]
+    assert kept(rows) == want
+    assert kept([*rows, (9, "text c one two")]) == want  # a repeated row changes nothing for rows without id
+    placed = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85).collect()
+    assert sorted((str(r.doc_id), r.component_id) for r in placed if r.doc_id) == [("3", 3), ("7", 3), ("7", 7), ("9", 9)]
+
+
 def test_cut_texts_keep_their_spacing(spark):
     docs = spark.createDataFrame([(1, "s", "\n a\n\n  b\tc d e "), (2, "t", "x")], "doc_id long, source string, text string")
     mix = mixing.queue(docs).where("doc_id = 1").withColumn("virtual_finish", F.lit(1.0))
@@ -191,6 +230,8 @@ def test_document_tokenizer_equals_library():
         text = f.read()
     ours, theirs = bpe.DocumentTokenizer(text), Tokenizer.from_str(text)
     random.seed(3)
+    for x in ("x" + " " * 1_500_000 + "y", "\n" * 2_000_000, "a" * 2_000_000, "after all"):
+        assert ours.ids(x).tolist() == theirs.encode(x, add_special_tokens=False).ids, len(x)
     parts = ["a", "B", " ", "  ", "\n", "\t", " ", "\x1c", "\x85", "é", "1", "²", "'s", "!", "😀", "<|endoftext|>", "中", "_", "don't", "the "]
     for _ in range(3000):
         x = "".join(random.choice(parts) for _ in range(random.randint(0, 14)))
