@@ -10,10 +10,13 @@ For a text, the popcount of language l over its n-grams is corrected by the rate
 positives p_l (its share of set bits to the power of the number of slots):
 (count - n p_l) / (1 - p_l). The largest decides; the score is its part of the sum.
 
-The filter has a fixed number of slots, whatever the corpus, so it may be broadcast.
+The filter has a fixed number of slots, whatever the corpus, and one bit of each for every
+language (4 MB for each 64 languages), so it may be broadcast.
 
 Defined cases: null text, or one without letters, is ``und`` with score 0; with nothing learned
-every text is ``und``; ties go to the language first by code point; a null lang teaches nothing.
+every text is ``und``; ties go to the language first by code point; a null lang teaches nothing;
+repeated rows count as often as they occur; very long texts go by blocks of characters; an empty
+table gives no rows; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,6 +30,7 @@ from pyspark.sql import functions as F
 
 from .shingles import mix
 from .split import held_out
+from .workspace import discard, written
 
 GRAM = 3
 SLOT_BITS = 18
@@ -49,79 +53,109 @@ def _letters() -> np.ndarray:
 LETTERS = _letters()
 
 
-def slots(text: str) -> tuple[bool, np.ndarray]:
-    """Whether the text has letters, and the slots (n-grams x HASHES) of its letter n-grams, words padded by a space."""
-    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-    low = np.where(points < 1 << 16, LETTERS[points & 0xFFFF], 0)
+def _lowered(points: np.ndarray) -> np.ndarray:
+    """Lower-case code points of letters, 0 for all else."""
+    low = np.where(points < 1 << 16, LETTERS[points & 0xFFFF], 0).astype(np.uint64)
     far = points >= 1 << 16
     if far.any():
         low[far] = [p if chr(p).isalpha() else 0 for p in points[far].tolist()]
-    low = np.concatenate([[0], low, [0]]).astype(np.uint64)
-    found = []
-    for at in range(0, len(low) - GRAM + 1, BLOCK):
-        part = low[at : at + BLOCK + GRAM - 1]
-        n = len(part) - GRAM + 1
+    return low
+
+
+def slots(text: str) -> Iterator[tuple[bool, np.ndarray]]:
+    """By blocks of the text: whether there are letters, and the slots (n-grams x HASHES) of its letter n-grams, words padded by a space."""
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    mask = np.uint64((1 << SLOT_BITS) - 1)
+    for at in range(0, len(points), BLOCK):
+        # each character of the block with its two neighbours
+        low = np.pad(_lowered(points[max(at - 1, 0) : at + BLOCK + 1]), (int(at == 0), int(at + BLOCK >= len(points))))
+        n = len(low) - GRAM + 1
         x, used = np.zeros(n, np.uint64), np.zeros(n, np.int8)
         for k in range(GRAM):
-            x = x << np.uint64(21) | part[k : k + n]
-            used += part[k : k + n] > 0
-        found.append(x[(used >= 2) & (part[1 : 1 + n] > 0)])  # a boundary at an end only
-    x = mix(np.concatenate(found) if found else np.empty(0, np.uint64))
-    mask = np.uint64((1 << SLOT_BITS) - 1)
-    return bool(low.any()), np.stack([((x >> np.uint64(SLOT_BITS * k)) & mask) + np.uint64(k << SLOT_BITS) for k in range(HASHES)], axis=1).astype(np.int64)
+            x = x << np.uint64(21) | low[k : k + n]
+            used += low[k : k + n] > 0
+        x = mix(x[(used >= 2) & (low[1 : 1 + n] > 0)])  # a boundary at an end only
+        yield bool(low[1:-1].any()), np.stack([((x >> np.uint64(SLOT_BITS * k)) & mask) + np.uint64(k << SLOT_BITS) for k in range(HASHES)], axis=1).astype(np.int64)
 
 
 class LanguageFilter:
-    """Bitmasks by slot for at most 64 languages; each hash has a part of the table of its own."""
+    """Bitmasks by slot, in words of 64 languages: masks[word, slot]; each hash has a part of the slots of its own."""
 
     def __init__(self, langs: list[str], masks: np.ndarray):
         self.langs, self.masks = langs, masks
-        parts = masks.reshape(HASHES, -1)
-        self.false_rate = np.array([float(np.prod((parts >> np.uint64(k) & np.uint64(1)).mean(axis=1))) for k in range(len(langs))])
+        rates = []
+        for k in range(len(langs)):
+            bits = masks[k // 64].reshape(HASHES, -1) >> np.uint64(k % 64) & np.uint64(1)
+            rates.append(float(np.prod(bits.mean(axis=1))))
+        self.false_rate = np.array(rates)
+
+    def counts(self, found: np.ndarray) -> np.ndarray:
+        """How many of the n-grams each language holds."""
+        parts = []
+        for word in self.masks:
+            held = word[found[:, 0]]
+            for k in range(1, HASHES):
+                held = held & word[found[:, k]]
+            some = min(len(self.langs) - 64 * len(parts), 64)
+            octets = held.astype("<u8").view(np.uint8).reshape(-1, 8)[:, : -(-some // 8)]
+            parts.append(np.unpackbits(octets, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)[:some])
+        return np.concatenate(parts)
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        letters, found = slots(text or "")
-        if not letters or not self.langs:
+        letters, n, count = False, 0, np.zeros(len(self.langs), np.int64)
+        if self.langs:
+            for some, found in slots(text or ""):
+                letters |= some
+                n += len(found)
+                count += self.counts(found)
+        if not letters:
             return "und", 0.0
-        held = self.masks[found[:, 0]]
-        for k in range(1, HASHES):
-            held = held & self.masks[found[:, k]]
-        count = np.array([int(np.count_nonzero(held & np.uint64(1 << k))) for k in range(len(self.langs))])
-        level = np.maximum((count - len(held) * self.false_rate) / np.maximum(1 - self.false_rate, 1e-9), 0)
+        level = np.maximum((count - n * self.false_rate) / np.maximum(1 - self.false_rate, 1e-9), 0)
         best = int(level.argmax())
         return self.langs[best], float(level[best] / level.sum()) if level.sum() > 0 else 0.0
 
 
-def learn(docs: DataFrame, min_share: float = 2e-5, max_langs: int = 64) -> LanguageFilter:
-    """A filter from (doc_id, text, lang): all rows with a text and a lang that are not held out."""
+def learn(docs: DataFrame, min_share: float = 2e-5, held_langs: int = 32) -> LanguageFilter:
+    """A filter from (doc_id, text, lang): all rows with a text and a lang that are not held out.
+
+    A task holds the counts of at most ``held_langs`` languages at once. The driver holds the list
+    of languages and one bit of every slot for each.
+    """
     rows = docs.where("text is not null and lang is not null").where(~held_out()).select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     size = HASHES << SLOT_BITS
 
+    def emit(totals: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
+        for lang, total in totals.items():
+            at = np.flatnonzero(total)
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at), pa.array(total[at])], ["lang", "slot", "n"])
+        totals.clear()
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals: dict[str, np.ndarray] = {}
         for batch in batches:
             for text, lang in zip(batch.column("text"), batch.column("lang").to_pylist()):
-                found = slots(text.as_py())[1].ravel()
+                if lang not in totals and len(totals) >= held_langs:
+                    yield from emit(totals)
                 total = totals.setdefault(lang, np.zeros(size, np.int64))
-                if len(found) < size // 8:
-                    np.add.at(total, found, 1)
-                else:
-                    total += np.bincount(found, minlength=size)
-        for lang, total in totals.items():
-            at = np.flatnonzero(total)
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at), pa.array(total[at])], ["lang", "slot", "n"])
+                for _, found in slots(text.as_py()):
+                    found = found.ravel()
+                    if len(found) < size // 8:
+                        np.add.at(total, found, 1)
+                    else:
+                        total += np.bincount(found, minlength=size)
+        yield from emit(totals)
 
     counts = rows.mapInArrow(count, "lang string, slot long, n long").groupBy("lang", "slot").agg(F.sum("n").alias("n"))
+    counts = written(counts, "counts")
     totals = counts.groupBy("lang").agg(F.sum("n").alias("n_lang"))
     kept = counts.join(totals, "lang").where(F.col("n") * HASHES >= min_share * F.col("n_lang"))
-    langs = sorted(r[0] for r in rows.select("lang").distinct().limit(max_langs + 1).collect())
-    if len(langs) > max_langs:
-        raise ValueError(f"more than {max_langs} languages")
-    masks = np.zeros(size, np.uint64)
+    langs = sorted(r[0] for r in rows.select("lang").distinct().collect())
+    masks = np.zeros((-(-len(langs) // 64), size), np.uint64)
     if langs:
-        bit = F.create_map(*[x for k, lang in enumerate(langs) for x in (F.lit(lang), F.lit(1 << k if k < 63 else -(1 << 63)).cast("long"))])
-        for slot, mask in kept.groupBy("slot").agg(F.bit_or(bit[F.col("lang")]).alias("mask")).collect():  # at most ``size`` rows
-            masks[slot] = np.uint64(mask & (1 << 64) - 1)
+        bits = docs.sparkSession.createDataFrame([(lang, k // 64, int(np.uint64(1 << k % 64).astype(np.int64))) for k, lang in enumerate(langs)], "lang string, word int, bit long")
+        found = kept.join(bits, "lang").groupBy("word", "slot").agg(F.bit_or("bit").alias("mask")).toArrow()  # of the filter's size
+        masks[found["word"].to_numpy(), found["slot"].to_numpy()] = found["mask"].to_numpy().astype(np.int64).view(np.uint64)
+    discard(counts)
     return LanguageFilter(langs, masks)
 
 

@@ -5,11 +5,13 @@ member of a zip archive in the shared folder; every task writes archives of boun
 
 ``ArchiveDataSource`` reads such folders: it plans partitions from the archives' paths and sizes
 alone, as ranges of bytes. A task reads its archive's directory, takes the members whose header
-starts in its range, and streams their bytes as Arrow batches. A member that fails its checksum or
-a read is tried again from its own offset, with the file opened anew, without reading others again.
+starts in its range, and streams their bytes through one handle as Arrow batches. A member that
+fails its checksum or a read (a short one too) is tried again from its own offset, with the file
+opened anew, without reading others again; so is the directory.
 
 Defined cases: null and empty texts have a payload of 576 bytes 255; repeated rows are members of
-their own; an empty table gives no archive and no row.
+their own; a very long text is one member, whatever the size of archives and ranges; an empty table
+gives no archive and no row; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -135,6 +137,35 @@ class ByteRange(InputPartition):
         self.path, self.start, self.stop = path, start, stop
 
 
+class ArchiveHandle:
+    """An archive that is opened once and opened anew after a failure."""
+
+    def __init__(self, store: fs.FileSystem, path: str, attempts: int):
+        self.store, self.path, self.attempts, self.source = store, path, attempts, None
+
+    def close(self) -> None:
+        if self.source is not None:
+            try:
+                self.source.close()
+            except OSError:  # a lost connection
+                pass
+        self.source = None
+
+    def retried(self, work, what: str):
+        """``work`` of the open file; a failed read, a short one or a wrong checksum is tried again."""
+        for attempt in range(self.attempts):
+            try:
+                if self.source is None:
+                    self.source = self.store.open_input_file(self.path)
+                return work(self.source)
+            except (OSError, ValueError, struct.error, zipfile.BadZipFile) as e:
+                why = e
+                self.close()
+            if attempt + 1 < self.attempts:
+                time.sleep(0.05 * 2**attempt)
+        raise RuntimeError(f"{what} of {self.path}: {why}")
+
+
 class ArchiveReader(DataSourceReader):
     def __init__(self, options: dict):
         self.folder = options["path"]
@@ -149,31 +180,32 @@ class ArchiveReader(DataSourceReader):
         files = sorted((f.path, f.size) for f in found if f.is_file and f.base_name.endswith(".zip") and not f.base_name.startswith("."))
         return [ByteRange(path, at, min(at + self.range_bytes, size)) for path, size in files for at in range(0, size, self.range_bytes)]
 
-    def member(self, store: fs.FileSystem, path: str, info: zipfile.ZipInfo) -> bytes:
+    def directory(self, archive: ArchiveHandle) -> list[zipfile.ZipInfo]:
+        return archive.retried(lambda source: zipfile.ZipFile(source).infolist(), "its directory")
+
+    def member(self, archive: ArchiveHandle, info: zipfile.ZipInfo) -> bytes:
         """One member's bytes, read again from its own offset after a failure."""
-        for attempt in range(self.attempts):
-            try:
-                with store.open_input_file(path) as source:
-                    source.seek(info.header_offset)
-                    head = source.read(30)
-                    name, extra = struct.unpack("<HH", head[26:30])
-                    source.seek(info.header_offset + 30 + name + extra)
-                    data = source.read(info.compress_size)
-                if len(data) == info.file_size and zlib.crc32(data) == info.CRC:
-                    return data
-                why: Exception = ValueError("its checksum differs")
-            except OSError as e:
-                why = e
-            if attempt + 1 < self.attempts:
-                time.sleep(0.05 * 2**attempt)
-        raise RuntimeError(f"{info.filename} at {info.header_offset} of {path}: {why}")
+
+        def load(source: pa.NativeFile) -> bytes:
+            source.seek(info.header_offset)
+            head = source.read(30)
+            if len(head) < 30:
+                raise ValueError("its header ends early")
+            name, extra = struct.unpack("<HH", head[26:30])
+            source.seek(info.header_offset + 30 + name + extra)
+            data = source.read(info.compress_size)
+            if len(data) != info.file_size or zlib.crc32(data) != info.CRC:
+                raise ValueError("its checksum differs")
+            return data
+
+        return archive.retried(load, f"{info.filename} at {info.header_offset}")
 
     def read(self, partition: ByteRange | None) -> Iterator[pa.RecordBatch]:
         if partition is None:  # there is no archive
             return
         store, _ = fs.FileSystem.from_uri(self.folder)
-        with store.open_input_file(partition.path) as source:
-            members = [m for m in zipfile.ZipFile(source).infolist() if partition.start <= m.header_offset < partition.stop]
+        archive = ArchiveHandle(store, partition.path, self.attempts)
+        members = [m for m in self.directory(archive) if partition.start <= m.header_offset < partition.stop]
         held, size = [], 0
         schema = pa.schema([("doc_id", pa.int64()), ("archive", pa.string()), ("offset", pa.int64()), ("media", pa.binary())])
 
@@ -181,7 +213,7 @@ class ArchiveReader(DataSourceReader):
             return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held), schema)], schema=schema)
 
         for info in members:
-            data = self.member(store, partition.path, info)
+            data = self.member(archive, info)
             name = info.filename.split("_", 1)[1].removesuffix(".png")
             held.append((int(name) if name else None, partition.path.rsplit("/", 1)[-1], info.header_offset, data))
             size += len(data)
@@ -190,6 +222,7 @@ class ArchiveReader(DataSourceReader):
                 held, size = [], 0
         if held:
             yield batch()
+        archive.close()
 
 
 class ArchiveDataSource(DataSource):

@@ -11,8 +11,9 @@ Running totals, within a source and over the mix, go by blocks of the shuffle ha
 time, so a source that holds a third of all rows is spread over tasks like any other.
 
 Defined cases: null text has size 0, a null source is one source after all others; documents of
-size 0 are never in the mix; repeated rows queue as often as they occur; an empty table or one
-without words gives an empty mix.
+size 0 are never in the mix; repeated rows queue as often as they occur; rows that tie in their
+hash agree in id and text; texts of any length count by one pass; an empty table or one without
+words gives an empty mix; further columns are carried by ``mixed_documents`` and ignored else.
 """
 
 from __future__ import annotations
@@ -60,7 +61,7 @@ def _key(seed: int) -> Column:
     return F.xxhash64(F.lit(seed), F.col("doc_id").cast("long"), F.hash(F.col("text").cast("string")))
 
 
-def queue(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, most: float = 2.0, seed: int = 7, blocks: int = 1024) -> DataFrame:
+def queue(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, most: float = 2.0, seed: int = 7, blocks: int = 8192) -> DataFrame:
     """Each document (without its text) with its size, its source's size and target, and where its words start in the source's queue."""
     text = F.col("text").cast("string")
     rows = docs.select(
@@ -75,7 +76,7 @@ def queue(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float =
     return rows.join(targets, F.col("source").eqNullSafe(F.col("__of"))).drop("__of", "block")
 
 
-def mix_sources(queued: DataFrame, most: float = 2.0, blocks: int = 1024) -> DataFrame:
+def mix_sources(queued: DataFrame, most: float = 2.0, blocks: int = 8192) -> DataFrame:
     """The mix: a row for each time a document of ``queued`` is taken, with ``copy``, ``taken`` words and ``virtual_finish``.
 
     Rows are range-partitioned and sorted by virtual finish time. ``before`` counts the words of

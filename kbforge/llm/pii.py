@@ -14,10 +14,11 @@
 
 Base spans are never taken away. A further span is added if its probability reaches
 ``threshold``, no rule of its kind (a checksum, a count of digits) fails for it, and it overlaps
-no base span.
+neither a base span nor an added one that starts before it (at one start the longer one is added).
 
-Defined cases: null text is empty; empty texts have no spans; repeated rows are handled each;
-an empty table gives an empty result; other columns are carried by ``redact`` and ignored else.
+Defined cases: null text is empty; empty texts have no spans; very long texts are matched whole, in
+linear time; repeated rows are handled each; an empty table gives an empty result; other columns,
+of whatever names, are carried by ``redact`` and ignored else.
 """
 
 from __future__ import annotations
@@ -87,17 +88,14 @@ def _gazetteer(kind: str, found: Column) -> Column:
     return F.when(known, 1).otherwise(-1)
 
 
-def _spans(rows: DataFrame, kind: str, pattern: str, base: bool) -> DataFrame:
-    """One row for each match: (uid, kind, base, start, stop, found, before, after)."""
+def _matches(rows: DataFrame, kind: str, pattern: str, base: bool) -> DataFrame:
+    """One row for each match: (uid, kind, base, i, left, found, before, after, votes, features); ``left`` is the length since the match before."""
     around = F.transform(F.split("text", pattern, -1), lambda p: F.struct(F.char_length(p).alias("n"), F.right(p, F.lit(40)).alias("tail"), F.left(p, F.lit(1)).alias("head")))
     each = rows.where(F.col("text").rlike(pattern)).select("uid", F.regexp_extract_all("text", F.lit(pattern), F.lit(0)).alias("all"), around.alias("around"))
     each = each.select("uid", "around", F.posexplode("all").alias("i", "found"))
     each = each.select("uid", "i", "found", F.get("around", F.col("i")).alias("left"), F.get("around", F.col("i") + 1).alias("right"))
-    so_far = Window.partitionBy("uid").orderBy("i")
-    stop = F.sum(F.col("left.n") + F.char_length("found")).over(so_far)
-    each = each.withColumn("stop", stop.cast("long"))
     return each.select(
-        "uid", F.lit(kind).alias("kind"), (holds(kind, F.col("found")) if base else F.lit(False)).alias("base"), (F.col("stop") - F.char_length("found")).alias("start"), "stop", "found",
+        "uid", F.lit(kind).alias("kind"), F.lit(base).alias("of_base"), (holds(kind, F.col("found")) if base else F.lit(False)).alias("base"), "i", F.col("left.n").alias("gap"), "found",
         F.col("left.tail").alias("before"), F.col("right.head").alias("after"), _votes(kind, base).alias("votes"), _features().alias("features"),
     )
 
@@ -167,13 +165,15 @@ def reliabilities(counts: DataFrame, rounds: int = 25, smoothing: float = 2.0) -
 
 
 def find_candidates(rows: DataFrame) -> DataFrame:
-    """All candidate spans of ``rows`` (uid, text), with votes and features."""
+    """All candidate spans of ``rows`` (uid, text), with votes and features: (uid, kind, base, start, stop, found, before, after, votes, features)."""
     found = None
     for base, patterns in ((True, PATTERNS), (False, WIDE)):
         for kind, pattern in patterns.items():
-            part = _spans(rows, kind, pattern, base)
+            part = _matches(rows, kind, pattern, base)
             found = part if found is None else found.unionByName(part)
-    return found
+    so_far = Window.partitionBy("uid", "kind", "of_base").orderBy("i")
+    found = found.withColumn("stop", F.sum(F.col("gap") + F.char_length("found")).over(so_far).cast("long"))
+    return found.select("uid", "kind", "base", (F.col("stop") - F.char_length("found")).alias("start"), "stop", "found", "before", "after", "votes", "features")
 
 
 def classify(candidates: DataFrame, smoothing: float = 1.0) -> DataFrame:
@@ -204,22 +204,35 @@ def detect(rows: DataFrame, threshold: float = 0.95) -> DataFrame:
     found = classify(candidates).where(F.col("base") | extra).select("uid", "base", span.alias("span"))
     found = found.groupBy("uid").agg(F.array_sort(F.collect_list(F.when(F.col("base"), F.col("span")))).alias("bases"), F.array_sort(F.collect_set(F.when(~F.col("base"), F.col("span")))).alias("extras"))
     apart = lambda e, b: (e["stop"] <= b["start"]) | (b["stop"] <= e["start"])
-    added = F.filter("extras", lambda e: F.forall("bases", lambda b: apart(e, b)))
+    free = F.filter("extras", lambda e: F.forall("bases", lambda b: apart(e, b)))
+    longest_first = F.array_sort(free, lambda x, y: F.when(x["start"] < y["start"], -1).when(x["start"] > y["start"], 1).when(x["stop"] > y["stop"], -1).when(x["stop"] < y["stop"], 1).otherwise(x["rank"] - y["rank"]))
+    begin = F.struct(F.lit(0).cast("long").alias("at"), F.slice("bases", 1, 0).alias("kept"))
+    take = lambda a, e: F.when(e["start"] >= a["at"], F.struct(e["stop"].alias("at"), F.concat(a["kept"], F.array(e)).alias("kept"))).otherwise(a)
+    added = F.aggregate(longest_first, begin, take)["kept"]
     return found.select("uid", "bases", F.array_sort(F.concat("bases", added)).alias("spans"))
 
 
-def _suspects(docs: DataFrame, columns: list[str]) -> DataFrame:
-    return written(docs.where(F.col("text").rlike(GUARD)).select(F.monotonically_increasing_id().alias("uid"), *columns), "suspects")
+def _suspect() -> Column:
+    return F.coalesce(F.col("text").cast("string").rlike(GUARD), F.lit(False))
+
+
+def _suspects(docs: DataFrame) -> DataFrame:
+    """(uid, row) of the rows that can hold any; the id is fixed by writing them."""
+    return written(docs.where(_suspect()).select(F.monotonically_increasing_id().alias("uid"), F.struct("*").alias("row")), "suspects")
+
+
+def _texts(rows: DataFrame) -> DataFrame:
+    return rows.select("uid", F.col("row.text").cast("string").alias("text"))
 
 
 def personal_data(docs: DataFrame, threshold: float = 0.95) -> DataFrame:
     """(doc_id, bases, spans) for each row of ``docs`` (doc_id, text)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = _suspects(docs, ["doc_id", "text"])
-    found = detect(rows, threshold)
+    rows = _suspects(docs)
+    found = detect(_texts(rows), threshold)
     none = F.array().cast("array<struct<start:bigint,rank:int,stop:bigint>>")
-    some = rows.select("uid", "doc_id").join(found, "uid", "left").select("doc_id", F.coalesce("bases", none).alias("bases"), F.coalesce("spans", none).alias("spans"))
-    clean = docs.where(~F.coalesce(F.col("text").rlike(GUARD), F.lit(False))).select("doc_id", none.alias("bases"), none.alias("spans"))
+    some = rows.select("uid", "row.doc_id").join(found, "uid", "left").select("doc_id", F.coalesce("bases", none).alias("bases"), F.coalesce("spans", none).alias("spans"))
+    clean = docs.where(~_suspect()).select("doc_id", none.alias("bases"), none.alias("spans"))
     return clean.unionByName(some)
 
 
@@ -231,16 +244,17 @@ def spans_text(spans: Column) -> Column:
 
 def redact(docs: DataFrame, threshold: float = 0.95) -> DataFrame:
     """``docs`` with each span of ``text`` replaced by its kind in brackets; other rows and columns stay as they are."""
-    rows = _suspects(docs, ["*"])
+    rows = _suspects(docs)
+    text, spans = F.col("row.text").cast("string"), F.col("spans")
     kind = lambda s: F.upper(F.element_at(F.array(*map(F.lit, KINDS)), s["rank"]))
     begin = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("parts"))
     last = lambda a, s: F.greatest(a["at"], s["stop"])
 
     def cut(a: Column, s: Column) -> Column:
-        plain = F.substring("text", (a["at"] + 1).cast("int"), F.greatest(s["start"] - a["at"], F.lit(0)).cast("int"))
+        plain = F.substring(text, (a["at"] + 1).cast("int"), F.greatest(s["start"] - a["at"], F.lit(0)).cast("int"))
         return F.struct(last(a, s).alias("at"), F.concat(a["parts"], F.array(plain, F.concat(F.lit("["), kind(s), F.lit("]")))).alias("parts"))
 
-    whole = F.aggregate("spans", begin, cut, lambda a: F.concat(F.array_join(a["parts"], ""), F.substring("text", (a["at"] + 1).cast("int"), F.char_length("text"))))
-    changed = rows.join(detect(rows.select("uid", "text"), threshold).select("uid", "spans"), "uid", "left")
-    changed = changed.withColumn("text", F.when(F.size("spans") > 0, whole).otherwise(F.col("text"))).select(*docs.columns)
-    return docs.where(~F.coalesce(F.col("text").rlike(GUARD), F.lit(False))).unionByName(changed)
+    whole = F.aggregate(spans, begin, cut, lambda a: F.concat(F.array_join(a["parts"], ""), F.substring(text, (a["at"] + 1).cast("int"), F.char_length(text))))
+    changed = rows.join(detect(_texts(rows), threshold).select("uid", "spans"), "uid", "left")
+    changed = changed.select(F.col("row").withField("text", F.when(F.size(spans) > 0, whole).otherwise(text)).alias("row")).select("row.*")
+    return docs.where(~_suspect()).unionByName(changed)

@@ -23,7 +23,8 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,13 +41,13 @@ def integer_vectors(vectors: DataFrame, scale: int = 256) -> DataFrame:
     return vectors.where(fine).select(F.col("vec_id").cast("long").alias("vec_id"), F.transform(x, lambda c: F.floor(c * scale)).alias("vec"), F.size(x).alias("dims"))
 
 
-def _matrix(column: pd.Series) -> np.ndarray:
-    return np.stack(column.to_numpy()).astype(np.int64)
+def _matrix(table: pa.Table) -> np.ndarray:
+    return pc.list_flatten(table["vec"]).to_numpy().reshape(table.num_rows, -1)
 
 
-def score_blocks(queries: pd.DataFrame, rows: pd.DataFrame, k: int, block_rows: int) -> pd.DataFrame:
+def score_blocks(queries: pa.Table, rows: pa.Table, k: int, block_rows: int) -> pa.Table:
     """The k best (query_id, vec_id, score) of each query among ``rows``, ties to the smaller id."""
-    q, ids, v = _matrix(queries["vec"]), rows["vec_id"].to_numpy(np.int64), _matrix(rows["vec"])
+    q, ids, v = _matrix(queries), rows["vec_id"].to_numpy(), _matrix(rows)
     # Rows that agree in the signs of their first components are neighbours: tighter bounds.
     signs = (v[:, : min(12, v.shape[1])] > 0) @ (1 << np.arange(min(12, v.shape[1])))
     order = np.lexsort((ids, signs))
@@ -57,7 +58,7 @@ def score_blocks(queries: pd.DataFrame, rows: pd.DataFrame, k: int, block_rows:
         q, v, high, low = (m.astype(np.float64) for m in (q, v, high, low))  # sums below 2^53 are exact
     bounds = np.maximum(q, 0) @ high.T + np.minimum(q, 0) @ low.T
     out_q, out_v, out_s = [], [], []
-    for i, qid in enumerate(queries["vec_id"].to_numpy(np.int64)):
+    for i, qid in enumerate(queries["vec_id"].to_numpy()):
         best_s, best_v, kth = np.empty(0, v.dtype), np.empty(0, np.int64), None
         for b in np.argsort(-bounds[i], kind="stable"):
             if kth is not None and bounds[i, b] < kth:
@@ -76,32 +77,33 @@ def score_blocks(queries: pd.DataFrame, rows: pd.DataFrame, k: int, block_rows:
         out_q.append(np.full(len(best_v), qid))
         out_v.append(best_v)
         out_s.append(best_s.astype(np.int64))
-    return pd.DataFrame({"query_id": np.concatenate(out_q), "vec_id": np.concatenate(out_v), "score": np.concatenate(out_s)})
+    return pa.table({"query_id": np.concatenate(out_q), "vec_id": np.concatenate(out_v), "score": np.concatenate(out_s)})
 
 
-def top_k(vectors: DataFrame, is_query: str = "vec_id % 50 = 0", k: int = 5, scale: int = 256, shard_rows: int = 65536, query_rows: int = 8192, block_rows: int = 128) -> DataFrame:
+def top_k(vectors: DataFrame, is_query: str = "vec_id % 50 = 0", k: int = 5, scale: int = 256, shard_numbers: int = 1 << 22, query_numbers: int = 1 << 19, block_rows: int = 128) -> DataFrame:
     """(query_id, rank, vec_id, score): for each row for which ``is_query`` holds, the ``k`` others of highest score.
 
-    A unit of work has about ``shard_rows`` candidates and ``query_rows`` queries, so queries are
-    repeated once a shard and candidates once a group; small tables get a shard a core.
+    A unit of work has candidates of about ``shard_numbers`` components in all and queries of about
+    ``query_numbers`` (32 MB and 4 MB), whatever the vectors' length, so queries are repeated once a
+    shard and candidates once a group; small tables get a shard a core.
     """
     rows = written(integer_vectors(vectors, scale), "vectors")
-    counts = rows.agg(F.count("*").alias("rows"), F.count_if(F.expr(is_query)).alias("queries")).first()
+    counts = rows.agg(F.count("*").alias("rows"), F.count_if(F.expr(is_query)).alias("queries"), F.max("dims").alias("dims")).first()
     cores = vectors.sparkSession.sparkContext.defaultParallelism
-    shards = max(1, math.ceil(counts["rows"] / shard_rows), min(cores, counts["rows"] // 1024))
-    groups = max(1, math.ceil(counts["queries"] / query_rows))
+    shards = max(1, math.ceil(counts["rows"] * (counts["dims"] or 1) / shard_numbers), min(cores, counts["rows"] // 1024))
+    groups = max(1, math.ceil(counts["queries"] * (counts["dims"] or 1) / query_numbers))
     spread = lambda n, seed: F.pmod(F.xxhash64("vec_id", "vec", F.lit(seed)), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     asked = rows.where(is_query).groupBy("vec_id").agg(F.min("vec").alias("vec")).withColumn("dims", F.size("vec"))
     left = asked.select("vec_id", "vec", "dims", spread(groups, 1).alias("group"), every(shards).alias("shard"))
     right = rows.select("vec_id", "vec", "dims", every(groups).alias("group"), spread(shards, 2).alias("shard"))
 
-    def search(queries: pd.DataFrame, candidates: pd.DataFrame) -> pd.DataFrame:
-        if queries.empty or candidates.empty:
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}, dtype="int64")
+    def search(queries: pa.Table, candidates: pa.Table) -> pa.Table:
+        if not queries.num_rows or not candidates.num_rows:
+            return pa.table({c: pa.array([], pa.int64()) for c in ("query_id", "vec_id", "score")})
         return score_blocks(queries, candidates, k, block_rows)
 
     unit = ["dims", "group", "shard"]
-    found = left.groupBy(*unit).cogroup(right.groupBy(*unit)).applyInPandas(search, SCORES)
+    found = left.groupBy(*unit).cogroup(right.groupBy(*unit)).applyInArrow(search, SCORES)
     best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -74,6 +74,44 @@ def test_pii_finds_more_and_redacts(spark):
     assert out.columns == odd.columns and out.count() == odd.count()
 
 
+def test_pii_reliabilities_match_reference_em(spark):
+    """The SQL expectation-maximisation against plain loops."""
+    random.seed(3)
+    counts = {tuple(random.choice((-1, 0, 1)) for _ in range(pii.LABELERS)): random.randint(1, 40) for _ in range(25)}
+    share, yes, no = 0.5, np.tile([0.1, 0.3, 0.6], (pii.LABELERS, 1)), np.tile([0.6, 0.3, 0.1], (pii.LABELERS, 1))
+    q_of = lambda v: 1 / (1 + (1 - share) / share * np.prod([no[k, x + 1] / yes[k, x + 1] for k, x in enumerate(v)]))
+    for _ in range(25):
+        q = {v: q_of(v) for v in counts}
+        true, every = sum(n * q[v] for v, n in counts.items()), sum(counts.values())
+        yes_n, no_n = np.full((pii.LABELERS, 3), 2.0), np.full((pii.LABELERS, 3), 2.0)
+        for v, n in counts.items():
+            for k, x in enumerate(v):
+                yes_n[k, x + 1] += n * q[v]
+                no_n[k, x + 1] += n * (1 - q[v])
+        share, yes, no = (true + 2) / (every + 4), yes_n / (true + 6), no_n / (every - true + 6)
+    made = spark.createDataFrame([("ip", list(v), n) for v, n in counts.items()], "kind string, votes array<int>, n long")
+    out = {tuple(r.votes): r.probability for r in pii.reliabilities(made).collect()}
+    assert out.keys() == counts.keys() and all(abs(out[v] - q_of(v)) < 1e-9 for v in counts)
+
+
+def test_pii_adds_spans_that_overlap_nothing(spark):
+    """National numbers and hidden addresses near many true ones are added; ones within base spans or with a failed rule are not."""
+    rows = [(k, f"call me, phone +1 555-123-{1000 + k} or mail jo{k}@corp.com please") for k in range(80)]
+    rows += [(200 + k, f"my phone: (555) 234-{1000 + k}, e-mail jo{k} [at] corp [dot] com") for k in range(40)]
+    rows += [(300, "card 4111 1111 1111 1112 x"), (301, "plain words only, no. 7")]
+    made = spark.createDataFrame([(*r, "u", 1, "b") for r in rows], "doc_id long, text string, uid string, row int, spans string")
+    out = {r.doc_id: (r.b, r.s) for r in pii.personal_data(made).select("doc_id", pii.spans_text(F.col("bases")).alias("b"), pii.spans_text(F.col("spans")).alias("s")).collect()}
+    assert all(not out[200 + k][0] and "phone:10:24" in out[200 + k][1] for k in range(40))
+    both = [200 + k for k in range(40) if "email:" in out[200 + k][1]]
+    assert len(both) >= 30
+    assert out[300] == out[301] == ("", "")
+    for _, s in out.values():
+        ends = [tuple(map(int, x.split(":")[1:])) for x in s.split(",") if x]
+        assert all(a[1] <= b[0] for a, b in zip(ends, ends[1:]))
+    safe = pii.redact(made)
+    assert safe.columns == made.columns and safe.where(F.col("doc_id") == both[0]).first().text == "my phone: [PHONE], e-mail [EMAIL]"
+
+
 def test_chat_keeps_maximal_conversations(spark):
     rows = [(1, 0, "user", "hi"), (1, 1, "assistant", "yo"), (2, 0, "user", "hi"), (2, 1, "assistant", "yo"), (2, 2, "user", None), (3, 0, "user", "other"), (4, 0, "user", "other"), (5, 0, None, None), (6, 5, "user", "hi"), (None, 0, "user", "z"), (7, None, "user", "a"), (7, None, "user", "a")]
     out = {r.conv_id: r.rendered for r in chat.render_chat(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
@@ -124,6 +162,42 @@ def test_quality_held_out_accuracy(spark):
     assert len(right) > 50 and sum(right) / len(right) > 0.95
 
 
+def test_quality_matches_brute_force_discriminant(spark):
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    known = {r.doc_id: r.quality for r in labels.collect()}
+    docs = [(r.doc_id, r.text) for r in documents(spark).collect()]
+    train = [(k, np.array(quality.statistics_of(t)), known[k]) for k, t in docs if zlib.crc32(str(k).encode()) % 5 and k in known]
+    fold_of = {r[0]: r[1] for r in documents(spark).select("doc_id", F.pmod(F.xxhash64("doc_id"), F.lit(3)).cast("int")).collect()}
+
+    def score(rows, x, pool, ridge, temperature):
+        group = {c: np.stack([v for _, v, y in rows if y == c]) for c in (0, 1)}
+        own = {c: np.cov(v.T, bias=True) for c, v in group.items()}
+        pooled = sum(len(group[c]) * own[c] for c in (0, 1)) / len(rows)
+        scale = np.sqrt(np.maximum(np.diag(pooled), 1e-6))
+        logs = {}
+        for c in (0, 1):
+            s = ((1 - pool) * own[c] + pool * pooled) / np.outer(scale, scale)
+            s = (1 - ridge) * s + ridge * max(np.trace(s) / len(s), 1e-3) * np.eye(len(s))
+            z = (x - group[c].mean(axis=0)) / scale
+            logs[c] = -0.5 * z @ np.linalg.solve(s, z) - 0.5 * np.linalg.slogdet(s)[1]
+        prior = len(group[1]) / len(group[0])
+        return 1 / (1 + np.exp(-((logs[1] - logs[0]) / temperature + np.log(prior))))
+
+    losses = {}
+    for choice in [(p, r, t) for p in quality.POOLS for r in quality.RIDGES for t in quality.TEMPERATURES]:
+        loss = 0.0
+        for k, x, y in train:
+            p = np.clip(score([row for row in train if fold_of[row[0]] != fold_of[k]], x, *choice), 1e-6, 1 - 1e-6)
+            loss -= np.log(p if y else 1 - p)
+        losses[choice] = round(loss / len(train), 6)
+    model = quality.fit(quality.statistics(documents(spark)), labels)
+    chosen = (model.pool, model.ridge, model.temperature)
+    assert losses[chosen] <= min(losses.values()) + 2e-6
+    out = {r.doc_id: r.score for r in quality.quality_scores(documents(spark), labels).collect()}
+    for k, t in docs[::5]:
+        assert abs(out[k] - score(train, np.array(quality.statistics_of(t)), *chosen)) < 1e-6
+
+
 def test_quality_odd_tables(spark):
     labels = spark.createDataFrame([(0, 1), (0, 0), (6, 1), (1, None), (99, 0)], "doc_id long, quality int")
     out = quality.quality_scores(odd_documents(spark), labels).collect()
@@ -282,7 +356,7 @@ def test_top_k_matches_brute_force(spark):
     vectors += [(400 + k, vectors[7][1]) for k in range(60)] + [(500, None), (501, [1.0, float("nan")]), (502, [1.0, None]), (503, [float("inf")]), (550, [1.0, 2.0]), (600, []), (None, [1.0] * 6)]
     ints = {k: np.floor(256 * np.array(v)).astype(int) for k, v in vectors[:460]}
     out = defaultdict(list)
-    for r in topk.top_k(spark.createDataFrame(vectors, "vec_id long, embedding array<double>"), shard_rows=90, query_rows=4, block_rows=16).collect():
+    for r in topk.top_k(spark.createDataFrame(vectors, "vec_id long, embedding array<double>"), shard_numbers=540, query_numbers=24, block_rows=16).collect():
         out[r.query_id].append((r["rank"], r.vec_id, r.score))
     for q in [k for k in ints if k % 50 == 0]:
         best = sorted(((-int(ints[q] @ v), k) for k, v in ints.items() if k != q))[:5]
@@ -314,6 +388,60 @@ def test_language_held_out_accuracy(spark):
     assert {r.lang_pred for r in langid.identify(odd_documents(spark), none).collect()} == {"und"}
 
 
+def brute_language(train, text, grams_of, min_share=2e-5):
+    """Predictions with plain dictionaries: counts by language and slot, a bit where the share suffices, corrected counts."""
+    counts, totals = defaultdict(lambda: defaultdict(int)), defaultdict(int)
+    for t, lang in train:
+        for gram in grams_of(t):
+            for slot in gram:
+                counts[lang][slot] += 1
+                totals[lang] += 1
+    bits = {g: {s for s, n in c.items() if n * langid.HASHES >= min_share * totals[g]} for g, c in counts.items()}
+    parts = 1 << langid.SLOT_BITS
+    rate = {g: np.prod([sum(s // parts == k for s in b) / parts for k in range(langid.HASHES)]) for g, b in bits.items()}
+    grams = grams_of(text)
+    level = {g: max((sum(all(s in b for s in gram) for gram in grams) - len(grams) * rate[g]) / (1 - rate[g]), 0) for g, b in bits.items()}
+    best = min(level, key=lambda g: (-level[g], g))
+    return best, level[best] / sum(level.values()) if sum(level.values()) else 0.0
+
+
+def test_language_filter_matches_brute_force_beyond_64_languages(spark, monkeypatch):
+    random.seed(6)
+    text = "Größe x\U00010428y 12 " * 9
+    whole = list(langid.slots(text))
+    monkeypatch.setattr(langid, "BLOCK", 16)  # a text of many blocks has the same n-grams
+    assert len(list(langid.slots(text))) > 5 and np.array_equal(np.concatenate([x for _, x in langid.slots(text)]), whole[0][1])
+    monkeypatch.undo()
+    rows = []
+    for k in range(70):
+        letters = random.sample("abcdefghijklmnopqrstuvwxyzäöüßéèñçøåþð\U00010428", 6)
+        for m in range(8):
+            rows.append((len(rows), " ".join("".join(random.choice(letters) for _ in range(random.randint(2, 7))) for _ in range(40)), f"l{k:02d}"))
+    rows += [(1000, None, "l01"), (1001, "1 2 3", "l02"), (1002, "abc", None)]
+    made = spark.createDataFrame(rows, "doc_id long, text string, lang string").unionAll(spark.createDataFrame(rows[:2], "doc_id long, text string, lang string"))
+    model = langid.learn(made, held_langs=3)
+    assert len(model.langs) == 70 and model.masks.shape[0] == 2
+
+    def grams_of(text):
+        low = " " + "".join(c.lower() if c.isalpha() else " " for c in text) + " "
+        return [tuple(x) for g in (low[k : k + 3] for k in range(len(low) - 2)) if g[1] != " " and g.strip(" ") and len(g.replace(" ", "")) >= 2 for x in slot_of(g)]
+
+    def slot_of(gram):
+        value = 0
+        for c in gram:
+            value = value << 21 | (0 if c == " " else ord(c))
+        x = int(langid.mix(np.array([value], np.uint64))[0])
+        return [[(x >> langid.SLOT_BITS * k & (1 << langid.SLOT_BITS) - 1) + (k << langid.SLOT_BITS) for k in range(langid.HASHES)]]
+
+    train = [(r.text, r.lang) for r in made.collect() if r.text is not None and r.lang is not None and zlib.crc32(str(r.doc_id).encode()) % 5]
+    out = {r.doc_id: r for r in langid.identify(made, model).collect()}
+    for k, text, _ in rows[::23]:
+        lang, score = brute_language(train, text, grams_of)
+        assert out[k].lang_pred == lang and abs(out[k].score - score) < 1e-8
+    assert sum(out[k].lang_pred == lang for k, _, lang in rows[:560]) > 500
+    assert out[1000].lang_pred == out[1001].lang_pred == "und"
+
+
 def brute_targets(sizes, share=1.5, most=2.0):
     order = sorted(sizes, key=lambda s: (s is None, (s or "").encode()))
     weight = {s: (5, 2, 1)[k % 3] for k, s in enumerate(order)}
@@ -386,21 +514,45 @@ def test_media_retries_members_by_offset(tmp_path):
     assert [r["doc_id"] for r in rows] == [0, 1, 2, 3, 4]
     assert [media.decode_png(r["media"])[:4] for r in rows][3] == b"xxx\xff"
 
-    calls = []
+    class Flaky:
+        """A store whose first ``failures`` handles fail: a lost open, a short read, or a read that raises."""
+
+        def __init__(self, kinds):
+            self.kinds, self.opened = list(kinds), 0
 
-    class Store:
         def open_input_file(self, path):
-            calls.append(path)
-            if len(calls) == 1:
+            self.opened += 1
+            kind = self.kinds.pop(0) if self.kinds else None
+            if kind == "open":
                 raise OSError("lost")
-            return fs.LocalFileSystem().open_input_file(path)
-
-    info = zipfile.ZipFile(tmp_path / "part-0.zip").infolist()[2]
-    assert media.decode_png(reader.member(Store(), str(tmp_path / "part-0.zip"), info))[:2] == b"xx"
-    assert len(calls) == 2
-    info.CRC ^= 1
+            source = fs.LocalFileSystem().open_input_file(path)
+            if kind is None:
+                return source
+
+            class Bad:
+                seek, close = source.seek, source.close
+
+                def read(self, n):
+                    if kind == "read":
+                        raise OSError("lost")
+                    return source.read(min(n, 7))  # short
+
+            return Bad()
+
+    path = str(tmp_path / "part-0.zip")
+    infos = zipfile.ZipFile(path).infolist()
+    for kinds in (["open"], ["short"], ["read"], ["open", "short"]):
+        store = Flaky(kinds)
+        archive = media.ArchiveHandle(store, path, 3)
+        assert media.decode_png(reader.member(archive, infos[2]))[:2] == b"xx" and store.opened == len(kinds) + 1
+        assert media.decode_png(reader.member(archive, infos[3]))[:3] == b"xxx" and store.opened == len(kinds) + 1  # the same handle
+    store = Flaky(["open", "open"])
+    assert len(reader.directory(media.ArchiveHandle(store, path, 3))) == 5 and store.opened == 3
+    with pytest.raises(RuntimeError, match="lost"):
+        reader.directory(media.ArchiveHandle(Flaky(["open"] * 3), path, 3))
+    infos[2].CRC ^= 1
     with pytest.raises(RuntimeError, match="checksum"):
-        reader.member(fs.LocalFileSystem(), str(tmp_path / "part-0.zip"), info)
+        reader.member(media.ArchiveHandle(fs.LocalFileSystem(), path, 3), infos[2])
 
 
 def test_pipeline_stages_keep_columns(spark):
