@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 CJK = r"\x{4e00}-\x{9fff}"
 #: Phrases that mark an attempt to override instructions.
@@ -175,6 +177,42 @@ def json_of_answer(text: Column) -> Column:
     return F.when(fence != "", F.trim(fence)).when(text.contains("{"), F.regexp_extract(text, r"(?s)(\{.*\})", 1)).otherwise(F.regexp_extract(text, r"(?s)(\[.*\])", 1))
 
 
+def source_keys(sources: Column) -> Column:
+    """Sorted distinct keys of a JSON array of objects: ``source_id:`` and its value, else ``document_id:`` and its value; null if it is no array of objects.
+
+    Numbers and strings that are not blank are values, nested ones and nulls are not.
+    """
+    value = lambda o, name: F.when(~o[name].rlike(r"^\s*(?:[\[{]|$)"), F.concat(F.lit(f"{name}:"), F.trim(o[name])))
+    objects = F.from_json(sources, "array<struct<source_id: string, document_id: string>>")
+    keys = F.transform(objects, lambda o: F.coalesce(value(o, "source_id"), value(o, "document_id")))
+    return F.array_sort(F.array_distinct(F.filter(keys, lambda k: k.isNotNull())))
+
+
+@F.pandas_udf(ArrayType(StringType()))
+def whole_objects(text: pd.Series) -> pd.Series:
+    """The complete top-level objects of a JSON array that may break off, as texts; braces inside strings do not count."""
+
+    def scan(x: str | None) -> list[str] | None:
+        if x is None:
+            return None
+        found, depth, start, inside, skip = [], 0, 0, False, False
+        for k, c in enumerate(x):
+            if inside:
+                inside, skip = skip or c != '"', not skip and c == "\\"
+            elif c == '"':
+                inside = True
+            elif c == "{":
+                start = k if depth == 0 else start
+                depth += 1
+            elif c == "}" and depth > 0:
+                depth -= 1
+                if depth == 0:
+                    found.append(x[start : k + 1])
+        return found
+
+    return text.map(scan)
+
+
 def front_matter_tags(text: Column) -> Column:
     """The tags of a leading yaml block, ``[a, "b"]`` or ``a, b``."""
     block = F.regexp_extract(text, r"(?s)^---\n(.*?)\n---", 1)
@@ -182,12 +220,18 @@ def front_matter_tags(text: Column) -> Column:
     return F.filter(F.transform(F.split(tags, ","), lambda x: F.trim(x)), lambda t: t != "")
 
 
-def change_ratio(a: Column, b: Column, cut: int = 5000) -> Column:
-    """Edit distance over the longer length; positional mismatches beyond ``cut`` characters; 0 for two empty texts."""
+def change_ratio(a: Column, b: Column, cut: int | None = None) -> Column:
+    """Edit distance over the longer length; 0 for two empty texts.
+
+    The distance is exact for texts of any length, unless ``cut`` asks for positional mismatches
+    beyond that many characters (linear, but one character put in front makes all differ).
+    """
     longer = F.greatest(F.char_length(a), F.char_length(b))
-    at = lambda i: F.substring(a, i, F.lit(1)) != F.substring(b, i, F.lit(1))
-    apart = F.aggregate(F.sequence(F.lit(1), F.greatest(longer, F.lit(1))), F.lit(0), lambda s, i: s + at(i).cast("int"))
-    return F.when(longer == 0, 0.0).when(longer > cut, apart / longer).otherwise(F.levenshtein(a, b) / longer)
+    ratio = F.when(longer == 0, 0.0)
+    if cut is not None:
+        chars = F.zip_with(F.split(a, ""), F.split(b, ""), lambda x, y: ~x.eqNullSafe(y))
+        ratio = ratio.when(longer > cut, F.size(F.filter(chars, lambda apart: apart)) / longer)
+    return ratio.otherwise(F.levenshtein(a, b) / longer)
 
 
 def mask_digits(text: Column) -> Column:

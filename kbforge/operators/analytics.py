@@ -10,6 +10,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import stored
+
 #: Weights, levels and defaults of the scores.
 INDICATORS = {"attendance": 0.30, "data_delay": 0.25, "issue_count": 0.25, "sentiment": 0.20}
 SUBSCORES = {"schedule": 0.25, "cost": 0.20, "quality": 0.20, "risk": 0.20, "scope": 0.10, "comm": 0.05}
@@ -22,6 +24,24 @@ def latest(rows: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int
     return rows.withColumn("nth", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("nth") <= n)
 
 
+def running_total(rows: DataFrame, keys: Sequence[str], order: Sequence[Column], value: str, out: str) -> DataFrame:
+    """``rows`` with ``out``: the sum of ``value`` over the rows of its key before it in ``order``, for keys of any size.
+
+    Rows are range-partitioned by ``order`` and written; the sums of the ranges are accumulated, and
+    only inside a range does a window run.
+    """
+    dealt = stored(rows.repartitionByRange(*order).withColumn("__range", F.spark_partition_id()), "ranges")
+    sums = dealt.groupBy(*keys, "__range").agg(F.sum(value).alias("__sum"))
+    before = Window.partitionBy(*keys).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sums.select(*[F.col(k).alias(f"__{k}") for k in keys], F.col("__range").alias("__of"), F.coalesce(F.sum("__sum").over(before), F.lit(0)).alias("__start"))
+    same = F.col("__range") == F.col("__of")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"__{k}"))
+    inside = Window.partitionBy(*keys, "__range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    found = dealt.join(starts, same).withColumn(out, F.col("__start") + F.coalesce(F.sum(value).over(inside), F.lit(0)))
+    return found.drop("__range", "__of", "__start", *[f"__{k}" for k in keys])
+
+
 def days(later: Column, earlier: Column) -> Column:
     return F.datediff(later, earlier)
 
@@ -200,20 +220,73 @@ def score_cards(scores: DataFrame) -> DataFrame:
 
 
 def audit_calls(calls: DataFrame) -> DataFrame:
-    """Per tool and overall (tool null): calls, ok, errors, integer mean and maximum duration, last start."""
+    """Per tool and overall (tool null): calls, ok, errors, truncated, empty, integer mean and maximum duration, last start.
+
+    ``calls`` has (tool, status, truncated, empty_output, duration_ms, started_at); null flags are false.
+    """
     return calls.rollup("tool").agg(
-        F.count("*").alias("calls"), F.count_if(F.col("status") == "ok").alias("ok"), F.count_if(F.col("status") == "error").alias("errors"),
+        F.count("*").alias("calls"), F.count_if(F.col("status") == "ok").alias("ok"), F.count_if(F.col("status") != "ok").alias("errors"),
+        F.count_if("truncated").alias("truncated"), F.count_if("empty_output").alias("empty"),
         F.floor(F.sum("duration_ms") / F.count("*")).alias("mean_ms"), F.max("duration_ms").alias("max_ms"), F.max("started_at").alias("last_start"),
     )
 
 
+def error_kinds(calls: DataFrame) -> DataFrame:
+    """(kind, n) of failed calls; those without a kind are ``unknown``."""
+    return calls.where("status <> 'ok'").groupBy(F.coalesce("error_kind", F.lit("unknown")).alias("kind")).agg(F.count("*").alias("n"))
+
+
+def newest_errors(calls: DataFrame, n: int = 5) -> DataFrame:
+    """The ``n`` newest failed calls over all tools (a report)."""
+    failed = calls.where("status <> 'ok'").withColumn("kind", F.coalesce("error_kind", F.lit("unknown")))
+    return failed.orderBy(F.col("started_at").desc(), F.col("call_id").desc()).limit(n)
+
+
+def recommend_for_phases(skills: DataFrame, phases: DataFrame, most: int = 6, generic: str = "all") -> DataFrame:
+    """(phase, skill, place): for each of ``phases`` its own skills first, then generic ones, ``most`` in all, each group in the order of ``listed``.
+
+    ``skills`` is (skill, phase, listed), a row for each phase of a skill.
+    """
+    asked = phases.select("phase").distinct()
+    own = latest(skills.join(asked, "phase", "left_semi"), ["phase"], [F.col("listed")], most).select("phase", "skill", F.lit(0).alias("group"), "listed")
+    common = latest(skills.where(F.col("phase") == generic), ["phase"], [F.col("listed")], 2 * most)  # some may be a phase's own
+    common = asked.select("phase", F.lit(generic).alias("of")).join(common.select(F.col("phase").alias("of"), "skill", "listed"), "of")
+    extra = common.join(own.select("phase", "skill"), ["phase", "skill"], "left_anti").select("phase", "skill", F.lit(1).alias("group"), "listed")
+    return latest(own.unionByName(extra), ["phase"], [F.col("group"), F.col("listed")], most).select("phase", "skill", F.col("nth").cast("long").alias("place"))
+
+
+def phase_progress(phases: DataFrame) -> DataFrame:
+    """(project_id, done, percent): completed phases and their rounded share."""
+    done = F.count_if("completed")
+    return phases.groupBy("project_id").agg(done.alias("done"), F.round(done * 100 / F.count("*")).cast("long").alias("percent"))
+
+
+def closing_rates(facts: DataFrame, kinds: Sequence[str] = ("requirements", "tests", "defects", "changes")) -> DataFrame:
+    """(project_id, a rate for each kind) from (project_id, kind, hits, total): what is covered, passed, closed or completed of all; null without any."""
+    rate = lambda k: F.round(F.sum(F.when(F.col("kind") == k, F.col("hits"))) / F.nullif(F.sum(F.when(F.col("kind") == k, F.col("total"))), F.lit(0)), 6).alias(k)
+    return facts.groupBy("project_id").agg(*map(rate, kinds))
+
+
+def test_coverage(requirements: DataFrame, tests: DataFrame) -> DataFrame:
+    """Per project of (project_id, requirement): counts of its tests (project_id, requirement, status) by state, and the share of requirements with a test that ran."""
+    states = {"not_run": "not-run", "passed": "pass", "failed": "fail", "blocked": "blocked"}
+    counts = tests.groupBy("project_id").agg(*[F.count_if(F.col("status") == v).alias(k) for k, v in states.items()])
+    ran = tests.where("status <> 'not-run'").select("project_id", "requirement").distinct().withColumn("ran", F.lit(1))
+    share = requirements.join(ran, ["project_id", "requirement"], "left").groupBy("project_id").agg(F.round(F.count("ran") / F.count("*"), 6).alias("coverage"))
+    return share.join(counts, "project_id", "left").select("project_id", "coverage", *[F.coalesce(k, F.lit(0)).alias(k) for k in states])
+
+
+def open_issues(tests: DataFrame, closed: DataFrame, key: str = "test_id") -> DataFrame:
+    """Failed and blocked tests that ``closed`` does not name."""
+    return tests.where("status in ('fail', 'blocked')").join(closed.select(key).distinct(), key, "left_anti")
+
+
 def pareto(causes: DataFrame, cause: str, vital: float = 0.8) -> DataFrame:
     """Frequency of each cause, falling, with its running share; the causes up to the ``vital`` share are marked."""
     counts = causes.groupBy(cause).agg(F.count("*").alias("n"))
-    running = Window.orderBy(F.col("n").desc(), cause)  # one row a cause
-    share = F.sum("n").over(running) / F.sum("n").over(Window.partitionBy())
-    before = (F.sum("n").over(running) - F.col("n")) / F.sum("n").over(Window.partitionBy())
-    return counts.select(cause, "n", F.round(share, 6).alias("share"), (before < vital).alias("vital"))
+    total = causes.count()
+    ranked = running_total(counts, [], [F.col("n").desc(), F.col(cause)], "n", "before")
+    return ranked.select(cause, "n", F.round((F.col("before") + F.col("n")) / total, 6).alias("share"), (F.col("before") / total < vital).alias("vital"))
 
 
 def completeness(rows: DataFrame, columns: Sequence[str]) -> DataFrame:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+import re
+from collections.abc import Iterable, Iterator, Sequence
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -55,38 +57,48 @@ def size_of(text: str) -> int:
     return len(text.encode())
 
 
+def _greedy(pieces: Iterable[str], target: int) -> list[str]:
+    """Pieces, greedily joined up to ``target`` bytes."""
+    out, size = [[]], 0
+    for p in pieces:
+        n = size_of(p)
+        if size and size + n > target:
+            out.append([])
+            size = 0
+        out[-1].append(p)
+        size += n
+    return ["".join(x) for x in out]
+
+
 def pack_sentences(text: str, target: int = TARGET) -> list[str]:
     """Sentences, greedily joined up to ``target`` bytes."""
-    pieces, start = [], 0
-    for k, c in enumerate(text):
-        if c in ENDERS:
-            pieces.append(text[start : k + 1])
-            start = k + 1
-    pieces.append(text[start:])
-    out = [""]
-    for p in pieces:
-        if out[-1] and size_of(out[-1]) + size_of(p) > target:
-            out.append("")
-        out[-1] += p
-    return [x.strip() for x in out if x.strip()]
+    return [x.strip() for x in _greedy(re.findall(rf"[^{ENDERS}]*[{ENDERS}]|[^{ENDERS}]+", text), target) if x.strip()]
 
 
 def pack_paragraphs(text: str, target: int = TARGET, overlap: float = OVERLAP) -> list[str]:
     """Paragraphs, greedily joined; a chunk opens with the tail of the one before, except after a paragraph that had to be cut."""
-    out, current = [], ""
+    out, parts, size = [], [], 0  # the open chunk's lines and their bytes, with line feeds
+
+    def open_with(*lines: str) -> None:
+        nonlocal parts, size
+        parts, size = list(lines), sum(map(size_of, lines)) + max(len(lines) - 1, 0)
+
     for p in filter(None, (x.strip() for x in text.split("\n"))):
-        if size_of(p) > target:
-            if current:
-                out.append(current)
+        n = size_of(p)
+        if n > target:
+            if parts:
+                out.append("\n".join(parts))
             out += pack_sentences(p, target)
-            current = ""
-        elif current and size_of(current) + 1 + size_of(p) > target:
-            out.append(current)
-            tail = current[-int(len(current) * overlap) :] if int(len(current) * overlap) else ""
-            current = f"{tail}\n{p}" if tail else p
+            open_with()
+        elif parts and size + 1 + n > target:
+            whole = "\n".join(parts)
+            out.append(whole)
+            cut = int(len(whole) * overlap)
+            open_with(*([whole[-cut:]] if cut else []), p)
         else:
-            current = f"{current}\n{p}" if current else p
-    return out + [current] if current else out
+            size += n + (1 if parts else 0)
+            parts.append(p)
+    return [*out, "\n".join(parts)] if parts else out
 
 
 def level_sizes(chunks: list[str], small: int = SMALL, large: int = LARGE) -> list[str]:
@@ -127,21 +139,28 @@ def chunk_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", ch
 def budget_batches(chunks: DataFrame, budget: int, key: str = "document_id", order: str = "line_no", content: str = "content", weight: str = "tokens") -> DataFrame:
     """``chunks`` with ``batch_no``: pieces in order, greedily packed so that a batch's ``weight`` stays within ``budget``.
 
-    Pieces over the budget get a batch of their own (cut them before). The fold runs over one
-    document's pieces; its state is two numbers.
+    Pieces over the budget get a batch of their own (cut them before). The fold depends on the
+    order, so pieces stream through a task sorted by document; its state is two numbers, whatever
+    a document's length.
     """
-    ordered = chunks.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(order, weight, content))).alias("pieces"))
-    start = F.struct(F.lit(0).cast("long").alias("batch"), F.lit(0).cast("long").alias("used"), F.array().cast("array<bigint>").alias("out"))
-
-    def place(s, p):
-        new = (s["used"] > 0) & (s["used"] + p[weight] > budget)
-        batch = s["batch"] + new.cast("long")
-        used = F.when(new, p[weight]).otherwise(s["used"] + p[weight]).cast("long")
-        return F.struct(batch.alias("batch"), used.alias("used"), F.concat(s["out"], F.array(batch)).alias("out"))
-
-    numbered = ordered.select(key, F.arrays_zip("pieces", F.aggregate("pieces", start, place, lambda s: s["out"]).alias("batch")).alias("z"))
-    each = numbered.select(key, F.explode("z").alias("z"))
-    return each.select(key, F.col(f"z.pieces.{order}").alias(order), F.col(f"z.pieces.{content}").alias(content), F.col(f"z.pieces.{weight}").alias(weight), F.col("z.batch").alias("batch_no"))
+    columns = [key, order, content, weight]
+    ordered = chunks.select(*columns).repartition(key).sortWithinPartitions(key, order)
+    schema = ", ".join(f"{c} {ordered.schema[c].dataType.simpleString()}" for c in columns) + ", batch_no long"
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, used, number = None, 0, 0
+        for batch in batches:
+            numbers = []
+            for k, w in zip(batch.column(key).to_pylist(), batch.column(weight).to_pylist()):
+                if k != at:
+                    at, used, number = k, 0, 0
+                if used > 0 and used + w > budget:
+                    used, number = 0, number + 1
+                used += w
+                numbers.append(number)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(numbers, pa.int64())], [*columns, "batch_no"])
+
+    return ordered.mapInArrow(place, schema)
 
 
 def merge_partials(partials: DataFrame, key: str, order: str, values: str) -> DataFrame:

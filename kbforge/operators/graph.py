@@ -7,9 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Edge weights by signal, and how many pages of a tag or source are paired.
+from .pairs import pairs_within
+
+#: Edge weights by signal.
 WEIGHTS = {"wikilink": 1.0, "tag": 0.6, "source": 0.4, "co_citation": 0.3}
-PER_GROUP = 50
 EDGE = ["project_id", "source_slug", "target_slug", "signal", "weight"]
 
 
@@ -20,33 +21,37 @@ def wikilink_edges(pages: DataFrame) -> DataFrame:
     return links.withColumns({"signal": F.lit("wikilink"), "weight": F.lit(WEIGHTS["wikilink"])})
 
 
-def co_occurrence_edges(members: DataFrame, signal: str, per_group: int | None = PER_GROUP) -> DataFrame:
-    """Pairs a < b of slugs that share a group of (project_id, group, slug); the first ``per_group`` of a group by slug are paired."""
-    members = members.distinct()
+def co_occurrence_edges(members: DataFrame, signal: str, per_group: int | None = None) -> DataFrame:
+    """Pairs a < b of slugs that share a group of (project_id, group, slug): all of them, or those of its first ``per_group`` slugs.
+
+    The pairs are the result and grow as groups squared, which ``per_group`` bounds where that is
+    wanted; large groups are dealt over tasks (``pairs_within``).
+    """
+    members = members.select("project_id", "group", "slug").distinct()
     if per_group is not None:
         nth = F.row_number().over(Window.partitionBy("project_id", "group").orderBy("slug"))
         members = members.withColumn("nth", nth).where(F.col("nth") <= per_group).drop("nth")
-    a, b = members.withColumnRenamed("slug", "source_slug"), members.withColumnRenamed("slug", "target_slug")
-    pairs = a.join(b, ["project_id", "group"]).where("source_slug < target_slug")
-    return pairs.select("project_id", "source_slug", "target_slug").distinct().withColumns({"signal": F.lit(signal), "weight": F.lit(WEIGHTS[signal])})
+    pairs = pairs_within(members, ["project_id", "group"], "slug").select("project_id", F.col("x").alias("source_slug"), F.col("y").alias("target_slug")).distinct()
+    return pairs.withColumns({"signal": F.lit(signal), "weight": F.lit(WEIGHTS[signal])})
 
 
-def tag_edges(pages: DataFrame) -> DataFrame:
-    return co_occurrence_edges(pages.select("project_id", F.explode("tags").alias("group"), "slug"), "tag")
+def tag_edges(pages: DataFrame, per_group: int | None = None) -> DataFrame:
+    return co_occurrence_edges(pages.select("project_id", F.explode("tags").alias("group"), "slug"), "tag", per_group)
 
 
-def source_edges(pages: DataFrame) -> DataFrame:
-    return co_occurrence_edges(pages.select("project_id", F.explode("sources").alias("group"), "slug"), "source")
+def source_edges(pages: DataFrame, per_group: int | None = None) -> DataFrame:
+    return co_occurrence_edges(pages.select("project_id", F.explode("sources").alias("group"), "slug"), "source", per_group)
 
 
 def co_citation_edges(links: DataFrame) -> DataFrame:
     """Pairs of pages that link to the same target."""
-    return co_occurrence_edges(links.select("project_id", F.col("target_slug").alias("group"), F.col("source_slug").alias("slug")), "co_citation", None)
+    return co_occurrence_edges(links.select("project_id", F.col("target_slug").alias("group"), F.col("source_slug").alias("slug")), "co_citation")
 
 
-def build_graph(pages: DataFrame) -> DataFrame:
+def build_graph(pages: DataFrame, per_group: int | None = None) -> DataFrame:
+    """Edges of all four signals; ``per_group`` bounds how many pages of a tag or source are paired."""
     links = wikilink_edges(pages)
-    return links.select(EDGE).unionByName(tag_edges(pages)).unionByName(source_edges(pages)).unionByName(co_citation_edges(links))
+    return links.select(EDGE).unionByName(tag_edges(pages, per_group)).unionByName(source_edges(pages, per_group)).unionByName(co_citation_edges(links))
 
 
 def extract_links(rows: DataFrame, known: DataFrame, slug: str, text: str) -> DataFrame:

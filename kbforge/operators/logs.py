@@ -16,6 +16,18 @@ COMPLEX_EN = ["step by step", "first", "then", "finally", "next", "plan", "archi
 SIMPLE = ["查询", "搜索", "查找", "什么", "多少", "是否", "search", "find", "what", "how many"]
 DRIFT = ["接下来我将", "同时我也会", "综合以上所有步骤", "跳过", "我决定改为", "Next I will", "Furthermore", "In summary", "skip", "I decide to", "instead", "let me also"]
 
+STEP_FAILURES = ["失败", "错误", "error", "failed", "exception", "超时", "timeout", "不支持", "not supported"]
+#: What is learned from a failure, by its kind and by words of its reason.
+RULES = {
+    "empty": "调用工具后必须检查结果是否为空，空结果不应继续后续流程",
+    "timeout": "工具调用超时时必须降级处理，不要反复重试同一操作",
+    "unsupported": "遇到不支持的功能时，应立即告知用户而非反复尝试",
+    "exhausted": "连续失败时需检查原因: ",
+    "replan": "任务执行受阻时应重新评估方案: ",
+    "one_timeout": "单次工具调用超时时，应切换备选方案而非无限等待",
+    "other": "注意: ",
+}
+
 
 def repeated_calls(calls: DataFrame, allowed: int = 3) -> DataFrame:
     """Calls of the same tool with the same first 100 bytes of arguments beyond ``allowed`` in a step."""
@@ -36,6 +48,23 @@ def plan_drift(steps: DataFrame) -> DataFrame:
     return steps.withColumn("drift", F.when(phrase.isNotNull(), F.concat(F.lit("phrase:"), phrase)).when(wrong, "tool").when(F.col("planned_tool").isNull() & F.col("tool").isNotNull(), "no_tool"))
 
 
+def step_failure(output: Column, expected: Column) -> Column:
+    """Why a step's output fails: ``empty``, ``word:`` and the first failure word, ``short`` (under 10 bytes where over 50 were expected), or null."""
+    low = F.lower(output)
+    word = F.try_element_at(F.filter(literals(STEP_FAILURES), lambda w: F.contains(low, w)), F.lit(1))
+    blank = F.coalesce(F.trim(output, F.lit(" \t\r\n")), F.lit("")) == ""
+    short = (F.octet_length(output) < 10) & (F.octet_length(expected) > 50)
+    return F.when(blank, "empty").when(word.isNotNull(), F.concat(F.lit("word:"), word)).when(short, "short")
+
+
+def rule_of(kind: Column, reason: Column) -> Column:
+    """The rule that a failure of a kind (exhausted, replan, timeout, any other) teaches."""
+    has = lambda *words: F.contains(reason, F.lit(words[0])) | F.contains(reason, F.lit(words[1]))
+    told = lambda name: F.concat(F.lit(RULES[name]), F.left(reason, F.lit(80)))
+    exhausted = F.when(has("为空", "empty"), RULES["empty"]).when(has("超时", "timeout"), RULES["timeout"]).when(has("不支持", "not supported"), RULES["unsupported"]).otherwise(told("exhausted"))
+    return F.when(kind == "exhausted", exhausted).when(kind == "replan", told("replan")).when(kind == "timeout", RULES["one_timeout"]).otherwise(told("other"))
+
+
 def failure_streaks(results: DataFrame, most: int, order: Sequence[str]) -> DataFrame:
     """``results`` (session_id, failed) with the running ``streak`` of failures and whether it calls for a new plan."""
     by = Window.partitionBy("session_id").orderBy(*order)

@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.scratch import fresh_dir, stored
-from .analytics import latest
-from .retrieval import cosine
+from .analytics import latest, running_total
+from .retrieval import blocked, matrices
 
 
 def classify_arrivals(arrivals: DataFrame, existing: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -24,16 +27,42 @@ def classify_arrivals(arrivals: DataFrame, existing: DataFrame, keys: Sequence[s
     return found.withColumn("state", state).drop("nth", "chunks")
 
 
-def semantic_duplicates(vectors: DataFrame, least: float = 0.92, blocks: int = 16) -> DataFrame:
+def semantic_duplicates(vectors: DataFrame, least: float = 0.92, unit_numbers: int = 1 << 20) -> DataFrame:
     """(project_id, keep, drop, similarity): pairs of a project's vectors over ``least``; the smaller id is kept.
 
-    A project is compared with itself in ``blocks`` x ``blocks`` parts, so no task holds a project.
+    Exact: a project is dealt into blocks of about ``unit_numbers`` components, and each pair of
+    blocks is one matrix product inside a task; only pairs over ``least`` leave it.
     """
-    part = F.pmod(F.hash("vec_id"), F.lit(blocks))
-    a = vectors.select("project_id", F.col("vec_id").alias("keep"), F.col("embedding").alias("va"), part.alias("i"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("j"))
-    b = vectors.select("project_id", F.col("vec_id").alias("drop"), F.col("embedding").alias("vb"), part.alias("j"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("i"))
-    pairs = a.join(b, ["project_id", "i", "j"]).where("keep < drop").withColumn("similarity", F.round(cosine(F.col("va"), F.col("vb")), 6))
-    return pairs.where(F.col("similarity") > least).select("project_id", "keep", "drop", "similarity")
+    rows = vectors.select("project_id", "vec_id", F.col("embedding").cast("array<double>").alias("v")).where("project_id is not null and vec_id is not null and v is not null")
+    rows = stored(rows, "vectors")
+    sizes = rows.groupBy("project_id").agg(F.ceil(F.sum(F.size("v")) / unit_numbers).cast("int").alias("blocks"))
+    dealt = rows.join(sizes, "project_id").withColumn("block", F.pmod(F.xxhash64("vec_id"), F.greatest("blocks", F.lit(1))).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.greatest("blocks", F.lit(1)) - 1)))
+    dealt = dealt.select("project_id", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "vec_id", "v")
+    kinds = {c: rows.schema[c].dataType.simpleString() for c in ("project_id", "vec_id")}
+    schema = f"project_id {kinds['project_id']}, keep {kinds['vec_id']}, drop {kinds['vec_id']}, similarity double"
+    names = ["project_id", "keep", "drop", "similarity"]
+
+    def compare(table: pa.Table) -> pa.Table:
+        table = table.take(pc.sort_indices(table["vec_id"]))
+        ids, block, i, j = table["vec_id"], table["block"].to_numpy(), table["i"][0].as_py(), table["j"][0].as_py()
+        one, two, near = [], [], []
+        for _, (at, m, gap, norm) in matrices(table["v"])[1].items():
+            at = at[~gap & (norm > 0)]
+            unit = m[~gap & (norm > 0)] / norm[~gap & (norm > 0)][:, None]
+            for begin in range(0, len(at), 512):
+                dot = unit[begin : begin + 512] @ unit.T
+                dot = np.copysign(np.floor(np.abs(dot) * 1e6 + 0.5) / 1e6, dot)
+                x, y = np.nonzero(dot > least)
+                fine = (x + begin < y) & ((i == j) | (block[at[x + begin]] != block[at[y]]))
+                one.append(at[x[fine] + begin])
+                two.append(at[y[fine]])
+                near.append(dot[x[fine], y[fine]])
+        one, two = (np.concatenate([np.empty(0, np.int64), *k]) for k in (one, two))
+        project = pa.repeat(table["project_id"][0], len(one))
+        return pa.table([project, ids.take(pa.array(one)), ids.take(pa.array(two)), pa.array(np.concatenate([np.empty(0), *near]))], names=names)
+
+    return dealt.groupBy("project_id", "i", "j").applyInArrow(compare, schema)
 
 
 def retain_newest(rows: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int) -> DataFrame:
@@ -74,13 +103,68 @@ def normalise_items(items: DataFrame, default: str = "general") -> DataFrame:
     return rows.withColumn("confidence", F.greatest(F.least("confidence", F.lit(1.0)), F.lit(0.0)))
 
 
-def fuzzy_duplicates(rows: DataFrame, block: Column, key: str, text: str, most: float = 0.2) -> DataFrame:
-    """Pairs (a, b) inside a block whose edit distance is at most ``most`` of the longer text; distinct texts only are compared."""
-    distinct = rows.groupBy(block.alias("block"), text).agg(F.min(key).alias(key))
-    a = distinct.select("block", F.col(key).alias("a"), F.col(text).alias("x"))
-    b = distinct.select("block", F.col(key).alias("b"), F.col(text).alias("y"))
-    near = F.levenshtein("x", "y") <= F.greatest(F.char_length("x"), F.char_length("y")) * most
-    return a.join(b, "block").where((F.col("a") < F.col("b")) & near).select("a", "b")
+def treat_missing(rows: DataFrame, rules: Sequence[tuple[str, str, object]]) -> DataFrame:
+    """``rows`` after steps (column, action, value): ``fill`` puts the value, ``mark`` adds ``<column>_missing``, ``drop`` removes rows; in order."""
+    for column, action, value in rules:
+        if action == "fill":
+            rows = rows.withColumn(column, F.coalesce(F.col(column), F.lit(value)))
+        elif action == "mark":
+            rows = rows.withColumn(f"{column}_missing", F.col(column).isNull())
+        elif action == "drop":
+            rows = rows.where(F.col(column).isNotNull())
+        else:
+            raise ValueError(f"no such action: {action}")
+    return rows
+
+
+def missing_counts(rows: DataFrame, rules: Sequence[tuple[str, str, object]]) -> DataFrame:
+    """(step, column, action, rows, missing) before each step of ``treat_missing``, in one pass over ``rows``."""
+    alive, filled, parts = F.lit(True), set(), []
+    for k, (column, action, _) in enumerate(rules):
+        gone = F.lit(False) if column in filled else F.col(column).isNull()
+        parts.append(F.struct(F.lit(k + 1).alias("step"), F.lit(column).alias("column"), F.lit(action).alias("action"), F.count_if(alive).alias("rows"), F.count_if(alive & gone).alias("missing")))
+        if action == "drop":
+            alive = alive & ~gone
+        elif action == "fill":
+            filled.add(column)
+    return rows.agg(F.array(*parts).alias("steps")).select(F.inline("steps"))
+
+
+def coverage(required: DataFrame, files: DataFrame, most: int = 4096) -> DataFrame:
+    """(phase, name, required, status, path): each listed deliverable with the first file of its phase that fits, and files that no name lists.
+
+    ``required`` is (phase, name, required), ``files`` (phase, path). A file fits if its path or its
+    name without extension holds the deliverable's name, or the other way round. Without a file a
+    required one is ``missing``, another ``optional``; with one it is ``pending``. Files whose name
+    is not listed in their phase are ``optional``.
+    """
+    stem = F.regexp_replace(F.substring_index("path", "/", -1), r"(?<=.)\.[^.]*$", "")
+    named = files.select("phase", "path", stem.alias("stem"))
+    wanted = required.where("name <> ''").select(F.col("phase").alias("of"), "name", "required")
+    fits = (F.col("phase") == F.col("of")) & (F.contains("path", F.col("name")) | F.contains("name", F.col("stem")) | F.contains("stem", F.col("name")))
+    first = blocked(named, wanted, fits, most).groupBy("of", "name").agg(F.min("path").alias("path"))
+    cells = wanted.join(first, ["of", "name"], "left")
+    status = F.when(F.col("path").isNotNull(), "pending").when(F.col("required"), "missing").otherwise("optional")
+    listed = cells.select(F.col("of").alias("phase"), "name", "required", status.alias("status"), "path")
+    extra = files.withColumn("name", F.substring_index("path", "/", -1)).join(required.select("phase", "name").distinct(), ["phase", "name"], "left_anti")
+    return listed.unionByName(extra.select("phase", "name", F.lit(False).alias("required"), F.lit("optional").alias("status"), "path"))
+
+
+def sign_off(cells: DataFrame, events: DataFrame, most: int = 4096) -> DataFrame:
+    """``cells`` (cell, phase, name, status) with the last sign-off of the completed ``events`` (event, phase, name, signed_off) that chose each.
+
+    An event chooses the first cell whose phase and name fit: equal, or one phase holds the other;
+    names equal with or without extension, or the cell's holds the event's, or the event's holds the
+    cell's without extension. A cell once signed off is done.
+    """
+    stem = lambda c: F.regexp_replace(c, r"(?<=.)\.[^.]*$", "")
+    asked = events.select("event", F.col("phase").alias("ep"), F.col("name").alias("en"), "signed_off")
+    phase = F.contains("phase", F.col("ep")) | F.contains("ep", F.col("phase"))
+    name = (stem("name") == stem("en")) | F.contains("name", F.col("en")) | F.contains("en", stem("name"))
+    chosen = blocked(cells.select("cell", "phase", "name"), asked, phase & name, most).groupBy("event", "signed_off").agg(F.min("cell").alias("cell"))
+    last = chosen.groupBy("cell").agg(F.max_by("signed_off", "event").alias("signed_off"), F.bool_or("signed_off").alias("ever"))
+    found = cells.join(last, "cell", "left")
+    return found.select("cell", "phase", "name", F.when(F.col("ever"), "done").otherwise(F.col("status")).alias("status"), F.coalesce("signed_off", F.lit(False)).alias("signed_off"))
 
 
 def classify_candidates(candidates: DataFrame, pages: DataFrame, ratio: Column, auto: float = 0.3) -> DataFrame:
@@ -102,8 +186,22 @@ def queue_state(log: DataFrame, retries: int = 3) -> DataFrame:
     """(item, project_id, state, position): the latest state of each item, failed ones with retries left pending again; pending ones in arrival order."""
     last = log.groupBy("project_id", "item").agg(F.max_by("state", F.struct("ts", "event_id")).alias("state"), F.count_if(F.col("state") == "failed").alias("failures"), F.min("ts").alias("first"))
     last = last.withColumn("state", F.when((F.col("state") == "failed") & (F.col("failures") < retries), "pending").otherwise(F.col("state")))
-    position = F.when(F.col("state") == "pending", F.row_number().over(Window.partitionBy("project_id", "state").orderBy("first", "item")))
-    return last.select("project_id", "item", "state", position.cast("long").alias("position"))
+    last = running_total(last.withColumn("waits", (F.col("state") == "pending").cast("long")), ["project_id"], [F.col("first"), F.col("item")], "waits", "before")
+    return last.select("project_id", "item", "state", F.when(F.col("state") == "pending", F.col("before") + 1).alias("position"))
+
+
+def recent_title_duplicates(arrivals: DataFrame, listed: DataFrame, n: int = 3, keys: Sequence[str] = ("project_id",)) -> DataFrame:
+    """``arrivals`` with ``duplicate``: whether the title equals one of the ``n`` documents at the end of the project's newest-first list.
+
+    ``listed`` has the keys, ``title``, ``created`` and ``doc_id``.
+    """
+    last = latest(listed, keys, [F.col("created"), F.col("doc_id")], n).select(*keys, "title").distinct().withColumn("duplicate", F.lit(True))
+    return arrivals.join(last, [*keys, "title"], "left").withColumn("duplicate", F.coalesce("duplicate", F.lit(False)))
+
+
+def replace_vectors(current: DataFrame, changes: DataFrame, removed: DataFrame, key: str = "vec_id", version: str = "version") -> DataFrame:
+    """Whole rows after a keyed replacement (the highest version of a key stays) and the removal of keys."""
+    return upsert(current, changes, [key], version).join(removed.select(key).distinct(), key, "left_anti")
 
 
 def append_versions(rows: DataFrame, existing: DataFrame, key: str, order: Sequence[Column]) -> DataFrame:

@@ -11,31 +11,53 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import stored
+
 #: BM25 and fusion constants.
 K1, B = 1.2, 0.75
 FUSION_K, VECTOR_WEIGHT, TEXT_WEIGHT, CANDIDATES = 60, 2.0, 1.0, 200
 
 
 def postings(chunks: DataFrame, tokens: Column, key: str = "chunk_id", scope: str = "project_id") -> DataFrame:
-    """(scope, key, dl, term, tf): one row for each term of each chunk, with the chunk's length.
+    """(scope, key, dl, head, term, tf): one row for each term of each chunk, with the chunk's length.
 
-    The length travels with the posting, so scoring needs no join for it. Store the result
+    Terms are counted inside the row, as runs of its sorted tokens, so nothing is shuffled. The
+    length travels with the posting, so scoring needs no join for it; ``head`` marks one posting of
+    each chunk, so the collection's size and mean length are plain sums. Store the result
     (``sources.scratch.stored``, or a table partitioned by scope) and ask it many times.
     """
-    each = chunks.select(scope, key, tokens.alias("__t")).select(scope, key, F.size("__t").cast("long").alias("dl"), F.explode("__t").alias("term"))
-    return each.groupBy(scope, key, "dl", "term").agg(F.count("*").alias("tf"))
+    each = chunks.select(scope, key, F.sort_array(tokens).alias("__t"))
+    n = F.size("__t")
+    new = lambda i: (i == 0) | (F.get("__t", i) != F.get("__t", i - 1))
+    starts = F.when(n > 0, F.filter(F.sequence(F.lit(0), n - 1), new)).otherwise(F.array().cast("array<int>"))
+    each = each.select(scope, key, "__t", starts.alias("__s"))
+    run = lambda at, j: F.struct(F.get("__t", at).alias("term"), (F.coalesce(F.get("__s", j + 1), n) - at).cast("long").alias("tf"), (j == 0).alias("head"))
+    each = each.select(scope, key, n.cast("long").alias("dl"), F.explode(F.transform("__s", run)).alias("__p"))
+    return each.select(scope, key, "dl", "__p.head", "__p.term", "__p.tf")
+
+
+def phrase_postings(chunks: DataFrame, posted: DataFrame, phrases: DataFrame, text: Column, key: str = "chunk_id", scope: str = "project_id", most: int = 4096) -> DataFrame:
+    """``posted`` with a posting for each phrase of (phrase) that a chunk's lower-cased ``text`` holds, kept whole as a term.
+
+    The phrase table is given by the user and of any size (``blocked``); a phrase counts once a chunk.
+    """
+    low = chunks.select(scope, key, F.lower(text).alias("__low"))
+    held = blocked(low, phrases.select(F.lower("phrase").alias("term")).where("term <> ''").distinct(), F.contains("__low", F.col("term")), most)
+    lengths = posted.where("head").select(key, "dl")
+    held = held.select(scope, key, "term").join(lengths, key, "left")
+    return posted.unionByName(held.select(scope, key, F.coalesce("dl", F.lit(0)).cast("long").alias("dl"), F.lit(False).alias("head"), "term", F.lit(1).cast("long").alias("tf")))
 
 
 def bm25(queries: DataFrame, posted: DataFrame, k: int = 5, key: str = "chunk_id", k1: float = K1, b: float = B) -> DataFrame:
     """(query_id, key, score, rank): the ``k`` best chunks of each query of (query_id, term).
 
     Only postings of asked terms are shuffled, by term, and document frequencies are counted on
-    them. The collection's size and mean length are two numbers.
+    them. The collection's size and mean length are two sums over ``head`` postings.
     """
     terms = queries.select("query_id", "term").distinct()
     hit = posted.join(terms.select("term").distinct(), "term", "left_semi")
     df = hit.groupBy("term").agg(F.count("*").alias("df"))
-    whole = posted.groupBy(key).agg(F.any_value("dl").alias("dl")).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")).first()
+    whole = posted.agg(F.count_if("head").alias("n"), F.avg(F.when(F.col("head"), F.col("dl"))).alias("avgdl")).first()
     n, avgdl = whole["n"], whole["avgdl"] or 1.0
     idf = F.log(1 + (F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.lit(avgdl)))
@@ -80,21 +102,23 @@ def _every(n: int) -> Column:
     return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
 
 
-def nearest(queries: DataFrame, vectors: DataFrame, k: int = 5, most_queries: int = 4096, shard_rows: int = 16384, itself: bool = False) -> DataFrame:
+def nearest(queries: DataFrame, vectors: DataFrame, k: int = 5, most_queries: int = 4096, shard_rows: int = 16384, itself: bool = False, within: str | None = None) -> DataFrame:
     """(query_id, vec_id, similarity, rank): exact nearest by cosine for any number of (query_id, vector), without a row of the query's own id unless ``itself``.
 
     Every (block of about ``most_queries`` queries, shard of about ``shard_rows`` vectors) pair is a
-    unit of work, compared inside its task; the ``k`` best of each are merged.
+    unit of work, compared inside its task; the ``k`` best of each are merged. Queries and vectors
+    meet only where they agree in the column ``within``, if one is named.
     """
-    asked = queries.select("query_id", F.col("vector").cast("array<double>").alias("v")).where("query_id is not null")
-    rows = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("v")).where("vec_id is not null")
+    group = [within] if within else []
+    asked = queries.select("query_id", F.col("vector").cast("array<double>").alias("v"), *group).where("query_id is not null")
+    rows = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("v"), *group).where("vec_id is not null")
     n, cores = rows.count(), rows.sparkSession.sparkContext.defaultParallelism
     shards = max(1, math.ceil(n / shard_rows), min(cores, n // 1024))
     blocks = max(1, math.ceil(asked.count() / most_queries))
     left = asked.withColumns({"block": _dealt(asked, blocks), "shard": _every(shards)})
     right = rows.withColumns({"shard": _dealt(rows, shards), "block": _every(blocks)})
     kinds = [x.schema[c].dataType.simpleString() for x, c in ((asked, "query_id"), (rows, "vec_id"))]
-    found = left.groupBy("block", "shard").cogroup(right.groupBy("block", "shard")).applyInArrow(lambda q, v: _unit_nearest(q, v, k, itself), f"query_id {kinds[0]}, vec_id {kinds[1]}, similarity double")
+    found = left.groupBy("block", "shard", *group).cogroup(right.groupBy("block", "shard", *group)).applyInArrow(lambda q, v: _unit_nearest(q, v, k, itself), f"query_id {kinds[0]}, vec_id {kinds[1]}, similarity double")
     return top(found, k, ["query_id"], [F.col("similarity").desc(), F.col("vec_id")])
 
 
@@ -102,7 +126,7 @@ def _unit_nearest(queries: pa.Table, rows: pa.Table, k: int, itself: bool = Fals
     """The ``k`` best rows of each query, as ``cosine`` rounded to six places has it; null similarities last, NaN first."""
     rows = rows.take(pc.sort_indices(rows["vec_id"]))  # ties go to the smaller id
     ids, asked = rows["vec_id"].to_numpy(), queries["query_id"].to_numpy()
-    (lq, mq), (lv, mv) = _matrices(queries["v"]), _matrices(rows["v"])
+    (lq, mq), (lv, mv) = matrices(queries["v"]), matrices(rows["v"])
     out_q, out_v, out_s = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0)]
     for begin in range(0, len(asked), at_once) if len(ids) else ():
         part = slice(begin, begin + at_once)
@@ -135,7 +159,7 @@ def _unit_nearest(queries: pa.Table, rows: pa.Table, k: int, itself: bool = Fals
     return pa.table([*taken, pa.array(similarity, mask=np.isneginf(similarity))], names=["query_id", "vec_id", "similarity"])
 
 
-def _matrices(column: pa.ChunkedArray) -> tuple[np.ndarray, dict]:
+def matrices(column: pa.ChunkedArray) -> tuple[np.ndarray, dict]:
     """The lengths of the vectors (-1 for null), and by length: their places, matrix, whether a component is null, norms."""
     lengths = pc.fill_null(pc.list_value_length(column), -1).to_numpy().astype(np.int64)
     flat = pc.list_flatten(column).combine_chunks()
@@ -213,6 +237,27 @@ def keywords(docs: DataFrame, tokens: Column, stop: Sequence[str], k: int = 20,
     return top(scored, k, [key], [F.col("score").desc(), F.col("keyword")])
 
 
+def profile_match(profiles: DataFrame, docs: DataFrame, keywords: Callable[[Column], Column], least: float = 0.3) -> DataFrame:
+    """(query_id, doc_id, score) of (query_id, text) and (doc_id, text) that share a keyword.
+
+    A point for each shared keyword, three times the Jaccard similarity of the keywords above
+    ``least``, and five if either text contains the other. Pairs come from a join on keywords,
+    counted before texts are looked at; a document's text meets it once for each profile that it
+    shares enough with to be contained, or to contain.
+    """
+    q = profiles.select("query_id", "text", keywords(F.col("text")).alias("k")).withColumn("nq", F.size("k"))
+    x = docs.select("doc_id", "text", keywords(F.col("text")).alias("k")).withColumn("nd", F.size("k"))
+    shared = q.select("query_id", F.explode("k").alias("keyword")).join(x.select("doc_id", F.explode("k").alias("keyword")), "keyword").groupBy("query_id", "doc_id").agg(F.count("*").alias("shared"))
+    sized = shared.join(q.select("query_id", "nq"), "query_id").join(x.select("doc_id", "nd"), "doc_id")
+    ratio = F.col("shared") / (F.col("nq") + F.col("nd") - F.col("shared"))
+    points = F.col("shared") + F.when(ratio > least, 3 * ratio).otherwise(0.0)
+    # one contains the other: all keywords but those cut at its ends are shared
+    sized = stored(sized.select("query_id", "doc_id", points.alias("points"), (F.col("shared") >= F.least("nq", "nd") - 2).alias("close")), "profiles")
+    near = sized.where("close").select("query_id", "doc_id").join(q.select("query_id", F.col("text").alias("a")), "query_id").join(x.select("doc_id", F.col("text").alias("b")), "doc_id")
+    inside = near.where(F.contains("a", F.col("b")) | F.contains("b", F.col("a"))).select("query_id", "doc_id", F.lit(5.0).alias("bonus"))
+    return sized.join(inside, ["query_id", "doc_id"], "left").select("query_id", "doc_id", F.round(F.col("points") + F.coalesce("bonus", F.lit(0.0)), 6).alias("score"))
+
+
 def rerank(hits: DataFrame, scorer: Callable[[Column, Column], Column], query: str, content: str, k: int, key: str = "chunk_id") -> DataFrame:
     """The hits of each query sorted anew by ``scorer`` over the query's and the hit's text."""
     scored = hits.drop("rank").withColumn("score", F.round(scorer(F.col(query), F.col(content)), 6))

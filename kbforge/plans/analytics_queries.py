@@ -85,11 +85,46 @@ def _usage(spark, d):
 
 
 def _closing(spark, d):
-    ev = signals(spark, d)
-    rate = lambda x, y: F.round(F.count_if(x) / F.nullif(F.count_if(y), F.lit(0)), 6)
-    closed = ev.groupBy("project_id").agg(rate(F.col("type") == "defect.closed", F.col("type") == "defect.created").alias("closure"))
-    done = _changes(spark, d).groupBy("project_id").agg(rate(F.col("approved"), F.lit(True)).alias("changes"))
-    return closed.join(done, "project_id", "left")
+    """Parts as requirements, orders as tests, defect events and changes."""
+    row = lambda df, kind, project, hits, total: df.select(project.alias("project_id"), F.lit(kind).alias("kind"), hits.cast("long").alias("hits"), total.cast("long").alias("total"))
+    part, orders, yes = table(spark, d, "part"), table(spark, d, "orders"), F.lit(True)
+    facts = row(part, "requirements", F.col("p_partkey") % 20, F.contains("p_name", F.lit("ring")), yes)
+    facts = facts.unionByName(row(orders, "tests", F.col("o_custkey") % 20, F.col("o_orderstatus") == "F", yes))
+    facts = facts.unionByName(row(signals(spark, d).where("type like 'defect.%'"), "defects", F.col("project_id"), F.col("type") == "defect.closed", F.col("type") == "defect.created"))
+    return a.closing_rates(facts.unionByName(row(_changes(spark, d), "changes", F.col("project_id"), F.col("approved"), yes)))
+
+
+def _tested(spark, d):
+    """Order lines as tests of parts: returned ones failed, accepted ones passed, large orders of the rest are blocked."""
+    state = F.when(F.col("l_returnflag") == "R", "fail").when(F.col("l_returnflag") == "A", "pass").when(F.col("l_quantity") > 40, "blocked").otherwise("not-run")
+    return table(spark, d, "lineitem").select((F.col("l_partkey") % 20).alias("project_id"), F.col("l_partkey").alias("requirement"), F.concat_ws("-", "l_orderkey", "l_linenumber").alias("test_id"), state.alias("status"), "l_linestatus")
+
+
+def _coverage(spark, d):
+    parts = table(spark, d, "part").select((F.col("p_partkey") % 20).alias("project_id"), F.col("p_partkey").alias("requirement"))
+    return a.test_coverage(parts, _tested(spark, d))
+
+
+def _open(spark, d):
+    tests = _tested(spark, d)
+    return a.open_issues(tests, tests.where("l_linestatus = 'F'")).select("project_id", "test_id", "status")
+
+
+def _audited(spark, d):
+    """Calls with the flags that the audit counts."""
+    k = F.col("k")
+    return calls(spark, d).withColumns({"truncated": k % 11 == 0, "empty_output": F.when(k % 7 > 0, F.col("duration_ms") < 300), "error_kind": F.when(k % 4 < 3, F.concat(F.lit("kind-"), k % 4))})
+
+
+def _skills(spark, d):
+    """Parts as skills: their first word is the phase, ``hot`` ones are for all phases."""
+    first = F.substring_index("p_name", " ", 1)
+    return table(spark, d, "part").select(F.concat(F.lit("part-"), "p_partkey").alias("skill"), F.when(first == "hot", "all").otherwise(first).alias("phase"), F.col("p_partkey").alias("listed"), F.col("p_type").alias("category"))
+
+
+def _recommended(spark, d):
+    phases = _skills(spark, d).where("phase <> 'all'").select("phase")
+    return a.recommend_for_phases(_skills(spark, d).where("category <> 'SMALL'"), phases)
 
 
 def _tests(spark, d):
@@ -152,12 +187,19 @@ QUERIES = {
     "a25_next_milestone": lambda spark, d: a.next_milestone(_milestones(spark, d), _orders_today()),
     "a26_cards": lambda spark, d: a.score_cards(_scores(spark, d).select("project_id", *a.SUBSCORES)),
     "a27_usage": _usage,
-    "a28_call_audit": lambda spark, d: a.audit_calls(calls(spark, d)).withColumn("last_start", F.date_format("last_start", "yyyy-MM-dd HH:mm:ss")),
+    "a27_recommended": _recommended,
+    "a27_by_category": lambda spark, d: _skills(spark, d).groupBy("category").agg(F.count("*").alias("n"), F.min("listed").alias("first")),
+    "a28_error_kinds": lambda spark, d: a.error_kinds(_audited(spark, d)),
+    "a28_newest_errors": lambda spark, d: a.newest_errors(_audited(spark, d)).select("call_id", "tool", "kind"),
+    "a28_call_audit": lambda spark, d: a.audit_calls(_audited(spark, d)).withColumn("last_start", F.date_format("last_start", "yyyy-MM-dd HH:mm:ss")),
     "a30_audit": _audit,
-    "a31_progress": lambda spark, d: _phases(spark, d).groupBy("project_id").agg(F.count_if("completed").alias("done"), F.round(F.count_if("completed") * 100 / F.count("*")).cast("long").alias("percent")),
+    "a31_progress": lambda spark, d: a.phase_progress(_phases(spark, d)),
+    "a31_recent_outputs": lambda spark, d: a.latest(table(spark, d, "orders").withColumn("project_id", F.col("o_custkey") % 20), ["project_id"], [F.col("o_orderdate").desc(), F.col("o_orderkey").desc()], 5).select("project_id", "o_orderkey"),
     "a32_plan_validation": lambda spark, d: table(spark, d, "orders").select("o_orderkey", (F.date_add(F.to_date("o_orderdate"), (F.col("o_orderkey") % 7 - 3).cast("int")) < F.to_date("o_orderdate")).alias("rejected")),
     "a33_closing_rates": _closing,
     "a34_test_statistics": _tests,
+    "a34_coverage": _coverage,
+    "a34_open_issues": _open,
     "a35_pareto": lambda spark, d: a.pareto(calls(spark, d), "tool"),
 }
 
@@ -180,6 +222,8 @@ _ANOMALIES = f"""{SIGNALS}, {_CHANGES}, {_MILESTONES}, {_REPORTS}, last_risk as
     r3 as (select project_id, 'D-DIVERGE' as rule, 'high' as severity, '' as subject, cast(sum((type = 'defect.created')::int) - sum((type = 'defect.closed')::int) as bigint) as value from signals where date_diff('day', cast(ts as date), {_T}) between 0 and 3 group by 1 having sum((type = 'defect.created')::int) > sum((type = 'defect.closed')::int)),
     r4 as (select project_id, 'M-NEAR' as rule, 'medium' as severity, cast(milestone_id as varchar) as subject, date_diff('day', {_OT}, due) as value from milestones where pending and date_diff('day', {_OT}, due) between 0 and 7),
     r5 as (select project_id, 'W-LATE' as rule, 'medium' as severity, '' as subject, cast(weeks - n as bigint) as value from (select project_id, count(report_date) as n, greatest(floor(date_diff('day', min(start_date), {_T}) / 7), 1) as weeks from reports group by 1) where weeks > n)"""
+_TESTED = """tested as (select l_partkey % 20 as project_id, l_partkey as requirement, l_orderkey || '-' || l_linenumber as test_id, l_linestatus,
+    case when l_returnflag = 'R' then 'fail' when l_returnflag = 'A' then 'pass' when l_quantity > 40 then 'blocked' else 'not-run' end as status from lineitem)"""
 _MEET = "meet as (select event_id, user_id % 20 as project_id, ts, cast(json_extract_string(props, '$.k') as bigint) as k from events where event_type = 'view')"
 
 ORACLES = {
@@ -216,7 +260,7 @@ ORACLES = {
         select project_id, milestone_id, case when away < 0 then 'overdue ' || -away when away = 0 then 'today' else 'in ' || away end as label from n where r = 1""",
     "a26_cards": f"with {_SCORES} select project_id, card, value, case when value >= 80 then 'green' when value >= 60 then 'yellow' else 'red' end as rag from (unpivot (select project_id, schedule, cost, quality, risk, scope, comm from overall) on schedule, cost, quality, risk, scope, comm into name card value value)",
     "a27_usage": f"with {CALLS}, n as (select tool, status, count(*) as n from calls group by 1, 2) select tool, status, n from (select *, row_number() over (partition by status order by n desc, tool) as r from n) where r <= 5",
-    "a28_call_audit": f"with {CALLS} select tool, count(*) as calls, count(*) filter (where status = 'ok') as ok, count(*) filter (where status = 'error') as errors, cast(floor(sum(duration_ms) / count(*)) as bigint) as mean_ms, max(duration_ms) as max_ms, strftime(max(started_at), '%Y-%m-%d %H:%M:%S') as last_start from calls group by rollup (tool)",
+    "a28_call_audit": f"with {CALLS} select tool, count(*) as calls, count(*) filter (where status = 'ok') as ok, count(*) filter (where status = 'error') as errors, count(*) filter (where k % 11 = 0) as truncated, count(*) filter (where k % 7 > 0 and duration_ms < 300) as empty, cast(floor(sum(duration_ms) / count(*)) as bigint) as mean_ms, max(duration_ms) as max_ms, strftime(max(started_at), '%Y-%m-%d %H:%M:%S') as last_start from calls group by rollup (tool)",
     "a30_audit": """select 'balance_negative' as rule, 'warning' as severity, count(*) filter (where c_acctbal < 0) as failed from customer
         union all select 'orphan_orders', 'critical', count(*) from orders where o_custkey not in (select c_custkey from customer)
         union all select 'label_keys_repeat', 'critical', count(*) from (select doc_id from labels group by 1 having count(*) > 1)
@@ -224,8 +268,22 @@ ORACLES = {
         union all select 'line_keys_repeat', 'warning', count(*) from (select 1 from lineitem group by l_orderkey, l_linenumber having count(*) > 1)""",
     "a31_progress": f"with {_PHASES} select project_id, count(*) filter (where completed) as done, cast(round(count(*) filter (where completed) * 100 / count(*)) as bigint) as percent from phases group by 1",
     "a32_plan_validation": "select o_orderkey, o_orderkey % 7 - 3 < 0 as rejected from orders",
-    "a33_closing_rates": f"""with {SIGNALS}, {_CHANGES} select s.project_id, round(sum((type = 'defect.closed')::int) / nullif(sum((type = 'defect.created')::int), 0), 6) as closure, any_value(c.changes) as changes
-        from signals s left join (select project_id, round(sum(approved::int) / count(*), 6) as changes from changes group by 1) c using (project_id) group by 1""",
+    "a27_recommended": """with s as (select 'part-' || p_partkey as skill, case when string_split(p_name, ' ')[1] = 'hot' then 'all' else string_split(p_name, ' ')[1] end as phase, p_partkey as listed, p_type from part),
+        p as (select distinct phase from s where phase <> 'all'), c as (select p.phase, skill, 0 as g, listed from p join s using (phase) where p_type <> 'SMALL' union all select p.phase, skill, 1, listed from p, s where s.phase = 'all' and p_type <> 'SMALL')
+        select phase, skill, place from (select *, row_number() over (partition by phase order by g, listed) as place from c) where place <= 6""",
+    "a27_by_category": "select p_type as category, count(*) as n, min(p_partkey) as first from part group by 1",
+    "a28_error_kinds": f"with {CALLS} select case when k % 4 < 3 then 'kind-' || k % 4 else 'unknown' end as kind, count(*) as n from calls where status = 'error' group by 1",
+    "a28_newest_errors": f"with {CALLS} select call_id, tool, case when k % 4 < 3 then 'kind-' || k % 4 else 'unknown' end as kind from calls where status = 'error' order by started_at desc, call_id desc limit 5",
+    "a31_recent_outputs": "select project_id, o_orderkey from (select o_custkey % 20 as project_id, o_orderkey, row_number() over (partition by o_custkey % 20 order by o_orderdate desc, o_orderkey desc) as r from orders) where r <= 5",
+    "a33_closing_rates": f"""with {SIGNALS}, {_CHANGES}, f as (select p_partkey % 20 as project_id, 'r' as kind, contains(p_name, 'ring')::int as hits, 1 as total from part union all select o_custkey % 20, 't', (o_orderstatus = 'F')::int, 1 from orders
+            union all select project_id, 'd', (type = 'defect.closed')::int, (type = 'defect.created')::int from signals where type like 'defect.%' union all select project_id, 'c', approved::int, 1 from changes)
+        select project_id, round(sum(hits) filter (where kind = 'r') / nullif(sum(total) filter (where kind = 'r'), 0), 6) as requirements, round(sum(hits) filter (where kind = 't') / nullif(sum(total) filter (where kind = 't'), 0), 6) as tests,
+            round(sum(hits) filter (where kind = 'd') / nullif(sum(total) filter (where kind = 'd'), 0), 6) as defects, round(sum(hits) filter (where kind = 'c') / nullif(sum(total) filter (where kind = 'c'), 0), 6) as changes from f group by 1""",
+    "a34_coverage": f"""with {_TESTED}, ran as (select distinct requirement from tested where status <> 'not-run'),
+        s as (select p_partkey % 20 as project_id, round(count(requirement) / count(*), 6) as coverage from part left join ran on requirement = p_partkey group by 1),
+        c as (select project_id, count(*) filter (where status = 'not-run') as not_run, count(*) filter (where status = 'pass') as passed, count(*) filter (where status = 'fail') as failed, count(*) filter (where status = 'blocked') as blocked from tested group by 1)
+        select project_id, coverage, coalesce(not_run, 0) as not_run, coalesce(passed, 0) as passed, coalesce(failed, 0) as failed, coalesce(blocked, 0) as blocked from s left join c using (project_id)""",
+    "a34_open_issues": f"with {_TESTED} select project_id, test_id, status from tested where status in ('fail', 'blocked') and test_id not in (select test_id from tested where l_linestatus = 'F')",
     "a34_test_statistics": "select o_custkey % 20 as project_id, count(*) filter (where o_orderstatus = 'F') as passed, count(*) filter (where o_orderstatus = 'O') as open, count(*) filter (where o_orderstatus = 'P') as blocked from orders group by 1",
     "a35_pareto": f"""with {CALLS}, n as (select tool, count(*) as n from calls group by 1), r as (select *, sum(n) over (order by n desc, tool) as upto, sum(n) over () as total from n)
         select tool, n, round(upto / total, 6) as share, (upto - n) / total < 0.8 as vital from r""",

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as t
 from ..operators import chunking as c
-from .fixtures import chunks, table
+from .fixtures import CHUNKS, chunks, table
 from .text_queries import _headings
 
 
@@ -66,6 +66,11 @@ ORACLES = {
             trim(coalesce(string_agg(case when line not like '## %' then line end, chr(10) order by n), ''), ' ' || chr(10)) as content from numbered group by 1, 2)
         select doc_id, section_no, heading, start, md5(content) as digest from whole where content <> ''""",
     "c6_windows": f"with {_WINDOWS} select doc_id, window_no, md5(content) as digest from windows",
+    "c7_budget_batches": rf"""with recursive {CHUNKS}, p as (select document_id, row_number() over (partition by document_id order by line_no) as r, cast(ceil(w / 1.2::double + (strlen(content) - w) / 3.5::double) as bigint) as tokens
+            from (select *, length(regexp_replace(content, '[\x00-\x7f]', '', 'g')) as w from chunks)),
+        b as (select document_id, r, tokens, tokens as used, cast(0 as bigint) as batch_no from p where r = 1
+            union all select p.document_id, p.r, p.tokens, case when used > 0 and used + p.tokens > 220 then p.tokens else used + p.tokens end, batch_no + case when used > 0 and used + p.tokens > 220 then 1 else 0 end from b join p on p.document_id = b.document_id and p.r = b.r + 1)
+        select document_id, batch_no, count(*) as pieces, cast(sum(tokens) as bigint) as tokens from b group by 1, 2""",
     "c8_merge_partials": f"""with {_WINDOWS}, each as (select doc_id, window_no, unnest(k) as v, unnest(range(len(k))) as i from (select doc_id, window_no, regexp_extract_all(content, '[A-Z][a-z]+') as k from windows)),
         firsts as (select doc_id, v, min(window_no * 1000000 + i) as pos from each group by 1, 2)
         select doc_id, count(*) as names, md5(string_agg(v, ' ' order by pos)) as digest from firsts group by doc_id""",

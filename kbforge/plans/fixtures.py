@@ -11,14 +11,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines of documents that are not blank: (project_id, document_id, chunk_id, line_no, content)."""
+    """Lines of documents that are not blank: (project_id, document_id, chunk_id, line_no, content). A text has fewer than 2^31 lines, so ids are unique."""
     lines = table(spark, sf_dir, "documents").select("source", "doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "content"))
     return lines.where(F.trim("content") != "").select(
-        F.col("source").alias("project_id"), F.col("doc_id").alias("document_id"), (F.col("doc_id") * 100000 + F.col("line_no")).alias("chunk_id"), F.col("line_no").cast("long").alias("line_no"), "content"
+        F.col("source").alias("project_id"), F.col("doc_id").alias("document_id"), (F.col("doc_id") * 2**31 + F.col("line_no")).alias("chunk_id"), F.col("line_no").cast("long").alias("line_no"), "content"
     )
 
 
-CHUNKS = """chunks as (select source as project_id, doc_id as document_id, doc_id * 100000 + i - 1 as chunk_id, cast(i - 1 as bigint) as line_no, content
+CHUNKS = """chunks as (select source as project_id, doc_id as document_id, doc_id * 2147483648 + i - 1 as chunk_id, cast(i - 1 as bigint) as line_no, content
     from (select source, doc_id, unnest(string_split(text, chr(10))) as content, unnest(range(1, len(string_split(text, chr(10))) + 1)) as i from documents)
     where trim(content) <> '')"""
 

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import graph as g
-from .fixtures import PAGES, wiki_pages
+from ..sources.scratch import stored
+from .fixtures import PAGES, table, wiki_pages
 
 
 def _edges(make):
@@ -21,7 +22,7 @@ def _with_text(spark, d):
 
 
 def _seeds(spark, d):
-    return wiki_pages(spark, d).where("cast(substring(slug, 6) as int) % 50 = 0").select("project_id", F.col("slug").alias("seed"))
+    return table(spark, d, "part").where("p_partkey % 50 = 0").select((F.col("p_size") % 5).cast("long").alias("project_id"), F.concat(F.lit("part-"), "p_partkey").alias("seed"))
 
 
 def _links(pages):
@@ -29,19 +30,22 @@ def _links(pages):
 
 
 def _walk(spark, d):
+    """Walks over edges that are stored once and read for each hop."""
     pages = wiki_pages(spark, d)
-    edges = g.wikilink_edges(pages).select(g.EDGE).unionByName(g.source_edges(pages))
-    return g.traverse(edges, _seeds(spark, d), 2)
+    edges = stored(g.wikilink_edges(pages).select(g.EDGE).unionByName(g.source_edges(pages)), "edges")
+    return g.traverse(edges, _seeds(spark, d), 2, cut=lambda f: stored(f, "frontier"))
 
 
 def _graph(spark, d):
-    return g.build_graph(wiki_pages(spark, d))
+    return g.build_graph(stored(wiki_pages(spark, d), "pages"))
 
 
 QUERIES = {
     "g1_wikilinks": _edges(g.wikilink_edges),
     "g2_tag_pairs": _edges(g.tag_edges),
     "g3_source_pairs": _edges(g.source_edges),
+    "g2_tag_pairs_first_50": _edges(lambda p: g.tag_edges(p, 50)),
+    "g3_source_pairs_first_50": _edges(lambda p: g.source_edges(p, 50)),
     "g4_co_citations": _edges(lambda p: g.co_citation_edges(g.wikilink_edges(p))),
     "g5_build": lambda spark, d: _graph(spark, d).groupBy("project_id", "signal").agg(F.count("*").alias("n"), F.round(F.sum("weight"), 4).alias("weight")),
     "g6_backfill": lambda spark, d: g.backfill_links(_with_text(spark, d)).select("project_id", "slug", F.size("wikilinks").cast("long").alias("links")),
@@ -60,8 +64,8 @@ QUERIES = {
 _BASE = PAGES + """, wl as (select project_id, source_slug, target_slug from links join pages0 on slug = source_slug),
     tags as (select project_id, p_brand as grp, slug from pages0 union select project_id, page_type, slug from pages0),
     srcs as (select distinct project_id, 'source_id:' || l_orderkey as grp, slug from pages0 join lineitem on l_partkey = p_partkey),
-    t50 as (select * from (select *, row_number() over (partition by project_id, grp order by slug) as r from tags) where r <= 50),
-    s50 as (select * from (select *, row_number() over (partition by project_id, grp order by slug) as r from srcs) where r <= 50),
+    t50 as (select * from (select *, row_number() over (partition by project_id, grp order by slug) as r from tags)),
+    s50 as (select * from (select *, row_number() over (partition by project_id, grp order by slug) as r from srcs)),
     tagp as (select distinct a.project_id, a.slug as source_slug, b.slug as target_slug from t50 a join t50 b on a.project_id = b.project_id and a.grp = b.grp and a.slug < b.slug),
     srcp as (select distinct a.project_id, a.slug as source_slug, b.slug as target_slug from s50 a join s50 b on a.project_id = b.project_id and a.grp = b.grp and a.slug < b.slug),
     cocp as (select distinct a.project_id, a.source_slug, b.source_slug as target_slug from wl a join wl b on a.project_id = b.project_id and a.target_slug = b.target_slug and a.source_slug < b.source_slug),
@@ -96,4 +100,6 @@ ORACLES = {
     "j5_backlinks": f"with {_BASE} select target_slug as target, count(*) as backlinks, min(source_slug) as first from wl group by 1",
     "j6_broken_links": f"with {_BASE} select source_slug as slug, target_slug as target from wl where target_slug not in (select slug from pages0 where page_type <> 'LARGE')",
 }
+for _name in ("g2_tag_pairs", "g3_source_pairs"):
+    ORACLES[f"{_name}_first_50"] = ORACLES[_name].replace("as r from tags)", "as r from tags) where r <= 50").replace("as r from srcs)", "as r from srcs) where r <= 50")
 ORACLES["g10_display_whole"] = ORACLES["g10_display"].replace("r <= 500)", "r <= 5000)")

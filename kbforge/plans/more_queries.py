@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 from ..functions import transcript
 from ..operators import analytics as a
 from ..operators import graph as g
+from ..operators import logs
 from ..operators import maintenance as m
 from ..operators import retrieval as r
 from ..streaming import streams as st
 from .fixtures import chunks, table
-from .search_queries import _BM25, _asked, _posted, _titled, _tokens
+from .search_queries import _BM25, _FUSED, _asked_vectors, _chunk_vectors, _fused, _posted, _titled, _tokens
 from .stream_queries import _stream
 
 
@@ -25,10 +26,10 @@ def _repeats(spark, d):
 
 
 def _rules(spark, d):
-    """Failure reasons as rules: by kind, then by the words of the reason."""
-    kind = F.col("event_type")
-    rule = F.when((kind == "error") & F.contains("props", F.lit("1")), "check for empty results").when(kind == "error", F.concat(F.lit("examine: "), F.left("props", F.lit(80)))).when(kind == "view", "replan when blocked").otherwise("none")
-    return table(spark, d, "events").groupBy(rule.alias("rule")).agg(F.count("*").alias("n"))
+    """Failed and blocked events as failures, their payload and a word as the reason."""
+    kind = F.when(F.col("event_type") == "error", "exhausted").when(F.col("event_type") == "view", "replan").when(F.col("event_type") == "click", "timeout").otherwise("other")
+    word = F.element_at(F.array(*[F.lit(x) for x in ("result empty ", "超时 ", "not supported ", "")]), (F.get_json_object("props", "$.k").cast("int") % 4 + 1))
+    return table(spark, d, "events").select("event_id", logs.rule_of(kind, F.concat(word, "props")).alias("rule"))
 
 
 def _cache_keys(spark, d):
@@ -90,20 +91,17 @@ def _deliverables(spark, d):
 
 
 def _vector_table(spark, d):
-    """Vectors after a keyed replacement and a removal."""
-    v = table(spark, d, "embeddings").select("vec_id", F.lit(1).alias("version"), F.element_at("embedding", 1).cast("double").alias("x"))
-    new = v.where("vec_id % 4 = 0").select("vec_id", F.lit(2).alias("version"), F.lit(0.0).alias("x"))
-    gone = v.where("vec_id % 10 = 3").select("vec_id")
-    return m.upsert(v, new, ["vec_id"], "version").join(gone, "vec_id", "left_anti").select("vec_id", F.round("x", 6).alias("x"))
+    """Whole vectors after a keyed replacement (turned round) and a removal."""
+    v = table(spark, d, "embeddings").select("vec_id", F.lit(1).alias("version"), "label", F.col("embedding").cast("array<double>").alias("embedding"))
+    new = v.where("vec_id % 4 = 0").select("vec_id", F.lit(2).alias("version"), F.lit(-1).cast(v.schema["label"].dataType).alias("label"), F.reverse("embedding").alias("embedding"))
+    found = m.replace_vectors(v, new, v.where("vec_id % 10 = 3"))
+    at = lambda k: F.round(F.element_at("embedding", k), 6)
+    return found.select("vec_id", "label", F.size("embedding").cast("long").alias("dims"), at(1).alias("first"), at(2).alias("second"), at(-1).alias("last"))
 
 
 def _hybrid(spark, d):
-    """Passages against chunks by two keyword retrievers (all words, words of over four letters), fused, cut to 2k and diversified."""
-    short = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.explode(F.array_distinct(_tokens("text"))).alias("term")).where(F.char_length("term") > 4)
-    posted = _posted(spark, d)  # stored once, asked twice
-    whole, first = r.bm25(_asked(spark, d), posted, 50), r.bm25(short, posted, 50)
-    fused = r.fuse({"whole": (whole, r.VECTOR_WEIGHT), "long": (first, r.TEXT_WEIGHT)})
-    cut = r.top(fused, 10, ["query_id"], [F.col("score").desc(), F.col("chunk_id")]).drop("rank")
+    """Passages against chunks by vectors and by BM25, fused, cut to 2k and diversified."""
+    cut = r.top(_fused(spark, d), 10, ["query_id"], [F.col("score").desc(), F.col("chunk_id")]).drop("rank")
     return r.diversify(_titled(spark, d, cut), 5).select("query_id", "chunk_id", "title", "source", F.col("rank").cast("long").alias("rank"))
 
 
@@ -114,12 +112,9 @@ def _end_to_end(spark, d):
     terms = queries.select("query_id", F.explode(F.array_distinct(_tokens("query"))).alias("term"))
     pages = table(spark, d, "part").select(F.concat(F.lit("part-"), "p_partkey").alias("slug"), F.col("p_name").alias("title"), F.concat_ws(" ", "p_type", "p_brand").alias("content"))
     lines = chunks(spark, d).withColumnRenamed("project_id", "title")
-    first = lines.groupBy(F.col("document_id").alias("vec_id")).agg(F.min("chunk_id").alias("chunk_id"))
-    e = table(spark, d, "embeddings")
-    asked = e.join(queries.select("query_id"), F.expr("vec_id = query_id * 3")).select("query_id", F.col("embedding").alias("vector"))
     excluded = lines.where("document_id % 25 = 0").select("chunk_id")
     words = lambda c: F.array_distinct(_tokens(c))
-    found = r.hybrid(queries, terms, asked, pages, excluded, _posted(spark, d), first.join(e, "vec_id").select("chunk_id", "embedding"), lines, lambda q, c: r.jaccard(words(q), words(c)))
+    found = r.hybrid(queries, terms, _asked_vectors(spark, d), pages, excluded, _posted(spark, d), _chunk_vectors(spark, d), lines, lambda q, c: r.jaccard(words(q), words(c)))
     return found.withColumn("rank", F.col("rank").cast("long"))
 
 
@@ -149,7 +144,9 @@ QUERIES = {
 
 ORACLES = {
     "x2_repeats": "select conv_id, turn, 'ok ' || case role when 'assistant' then 'ass' else role[1:3] end || ' noo' as text from conversations",
-    "x31_rules": "select case when event_type = 'error' and contains(props, '1') then 'check for empty results' when event_type = 'error' then 'examine: ' || props[1:80] when event_type = 'view' then 'replan when blocked' else 'none' end as rule, count(*) as n from events group by 1",
+    "x31_rules": f"""with e as (select event_id, event_type as t, ['result empty ', '超时 ', 'not supported ', ''][cast(json_extract_string(props, '$.k') as int) % 4 + 1] || props as reason from events)
+        select event_id, case when t = 'error' then case when contains(reason, 'empty') then '{logs.RULES["empty"]}' when contains(reason, '超时') then '{logs.RULES["timeout"]}' when contains(reason, 'not supported') then '{logs.RULES["unsupported"]}' else '{logs.RULES["exhausted"]}' || reason[1:80] end
+            when t = 'view' then '{logs.RULES["replan"]}' || reason[1:80] when t = 'click' then '{logs.RULES["one_timeout"]}' else '{logs.RULES["other"]}' || reason[1:80] end as rule from e""",
     "j10_cache_keys": "select 'part-' || l_partkey as slug, count(distinct l_orderkey) as sources, min(l_orderkey) as first from lineitem where l_partkey in (select p_partkey from part) group by 1",
     "j14_sign_off": """with l as (select user_id % 20 as project_id, max_by(event_type, struct_pack(t := ts, e := event_id)) as last from events where event_type in ('purchase', 'error') group by 1)
         select o_custkey % 20 as project_id, case when o_orderstatus = 'P' and (last is null or last <> 'purchase') then 'pending' else 'done' end as status, count(*) as n from orders left join l on l.project_id = o_custkey % 20 group by 1, 2""",
@@ -161,13 +158,9 @@ ORACLES = {
         select o_orderkey, project, case when k and o_orderkey % 7 = 0 then 'ignored' when project is not null then 'linked' else 'unlinked' end as status from y""",
     "m17_payloads": "select event_id as id, case event_type when 'view' then 'ended' when 'click' then 'ongoing' else 'scheduled' end as status from events",
     "a22_deliverables": "select p_brand as phase, count(*) filter (where p_size % 4 = 0) as done, count(*) filter (where p_size % 4 = 1) as pending, count(*) filter (where p_size % 4 = 2) as missing, count(*) filter (where p_size % 4 = 3) as optional from part group by 1",
-    "r7_vector_table": "select vec_id, case when vec_id % 4 = 0 then 0.0::double else round(cast(embedding[1] as double), 6) end as x from embeddings where vec_id % 10 <> 3",
-    "r22_hybrid": f"""with {_BM25}, asked2 as (select * from asked where length(term) > 4),
-        sc2 as (select query_id, chunk_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))), 6) as score from asked2 join posted using (term) join dl using (chunk_id) join df using (term), whole group by 1, 2),
-        b2 as (select *, row_number() over (partition by query_id order by score desc, chunk_id) as rank from sc2),
-        fused as (select query_id, chunk_id, round(sum(part), 9) as score, case when count(distinct source) > 1 then 'both' else min(source) end as source from
-            (select query_id, chunk_id, 2.0::double / (60 + rank) as part, 'whole' as source from bm where rank <= 50 union all select query_id, chunk_id, 1.0::double / (60 + rank), 'long' from b2 where rank <= 50) group by 1, 2),
-        cut as (select * from (select *, row_number() over (partition by query_id order by score desc, chunk_id) as r from fused) where r <= 10),
+    "r7_vector_table": """select vec_id, case when vec_id % 4 = 0 then -1 else label end as label, len(e) as dims, round(e[1], 6) as first, round(e[2], 6) as second, round(e[-1], 6) as last
+        from (select vec_id, label, case when vec_id % 4 = 0 then list_reverse(cast(embedding as double[])) else cast(embedding as double[]) end as e from embeddings where vec_id % 10 <> 3)""",
+    "r22_hybrid": f"""with {_FUSED}, cut as (select * from (select *, row_number() over (partition by query_id order by score desc, chunk_id) as r from fused) where r <= 10),
         nth as (select query_id, chunk_id, project_id as title, source, score, row_number() over (partition by query_id, project_id order by score desc, chunk_id) as nth from cut join chunks using (chunk_id))
         select query_id, chunk_id, title, source, rank from (select *, row_number() over (partition by query_id order by least(nth, 3), case when nth < 3 then title end nulls last, score desc, chunk_id) as rank from nth) where rank <= 5""",
     "r22_end_to_end": "with q as (select item_id as query_id, case when item_id % 8 = 0 then 'widget' else text end as query from benchmark), "

@@ -33,8 +33,8 @@ def _postings(spark, d):
 
 
 def _titled(spark, d, hits):
-    """Hits with their chunk and the document's source as title."""
-    return hits.join(chunks(spark, d).select("chunk_id", "document_id", F.col("project_id").alias("title"), "content"), "chunk_id")
+    """Hits with their chunk and the document's source as title; the hits are written, so that a small list of them meets the chunks without a shuffle."""
+    return chunks(spark, d).select("chunk_id", "document_id", F.col("project_id").alias("title"), "content").join(stored(hits, "hits"), "chunk_id")
 
 
 def _diverse(spark, d, mode="title_order"):
@@ -50,32 +50,40 @@ def _nearest(spark, d, k=5):
     return r.nearest(v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector")), v, k)
 
 
-def _fused(spark, d):
-    """Two vector retrievers with different depth stand for the two retrievers."""
-    v, w = _nearest(spark, d, 30), _second(spark, d)
-    return r.fuse({"vector": (v.withColumnRenamed("vec_id", "chunk_id"), r.VECTOR_WEIGHT), "bm25": (w, r.TEXT_WEIGHT)})
+def _chunk_vectors(spark, d):
+    """The tables hold vectors of documents only: a document's stands for its first chunk."""
+    first = chunks(spark, d).groupBy(F.col("document_id").alias("vec_id")).agg(F.min("chunk_id").alias("chunk_id"))
+    return first.join(_vectors(spark, d), "vec_id").select("chunk_id", "embedding")
 
 
-def _second(spark, d):
-    """A second ranking: vectors of the query's label by id."""
-    e = table(spark, d, "embeddings")
-    q = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "label")
-    rows = e.join(q, "label").where("vec_id <> query_id").select("query_id", F.col("vec_id").alias("chunk_id"))
-    return r.top(rows, 30, ["query_id"], [F.col("chunk_id")])
+def _asked_vectors(spark, d):
+    """A passage borrows the vector of three times its number."""
+    ids = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"))
+    return _vectors(spark, d).join(ids, F.expr("vec_id = query_id * 3")).select("query_id", F.col("embedding").alias("vector"))
 
 
-def _semantic_duplicates(spark, d):
-    from ..operators.maintenance import semantic_duplicates
+def _fused(spark, d, posted=None):
+    """Vectors and BM25 over the same chunks, fused by rank."""
+    near = r.nearest(_asked_vectors(spark, d), _chunk_vectors(spark, d).withColumnRenamed("chunk_id", "vec_id"), r.CANDIDATES, itself=True).withColumnRenamed("vec_id", "chunk_id")
+    return r.fuse({"vector": (near, r.VECTOR_WEIGHT), "bm25": (r.bm25(_asked(spark, d), _posted(spark, d) if posted is None else posted, r.CANDIDATES), r.TEXT_WEIGHT)})
 
-    return semantic_duplicates(table(spark, d, "embeddings").select(F.col("label").alias("project_id"), "vec_id", "embedding"), 0.5)
+
+def _phrases(spark, d):
+    """A phrase table: the first two words of each passage."""
+    return table(spark, d, "benchmark").select(F.regexp_extract(F.lower("text"), "^([a-z]+ [a-z]+)", 1).alias("phrase")).distinct()
+
+
+def _phrase_postings(spark, d):
+    lines = chunks(spark, d)
+    posted = r.phrase_postings(lines, stored(r.postings(lines, _tokens()), "postings"), _phrases(spark, d), F.col("content"))
+    return posted.where(F.contains("term", F.lit(" "))).groupBy("term").agg(F.count("*").alias("df"), F.sum("dl").alias("words"))
 
 
 def _keyword_profile(spark, d):
-    """Benchmark passages as profiles against documents: +1 for each shared keyword."""
-    prof = r.keywords(table(spark, d, "benchmark").withColumnRenamed("item_id", "doc_id"), _tokens("text"), [], 10).select(F.col("doc_id").alias("query_id"), "keyword")
-    docs = table(spark, d, "documents").select("doc_id", F.explode(F.array_distinct(_tokens("text"))).alias("keyword"))
-    shared = docs.join(prof, "keyword").groupBy("query_id", "doc_id").agg(F.count("*").alias("score"))
-    return r.top(shared, 5, ["query_id"], [F.col("score").desc(), F.col("doc_id")]).drop("rank")
+    """Passages as profiles: their distinct words are the keywords."""
+    docs, asked = (table(spark, d, t).select(F.col(k).alias(i), F.lower("text").alias("text")) for t, k, i in (("documents", "doc_id", "doc_id"), ("benchmark", "item_id", "query_id")))
+    scored = r.profile_match(asked, docs, lambda x: F.array_distinct(F.regexp_extract_all(x, F.lit(WORDS), F.lit(0))))
+    return r.top(scored, 5, ["query_id"], [F.col("score").desc(), F.col("doc_id")]).drop("rank")
 
 
 def _jaccard_pairs(spark, d):
@@ -103,7 +111,7 @@ def _shortcut(spark, d):
 
 def _path_match(spark, d):
     pats = table(spark, d, "region").select(F.col("r_regionkey").alias("pattern_id"), F.element_at(F.array(F.lit("/en/"), F.lit("/de/"), F.lit("blog"), F.lit("#top"), F.lit("utm_source")), (F.col("r_regionkey") + 1).cast("int")).alias("pattern"))
-    return table(spark, d, "pages").join(F.broadcast(pats), F.contains(F.lower("url"), F.col("pattern"))).select("page_id", "pattern_id", F.lit(5.0).alias("score"))
+    return r.blocked(table(spark, d, "pages"), pats, F.contains(F.lower("url"), F.col("pattern")), 4096).select("page_id", "pattern_id", F.lit(5.0).alias("score"))
 
 
 QUERIES = {
@@ -112,6 +120,7 @@ QUERIES = {
     "r2_postings_delete": lambda spark, d: r.postings(chunks(spark, d), _tokens()).where("chunk_id % 3 <> 0").groupBy("project_id").agg(F.count("*").alias("n"), F.sum("tf").alias("tf")),
     "r3_bm25": lambda spark, d: _bm25(spark, d).withColumn("rank", F.col("rank").cast("long")),
     "r4_phrase_tokens": lambda spark, d: table(spark, d, "documents").select("doc_id", F.size(F.filter(t.literals(["of the", "in the", "de la", "und der"]), lambda p: F.contains(F.lower("text"), p))).cast("long").alias("phrases")),
+    "r4_phrase_postings": _phrase_postings,
     "r6_nearest": lambda spark, d: _nearest(spark, d).withColumn("rank", F.col("rank").cast("long")),
     "r8_rank_fusion": _fused,
     "r10_candidate_cut": lambda spark, d: r.top(_fused(spark, d), 10, ["query_id"], [F.col("score").desc(), F.col("chunk_id")]).withColumn("rank", F.col("rank").cast("long")),
@@ -135,9 +144,11 @@ _BM25 = _POSTED + """, asked as (select distinct item_id as query_id, unnest(reg
     bm as (select *, row_number() over (partition by query_id order by score desc, chunk_id) as rank from scored)"""
 _NEAR = """near as (select *, row_number() over (partition by query_id order by similarity desc, vec_id) as rank from
     (select q.vec_id as query_id, v.vec_id, round(list_cosine_similarity(cast(q.embedding as double[]), cast(v.embedding as double[])), 6) as similarity from embeddings q join embeddings v on q.vec_id <> v.vec_id where q.vec_id % 50 = 0))"""
-_FUSED = _NEAR + """, second as (select *, row_number() over (partition by query_id order by chunk_id) as rank from (select q.vec_id as query_id, v.vec_id as chunk_id from embeddings q join embeddings v on q.label = v.label and q.vec_id <> v.vec_id where q.vec_id % 50 = 0)),
+_FUSED = _BM25 + """, vc as (select min(chunk_id) as chunk_id, any_value(embedding) as embedding from chunks join embeddings on vec_id = document_id group by document_id),
+    vs as (select b.item_id as query_id, chunk_id, round(list_cosine_similarity(cast(e.embedding as double[]), cast(vc.embedding as double[])), 6) as s from benchmark b join embeddings e on e.vec_id = b.item_id * 3, vc),
+    nr as (select *, row_number() over (partition by query_id order by s desc, chunk_id) as rank from vs),
     fused as (select query_id, chunk_id, round(sum(part), 9) as score, case when count(distinct source) > 1 then 'both' else min(source) end as source from
-        (select query_id, vec_id as chunk_id, 2.0::double / (60 + rank) as part, 'vector' as source from near where rank <= 30 union all select query_id, chunk_id, 1.0::double / (60 + rank), 'bm25' from second where rank <= 30) group by 1, 2)"""
+        (select query_id, chunk_id, 2.0::double / (60 + rank) as part, 'vector' as source from nr where rank <= 200 union all select query_id, chunk_id, 1.0::double / (60 + rank), 'bm25' from bm where rank <= 200) group by 1, 2)"""
 _DIVERSE = _BM25 + """, titled as (select query_id, chunk_id, project_id as title, score, row_number() over (partition by query_id, project_id order by score desc, chunk_id) as nth from bm join chunks using (chunk_id) where rank <= 20)"""
 
 ORACLES = {
@@ -162,11 +173,12 @@ ORACLES = {
         select query_id, reasons = '' as sufficient, reasons from r""",
     "r16_expand": """with q as (select item_id as query_id, text as q from benchmark)
         select distinct query_id, variant from (select query_id, unnest([q, case when not contains(q, 'ERP') then 'ERP ' || q end, case when not contains(q, 'the') then 'the ' || q end, case when replace(q, 'the', 'a') <> q then replace(q, 'the', 'a') end]) as variant from q) where variant is not null""",
-    "r17_keyword_profile": """with k as (select item_id as query_id, k, count(*) as n from (select item_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) as k from benchmark) where length(k) >= 2 group by 1, 2),
-        p as (select query_id, k from (select *, row_number() over (partition by query_id order by score desc, k) as r from (select query_id, k, round(n / sum(n) over (partition by query_id) * ln(1 + sum(n) over (partition by query_id) / n), 6) as score from k)) where r <= 10),
-        dk as (select distinct doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) as k from documents),
-        s as (select query_id, doc_id, count(*) as score from dk join p using (k) group by 1, 2)
-        select query_id, doc_id, score from (select *, row_number() over (partition by query_id order by score desc, doc_id) as r from s) where r <= 5""",
+    "r4_phrase_postings": f"""with {CHUNKS}, ph as (select distinct p from (select regexp_extract(lower(text), '^([a-z]+ [a-z]+)', 1) as p from benchmark) where p <> '')
+        select p as term, count(*) as df, cast(sum(len(regexp_extract_all(lower(content), '[a-z0-9]+'))) as bigint) as words from chunks join ph on contains(lower(content), p) group by 1""",
+    "r17_keyword_profile": """with q as (select item_id as query_id, lower(text) as qt, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')) as qk from benchmark), dc as (select doc_id, lower(text) as dt, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')) as dk from documents),
+        s as (select query_id, doc_id, len(list_intersect(qk, dk)) as shared, len(qk) as nq, len(dk) as nd, contains(qt, dt) or contains(dt, qt) as within from q, dc),
+        sc as (select query_id, doc_id, round(shared + case when shared / (nq + nd - shared) > 0.3 then 3 * shared / (nq + nd - shared) else 0 end + case when within then 5 else 0 end, 6) as score from s where shared > 0)
+        select query_id, doc_id, score from (select *, row_number() over (partition by query_id order by score desc, doc_id) as r from sc) where r <= 5""",
     "r18_semantic_profile": f"with {_NEAR} select query_id, vec_id, round(similarity * 10, 5) as score from near where rank <= 10 and 10 * similarity >= 3.5",
     "r19_path_match": "select page_id, cast(i - 1 as int) as pattern_id, 5.0::double as score from pages, (select unnest(['/en/', '/de/', 'blog', '#top', 'utm_source']) as p, unnest(range(1, 6)) as i) where contains(lower(url), p)",
     "r20_keywords": """with k as (select doc_id, k, count(*) as n from (select doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) as k from documents) where length(k) >= 2 and k not in ('the', 'of', 'and', 'de', 'la') group by 1, 2),

@@ -8,7 +8,8 @@ from ..functions import text as t
 from ..operators import logs, verification as v
 from ..operators import maintenance as m
 from ..operators.analytics import latest
-from ..operators.retrieval import blocked
+from ..operators.pairs import fuzzy_duplicates
+from ..operators.retrieval import blocked, nearest
 from .fixtures import CALLS, CHUNKS, calls, chunks, table
 
 _DATE = "2024-01-31"
@@ -37,7 +38,7 @@ def _attachments(spark, d):
 def _scope(spark, d):
     """Own project or one of the listed further ones."""
     allowed = spark.range(20).select(F.concat(F.lit("src"), "id").alias("own"), F.explode(F.array(F.concat(F.lit("src"), "id"), F.concat(F.lit("src"), (F.col("id") + 1) % 20))).alias("source"))
-    return _docs(spark, d).join(F.broadcast(allowed), "source").groupBy("own").agg(F.count("*").alias("documents"))
+    return _docs(spark, d).join(allowed, "source").groupBy("own").agg(F.count("*").alias("documents"))
 
 
 def _parents(spark, d):
@@ -68,7 +69,7 @@ def _cache(spark, d):
 def _meetings(spark, d):
     o, c, n = table(spark, d, "orders"), table(spark, d, "customer"), table(spark, d, "nation")
     lines = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("lines"))
-    rows = o.join(c, F.col("o_custkey") == F.col("c_custkey"), "left").join(F.broadcast(n), F.col("c_nationkey") == F.col("n_nationkey"), "left").join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left")
+    rows = o.join(c, F.col("o_custkey") == F.col("c_custkey"), "left").join(n, F.col("c_nationkey") == F.col("n_nationkey"), "left").join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left")
     return rows.select(F.col("o_orderkey").alias("meeting_id"), "c_name", "n_name", F.coalesce("lines", F.lit(0)).alias("lines"))
 
 
@@ -77,12 +78,58 @@ def _session_snapshot(spark, d):
     return log.select("session_id", F.md5("calls").alias("digest"))
 
 
-def _coverage(spark, d):
-    """Required words of each brand's parts, that part names hold; the first match by key, missing else."""
+def _title_duplicates(spark, d):
+    """Conversations of odd id arrive with the first words of their title; even ones of the same remainder are listed, the newest first."""
+    titled = m.conversation_titles(_turns(spark, d), 2).withColumn("project_id", F.col("conv_id") % 5)
+    listed = titled.where("conv_id % 2 = 0").select("project_id", "title", F.col("conv_id").alias("doc_id"), (F.col("conv_id") % 7).alias("created"))
+    return m.recent_title_duplicates(titled.where("conv_id % 2 = 1"), listed, 3).select("conv_id", "title", "duplicate")
+
+
+def _deliverables(spark, d):
+    """Brands as phases: names of listed deliverables and files that hold them, or not."""
     parts = table(spark, d, "part")
-    required = parts.select("p_brand").distinct().withColumn("word", F.explode(t.literals(["af", "am", "as", "eu", "mi"])))
-    hit = required.join(parts, "p_brand").where(F.contains("p_name", F.col("word"))).groupBy("p_brand", "word").agg(F.min("p_partkey").alias("first_part"))
-    return required.join(hit, ["p_brand", "word"], "left").select("p_brand", "word", F.when(F.col("first_part").isNull(), "missing").otherwise("pending").alias("status"), "first_part")
+    words = t.literals(["ring.doc", "widget", "gear", "large bolt.v2", "none"])
+    required = parts.select(F.col("p_brand").alias("phase")).distinct().select("phase", F.posexplode(words).alias("k", "name")).select("phase", "name", (F.col("k") % 2 == 0).alias("required"))
+    kind = F.when(F.col("p_size") % 3 == 0, "").when(F.col("p_size") % 3 == 1, ".doc").otherwise(".v2")
+    return required, parts.where("p_size < 20").select(F.col("p_brand").alias("phase"), F.concat(F.lit("out/"), F.when(F.col("p_size") % 4 == 0, F.substring_index("p_name", " ", -1)).otherwise(F.col("p_name")), kind).alias("path")).distinct()
+
+
+def _coverage(spark, d):
+    return m.coverage(*_deliverables(spark, d))
+
+
+def _sign_off(spark, d):
+    """Listed deliverables as cells, orders of one clerk number as completed events."""
+    cells = _deliverables(spark, d)[0].withColumn("cell", F.concat_ws("/", "phase", "name")).select("cell", "phase", "name", F.lit("pending").alias("status"))
+    name = F.element_at(t.literals(["ring", "widget.doc", "bolt", "large bolt", "zzz"]), (F.col("o_orderkey") % 5 + 1).cast("int"))
+    events = table(spark, d, "orders").where("o_orderstatus <> 'P'").select(F.col("o_orderkey").alias("event"), F.concat(F.lit("Brand#"), F.col("o_custkey") % 30).alias("phase"), name.alias("name"), (F.col("o_orderstatus") == "F").alias("signed_off"))
+    return m.sign_off(cells, events)
+
+
+_MISSING = [("price", "mark", None), ("price", "fill", 0), ("clerk", "drop", None), ("state", "fill", "?")]
+
+
+def _gaps(spark, d):
+    """Orders with gaps."""
+    k = F.col("o_orderkey")
+    return table(spark, d, "orders").select("o_orderkey", F.when(k % 6 > 0, F.round("o_totalprice").cast("long")).alias("price"), F.when(k % 5 > 0, F.col("o_custkey")).alias("clerk"), F.when(F.col("o_orderstatus") != "P", F.col("o_orderstatus")).alias("state"))
+
+
+def _step_results(spark, d):
+    """Answers as outputs of steps and questions as what was expected; short, empty and failed ones by their text."""
+    by = m.Window.partitionBy("conv_id").orderBy("turn")
+    first = F.left("text", F.lit(1))
+    output = F.when(first == "T", F.left("text", F.lit(8))).when(first == "I", F.lit("  ")).when(first == "E", F.concat("text", F.lit(" Timeout"))).otherwise(F.col("text"))
+    rows = _turns(spark, d).withColumns({"expected": F.lag("text").over(by), "output": output})
+    rows = rows.withColumn("reason", logs.step_failure(F.col("output"), F.col("expected"))).select(F.col("conv_id").alias("session_id"), "turn", "reason", F.col("reason").isNotNull().alias("failed"))
+    return logs.failure_streaks(rows, 2, ["turn"]).select(F.col("session_id").alias("conv_id"), "turn", "reason", "streak", "replan")
+
+
+def _constant_scores(spark, d):
+    """Parts by a title hit and by a type hit, each with its constant score, as a distinct union."""
+    p = table(spark, d, "part")
+    hit = lambda c, word, score: p.where(F.contains(F.lower(c), F.lit(word))).select("p_brand", "p_name", F.lit(score).alias("score"))
+    return hit("p_name", "ring", 1.0).unionByName(hit("p_type", "small", 0.5)).unionByName(hit("p_name", "small", 1.0)).distinct()
 
 
 def _scope_items(spark, d):
@@ -122,7 +169,7 @@ def _items(spark, d):
 
 
 def _fuzzy(spark, d):
-    return m.fuzzy_duplicates(table(spark, d, "part"), F.col("p_brand"), "p_partkey", "p_name", 0.3)
+    return fuzzy_duplicates(table(spark, d, "part"), F.col("p_brand"), "p_partkey", "p_name", 0.3)
 
 
 def _standardise(spark, d):
@@ -201,7 +248,7 @@ def _answers(spark, d):
     """Assistant turns with the turn before them as context, one row for each sentence."""
     by = m.Window.partitionBy("conv_id").orderBy("turn")
     rows = _turns(spark, d).withColumn("context", F.lag("text").over(by)).where("role = 'assistant'")
-    return rows.select((F.col("conv_id") * 1000 + F.col("turn")).alias("answer_id"), F.coalesce("context", F.lit("")).alias("context"), F.posexplode(F.split(F.regexp_replace("text", r"\.\s+", ".\n"), "\n")).alias("n", "sentence"))
+    return rows.select((F.col("conv_id") * 2**31 + F.col("turn")).alias("answer_id"), F.coalesce("context", F.lit("")).alias("context"), F.posexplode(F.split(F.regexp_replace("text", r"\.\s+", ".\n"), "\n")).alias("n", "sentence"))
 
 
 def _bigrams(column):
@@ -229,13 +276,15 @@ def _cited(spark, d):
     rows = _turns(spark, d).where("role = 'assistant'")
     cited = F.when(F.col("turn") % 3 == 0, F.array().cast("array<string>")).otherwise(F.array(F.concat(F.lit("c"), F.col("turn")), F.lit("c1")))
     available = F.array(F.lit("c1"), F.lit("c3"))
-    return v.citation_check(rows.select((F.col("conv_id") * 1000 + F.col("turn")).alias("answer_id"), cited.alias("cited"), available.alias("available")))
+    return v.citation_check(rows.select((F.col("conv_id") * 2**31 + F.col("turn")).alias("answer_id"), cited.alias("cited"), available.alias("available")))
 
 
 def _vector_grounding(spark, d):
     e = table(spark, d, "embeddings")
-    s = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("sentence_id"), F.col("embedding").alias("sv"), "label")
-    return v.vector_grounding(s.join(e.select("label", F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("cv")), "label").where("chunk_id <> sentence_id"))
+    near = nearest(e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"), "label"), e, 1, within="label")
+    pairs = near.select(F.col("query_id").alias("sentence_id"), F.col("vec_id").alias("chunk_id"))
+    pairs = pairs.join(e.select(F.col("vec_id").alias("sentence_id"), F.col("embedding").alias("sv")), "sentence_id").join(e.select(F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("cv")), "chunk_id")
+    return v.vector_grounding(pairs)
 
 
 def _plan_drift(spark, d):
@@ -277,7 +326,8 @@ def _qa_markdown(spark, d):
 
 QUERIES = {
     "m1_arrivals": _arrivals,
-    "m2_semantic_duplicates": lambda spark, d: m.semantic_duplicates(table(spark, d, "embeddings").select(F.col("label").alias("project_id"), "vec_id", "embedding"), 0.5),
+    "m2_semantic_duplicates": lambda spark, d: m.semantic_duplicates(table(spark, d, "embeddings").select(F.col("label").alias("project_id"), "vec_id", "embedding"), 0.3),
+    "m3_title_duplicates": _title_duplicates,
     "m3_recent_titles": lambda spark, d: latest(_turns(spark, d), ["role"], [F.col("conv_id").desc(), F.col("turn")], 3).select("role", "conv_id", "turn"),
     "m4_retention": _retention,
     "m5_substantive": lambda spark, d: m.substantive(_turns(spark, d), 400),
@@ -286,6 +336,8 @@ QUERIES = {
     "m8_items": _items,
     "m9_fuzzy_duplicates": _fuzzy,
     "m10_standardise": _standardise,
+    "m10_missing": lambda spark, d: m.treat_missing(_gaps(spark, d), _MISSING).select("o_orderkey", "price", "price_missing", "clerk", "state"),
+    "m10_step_counts": lambda spark, d: m.missing_counts(_gaps(spark, d), _MISSING),
     "m11_drift": _drift,
     "m12_stale": _stale,
     "m13_candidates": _candidates,
@@ -310,6 +362,8 @@ QUERIES = {
     "j11_meeting_assets": _meetings,
     "j12_session_snapshot": _session_snapshot,
     "j13_coverage": _coverage,
+    "j14_cells": _sign_off,
+    "k4_constant_scores": _constant_scores,
     "j15_scope_items": _scope_items,
     "j17_listing": lambda spark, d: _docs(spark, d).orderBy(F.col("doc_id").desc()).offset(10).limit(50).select("doc_id", "source"),
     "j19_identity": _identity,
@@ -319,6 +373,7 @@ QUERIES = {
     "l3_plan_drift": _plan_drift,
     "l4_latest_session": _latest_session,
     "l5_streaks": _streaks,
+    "l5_step_results": _step_results,
     "l6_rate_audit": lambda spark, d: logs.rate_audit(calls(spark, d), 1, 3600).select("call_id", "recent", "over"),
     "l6_rate_limit": lambda spark, d: logs.rate_limit(calls(spark, d), 1, 3600),
     "l7_complexity": _complexity,
@@ -338,7 +393,7 @@ QUERIES = {
 _TREE = """n0 as (select cast(p_size as bigint) as session_id, p_name as content, row_number() over (partition by p_size order by p_partkey) as node_id from part),
     lv as (select *, cast(floor(log2(node_id)) as bigint) as depth from n0)"""
 _ANS = r"""ctx as (select *, lag(text) over (partition by conv_id order by turn) as context from conversations),
-    ans as (select answer_id, context, sentence, i - 1 as n from (select conv_id * 1000 + turn as answer_id, coalesce(context, '') as context, unnest(string_split(regexp_replace(text, '\.[ \t\r\n\f]+', '.' || chr(10), 'g'), chr(10))) as sentence,
+    ans as (select answer_id, context, sentence, i - 1 as n from (select conv_id * 2147483648 + turn as answer_id, coalesce(context, '') as context, unnest(string_split(regexp_replace(text, '\.[ \t\r\n\f]+', '.' || chr(10), 'g'), chr(10))) as sentence,
         unnest(range(1, len(string_split(regexp_replace(text, '\.[ \t\r\n\f]+', '.' || chr(10), 'g'), chr(10))) + 1)) as i from ctx where role = 'assistant')),
     bi as (select *, [w[j] || ' ' || w[j + 1] for j in range(1, len(w))] as g from (select *, string_split(lower(sentence), ' ') as w from ans)),
     sup as (select answer_id, n, len(g) = 0 or len([x for x in g if not contains(context, x)]) <= floor(len(g) * 0.6::double) as supported from bi),
@@ -346,6 +401,8 @@ _ANS = r"""ctx as (select *, lag(text) over (partition by conv_id order by turn)
     ng as (select answer_id, n, contains(' ' || lower(sentence) || ' ', ' by ') as neg, unnest(list_distinct(g)) as gram from bi),
     con as (select distinct a.answer_id, least(a.n, b.n) as i, greatest(a.n, b.n) as j from ng a join ng b on a.answer_id = b.answer_id and a.gram = b.gram and not a.neg and b.neg),
     hg as (select answer_id, count(*) filter (where contains(sentence, 'with') or ((contains(sentence, 'the th') or contains(sentence, 'of on')) and not contains(sentence, 'with'))) as issues, count(*) as total from ans group by 1)"""
+_DELIVERABLES = r"""req as (select phase, name, k % 2 = 1 as required from (select distinct p_brand as phase from part), (select unnest(['ring.doc', 'widget', 'gear', 'large bolt.v2', 'none']) as name, unnest([1, 2, 3, 4, 5]) as k)),
+    fl as (select distinct p_brand as phase, path, regexp_replace(path[5:], '\.[^.]*$', '') as stem from (select *, 'out/' || case when p_size % 4 = 0 then string_split(p_name, ' ')[-1] else p_name end || case p_size % 3 when 0 then '' when 1 then '.doc' else '.v2' end as path from part where p_size < 20))"""
 _CAND = """cand as (select 'part-' || p_partkey as slug, case when p_partkey % 3 = 0 or p_partkey % 5 = 0 then 'pending' when levenshtein(lower(x), lower(p_name)) / greatest(length(x), length(p_name)) <= 0.3 then 'auto' else 'conflict' end as status
     from (select *, case when p_partkey % 2 = 0 then p_name || 's' else p_type end as x from part))"""
 
@@ -357,7 +414,7 @@ ORACLES = {
     "m1_arrivals": """with k as (select sha256(text) as s, doc_id % 5 as p, doc_id from documents), e as (select s, p, max(doc_id % 3) as c from k where doc_id % 4 = 0 group by 1, 2),
         r as (select k.*, c, row_number() over (partition by k.s, k.p order by doc_id) as nth from k left join e on k.s = e.s and k.p = e.p)
         select doc_id, case when c > 0 then 'duplicate' when nth > 1 then 'repeat' when c = 0 then 'orphan' else 'new' end as state from r""",
-    "m2_semantic_duplicates": "select * from (select a.label as project_id, a.vec_id as keep, b.vec_id as drop, round(list_cosine_similarity(cast(a.embedding as double[]), cast(b.embedding as double[])), 6) as similarity from embeddings a join embeddings b on a.label = b.label and a.vec_id < b.vec_id) where similarity > 0.5",
+    "m2_semantic_duplicates": "select * from (select a.label as project_id, a.vec_id as keep, b.vec_id as drop, round(list_cosine_similarity(cast(a.embedding as double[]), cast(b.embedding as double[])), 6) as similarity from embeddings a join embeddings b on a.label = b.label and a.vec_id < b.vec_id) where similarity > 0.3",
     "m3_recent_titles": "select role, conv_id, turn from (select *, row_number() over (partition by role order by conv_id desc, turn) as r from conversations) where r <= 3",
     "m4_retention": "select doc_id, source from (select *, row_number() over (partition by source order by doc_id desc) as r from documents) where r <= 20",
     "m5_substantive": "select conv_id, cast(sum(case when role = 'user' then length(trim(text)) else 0 end) as bigint) as user_chars from conversations group by 1 having sum(case when role = 'user' then length(trim(text)) else 0 end) >= 400",
@@ -390,7 +447,29 @@ ORACLES = {
     "j9_cache_validity": "select doc_id, doc_id % 10 <> 0 and doc_id % 7 <> 0 as hit from documents",
     "j11_meeting_assets": "select o_orderkey as meeting_id, c_name, n_name, coalesce(l.n, 0) as lines from orders left join customer on o_custkey = c_custkey left join nation on c_nationkey = n_nationkey left join (select l_orderkey, count(*) as n from lineitem group by 1) l on l_orderkey = o_orderkey",
     "j12_session_snapshot": f"with {CALLS} select session_id, md5(string_agg(cast(call_id as varchar), ',' order by started_at, call_id)) as digest from calls group by 1",
-    "j13_coverage": "with q as (select distinct p_brand, unnest(['af', 'am', 'as', 'eu', 'mi']) as word from part) select q.p_brand, q.word, case when min(p_partkey) is null then 'missing' else 'pending' end as status, min(p_partkey) as first_part from q left join part p on p.p_brand = q.p_brand and contains(p_name, word) group by 1, 2",
+    "j13_coverage": f"""with {_DELIVERABLES}, hit as (select q.phase, q.name, min(path) as path from req q join fl f on f.phase = q.phase and (contains(path, q.name) or contains(q.name, stem) or contains(stem, q.name)) group by 1, 2)
+        select q.phase, q.name, q.required, case when path is not null then 'pending' when q.required then 'missing' else 'optional' end as status, path from req q left join hit using (phase, name)
+        union all select phase, path[5:], false, 'optional', path from fl where (phase, path[5:]) not in (select (phase, name) from req)""",
+    "j14_cells": f"""with {_DELIVERABLES}, c as (select phase || '/' || name as cell, phase, name, regexp_replace(name, '\\.[^.]*$', '') as ns from req),
+        e as (select o_orderkey as event, 'Brand#' || o_custkey % 30 as ep, ['ring', 'widget.doc', 'bolt', 'large bolt', 'zzz'][o_orderkey % 5 + 1] as en, regexp_replace(['ring', 'widget.doc', 'bolt', 'large bolt', 'zzz'][o_orderkey % 5 + 1], '\\.[^.]*$', '') as es, o_orderstatus = 'F' as so from orders where o_orderstatus <> 'P'),
+        ch as (select event, so, min(cell) as cell from e join c on (contains(phase, ep) or contains(ep, phase)) and (ns = es or contains(name, en) or contains(en, ns)) group by 1, 2),
+        l as (select cell, max_by(so, event) as so, bool_or(so) as ever from ch group by 1)
+        select cell, phase, name, case when ever then 'done' else 'pending' end as status, coalesce(so, false) as signed_off from c left join l using (cell)""",
+    "k4_constant_scores": "select p_brand, p_name, 1.0::double as score from part where contains(lower(p_name), 'ring') union select p_brand, p_name, 0.5::double from part where contains(lower(p_type), 'small') union select p_brand, p_name, 1.0::double from part where contains(lower(p_name), 'small')",
+    "l5_step_results": f"""with c as (select *, lag(text) over (partition by conv_id order by turn) as expected, case text[1] when 'T' then text[1:8] when 'I' then '  ' when 'E' then text || ' Timeout' else text end as output from conversations),
+        r as (select conv_id, turn, case when trim(output, ' ' || chr(9) || chr(10) || chr(13)) = '' then 'empty' when len([w for w in {logs.STEP_FAILURES} if contains(lower(output), w)]) > 0 then 'word:' || [w for w in {logs.STEP_FAILURES} if contains(lower(output), w)][1] when strlen(output) < 10 and strlen(expected) > 50 then 'short' end as reason from c),
+        i as (select *, sum((reason is null)::int) over (partition by conv_id order by turn rows unbounded preceding) as island from r)
+        select conv_id, turn, reason, cast(sum((reason is not null)::int) over (partition by conv_id, island order by turn rows unbounded preceding) as bigint) as streak, sum((reason is not null)::int) over (partition by conv_id, island order by turn rows unbounded preceding) >= 2 as replan from i""",
+    "m3_title_duplicates": r"""with t as (select conv_id, conv_id % 5 as p, coalesce(min_by(x, turn) filter (where role = 'user' and x <> ''), 'New conversation') as title from (select *, trim(regexp_replace(text, '[\x00-\x1f\x7f]', '', 'g')[1:2]) as x from conversations) group by 1),
+        l as (select p, title from (select *, row_number() over (partition by p order by conv_id % 7, conv_id) as r from t where conv_id % 2 = 0) where r <= 3)
+        select conv_id, title, (p, title) in (select (p, title) from l) as duplicate from t where conv_id % 2 = 1""",
+    "m10_missing": "select o_orderkey, case when o_orderkey % 6 > 0 then cast(round(o_totalprice) as bigint) else 0 end as price, o_orderkey % 6 = 0 as price_missing, o_custkey as clerk, case when o_orderstatus <> 'P' then o_orderstatus else '?' end as state from orders where o_orderkey % 5 > 0",
+    "m10_step_counts": """select 1 as step, 'price' as column, 'mark' as action, count(*) as rows, count(*) filter (where o_orderkey % 6 = 0) as missing from orders union all select 2, 'price', 'fill', count(*), count(*) filter (where o_orderkey % 6 = 0) from orders
+        union all select 3, 'clerk', 'drop', count(*), count(*) filter (where o_orderkey % 5 = 0) from orders union all select 4, 'state', 'fill', count(*) filter (where o_orderkey % 5 > 0), count(*) filter (where o_orderkey % 5 > 0 and o_orderstatus = 'P') from orders""",
+    "l6_rate_limit": f"""with recursive {CALLS}, n as (select session_id, call_id, started_at, row_number() over (partition by session_id order by started_at, call_id) as r from calls),
+        d as (select session_id, call_id, r, started_at as held, true as accepted from n where r = 1
+            union all select n.session_id, n.call_id, n.r, case when n.started_at - held >= interval 3600 second then n.started_at else held end, n.started_at - held >= interval 3600 second from d join n on n.session_id = d.session_id and n.r = d.r + 1)
+        select session_id, call_id, accepted from d""",
     "j15_scope_items": "select p_brand, p_partkey, p_name from (select *, row_number() over (partition by p_brand order by p_partkey) as r from part where contains(lower(p_name), 'ring') or contains(lower(p_brand), 'ring')) where r <= 3",
     "j17_listing": "select doc_id, source from documents order by doc_id desc limit 50 offset 10",
     "j19_identity": r"select page_id, case when page_id % 5 = 0 then 'id-' || page_id else coalesce(nullif(regexp_extract(url, '([^/\\]+)$', 1), ''), 'untitled') end as identity from pages",
@@ -404,7 +483,7 @@ ORACLES = {
     "l7_complexity": "with c as (select *, row_number() over (partition by conv_id order by turn) - 1 as e from conversations), s as (select conv_id, turn, cast(greatest(3 * len([w for w in {en} if contains(lower(text), w)]) + least(floor(strlen(text) / 200), 5) + 2 * least(floor(floor(e / 2) / 4), 3) - 5 * len([w for w in {si} if contains(lower(text), w)]), 0) as bigint) as score from c) select conv_id, turn, score, case when score >= 10 then 'planned' else 'direct' end as mode from s".replace("{en}", str(logs.COMPLEX_EN)).replace("{si}", str(logs.SIMPLE)),
     "l8_intent": "select conv_id, turn, contains(lower(text), 'the') and contains(lower(text), 'with') as intent from conversations",
     "l9_history": "select conv_id, string_agg(cast(turn as varchar), ',' order by turn) as turns, cast(max(used) as bigint) as chars from (select *, sum(length(text)) over (partition by conv_id order by turn desc rows unbounded preceding) as used from conversations) where used <= 2000 group by 1",
-    "v1_citations": "select conv_id * 1000 + turn as answer_id, turn % 3 = 0 or turn in (1, 3) as passed, case when turn % 3 = 0 then 0.7::double when turn = 1 then 1.0 else 0.5 end as confidence from conversations where role = 'assistant'",
+    "v1_citations": "select conv_id * 2147483648 + turn as answer_id, turn % 3 = 0 or turn in (1, 3) as passed, case when turn % 3 = 0 then 0.7::double when turn = 1 then 1.0 else 0.5 end as confidence from conversations where role = 'assistant'",
     "v2_grounding": f"with {_ANS} select * from sup",
     "v3_vector_grounding": """with p as (select s.vec_id as sentence_id, c.vec_id as chunk_id, round(list_cosine_similarity(cast(s.embedding as double[]), cast(c.embedding as double[])), 6) as similarity from embeddings s join embeddings c on s.label = c.label and s.vec_id <> c.vec_id where s.vec_id % 50 = 0)
         select sentence_id, chunk_id, similarity, case when similarity >= 0.7 then 'supported' when similarity >= 0.4 then 'weak' else 'unsupported' end as verdict from (select *, row_number() over (partition by sentence_id order by similarity desc, chunk_id) as r from p) where r = 1""",

@@ -38,6 +38,23 @@ def _outline(spark, d):
     return outline_rows(lines.select("doc_id", "p", F.concat(number, "line").alias("line")), ["doc_id"], "p", "line")
 
 
+def _sources(spark, d):
+    """An order's lines as a JSON array of sources: numbers, texts, blanks and nulls."""
+    k = F.col("l_linenumber")
+    source = F.when(k % 4 == 0, F.col("l_partkey").cast("string")).when(k % 4 == 1, F.concat(F.lit('" p'), "l_partkey", F.lit('"'))).when(k % 4 == 2, F.lit('"  "')).otherwise(F.lit("null"))
+    one = F.concat(F.lit('{"source_id": '), source, F.lit(', "document_id": '), "l_suppkey", F.lit("}"))
+    return table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.concat(F.lit("["), F.array_join(F.collect_list(one), ", "), F.lit("]")).alias("sources"))
+
+
+def _salvage(spark, d):
+    """Two items with the first line of a text as a JSON array that breaks off inside the third; the first line may hold braces and quotes."""
+    line = F.concat(F.lit("{"), F.substring_index("text", "\n", 1), F.lit('" }'))
+    item = lambda n: F.to_json(F.struct(F.lit(n).alias("n"), F.struct(line.alias("name")).alias("item")))
+    broken = F.concat(F.lit("Items: ["), item(1), F.lit(", "), item(2), F.lit(", "), F.expr("substring(to_json(struct(3 as n, text as name)), 1, 12)"))
+    rows = table(spark, d, "documents").select("doc_id", F.explode(t.whole_objects(broken)).alias("object"))
+    return rows.select("doc_id", F.from_json("object", "n int, item struct<name: string>").alias("x")).select("doc_id", "x.n", F.md5("x.item.name").alias("digest"))
+
+
 QUERIES = {
     "s2_html_text": _pages(lambda: t.html_text(F.col("html")).alias("text")),
     "x1_clean_markup": _pages(lambda: t.clean_markup(F.col("html")).alias("text")),
@@ -61,7 +78,8 @@ QUERIES = {
     "x20_citations": lambda spark, d: table(spark, d, "conversations").select("conv_id", "turn", F.concat_ws(",", t.citations(F.concat("text", F.lit(" [src:"), "turn", F.lit("] [chunk:"), "conv_id", F.lit("] [来源：a.md]")))).alias("cited")),
     "x21_answer_json": lambda spark, d: table(spark, d, "events").select("event_id", F.from_json(t.json_of_answer(F.concat(F.lit("Result: ```json\n"), "props", F.lit("\n``` done"))), "k long").getField("k").alias("k")),
     "x22_front_matter": lambda spark, d: table(spark, d, "documents").select("doc_id", F.concat_ws("|", t.front_matter_tags(F.concat(F.lit('---\ntags: [a,"'), "lang", F.lit('"]\n---\n'), "text"))).alias("tags")),
-    "x23_source_keys": lambda spark, d: table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.array_join(F.array_sort(F.collect_set(F.when(F.col("l_linenumber") % 2 == 0, F.concat(F.lit("source_id:"), "l_partkey")).otherwise(F.concat(F.lit("document_id:"), "l_suppkey")))), ",").alias("keys")),
+    "x23_source_keys": lambda spark, d: _sources(spark, d).select("l_orderkey", F.array_join(t.source_keys(F.col("sources")), ",").alias("keys")),
+    "x21_salvage": _salvage,
     "x24_injection_phrase": lambda spark, d: table(spark, d, "documents").select("doc_id", t.first_injection_phrase(F.when(F.col("doc_id") % 7 == 0, F.concat("text", F.lit(" Act as if"))).otherwise(F.col("text"))).alias("phrase")),
     "x25_scrub_context": lambda spark, d: table(spark, d, "conversations").select("conv_id", "turn", F.md5(t.scrub_context(F.concat(F.lit("a<context>x</context>b<context>"), "text", F.when(F.col("turn") % 2 == 0, F.lit("</context>c")).otherwise(F.lit(""))))).alias("digest")),
     "x28_masking": _docs(lambda x: F.md5(t.mask_digits(x)).alias("digest")),
@@ -102,7 +120,11 @@ ORACLES = {
     "x20_citations": "select conv_id, turn, 'a.md,' || turn || ',' || conv_id as cited from conversations",
     "x21_answer_json": "select event_id, cast(json_extract_string(props, '$.k') as bigint) as k from events",
     "x22_front_matter": "select doc_id, 'a|' || lang as tags from documents",
-    "x23_source_keys": "select l_orderkey, string_agg(k, ',' order by k) as keys from (select distinct l_orderkey, case when l_linenumber % 2 = 0 then 'source_id:' || l_partkey else 'document_id:' || l_suppkey end as k from lineitem) group by l_orderkey",
+    "x23_source_keys": "select l_orderkey, string_agg(k, ',' order by k) as keys from (select distinct l_orderkey, case l_linenumber % 4 when 0 then 'source_id:' || l_partkey when 1 then 'source_id:p' || l_partkey else 'document_id:' || l_suppkey end as k from lineitem) group by l_orderkey",
+    "x21_salvage": """select doc_id, cast(n as int) as n, md5('{' || string_split(text, chr(10))[1] || '" }') as digest from documents, (select unnest([1, 2]) as n)""",
+    "x14_sentences": r"""with x as (select doc_id, regexp_replace(regexp_replace(regexp_replace(text, '([。！？])([^”’」』）)\]])', '\1' || chr(1) || '\2', 'g'), '([。！？])([^”’」』）)\]' || chr(1) || '])', '\1' || chr(1) || '\2', 'g'), '([.!?])([ \t\r\n])', '\1' || chr(1) || '\2', 'g') as x from documents),
+        s as (select doc_id, unnest([trim(y, ' ' || chr(9) || chr(10) || chr(13)) for y in string_split(x, chr(1))]) as s from x)
+        select doc_id, count(*) as sentences, cast(sum(length(s)) as bigint) as chars from s where strlen(s) > 3 group by 1""",
     "x24_injection_phrase": f"select doc_id, [p for p in {_phrases} if contains(lower(x), p)][1] as phrase from (select doc_id, case when doc_id % 7 = 0 then text || ' Act as if' else text end as x from documents)",
     "x25_scrub_context": "select conv_id, turn, md5(case when turn % 2 = 0 then 'abc' else 'ab' end) as digest from conversations",
     "x28_masking": r"select doc_id, md5(regexp_replace(regexp_replace(regexp_replace(text, '([A-Za-z0-9])[A-Za-z0-9._%+-]*@', '\1***@', 'g'), '([0-9]{4})[0-9]{5,11}([0-9]{4})', '\1****\2', 'g'), '(\+[0-9]{1,3} ?\(?[0-9]{3}\)? ?)[0-9]{3}(-?[0-9]{4})', '\1***\2', 'g')) as digest from documents",
