@@ -9,9 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def fresh_dir(spark: SparkSession, name: str) -> str:
-    """A path below the shared folder that nothing else uses; a local folder only where none is configured (tests)."""
+    """A path below the shared folder that nothing else uses; a local folder only where none is configured and all tasks run on this machine."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="kbforge-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/kbforge/{name}-{uuid.uuid4().hex}"

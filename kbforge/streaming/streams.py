@@ -71,19 +71,20 @@ def run_once(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
     return spark.read.schema(stream.schema).parquet(out)
 
 
-def ingest_once(stream: DataFrame, name: str, process: Callable[[DataFrame], DataFrame], keys: list[str]) -> DataFrame:
-    """Each version of a source processed once: a batch's rows are cut to keys not stored yet; a batch that runs again replaces its own folder."""
+def ingest_once(stream: DataFrame, name: str, process: Callable[[DataFrame], DataFrame], keys: list[str], folder: str | None = None) -> DataFrame:
+    """Each version of a source processed once, over all runs that share ``folder``: all that has been processed so far.
+
+    The keys seen are state of the stream and live in its checkpoint, below ``folder`` (a fresh one
+    if none is given), beside the results; a run reads new files and the state of their keys only. A
+    batch that runs again replaces its own folder.
+    """
     spark = stream.sparkSession
-    out, log = fresh_dir(spark, name), fresh_dir(spark, f"{name}-log")
-    seen: list[str] = []
+    base = folder or fresh_dir(spark, name)
+    out, log = f"{base}/rows", f"{base}/log"
 
     def batch(df: DataFrame, number: int) -> None:
-        rows = df.dropDuplicates(keys)
-        if seen:
-            rows = rows.join(spark.read.parquet(*seen).select(*keys), keys, "left_anti")
-        process(rows).write.mode("overwrite").parquet(f"{out}/batch={number}")
-        if f"{out}/batch={number}" not in seen:
-            seen.append(f"{out}/batch={number}")
-
-    stream.writeStream.option("checkpointLocation", log).trigger(availableNow=True).foreachBatch(batch).start().awaitTermination()
+        process(df).write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    new = stream.dropDuplicates(keys)
+    new.writeStream.option("checkpointLocation", log).trigger(availableNow=True).foreachBatch(batch).start().awaitTermination()
     return spark.read.parquet(out).drop("batch")

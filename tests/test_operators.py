@@ -1,13 +1,15 @@
 """Golden cases and invariants of single operators."""
 
 import datetime
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from kbforge.functions import text as t
 from kbforge.functions import transcript
-from kbforge.operators import analytics, chunking, graph, logs, maintenance, redaction, retrieval, verification
+from kbforge.operators import analytics, chunking, graph, logs, maintenance, pairs, redaction, retrieval, verification
+from kbforge.streaming import streams
 
 
 def one(spark, make, value, kind="string"):
@@ -202,3 +204,155 @@ def test_transcripts(spark):
     assert one(spark, transcript.merge_short, "这是一个比较长的句子内容。短句。另一个也足够长的句子在这里。") == "这是一个比较长的句子内容，短句。另一个也足够长的句子在这里。"
     assert one(spark, transcript.tidy_blanks, "中 文 字  ok  x\n\n y ") == "中文字 ok x\ny"
     assert one(spark, transcript.clean_transcript, "") == ""
+
+
+def edit_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        row = _next_row(row, i, x, b)
+    return row[-1]
+
+
+def _next_row(row, i, x, b):
+    new = [i]
+    for j, y in enumerate(b, 1):
+        new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+    return new
+
+
+def test_pairs_of_hot_groups_are_all_there(spark):
+    members = spark.createDataFrame([("p", "hot", f"s{k:03d}") for k in range(60)] * 2 + [("p", "one", "s001"), ("q", "hot", "s002"), ("q", "hot", "s001")], "project_id string, group string, slug string")
+    found = sorted(map(tuple, pairs.pairs_within(members, ["project_id", "group"], "slug", unit=7).collect()))
+    assert found == sorted([("p", "hot", f"s{a:03d}", f"s{b:03d}") for b in range(60) for a in range(b)] + [("q", "hot", "s001", "s002")])
+    assert graph.co_occurrence_edges(members, "tag").count() == 60 * 59 // 2 + 1
+    assert graph.co_occurrence_edges(members, "tag", 50).count() == 50 * 49 // 2 + 1
+    pages = members.where("group = 'hot'").distinct().select("project_id", "slug", F.array("group").alias("tags"), F.array().cast("array<string>").alias("sources"), F.array().cast("array<string>").alias("wikilinks"))
+    assert graph.build_graph(pages).count() == 60 * 59 // 2 + 1 and graph.build_graph(pages, 50).count() == 50 * 49 // 2 + 1
+
+
+def test_fuzzy_duplicates_match_brute_force(spark):
+    random.seed(11)
+    texts = {"".join(random.choice("ab c") for _ in range(random.randint(0, 12))) for _ in range(150)} | {"aaaa", "aaab", "aaaaaaaa", "aaaaaaab", "", "x", "xy"}
+    rows = [(k, k % 2, x) for k, x in enumerate(sorted(texts))] + [(1000, 0, None), (1001, 1, "aaaa")]
+    made = spark.createDataFrame(rows, "id long, b int, x string")
+    for most in (0.2, 0.3):
+        first = {}
+        for k, b, x in rows:
+            if x is not None:
+                first.setdefault((b, x), k)
+        want = {(min(i, j), max(i, j)) for (b, x), i in first.items() for (c, y), j in first.items() if b == c and x != y and edit_distance(x, y) <= max(len(x), len(y)) * most}
+        assert {tuple(r) for r in pairs.fuzzy_duplicates(made, F.col("b"), "id", "x", most).collect()} == want
+
+
+def test_semantic_duplicates_match_brute_force(spark):
+    random.seed(12)
+    rows = [(k % 2, k, [random.gauss(0, 1) for _ in range(3)]) for k in range(60)] + [(0, 100, None), (0, 101, [0.0] * 3), (0, 102, [1.0, 2.0]), (None, 103, [1.0] * 3), (1, 104, [1.0, None, 2.0])]
+    made = spark.createDataFrame(rows, "project_id long, vec_id long, embedding array<double>")
+    a, b = made.select("project_id", F.col("vec_id").alias("keep"), F.col("embedding").alias("x")), made.select("project_id", F.col("vec_id").alias("drop"), F.col("embedding").alias("y"))
+    want = a.join(b, "project_id").where("keep < drop").select("project_id", "keep", "drop", F.round(retrieval.cosine(F.col("x"), F.col("y")), 6).alias("s")).where("s > 0.8")
+    for numbers in (20, 1 << 20):
+        assert sorted(map(tuple, maintenance.semantic_duplicates(made, 0.8, numbers).collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_running_totals_of_any_key(spark):
+    rows = [(k % 3 if k % 7 else None, k * 37 % 101, k % 5) for k in range(300)]
+    made = spark.createDataFrame(rows, "g long, at long, n long").repartition(5)
+    out = analytics.running_total(made, ["g"], [F.col("at"), F.col("n")], "n", "before").collect()
+    assert len(out) == 300
+    for r in out:
+        less = sum(n for g, at, n in rows if g == r.g and (at, n) < (r.at, r.n))
+        same = sum(n for g, at, n in rows if g == r.g and (at, n) == (r.at, r.n))
+        assert less <= r.before <= less + same
+
+
+def test_change_ratio_of_long_texts_is_exact(spark):
+    long = "".join(chr(97 + k * k % 23) for k in range(6000))
+    ratio = lambda a, b, cut=None: spark.createDataFrame([(a, b)], "a string, b string").select(t.change_ratio(F.col("a"), F.col("b"), cut)).first()[0]
+    assert ratio(long, "!" + long) == pytest.approx(1 / 6001) and ratio(long, "!" + long, 5000) > 0.5
+    assert ratio("", "") == 0.0 and ratio("a" * 6000, "a" * 5999 + "b", 5000) == pytest.approx(1 / 6000)
+
+
+def test_ingestion_happens_once_over_runs(spark, tmp_path):
+    source, folder = str(tmp_path / "in"), str(tmp_path / "state")
+    put = lambda rows: spark.createDataFrame(rows, "source string, text string").coalesce(1).write.mode("append").parquet(source)
+    seen = []
+
+    def run():
+        stream = streams.tail(spark, source, "source string, text string").withColumn("sha", F.sha2("text", 256))
+        done = streams.ingest_once(stream, "t", lambda df: seen.append(df.count()) or df.select("source", "text"), ["source", "sha"], folder)
+        return sorted(map(tuple, done.collect()))
+
+    put([("a", "1"), ("a", "1"), ("b", "1")])
+    assert run() == [("a", "1"), ("b", "1")]
+    put([("a", "1"), ("a", "2")])
+    assert run() == [("a", "1"), ("a", "2"), ("b", "1")] and run() == [("a", "1"), ("a", "2"), ("b", "1")]
+    assert sum(seen) == 3
+
+
+def test_salvage_and_source_keys(spark):
+    broken = 'x [{"a": "}{\\" \\\\"}, {"b": {"c": [1, {"d": 2}]}}, {"e": {"f": 1}'
+    assert one(spark, t.whole_objects, broken) == ['{"a": "}{\\" \\\\"}', '{"b": {"c": [1, {"d": 2}]}}']
+    assert one(spark, t.whole_objects, "") == [] and one(spark, t.whole_objects, None) is None
+    keys = lambda x: one(spark, t.source_keys, x)
+    assert keys('[{"source_id": 5, "document_id": 7}, {"source_id": "  ", "document_id": 7}, {"document_id": " x "}, {"source_id": null}, {"source_id": {"a": 1}, "document_id": 2}, {"source_id": 5}]') == ["document_id:2", "document_id:7", "document_id:x", "source_id:5"]
+    assert keys("[]") == [] and keys("no json") is None
+
+
+def test_step_failures_and_rules(spark):
+    rows = [("", "x"), (" \n", None), ("all Failed", "x"), ("操作超时了", "x"), ("ok", "y" * 51), ("ok", "y" * 50), ("ok", None), ("fine result", "y" * 99), (None, "x")]
+    made = spark.createDataFrame(rows, "o string, e string")
+    assert [r[0] for r in made.select(logs.step_failure(F.col("o"), F.col("e"))).collect()] == ["empty", "empty", "word:failed", "word:超时", "short", None, None, None, "empty"]
+    rule = lambda k, x: spark.createDataFrame([(k, x)], "k string, x string").select(logs.rule_of(F.col("k"), F.col("x"))).first()[0]
+    assert rule("exhausted", "结果为空") == logs.RULES["empty"] and rule("exhausted", "timeout, not supported") == logs.RULES["timeout"]
+    assert rule("exhausted", "z" * 99) == logs.RULES["exhausted"] + "z" * 80 and rule("replan", "a") == logs.RULES["replan"] + "a"
+    assert rule("timeout", "a") == logs.RULES["one_timeout"] and rule("odd", "a") == logs.RULES["other"] + "a"
+
+
+def test_coverage_and_sign_off(spark):
+    required = spark.createDataFrame([("p1", "plan", True), ("p1", "final report", True), ("p1", "extra", False), ("p2", "plan", True), ("p1", "", True)], "phase string, name string, required boolean")
+    files = spark.createDataFrame([("p1", "d/plan-v1.doc"), ("p1", "d/plan.doc"), ("p1", "d/report.md"), ("p3", "x.md")], "phase string, path string")
+    out = {(r.phase, r.name): (r.status, r.path) for r in maintenance.coverage(required, files).collect()}
+    assert out[("p1", "plan")] == ("pending", "d/plan-v1.doc") and out[("p1", "final report")] == ("pending", "d/report.md")
+    assert out[("p1", "extra")] == ("optional", None) and out[("p2", "plan")] == ("missing", None)
+    assert out[("p3", "x.md")] == ("optional", "x.md") and out[("p1", "report.md")][0] == "optional" and len(out) == 8
+    cells = spark.createDataFrame([(1, "p1", "plan.doc", "pending"), (2, "p1", "plan-b", "pending"), (3, "p2", "test", "missing"), (4, "p9", "z", "pending")], "cell long, phase string, name string, status string")
+    events = spark.createDataFrame([(1, "p1", "plan.md", True), (2, "p1", "plan", False), (3, "p2-x", "a test", True), (4, "p7", "z", True)], "event long, phase string, name string, signed_off boolean")
+    got = {r.cell: (r.status, r.signed_off) for r in maintenance.sign_off(cells, events).collect()}
+    assert got == {1: ("done", False), 2: ("pending", False), 3: ("done", True), 4: ("pending", False)}
+
+
+def test_missing_values_and_their_counts(spark):
+    rows = spark.createDataFrame([(1, None, "x"), (None, 2, None), (3, 4, None)], "a long, b long, c string")
+    rules = [("a", "mark", None), ("a", "fill", 0), ("b", "drop", None), ("c", "fill", "?"), ("c", "drop", None)]
+    assert sorted(map(tuple, maintenance.treat_missing(rows, rules).collect())) == [(0, 2, "?", True), (3, 4, "?", False)]
+    assert [tuple(r)[0::1][3:] for r in maintenance.missing_counts(rows, rules).orderBy("step").collect()] == [(3, 1), (3, 1), (3, 1), (2, 2), (2, 0)]
+
+
+def test_profile_match_counts_similarity_and_containment(spark):
+    words = lambda x: F.array_distinct(F.filter(F.split(F.lower(x), "[^a-z]+"), lambda w: w != ""))
+    q = spark.createDataFrame([(1, "fix the report now"), (2, "unrelated")], "query_id long, text string")
+    d = spark.createDataFrame([(1, "the report"), (2, "please fix the report now or later"), (3, "report on many other long things"), (4, "nothing here"), (5, "ix the report n")], "doc_id long, text string")
+    out = {(r.query_id, r.doc_id): r.score for r in retrieval.profile_match(q, d, words).collect()}
+    assert out == {(1, 1): 2 + 3 * 0.5 + 5, (1, 2): pytest.approx(4 + 3 * 4 / 7 + 5), (1, 3): 1.0, (1, 5): pytest.approx(2 + 3 / 3 + 5)}
+
+
+def test_postings_count_inside_rows(spark):
+    rows = spark.createDataFrame([("a", 1, "x y x x z"), ("a", 2, ""), ("b", 3, "y")], "project_id string, chunk_id long, content string")
+    posted = retrieval.postings(rows, F.filter(F.split("content", " "), lambda w: w != ""))
+    assert sorted((r.chunk_id, r.term, r.tf, r.dl) for r in posted.collect()) == [(1, "x", 3, 5), (1, "y", 1, 5), (1, "z", 1, 5), (3, "y", 1, 1)]
+    assert posted.where("head").count() == 2
+    held = retrieval.phrase_postings(rows, posted, spark.createDataFrame([("Y X",), ("y",), ("q q",)], "phrase string"), F.col("content")).where("not head and tf = 1").where("term = 'y x'").collect()
+    assert [(r.chunk_id, r.dl) for r in held] == [(1, 5)]
+
+
+def test_newest_places_and_coverage_of_tests(spark):
+    skills = spark.createDataFrame([(f"s{k}", "all" if k % 3 == 0 else f"p{k % 2}", k) for k in range(20)] + [("s1", "all", 1)], "skill string, phase string, listed long")
+    out = analytics.recommend_for_phases(skills, spark.createDataFrame([("p1",), ("p5",)], "phase string")).orderBy("phase", "place").collect()
+    assert [r.skill for r in out if r.phase == "p1"] == ["s1", "s5", "s7", "s11", "s13", "s17"]
+    assert [r.skill for r in out if r.phase == "p5"] == ["s0", "s1", "s3", "s6", "s9", "s12"]
+    req = spark.createDataFrame([(1, 1), (1, 2), (2, 3)], "project_id long, requirement long")
+    tests = spark.createDataFrame([(1, 1, 10, "pass"), (1, 1, 11, "fail"), (1, 2, 12, "not-run")], "project_id long, requirement long, test_id long, status string")
+    assert sorted(map(tuple, analytics.test_coverage(req, tests).collect())) == [(1, 0.5, 1, 1, 1, 0), (2, 0.0, 0, 0, 0, 0)]
+    assert [r.test_id for r in analytics.open_issues(tests, tests.where("false")).collect()] == [11]
+    facts = spark.createDataFrame([(1, "tests", 1, 1), (1, "tests", 0, 1), (1, "defects", 0, 0)], "project_id long, kind string, hits long, total long")
+    assert tuple(analytics.closing_rates(facts).first()) == (1, None, 0.5, None, None)
