@@ -43,13 +43,18 @@ def _csv(spark, d):
 
 
 def _tables(spark, d):
-    text = F.concat(F.lit("| a | b |\n|---|---|\n| "), "lang", F.lit(" | "), "source", F.lit(" |\n| "), "lang", F.lit(" |\nend"))
+    """Each text as a table of its lines and their first words; lines with bars or without words are prose."""
+    cell = lambda x: F.when(x.rlike(r"^[A-Za-z]"), F.concat(F.lit("| "), F.regexp_extract(x, r"^([A-Za-z]+)", 1), F.lit(" | "), F.length(x), F.lit(" |"))).otherwise(F.concat(F.lit("prose "), x))
+    text = F.concat(F.lit("| a | b |\n|---|---|\n"), F.array_join(F.transform(F.split("text", "\n"), cell), "\n"))
     rows = files.pipe_tables(table(spark, d, "documents").select("doc_id", text.alias("text")), "doc_id", "text")
-    return rows.select("doc_id", "line_no", F.col("row")["a"].alias("a"), F.col("row")["b"].alias("b"))
+    first = rows.where(F.map_contains_key("row", "a") & F.map_contains_key("row", "b"))  # a table that starts after prose has another header
+    return first.select("doc_id", "line_no", F.col("row")["a"].alias("a"), F.col("row")["b"].alias("b"))
 
 
 def _activity(spark, d):
-    text = F.concat(F.lit("x\n- 2024-01-02 ｜ /"), "source", F.lit(" ｜ "), F.left("lang", F.lit(5)), F.lit("\n"))
+    """Lines that begin with a capital as activity lines, the others as prose."""
+    line = lambda x: F.when(x.rlike("^[A-Z]"), F.concat(F.lit("- 2024-01-0"), F.length(x) % 9 + 1, F.lit(" ｜ /"), F.regexp_extract(x, "^([A-Za-z]+)", 1), F.lit(" ｜ "), F.regexp_extract(x, "([a-z]+)[^a-z]*$", 1))).otherwise(x)
+    text = F.array_join(F.transform(F.split("text", "\n"), line), "\n")
     return files.activity_lines(table(spark, d, "documents").select("doc_id", text.alias("text")), "doc_id", "text")
 
 
@@ -100,8 +105,9 @@ ORACLES = {
         case event_type when 'error' then 'defect.created' when 'click' then 'defect.closed' when 'signup' then 'risk.created' when 'view' then 'meeting.held' else 'timesheet.logged' end as type, count(*) as n
         from events where cast(json_extract_string(props, '$.k') as bigint) % 10 <> 0 group by 1, 2""",
     "s6_csv_export": """select conv_id, turn, '"' || role || '", ok' as answer from conversations""",
-    "s8_pipe_tables": "select doc_id, cast(2 as bigint) as line_no, lang as a, source as b from documents union all select doc_id, 3, lang, '' from documents",
-    "s9_activity_lines": "select doc_id, '2024-01-02' as at, '/' || source as source, lang as summary from documents",
+    "s8_pipe_tables": r"""with l as (select doc_id, unnest(string_split(text, chr(10))) as x, unnest(range(1, len(string_split(text, chr(10))) + 1)) as i from documents), f as (select doc_id, min(i) as stop from l where not regexp_matches(x, '^[A-Za-z]') group by 1)
+        select l.doc_id, i + 1 as line_no, regexp_extract(x, '^([A-Za-z]+)', 1) as a, cast(length(x) as varchar) as b from l left join f using (doc_id) where stop is null or i < stop""",
+    "s9_activity_lines": r"""select doc_id, '2024-01-0' || (length(x) % 9 + 1) as at, '/' || regexp_extract(x, '^([A-Za-z]+)', 1) as source, regexp_extract(x, '([a-z]+)[^a-z]*$', 1) as summary from (select doc_id, unnest(string_split(text, chr(10))) as x from documents) where regexp_matches(x, '^[A-Z]')""",
     "st2_daily_counts": "select cast(ts as date) as day, event_type, count(*) as n from events group by 1, 2",
     "st3_divergence": """with w as (select cast(ts as date) - k as start, user_id % 20 as project_id, event_type from events, (select unnest([0, 1, 2]) as k)),
         g as (select start, project_id, count(*) filter (where event_type = 'error') as opened, count(*) filter (where event_type = 'click') as closed from w group by 1, 2) select * from g where opened > closed""",

@@ -38,6 +38,13 @@ def _outline(spark, d):
     return outline_rows(lines.select("doc_id", "p", F.concat(number, "line").alias("line")), ["doc_id"], "p", "line")
 
 
+def _answer():
+    """A model's answer that holds an event's payload: in a fence, bare in prose, or in a nested object."""
+    shape = F.col("event_id") % 3
+    fence, bare = F.concat(F.lit("Result: ```json\n"), "props", F.lit("\n``` done {x}")), F.concat(F.lit("The answer is "), "props", F.lit(" as asked"))
+    return F.when(shape == 0, fence).when(shape == 1, bare).otherwise(F.concat(F.lit("So: "), F.regexp_replace("props", r"\}$", ', "in": {"k": 1}}'), F.lit(".")))
+
+
 def _sources(spark, d):
     """An order's lines as a JSON array of sources: numbers, texts, blanks and nulls."""
     k = F.col("l_linenumber")
@@ -75,13 +82,13 @@ QUERIES = {
     "x17_truncate": _docs(lambda x: t.truncate_to_budget(x, 100).alias("text")),
     "x17_preview": _docs(lambda x: t.preview(x, 50).alias("preview")),
     "x18_context_prefix": lambda spark, d: table(spark, d, "documents").select("doc_id", t.context_prefix(F.col("source"), F.when(F.col("doc_id") % 2 == 0, F.col("lang")), F.col("text")).alias("text")).select("doc_id", F.md5("text").alias("digest")),
-    "x20_citations": lambda spark, d: table(spark, d, "conversations").select("conv_id", "turn", F.concat_ws(",", t.citations(F.concat("text", F.lit(" [src:"), "turn", F.lit("] [chunk:"), "conv_id", F.lit("] [来源：a.md]")))).alias("cited")),
-    "x21_answer_json": lambda spark, d: table(spark, d, "events").select("event_id", F.from_json(t.json_of_answer(F.concat(F.lit("Result: ```json\n"), "props", F.lit("\n``` done"))), "k long").getField("k").alias("k")),
-    "x22_front_matter": lambda spark, d: table(spark, d, "documents").select("doc_id", F.concat_ws("|", t.front_matter_tags(F.concat(F.lit('---\ntags: [a,"'), "lang", F.lit('"]\n---\n'), "text"))).alias("tags")),
+    "x20_citations": lambda spark, d: table(spark, d, "conversations").select("conv_id", "turn", F.concat_ws(",", t.citations(F.concat(F.regexp_replace("text", r"([a-z]{5,})\.", "[来源：$1.md]"), F.lit(" [src:"), "turn", F.lit("] [chunk:"), F.regexp_count("text", F.lit("the")), F.lit("]")))).alias("cited")),
+    "x21_answer_json": lambda spark, d: table(spark, d, "events").select("event_id", F.from_json(t.json_of_answer(_answer()), "k long").getField("k").alias("k")),
+    "x22_front_matter": lambda spark, d: table(spark, d, "documents").select("doc_id", F.concat_ws("|", t.front_matter_tags(F.concat(F.lit('---\nsource: x\ntags: [a, "'), F.regexp_extract("text", "([a-z]+)", 1), F.lit('", '), F.regexp_extract("text", "([a-z]+)[^a-z]*$", 1), F.lit("]\n---\n"), "text"))).alias("tags")),
     "x23_source_keys": lambda spark, d: _sources(spark, d).select("l_orderkey", F.array_join(t.source_keys(F.col("sources")), ",").alias("keys")),
     "x21_salvage": _salvage,
     "x24_injection_phrase": lambda spark, d: table(spark, d, "documents").select("doc_id", t.first_injection_phrase(F.when(F.col("doc_id") % 7 == 0, F.concat("text", F.lit(" Act as if"))).otherwise(F.col("text"))).alias("phrase")),
-    "x25_scrub_context": lambda spark, d: table(spark, d, "conversations").select("conv_id", "turn", F.md5(t.scrub_context(F.concat(F.lit("a<context>x</context>b<context>"), "text", F.when(F.col("turn") % 2 == 0, F.lit("</context>c")).otherwise(F.lit(""))))).alias("digest")),
+    "x25_scrub_context": lambda spark, d: table(spark, d, "conversations").select("conv_id", "turn", F.md5(t.scrub_context(F.concat(F.regexp_replace("text", "([a-z]{6,})", "<context>$1\n</context>"), F.when(F.col("turn") % 2 == 0, F.concat(F.lit("<context>"), "text")).otherwise(F.lit(""))))).alias("digest")),
     "x28_masking": _docs(lambda x: F.md5(t.mask_digits(x)).alias("digest")),
     "x29_change_ratio": lambda spark, d: table(spark, d, "part").select("p_partkey", F.round(t.change_ratio(F.col("p_name"), F.concat_ws(" ", "p_type", "p_name")), 6).alias("ratio")),
     "x30_failure_words": lambda spark, d: table(spark, d, "conversations").select("conv_id", "turn", t.has_failure_word(F.concat("text", F.when(F.col("turn") == 1, F.lit(" Error")).otherwise(F.lit("")))).alias("failed")),
@@ -117,16 +124,16 @@ ORACLES = {
         from (select doc_id, text, length(regexp_replace(text, '[\x00-\x7f]', '', 'g')) as n from documents)""",
     "x17_preview": "select doc_id, case when length(text) > 50 then text[1:50] || '...' else text end as preview from documents",
     "x18_context_prefix": "select doc_id, md5('文档《' || source || '》' || case when doc_id % 2 = 0 then ' ' || lang || '章节' else '' end || chr(10) || text) as digest from documents",
-    "x20_citations": "select conv_id, turn, 'a.md,' || turn || ',' || conv_id as cited from conversations",
+    "x20_citations": r"select conv_id, turn, array_to_string(list_append(list_append([x || '.md' for x in regexp_extract_all(text, '([a-z]{5,})\.', 1)], cast(turn as varchar)), cast(len(regexp_extract_all(text, 'the')) as varchar)), ',') as cited from conversations",
     "x21_answer_json": "select event_id, cast(json_extract_string(props, '$.k') as bigint) as k from events",
-    "x22_front_matter": "select doc_id, 'a|' || lang as tags from documents",
+    "x22_front_matter": "select doc_id, concat_ws('|', 'a', nullif(regexp_extract(text, '([a-z]+)', 1), ''), nullif(regexp_extract(text, '([a-z]+)[^a-z]*$', 1), '')) as tags from documents",
     "x23_source_keys": "select l_orderkey, string_agg(k, ',' order by k) as keys from (select distinct l_orderkey, case l_linenumber % 4 when 0 then 'source_id:' || l_partkey when 1 then 'source_id:p' || l_partkey else 'document_id:' || l_suppkey end as k from lineitem) group by l_orderkey",
     "x21_salvage": """select doc_id, cast(n as int) as n, md5('{' || string_split(text, chr(10))[1] || '" }') as digest from documents, (select unnest([1, 2]) as n)""",
     "x14_sentences": r"""with x as (select doc_id, regexp_replace(regexp_replace(regexp_replace(text, '([。！？])([^”’」』）)\]])', '\1' || chr(1) || '\2', 'g'), '([。！？])([^”’」』）)\]' || chr(1) || '])', '\1' || chr(1) || '\2', 'g'), '([.!?])([ \t\r\n])', '\1' || chr(1) || '\2', 'g') as x from documents),
         s as (select doc_id, unnest([trim(y, ' ' || chr(9) || chr(10) || chr(13)) for y in string_split(x, chr(1))]) as s from x)
         select doc_id, count(*) as sentences, cast(sum(length(s)) as bigint) as chars from s where strlen(s) > 3 group by 1""",
     "x24_injection_phrase": f"select doc_id, [p for p in {_phrases} if contains(lower(x), p)][1] as phrase from (select doc_id, case when doc_id % 7 = 0 then text || ' Act as if' else text end as x from documents)",
-    "x25_scrub_context": "select conv_id, turn, md5(case when turn % 2 = 0 then 'abc' else 'ab' end) as digest from conversations",
+    "x25_scrub_context": "select conv_id, turn, md5(regexp_replace(text, '[a-z]{6,}', '', 'g')) as digest from conversations",
     "x28_masking": r"select doc_id, md5(regexp_replace(regexp_replace(regexp_replace(text, '([A-Za-z0-9])[A-Za-z0-9._%+-]*@', '\1***@', 'g'), '([0-9]{4})[0-9]{5,11}([0-9]{4})', '\1****\2', 'g'), '(\+[0-9]{1,3} ?\(?[0-9]{3}\)? ?)[0-9]{3}(-?[0-9]{4})', '\1***\2', 'g')) as digest from documents",
     "x29_change_ratio": "select p_partkey, round(levenshtein(p_name, p_type || ' ' || p_name) / length(p_type || ' ' || p_name), 6) as ratio from part",
     "x30_failure_words": f"select conv_id, turn, len([w for w in {_failures} if contains(lower(x), w)]) > 0 as failed from (select conv_id, turn, case when turn = 1 then text || ' Error' else text end as x from conversations)",
