@@ -8,8 +8,10 @@ Each task packs what it reads, in runs of ``run_tokens`` ids: no shuffle, bounde
 lost task packs the same again. A run leaves at most a few windows partly filled, which is a
 vanishing share where a task reads millions of ids.
 
-Defined cases: null and empty texts are the end id alone; repeated rows are packed as often as
-they occur; an empty table gives no rows.
+Defined cases: null and empty texts are the end id alone; a very long text is cut into full windows
+and what is left; pieces of one length are placed in the order of reading; repeated rows and rows
+without id are packed as often as they occur; an empty table gives no rows; further columns are
+ignored.
 """
 
 from __future__ import annotations

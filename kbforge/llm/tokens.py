@@ -7,7 +7,11 @@ Links and the numbers of popped pieces are precomputed, so a word takes one step
 
 Every single byte is a piece of a byte-level vocabulary, so each word has pieces and the count is
 defined for any text. A word is ``[^\\x20\\x09-\\x0D]+`` with one leading space (a marker that the
-vocabulary has), so words do not depend on their neighbours. Null text counts as empty.
+vocabulary has), so words do not depend on their neighbours.
+
+Defined cases: null text counts as empty, 0 words and 0 tokens; very long texts and words take one
+step a byte; repeated rows are counted each, rows without id too; an empty table gives no rows;
+further columns are ignored.
 """
 
 from __future__ import annotations

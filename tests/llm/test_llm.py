@@ -336,6 +336,38 @@ def test_packing_places_each_id_once(spark):
     assert packing.pack_documents(documents(spark).limit(0), queries._vocabulary()).isEmpty()
 
 
+def test_packing_in_several_runs(spark):
+    """Runs of few ids, repeated rows, rows without id and clashing columns: every row is packed, sequences of runs never mix."""
+    rows = [(k % 7, f"text number {k} " * (k % 30), "x", 1) for k in range(200)] + [(None, "no id", "y", 2)] * 3 + [(5, None, "z", 3)] * 2
+    made = spark.createDataFrame(rows, "doc_id long, text string, ids string, length int").coalesce(2)
+    out = packing.pack_documents(made, queries._vocabulary(), window=64, run_tokens=500).collect()
+    by_seq = defaultdict(list)
+    for r in out:
+        by_seq[r.sequence_id].append((r.offset, r.length))
+        assert r.length == len(r.ids) <= 64
+    for pieces in by_seq.values():
+        ends = [0, *np.cumsum([n for _, n in sorted(pieces)]).tolist()]
+        assert [o for o, _ in sorted(pieces)] == ends[:-1] and ends[-1] <= 64
+    assert len({q >> 33 for q in by_seq}) == 2 and sum(r.start == 0 for r in out) == 205
+    with open(queries._vocabulary(), encoding="utf-8") as f:
+        tokenizer = bpe.DocumentTokenizer(f.read())
+    want = defaultdict(int)
+    for k, t, *_ in rows:
+        want[k] += len(tokenizer.ids(t or "")) + 1
+    got = defaultdict(int)
+    for r in out:
+        got[r.doc_id] += r.length
+    assert got == want
+
+
+def test_token_counts_and_media_of_odd_tables(spark):
+    made = spark.createDataFrame([(1, "a b", 9, "m"), (1, "a b", 9, "m"), (None, "x" * 400_000, 9, "m"), (2, None, 9, "m")], "doc_id long, text string, n_words int, media string")
+    out = sorted((str(r.doc_id), r.n_words) for r in tokens.token_counts(made, queries._vocabulary()).collect())
+    assert out == [("1", 2), ("1", 2), ("2", 0), ("None", 1)]
+    found = sorted((str(r.doc_id), r.n_bytes) for r in media.media_features(media.store_media(made)).collect())
+    assert found == [("1", 3), ("1", 3), ("2", 0), ("None", 400_000)]
+
+
 def test_best_fit_decreasing_is_tightest():
     random.seed(4)
     lengths = np.array([random.randint(1, 100) for _ in range(500)])
@@ -555,12 +587,61 @@ def test_media_retries_members_by_offset(tmp_path):
         reader.member(media.ArchiveHandle(fs.LocalFileSystem(), path, 3), infos[2])
 
 
-def test_pipeline_stages_keep_columns(spark):
+def test_pipeline_stages_match_brute_force(spark):
+    """Each stage's content against a plain version of it, on what the stage before has kept."""
     import corpus_pipeline
 
+    stage = dict(corpus_pipeline.STAGES)
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    as_rows = lambda df: [r.asDict() for r in df.collect()]
     docs = documents(spark)
+    # quality classifier: rows at or above the threshold of a model of the same labels, unchanged
+    good = stage["quality classifier"](spark, docs, SF)
+    model = quality.fit(quality.statistics(docs), labels)
+    scored = {r.doc_id: float(model.scores(np.array([quality.statistics_of(r.text)]))[0]) for r in docs.collect()}
+    assert as_rows(good.orderBy("doc_id")) == [r for r in as_rows(docs.orderBy("doc_id")) if scored[r["doc_id"]] >= 0.3]
+    # near-dedup: the smallest id of each component of five-word shingles at 0.8
+    kept = stage["min-max near-dedup"](spark, good, SF)
+    comps, _ = brute_components([(r["doc_id"], r["text"]) for r in as_rows(good)], 5, 80)
+    assert as_rows(kept.orderBy("doc_id")) == [r for r in as_rows(good.orderBy("doc_id")) if comps[r["doc_id"]] == r["doc_id"]]
+    # personal data: every span of the detector replaced, all else as it was
+    safe = stage["personal data"](spark, kept, SF)
+    spans = {r.doc_id: [(s["start"], s["stop"], pii.KINDS[s["rank"] - 1]) for s in r.spans] for r in pii.personal_data(kept).collect()}
+    want = []
+    for r in as_rows(kept.orderBy("doc_id")):
+        for start, stop, kind in reversed(spans[r["doc_id"]]):
+            r["text"] = r["text"][:start] + f"[{kind.upper()}]" + r["text"][stop:]
+        want.append({**r, "n_chars": len(r["text"] or "")})
+    assert as_rows(safe.orderBy("doc_id")) == want
+    # mixing: each source near its target, texts whole but for one prefix a source
+    mixed = stage["source mixing"](spark, safe, SF)
+    before, sizes, taken, cut = {r["doc_id"]: r for r in want}, defaultdict(int), defaultdict(int), defaultdict(int)
+    for r in want:
+        sizes[r["source"]] += len(WORD.findall(r["text"] or ""))
+    for r in as_rows(mixed):
+        old = before[r["doc_id"]]
+        assert old["text"].startswith(r["text"]) and r["n_chars"] == len(r["text"]) and all(r[c] == old[c] for c in ("lang", "source"))
+        taken[r["source"]] += len(WORD.findall(r["text"]))
+        cut[r["source"]] += r["text"] != old["text"]
+    goal = brute_targets(sizes)
+    assert all(abs(taken[s] - goal[s]) <= 1 and cut[s] <= 1 for s in sizes)
+    # packing: the ids of every mixed text
+    packed = stage["packing"](spark, mixed, SF)
+    with open(queries._vocabulary(), encoding="utf-8") as f:
+        tokenizer = bpe.DocumentTokenizer(f.read())
+    whole = defaultdict(int)
+    for r in as_rows(mixed):
+        whole[r["doc_id"]] += len(tokenizer.ids(r["text"])) + 1
+    assert {r.doc_id: r.n for r in packed.groupBy("doc_id").agg(F.sum("length").alias("n")).collect()} == whole
+
+
+def test_pipeline_stages_keep_columns(spark):
+    import corpus_pipeline
+
+    docs = documents(spark).unionByName(odd_documents(spark).select(documents(spark).columns)).withColumns({"kept": F.lit("k"), "uid": F.lit(1), "score": F.lit(None).cast("double")})
     columns, count = docs.columns, docs.count()
     for name, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, docs.limit(0), SF).columns == columns and stage(spark, docs.limit(0), SF).isEmpty(), name
         docs = stage(spark, docs, SF)
         assert docs.columns == columns, name
         docs = spark.createDataFrame(docs.collect(), docs.schema)
