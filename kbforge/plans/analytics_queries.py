@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import analytics as a
+from ..operators import lookups as lk
 from .fixtures import CALLS, CHUNKS, METRICS, SIGNALS, calls, chunks, metrics, signals, table
 
 
@@ -133,26 +134,21 @@ def _tests(spark, d):
 
 def _summary(spark, d):
     """Five counts of each project from five tables, each counted before it is joined."""
-    docs = table(spark, d, "documents").groupBy((F.col("doc_id") % 20).alias("project_id")).agg(F.count("*").alias("documents"))
-    pages = table(spark, d, "pages").groupBy((F.col("page_id") % 20).alias("project_id")).agg(F.count("*").alias("pages"))
-    parts = table(spark, d, "part").groupBy((F.col("p_partkey") % 20).alias("project_id")).agg(F.count("*").alias("items"))
-    own = metrics(spark, d).groupBy("project_id").agg(F.count("*").alias("metrics"))
-    out = table(spark, d, "customer").groupBy((F.col("c_custkey") % 25).alias("project_id")).agg(F.count("*").alias("customers"))
-    for part in (docs, pages, parts, own):
-        out = out.join(part, "project_id", "left")
-    return out.select("project_id", "customers", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("documents", "pages", "items", "metrics")])
+    of = lambda name, key, n: table(spark, d, name).select((F.col(key) % n).alias("project_id"))
+    counted = {"customers": of("customer", "c_custkey", 25), "documents": of("documents", "doc_id", 20), "pages": of("pages", "page_id", 20), "items": of("part", "p_partkey", 20), "metrics": metrics(spark, d)}
+    return lk.with_counts(of("customer", "c_custkey", 25).distinct(), counted)
 
 
 def _audit(spark, d):
     """Completeness, ranges, orphans and key uniqueness of the given tables as one report."""
     cust, orders, labels = table(spark, d, "customer"), table(spark, d, "orders"), table(spark, d, "labels")
-    row = lambda df, name, severity: df.select(F.lit(name).alias("rule"), F.lit(severity).alias("severity"), F.col("n").alias("failed"))
+    every = F.lit(True)
     parts = [
-        row(cust.agg(F.count_if(F.col("c_acctbal") < 0).alias("n")), "balance_negative", "warning"),
-        row(orders.join(cust.select(F.col("c_custkey").alias("o_custkey")), "o_custkey", "left_anti").agg(F.count("*").alias("n")), "orphan_orders", "critical"),
-        row(labels.groupBy("doc_id").count().where("count > 1").agg(F.count("*").alias("n")), "label_keys_repeat", "critical"),
-        row(labels.agg(F.count_if(F.col("quality").isNull() | F.col("toxic").isNull()).alias("n")), "label_missing", "info"),
-        row(table(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").count().where("count > 1").agg(F.count("*").alias("n")), "line_keys_repeat", "warning"),
+        lk.failing_rule(cust, "balance_negative", "warning", F.col("c_acctbal") < 0),
+        lk.failing_rule(lk.orphans(orders, cust, "o_custkey", "c_custkey"), "orphan_orders", "critical", every),
+        lk.failing_rule(lk.repeated_keys(labels, ["doc_id"]), "label_keys_repeat", "critical", every),
+        lk.failing_rule(labels, "label_missing", "info", F.col("quality").isNull() | F.col("toxic").isNull()),
+        lk.failing_rule(lk.repeated_keys(table(spark, d, "lineitem"), ["l_orderkey", "l_linenumber"]), "line_keys_repeat", "warning", every),
     ]
     out = parts[0]
     for p in parts[1:]:

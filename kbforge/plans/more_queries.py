@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from ..functions import transcript
 from ..operators import analytics as a
-from ..operators import graph as g
 from ..operators import logs
+from ..operators import lookups as lk
 from ..operators import maintenance as m
 from ..operators import retrieval as r
 from ..streaming import streams as st
@@ -36,7 +36,7 @@ def _cache_keys(spark, d):
     """Which sources (orders) wrote a page (part)."""
     written = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("source")).agg(F.collect_set(F.concat(F.lit("part-"), "l_partkey")).alias("files"))
     pages = table(spark, d, "part").select(F.concat(F.lit("part-"), "p_partkey").alias("slug"))
-    return written.select("source", F.explode("files").alias("slug")).join(pages, "slug", "left_semi").groupBy("slug").agg(F.count("*").alias("sources"), F.min("source").alias("first"))
+    return lk.keys_of_pages(written, pages)
 
 
 def _sign_off(spark, d):
@@ -50,7 +50,7 @@ def _sign_off(spark, d):
 def _register(spark, d):
     """Rows with their id under one of two headers, closed and blank ones dropped."""
     raw = table(spark, d, "orders").select(F.when(F.col("o_orderkey") % 2 == 0, F.col("o_orderkey").cast("string")).alias("编号"), F.when(F.col("o_orderkey") % 2 == 1, F.concat(F.lit("R-"), "o_orderkey")).alias("id"), F.col("o_orderstatus").alias("state"))
-    return raw.select(F.coalesce("id", "编号").alias("id"), "state").where(F.col("id").isNotNull() & ~F.col("state").rlike("^F"))
+    return lk.normalise_register(raw, ["id", "编号"], F.col("state").rlike("^F")).select("id", "state")
 
 
 def _meetings(spark, d):
@@ -61,33 +61,29 @@ def _meetings(spark, d):
 def _approve(spark, d):
     """Approved candidates become the content and raise the version, rejected ones are cleared; links come from the new content."""
     p = table(spark, d, "part").select(F.concat(F.lit("part-"), "p_partkey").alias("slug"), F.concat(F.lit("old [[part-"), (F.col("p_partkey") + 1).cast("string"), F.lit("]]")).alias("content"), F.concat(F.lit("new [[part-"), (F.col("p_partkey") + 2).cast("string"), F.lit("|x]]")).alias("candidate"), (F.col("p_size") % 2 == 0).alias("approve"))
-    out = p.select("slug", F.when(F.col("approve"), F.col("candidate")).otherwise(F.col("content")).alias("content"), F.when(F.col("approve"), 2).otherwise(1).cast("long").alias("version"))
-    links = g.extract_links(out, out, "slug", "content")
-    return out.join(links, "slug", "left").select("slug", "version", F.array_join(F.coalesce("wikilinks", F.array().cast("array<string>")), ",").alias("links"))
+    return lk.review(p.withColumn("version", F.lit(1))).select("slug", "version", F.array_join("wikilinks", ",").alias("links"))
 
 
 def _merge_meetings(spark, d):
     """Known and fetched meetings: a known project stays, ignored stays ignored, one with a project is linked."""
     o = table(spark, d, "orders")
-    known = o.where("o_orderkey % 3 <> 0").select("o_orderkey", F.when(F.col("o_orderkey") % 2 == 0, F.col("o_custkey")).alias("p1"), F.when(F.col("o_orderkey") % 7 == 0, "ignored").otherwise("unlinked").alias("s1"))
-    fetched = o.where("o_orderkey % 5 <> 0").select("o_orderkey", F.when(F.col("o_orderkey") % 4 == 1, F.col("o_custkey") + 1).alias("p2"))
-    both = known.join(fetched, "o_orderkey", "full").withColumn("project", F.coalesce("p1", "p2"))
-    return both.select("o_orderkey", "project", F.when(F.col("s1") == "ignored", "ignored").when(F.col("project").isNotNull(), "linked").otherwise("unlinked").alias("status"))
+    known = o.where("o_orderkey % 3 <> 0").select("o_orderkey", F.when(F.col("o_orderkey") % 2 == 0, F.col("o_custkey")).alias("project"), F.when(F.col("o_orderkey") % 7 == 0, "ignored").otherwise("unlinked").alias("status"))
+    fetched = o.where("o_orderkey % 5 <> 0").select("o_orderkey", F.when(F.col("o_orderkey") % 4 == 1, F.col("o_custkey") + 1).alias("project"))
+    return lk.merge_meetings(known, fetched, "o_orderkey")
 
 
 def _payloads(spark, d):
     """Meeting lists under different keys of a JSON payload, exploded, with their status mapped."""
     inner = F.concat(F.lit('[{"id": '), "event_id", F.lit(', "status": "'), "event_type", F.lit('"}]'))
     raw = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit('{"meetings": '), inner, F.lit("}"))).when(F.col("event_id") % 3 == 1, F.concat(F.lit('{"data": {"list": '), inner, F.lit("}}"))).otherwise(inner)
-    paths = [F.get_json_object(raw, p) for p in ("$.meetings", "$.meeting_info_list", "$.data.list")]
-    rows = table(spark, d, "events").select(F.explode(F.from_json(F.coalesce(*paths, raw), "array<struct<id:bigint,status:string>>")).alias("m"))
+    each = lk.payload_rows(raw, ["$.meetings", "$.meeting_info_list", "$.data.list"], "struct<id:bigint,status:string>")
+    rows = table(spark, d, "events").select(F.explode(each).alias("m"))
     return rows.select(F.col("m.id").alias("id"), F.when(F.col("m.status") == "view", "ended").when(F.col("m.status") == "click", "ongoing").otherwise("scheduled").alias("status"))
 
 
 def _deliverables(spark, d):
     rows = table(spark, d, "part").select(F.col("p_brand").alias("phase"), F.element_at(F.array(F.lit("done"), F.lit("pending"), F.lit("missing"), F.lit("optional")), (F.col("p_size") % 4 + 1).cast("int")).alias("status"))
-    kinds = ["done", "pending", "missing", "optional"]
-    return rows.groupBy("phase").pivot("status", kinds).count().select("phase", *[F.coalesce(k, F.lit(0)).alias(k) for k in kinds])
+    return lk.state_counts(rows, "phase", "status", ["done", "pending", "missing", "optional"])
 
 
 def _vector_table(spark, d):

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as t
+from ..operators import lookups
 from ..operators import retrieval as r
 from ..sources.scratch import stored
 from .fixtures import CHUNKS, chunks, table
@@ -111,7 +112,7 @@ def _shortcut(spark, d):
 
 def _path_match(spark, d):
     pats = table(spark, d, "region").select(F.col("r_regionkey").alias("pattern_id"), F.element_at(F.array(F.lit("/en/"), F.lit("/de/"), F.lit("blog"), F.lit("#top"), F.lit("utm_source")), (F.col("r_regionkey") + 1).cast("int")).alias("pattern"))
-    return r.blocked(table(spark, d, "pages"), pats, F.contains(F.lower("url"), F.col("pattern")), 4096).select("page_id", "pattern_id", F.lit(5.0).alias("score"))
+    return lookups.match_paths(table(spark, d, "pages"), pats, F.col("url")).select("page_id", "pattern_id", "score")
 
 
 QUERIES = {

@@ -6,10 +6,11 @@ from pyspark.sql import functions as F
 
 from ..functions import text as t
 from ..operators import logs, verification as v
+from ..operators import lookups as k
 from ..operators import maintenance as m
 from ..operators.analytics import latest
 from ..operators.pairs import fuzzy_duplicates
-from ..operators.retrieval import blocked, nearest
+from ..operators.retrieval import nearest
 from .fixtures import CALLS, CHUNKS, calls, chunks, table
 
 _DATE = "2024-01-31"
@@ -32,50 +33,55 @@ def _turns(spark, d):
 def _attachments(spark, d):
     """Chunks of documents that are not attachments."""
     out = _docs(spark, d).where("doc_id % 25 = 0").select(F.col("doc_id").alias("document_id"))
-    return chunks(spark, d).join(out, "document_id", "left_anti").groupBy("project_id").agg(F.count("*").alias("chunks"))
+    return k.without_documents(chunks(spark, d), out).groupBy("project_id").agg(F.count("*").alias("chunks"))
 
 
 def _scope(spark, d):
     """Own project or one of the listed further ones."""
     allowed = spark.range(20).select(F.concat(F.lit("src"), "id").alias("own"), F.explode(F.array(F.concat(F.lit("src"), "id"), F.concat(F.lit("src"), (F.col("id") + 1) % 20))).alias("source"))
-    return _docs(spark, d).join(allowed, "source").groupBy("own").agg(F.count("*").alias("documents"))
+    return k.in_scope(_docs(spark, d), allowed, "source").groupBy("own").agg(F.count("*").alias("documents"))
 
 
 def _parents(spark, d):
     """Every third chunk is a child of the one before; hits expand to distinct parents."""
     rows = chunks(spark, d).withColumn("parent_id", F.when(F.col("line_no") % 3 == 2, F.col("chunk_id") - 1))
-    hits = rows.where(F.contains("content", F.lit("tion"))).select(F.coalesce("parent_id", "chunk_id").alias("chunk_id")).distinct()
-    return chunks(spark, d).join(hits, "chunk_id", "left_semi").select("chunk_id", "document_id")
+    return k.expand_to_parents(rows.where(F.contains("content", F.lit("tion"))), chunks(spark, d)).select("chunk_id", "document_id")
 
 
 def _suggest(spark, d):
     parts = table(spark, d, "part").select(F.concat(F.lit("part-"), "p_partkey").alias("slug"), F.col("p_name").alias("title"))
-    words = parts.select(F.substring_index("title", " ", -1).alias("query")).distinct()
-    hits = blocked(parts, words, F.contains("title", F.col("query")), 1000)
-    return latest(hits, ["query"], [F.col("title"), F.col("slug")], 5).select("query", "slug")
+    words = parts.select(F.substring_index("title", " ", -1).alias("query"), F.lit(None).cast("string").alias("self_slug")).distinct()
+    return k.suggest_links(parts, words).select("query", "slug")
+
+
+def _suggest_own(spark, d):
+    """Every fiftieth page asks with its own title, or its slug, and is not suggested to itself."""
+    parts = table(spark, d, "part").select("p_partkey", F.concat(F.lit("part-"), "p_partkey").alias("slug"), F.col("p_name").alias("title"))
+    query = F.when(F.col("p_partkey") % 100 == 0, F.col("slug")).otherwise(F.col("title"))
+    return k.suggest_links(parts, parts.where("p_partkey % 50 = 0").select(query.alias("query"), F.col("slug").alias("self_slug")))
 
 
 def _work_list(spark, d):
     have = _docs(spark, d).where("doc_id % 2 = 0").select(F.col("doc_id").alias("identity"), F.sha2("text", 256).alias("sha256"))
     want = _docs(spark, d).select(F.col("doc_id").alias("identity"), F.sha2("text", 256).alias("sha256"))
-    return want.join(have, ["identity", "sha256"], "left_anti").select("identity")
+    return k.work_list(want, have).select("identity")
 
 
 def _cache(spark, d):
     cache = _docs(spark, d).select("doc_id", F.when(F.col("doc_id") % 10 != 0, "1").otherwise("0").alias("version"), F.when(F.col("doc_id") % 7 == 0, F.array().cast("array<string>")).otherwise(F.array("source")).alias("files"))
-    return cache.select("doc_id", ((F.col("version") == "1") & (F.size("files") > 0)).alias("hit"))
+    return cache.select("doc_id", k.cache_hit(F.col("version"), F.col("files"), "1").alias("hit"))
 
 
 def _meetings(spark, d):
     o, c, n = table(spark, d, "orders"), table(spark, d, "customer"), table(spark, d, "nation")
-    lines = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("lines"))
-    rows = o.join(c, F.col("o_custkey") == F.col("c_custkey"), "left").join(n, F.col("c_nationkey") == F.col("n_nationkey"), "left").join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left")
-    return rows.select(F.col("o_orderkey").alias("meeting_id"), "c_name", "n_name", F.coalesce("lines", F.lit(0)).alias("lines"))
+    rows = o.join(c, F.col("o_custkey") == F.col("c_custkey"), "left").join(n, F.col("c_nationkey") == F.col("n_nationkey"), "left")
+    rows = k.with_assets(rows, table(spark, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey")), "o_orderkey")
+    return rows.select(F.col("o_orderkey").alias("meeting_id"), "c_name", "n_name", F.col("assets").alias("lines"))
 
 
 def _session_snapshot(spark, d):
-    log = calls(spark, d).groupBy("session_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("started_at", "call_id"))), lambda x: x["call_id"].cast("string")), ",").alias("calls"))
-    return log.select("session_id", F.md5("calls").alias("digest"))
+    log = k.in_order(calls(spark, d), "session_id", ["started_at", "call_id"], "call_id")
+    return log.select("session_id", F.md5(F.array_join(F.transform("values", lambda x: x.cast("string")), ",")).alias("digest"))
 
 
 def _title_duplicates(spark, d):
@@ -111,8 +117,8 @@ _MISSING = [("price", "mark", None), ("price", "fill", 0), ("clerk", "drop", Non
 
 def _gaps(spark, d):
     """Orders with gaps."""
-    k = F.col("o_orderkey")
-    return table(spark, d, "orders").select("o_orderkey", F.when(k % 6 > 0, F.round("o_totalprice").cast("long")).alias("price"), F.when(k % 5 > 0, F.col("o_custkey")).alias("clerk"), F.when(F.col("o_orderstatus") != "P", F.col("o_orderstatus")).alias("state"))
+    n = F.col("o_orderkey")
+    return table(spark, d, "orders").select("o_orderkey", F.when(n % 6 > 0, F.round("o_totalprice").cast("long")).alias("price"), F.when(n % 5 > 0, F.col("o_custkey")).alias("clerk"), F.when(F.col("o_orderstatus") != "P", F.col("o_orderstatus")).alias("state"))
 
 
 def _step_results(spark, d):
@@ -133,18 +139,16 @@ def _constant_scores(spark, d):
 
 
 def _scope_items(spark, d):
-    rows = table(spark, d, "part").where(F.contains(F.lower("p_name"), F.lit("ring")) | F.contains(F.lower("p_brand"), F.lit("ring")))
-    return latest(rows, ["p_brand"], [F.col("p_partkey")], 3).select("p_brand", "p_partkey", "p_name")
+    return k.search_items(table(spark, d, "part"), "Ring", ["p_name", "p_brand"], "p_brand", [F.col("p_partkey")], 3).select("p_brand", "p_partkey", "p_name")
 
 
 def _identity(spark, d):
-    path = F.regexp_extract("url", r"([^/\\]+)$", 1)
-    return table(spark, d, "pages").select("page_id", F.coalesce(F.when(F.col("page_id") % 5 == 0, F.concat(F.lit("id-"), "page_id")), F.nullif(path, F.lit("")), F.lit("untitled")).alias("identity"))
+    return table(spark, d, "pages").select("page_id", k.identity_of(F.when(F.col("page_id") % 5 == 0, F.concat(F.lit("id-"), "page_id")), F.col("url")).alias("identity"))
 
 
 def _awaiting(spark, d):
-    done = table(spark, d, "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("o_orderkey")).distinct()
-    return table(spark, d, "orders").where("o_orderstatus = 'F'").join(done, "o_orderkey", "left_anti").select("o_orderkey")
+    done = table(spark, d, "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("o_orderkey"))
+    return k.awaiting(table(spark, d, "orders").where("o_orderstatus = 'F'"), done, "o_orderkey").select("o_orderkey")
 
 
 def _retention(spark, d):
@@ -210,7 +214,7 @@ def _queue(spark, d):
 
 def _cascade(spark, d):
     gone = _docs(spark, d).where("doc_id % 11 = 0").select(F.col("doc_id").alias("document_id"))
-    return chunks(spark, d).join(gone, "document_id", "left_anti").groupBy("document_id").agg(F.count("*").alias("chunks"))
+    return k.without_documents(chunks(spark, d), gone).groupBy("document_id").agg(F.count("*").alias("chunks"))
 
 
 def _versions(spark, d):
@@ -268,8 +272,8 @@ def _checks(spark, d):
     g = v.grounding_verdict(v.grounding(s, _bigrams("sentence")), context="context").select("answer_id", F.lit("grounding").alias("check_name"), "passed", F.col("ratio").alias("confidence"))
     h = v.hedging(s, ["the th", "of on"], ["with"]).select("answer_id", F.lit("hedging").alias("check_name"), (F.col("issues") == 0).alias("passed"), "confidence")
     c = v.contradictions(s, _bigrams("sentence"), ["by"]).select("answer_id").distinct().withColumn("bad", F.lit(True))
-    k = s.select("answer_id").distinct().join(c, "answer_id", "left").select("answer_id", F.lit("contradiction").alias("check_name"), F.col("bad").isNull().alias("passed"), F.when(F.col("bad"), 0.4).otherwise(1.0).alias("confidence"))
-    return g.unionByName(h).unionByName(k)
+    w = s.select("answer_id").distinct().join(c, "answer_id", "left").select("answer_id", F.lit("contradiction").alias("check_name"), F.col("bad").isNull().alias("passed"), F.when(F.col("bad"), 0.4).otherwise(1.0).alias("confidence"))
+    return g.unionByName(h).unionByName(w)
 
 
 def _cited(spark, d):
@@ -288,8 +292,8 @@ def _vector_grounding(spark, d):
 
 
 def _plan_drift(spark, d):
-    k = F.col("k")
-    steps = calls(spark, d).select("call_id", "tool", F.when(k % 4 == 0, None).when(k % 4 == 1, "view").otherwise(F.col("tool")).alias("planned_tool"), F.when(k % 10 == 0, "then skip this").otherwise("done").alias("output"))
+    n = F.col("k")
+    steps = calls(spark, d).select("call_id", "tool", F.when(n % 4 == 0, None).when(n % 4 == 1, "view").otherwise(F.col("tool")).alias("planned_tool"), F.when(n % 10 == 0, "then skip this").otherwise("done").alias("output"))
     return logs.plan_drift(steps).groupBy(F.coalesce("drift", F.lit("none")).alias("drift")).agg(F.count("*").alias("n"))
 
 
@@ -357,6 +361,7 @@ QUERIES = {
     "j3_project_scope": _scope,
     "j4_parent_expansion": _parents,
     "j7_link_suggestions": _suggest,
+    "j7_own_suggestions": _suggest_own,
     "j8_work_list": _work_list,
     "j9_cache_validity": _cache,
     "j11_meeting_assets": _meetings,
@@ -365,7 +370,7 @@ QUERIES = {
     "j14_cells": _sign_off,
     "k4_constant_scores": _constant_scores,
     "j15_scope_items": _scope_items,
-    "j17_listing": lambda spark, d: _docs(spark, d).orderBy(F.col("doc_id").desc()).offset(10).limit(50).select("doc_id", "source"),
+    "j17_listing": lambda spark, d: k.page_of(_docs(spark, d), [F.col("doc_id").desc()], 10, 50).select("doc_id", "source"),
     "j19_identity": _identity,
     "j20_awaiting": _awaiting,
     "l1_repeated_calls": lambda spark, d: logs.repeated_calls(calls(spark, d).withColumn("step", F.lit(0)), 1).select("call_id", "nth"),
@@ -443,6 +448,8 @@ ORACLES = {
     "j3_project_scope": "select own, count(*) as documents from (select 'src' || i as own, unnest(['src' || i, 'src' || ((i + 1) % 20)]) as source from range(20) r(i)) join documents using (source) group by 1",
     "j4_parent_expansion": f"with {CHUNKS}, h as (select distinct case when line_no % 3 = 2 then chunk_id - 1 else chunk_id end as chunk_id from chunks where contains(content, 'tion')) select chunk_id, document_id from chunks where chunk_id in (select chunk_id from h)",
     "j7_link_suggestions": "with w as (select distinct string_split(p_name, ' ')[-1] as query from part) select query, slug from (select query, 'part-' || p_partkey as slug, row_number() over (partition by query order by p_name, 'part-' || p_partkey) as r from part join w on contains(p_name, query)) where r <= 5",
+    "j7_own_suggestions": """with p as (select 'part-' || p_partkey as slug, p_name as title, p_partkey from part), q as (select case when p_partkey % 100 = 0 then slug else title end as query, slug as self_slug from p where p_partkey % 50 = 0)
+        select query, self_slug, slug from (select query, self_slug, slug, row_number() over (partition by query, self_slug order by title, slug) as r from p join q on (contains(title, query) or contains(slug, query)) and slug <> self_slug) where r <= 5""",
     "j8_work_list": "select doc_id as identity from documents where doc_id % 2 <> 0",
     "j9_cache_validity": "select doc_id, doc_id % 10 <> 0 and doc_id % 7 <> 0 as hit from documents",
     "j11_meeting_assets": "select o_orderkey as meeting_id, c_name, n_name, coalesce(l.n, 0) as lines from orders left join customer on o_custkey = c_custkey left join nation on c_nationkey = n_nationkey left join (select l_orderkey, count(*) as n from lineitem group by 1) l on l_orderkey = o_orderkey",
