@@ -170,6 +170,12 @@ def merge_partials(partials: DataFrame, key: str, order: str, values: str) -> Da
     return first.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("at", "v"))).alias("all")).select(key, F.col("all.v").alias("merged"))
 
 
+def headings(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, line_no, level, heading) of lines with one to six ``#`` and a blank before their words."""
+    lines = docs.select(key, F.posexplode(F.split(text, "\n")).alias("line_no", "line")).where(F.col("line").rlike(r"^#{1,6} +[^ ]"))
+    return lines.select(key, F.col("line_no").cast("long").alias("line_no"), F.length(F.regexp_extract("line", "^(#+)", 1)).cast("long").alias("level"), F.trim(F.regexp_extract("line", "^#+ +(.*)$", 1)).alias("heading"))
+
+
 def heading_tree(headings: DataFrame, key: str = "doc_id", order: str = "line_no", level: str = "level") -> DataFrame:
     """``headings`` with ``parent``: the nearest earlier heading of a lower level (null at the top)."""
     before = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)

@@ -68,8 +68,9 @@ def _work_list(spark, d):
 
 
 def _cache(spark, d):
-    cache = _docs(spark, d).select("doc_id", F.when(F.col("doc_id") % 10 != 0, "1").otherwise("0").alias("version"), F.when(F.col("doc_id") % 7 == 0, F.array().cast("array<string>")).otherwise(F.array("source")).alias("files"))
-    return cache.select("doc_id", k.cache_hit(F.col("version"), F.col("files"), "1").alias("hit"))
+    """A document's first letter as the version of its cache entry, words that stand before a colon or semicolon as files."""
+    cache = _docs(spark, d).select("doc_id", F.left("text", F.lit(1)).alias("version"), F.regexp_extract_all("text", F.lit("([a-z]+)[,;]"), F.lit(1)).alias("files"))
+    return cache.select("doc_id", k.cache_hit(F.col("version"), F.col("files"), "T").alias("hit"))
 
 
 def _meetings(spark, d):
@@ -277,9 +278,12 @@ def _checks(spark, d):
 
 
 def _cited(spark, d):
-    rows = _turns(spark, d).where("role = 'assistant'")
-    cited = F.when(F.col("turn") % 3 == 0, F.array().cast("array<string>")).otherwise(F.array(F.concat(F.lit("c"), F.col("turn")), F.lit("c1")))
-    available = F.array(F.lit("c1"), F.lit("c3"))
+    """An answer cites the short words that end its sentences; its question's words and two more are the sources."""
+    by = m.Window.partitionBy("conv_id").orderBy("turn")
+    rows = _turns(spark, d).withColumn("question", F.lag("text").over(by)).where("role = 'assistant'")
+    cited = t.citations(F.regexp_replace("text", r"(^|[ \n])([a-z]{2,4})\.", "$1[来源：$2.md]"))
+    words = F.regexp_extract_all(F.lower(F.coalesce("question", F.lit(""))), F.lit("[a-z]+"), F.lit(0))
+    available = F.transform(F.concat(words, F.array(F.lit("the"), F.lit("of"))), lambda w: F.concat(w, F.lit(".md")))
     return v.citation_check(rows.select((F.col("conv_id") * 2**31 + F.col("turn")).alias("answer_id"), cited.alias("cited"), available.alias("available")))
 
 
@@ -451,7 +455,7 @@ ORACLES = {
     "j7_own_suggestions": """with p as (select 'part-' || p_partkey as slug, p_name as title, p_partkey from part), q as (select case when p_partkey % 100 = 0 then slug else title end as query, slug as self_slug from p where p_partkey % 50 = 0)
         select query, self_slug, slug from (select query, self_slug, slug, row_number() over (partition by query, self_slug order by title, slug) as r from p join q on (contains(title, query) or contains(slug, query)) and slug <> self_slug) where r <= 5""",
     "j8_work_list": "select doc_id as identity from documents where doc_id % 2 <> 0",
-    "j9_cache_validity": "select doc_id, doc_id % 10 <> 0 and doc_id % 7 <> 0 as hit from documents",
+    "j9_cache_validity": "select doc_id, coalesce(text[1] = 'T' and regexp_matches(text, '[a-z]+[,;]'), false) as hit from documents",
     "j11_meeting_assets": "select o_orderkey as meeting_id, c_name, n_name, coalesce(l.n, 0) as lines from orders left join customer on o_custkey = c_custkey left join nation on c_nationkey = n_nationkey left join (select l_orderkey, count(*) as n from lineitem group by 1) l on l_orderkey = o_orderkey",
     "j12_session_snapshot": f"with {CALLS} select session_id, md5(string_agg(cast(call_id as varchar), ',' order by started_at, call_id)) as digest from calls group by 1",
     "j13_coverage": f"""with {_DELIVERABLES}, hit as (select q.phase, q.name, min(path) as path from req q join fl f on f.phase = q.phase and (contains(path, q.name) or contains(q.name, stem) or contains(stem, q.name)) group by 1, 2)
@@ -490,7 +494,10 @@ ORACLES = {
     "l7_complexity": "with c as (select *, row_number() over (partition by conv_id order by turn) - 1 as e from conversations), s as (select conv_id, turn, cast(greatest(3 * len([w for w in {en} if contains(lower(text), w)]) + least(floor(strlen(text) / 200), 5) + 2 * least(floor(floor(e / 2) / 4), 3) - 5 * len([w for w in {si} if contains(lower(text), w)]), 0) as bigint) as score from c) select conv_id, turn, score, case when score >= 10 then 'planned' else 'direct' end as mode from s".replace("{en}", str(logs.COMPLEX_EN)).replace("{si}", str(logs.SIMPLE)),
     "l8_intent": "select conv_id, turn, contains(lower(text), 'the') and contains(lower(text), 'with') as intent from conversations",
     "l9_history": "select conv_id, string_agg(cast(turn as varchar), ',' order by turn) as turns, cast(max(used) as bigint) as chars from (select *, sum(length(text)) over (partition by conv_id order by turn desc rows unbounded preceding) as used from conversations) where used <= 2000 group by 1",
-    "v1_citations": "select conv_id * 2147483648 + turn as answer_id, turn % 3 = 0 or turn in (1, 3) as passed, case when turn % 3 = 0 then 0.7::double when turn = 1 then 1.0 else 0.5 end as confidence from conversations where role = 'assistant'",
+    "v1_citations": r"""with c as (select *, lag(text) over (partition by conv_id order by turn) as q from conversations), x as (select conv_id * 2147483648 + turn as answer_id, [w || '.md' for w in regexp_extract_all(text, '(?:^|[ \n])([a-z]{2,4})\.', 1)] as cited,
+            list_concat([w || '.md' for w in regexp_extract_all(lower(coalesce(q, '')), '[a-z]+')], ['the.md', 'of.md']) as av from c where role = 'assistant'),
+        y as (select answer_id, len(cited) as n, len([k for k in cited if len([a for a in av if contains(a, k)]) > 0]) as found from x)
+        select answer_id, n = 0 or found = n as passed, case when n = 0 then 0.7::double else round(found / n, 6) end as confidence from y""",
     "v2_grounding": f"with {_ANS} select * from sup",
     "v3_vector_grounding": """with p as (select s.vec_id as sentence_id, c.vec_id as chunk_id, round(list_cosine_similarity(cast(s.embedding as double[]), cast(c.embedding as double[])), 6) as similarity from embeddings s join embeddings c on s.label = c.label and s.vec_id <> c.vec_id where s.vec_id % 50 = 0)
         select sentence_id, chunk_id, similarity, case when similarity >= 0.7 then 'supported' when similarity >= 0.4 then 'weak' else 'unsupported' end as verdict from (select *, row_number() over (partition by sentence_id order by similarity desc, chunk_id) as r from p) where r = 1""",

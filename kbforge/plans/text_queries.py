@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as t
+from ..operators.chunking import headings, outline_rows
 from .fixtures import table
 
 STOP_TAGS = ["src", "the", "of", "and"]
@@ -19,10 +20,17 @@ def _pages(make):
 
 
 def _headings(spark, d):
-    """Capitalised short lines stand for headings: level by the number of words."""
-    lines = table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    marked = lines.select("doc_id", F.col("line_no").cast("long").alias("line_no"), F.concat(F.repeat(F.lit("#"), F.least(F.size(F.split("line", " ")), F.lit(9))), F.lit(" "), "line").alias("line"))
-    return marked.where(F.col("line").rlike(r"^#{1,6} +[^ ]")).select("doc_id", "line_no", F.length(F.regexp_extract("line", "^(#+)", 1)).cast("long").alias("level"), F.trim(F.regexp_extract("line", "^#+ +(.*)$", 1)).alias("heading"))
+    """Lines of one to six words as headings, their level by the number of words."""
+    mark = F.transform(F.split("text", "\n"), lambda x: F.concat(F.repeat(F.lit("#"), F.least(F.size(F.split(x, " ")), F.lit(9))), F.lit(" "), x))
+    return headings(table(spark, d, "documents").select("doc_id", F.array_join(mark, "\n").alias("text")))
+
+
+def _page_headings(spark, d):
+    """Titles, headings and list items of pages as Markdown, and the headings found in it."""
+    text = F.regexp_replace("html", "<title>", "\n# ")
+    text = F.regexp_replace(F.regexp_replace(text, "<h1>", "\n## "), "<li>", "\n####### ")
+    text = F.regexp_replace(F.regexp_replace(text, "<p>", "\n### "), "</title>|</h1>|</li>|<br>", "\n")
+    return headings(table(spark, d, "pages").select("page_id", text.alias("text")), "page_id").select("page_id", "line_no", "level", F.md5("heading").alias("heading"))
 
 
 def _sentences(spark, d):
@@ -30,11 +38,9 @@ def _sentences(spark, d):
 
 
 def _outline(spark, d):
-    """Lines numbered 1, 1.1, 1.1.1 by their place; sections and categories are carried down to questions."""
+    """Lines that begin with A-H open a section, those with I-N a category, others are questions, prose or blank lines none; sections and categories are carried down."""
     lines = table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("p", "line"))
-    number = F.when(F.col("p") % 5 == 0, "1 ").when(F.col("p") % 5 == 1, "1.1 ").otherwise("1.1.1 ")
-    from ..operators.chunking import outline_rows
-
+    number = F.when(F.col("line").rlike("^[A-H]"), "1 ").when(F.col("line").rlike("^[I-N]"), "12.3 ").when(F.col("line").rlike("^[O-Z]"), "1.10.2 ").otherwise("1.2.3.4 ")
     return outline_rows(lines.select("doc_id", "p", F.concat(number, "line").alias("line")), ["doc_id"], "p", "line")
 
 
@@ -75,6 +81,7 @@ QUERIES = {
     "x10_ngram_tokens": lambda spark, d: table(spark, d, "documents").select("doc_id", t.ngram_tokens(F.col("text")).alias("k")).select("doc_id", F.size("k").cast("long").alias("tokens"), F.md5(F.array_join("k", " ")).alias("digest")),
     "x11_entities": _docs(lambda x: F.array_join(F.array_sort(t.entities(x)), ",").alias("entities")),
     "x12_headings": _headings,
+    "x12_page_headings": _page_headings,
     "x13_outline": _outline,
     "x14_sentences": _sentences,
     "x15_keep_separators": _docs(lambda x: F.size(t.keep_separators(F.translate(x, ".", "。"))).cast("long").alias("pieces")),
@@ -114,9 +121,13 @@ ORACLES = {
     "x12_headings": r"""select doc_id, cast(i - 1 as bigint) as line_no, cast(len(string_split(line, ' ')) as bigint) as level, trim(line) as heading
         from (select doc_id, unnest(string_split(text, chr(10))) as line, unnest(range(1, len(string_split(text, chr(10))) + 1)) as i from documents)
         where len(string_split(line, ' ')) <= 6 and trim(line) <> ''""",
-    "x13_outline": """with l as (select doc_id, i - 1 as p, trim(line) as line from (select doc_id, unnest(string_split(text, chr(10))) as line, unnest(range(1, len(string_split(text, chr(10))) + 1)) as i from documents)),
-        q as (select doc_id, p, row_number() over (partition by doc_id order by p) as ordinal, line as question from l where p % 5 >= 2)
-        select q.doc_id, ordinal, s.line as section, c.line as category, question from q join l s on s.doc_id = q.doc_id and s.p = q.p // 5 * 5 join l c on c.doc_id = q.doc_id and c.p = q.p // 5 * 5 + 1""",
+    "x12_page_headings": r"""with m as (select page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '<title>', chr(10) || '# ', 'g'), '<h1>', chr(10) || '## ', 'g'), '<li>', chr(10) || '####### ', 'g'), '<p>', chr(10) || '### ', 'g'), '</title>|</h1>|</li>|<br>', chr(10), 'g') as x from pages),
+        l as (select page_id, unnest(string_split(x, chr(10))) as x, unnest(range(len(string_split(x, chr(10))))) as line_no from m)
+        select page_id, line_no, length(regexp_extract(x, '^(#+) ', 1)) as level, md5(trim(regexp_extract(x, '^#+ +(.*)$', 1))) as heading from l where regexp_matches(x, '^#{1,6} +[^ ]')""",
+    "x13_outline": """with l as (select doc_id, i as p, trim(line) as line, case when regexp_matches(line, '^[A-H]') then 1 when regexp_matches(line, '^[I-N]') then 2 when regexp_matches(line, '^[O-Z]') then 3 end as lv from (select doc_id, unnest(string_split(text, chr(10))) as line, unnest(range(len(string_split(text, chr(10))))) as i from documents)),
+        q as (select * from l where lv = 3), s as (select q.doc_id, q.p, q.line as question, max(s.p) as sp from q left join l s on s.doc_id = q.doc_id and s.p < q.p and s.lv = 1 group by 1, 2, 3),
+        c as (select s.*, (select max(k.p) from l k where k.doc_id = s.doc_id and k.lv = 2 and k.p < s.p and k.p > coalesce(s.sp, -1)) as cp from s)
+        select c.doc_id, row_number() over (partition by c.doc_id order by c.p) as ordinal, a.line as section, b.line as category, question from c left join l a on a.doc_id = c.doc_id and a.p = c.sp left join l b on b.doc_id = c.doc_id and b.p = c.cp""",
     "x15_keep_separators": "select doc_id, cast(len(regexp_extract_all(x, '[。！？；]')) + case when x = '' or right(x, 1) in ('。', '！', '？', '；') then 0 else 1 end as bigint) as pieces from (select doc_id, translate(text, '.', '。') as x from documents)",
     "x17_truncate": r"""with n as (select doc_id, text, unnest(range(0, least(length(text), 400) + 1)) as n from documents), e as (select *, length(regexp_replace(text[1:n], '[\x00-\x7f]', '', 'g')) as w from n)
         select doc_id, max_by(text[1:n], n) as text from e where ceil(w / 1.2::double + (strlen(text[1:n]) - w) / 3.5::double) <= 100 group by doc_id""",
