@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -18,52 +18,117 @@ K1, B = 1.2, 0.75
 FUSION_K, VECTOR_WEIGHT, TEXT_WEIGHT, CANDIDATES = 60, 2.0, 1.0, 200
 
 
-def postings(chunks: DataFrame, tokens: Column, key: str = "chunk_id", scope: str = "project_id") -> DataFrame:
-    """(scope, key, dl, head, term, tf): one row for each term of each chunk, with the chunk's length.
+def posting_lists(chunks: DataFrame, tokens: Column, key: str = "chunk_id", scope: str = "project_id") -> DataFrame:
+    """(scope, key, dl, terms): a row for each chunk with its length and its (term, tf), in order of terms.
 
-    Terms are counted inside the row, as runs of its sorted tokens, so nothing is shuffled. The
-    length travels with the posting, so scoring needs no join for it; ``head`` marks one posting of
-    each chunk, so the collection's size and mean length are plain sums. Store the result
-    (``sources.scratch.stored``, or a table partitioned by scope) and ask it many times.
+    Terms are counted inside the row, as runs of its sorted tokens, so nothing is shuffled. Store
+    the result (``sources.scratch.stored``, or a table partitioned by scope) and ask it many times.
     """
-    each = chunks.select(scope, key, F.sort_array(tokens).alias("__t"))
-    n = F.size("__t")
-    new = lambda i: (i == 0) | (F.get("__t", i) != F.get("__t", i - 1))
-    starts = F.when(n > 0, F.filter(F.sequence(F.lit(0), n - 1), new)).otherwise(F.array().cast("array<int>"))
-    each = each.select(scope, key, "__t", starts.alias("__s"))
-    run = lambda at, j: F.struct(F.get("__t", at).alias("term"), (F.coalesce(F.get("__s", j + 1), n) - at).cast("long").alias("tf"), (j == 0).alias("head"))
-    each = each.select(scope, key, n.cast("long").alias("dl"), F.explode(F.transform("__s", run)).alias("__p"))
-    return each.select(scope, key, "dl", "__p.head", "__p.term", "__p.tf")
+    # inside lambdas, so that no part is evaluated again for each element
+    given = lambda x, f: F.get(F.transform(F.array(x), f), F.lit(0))
 
+    def runs(t: Column) -> Column:
+        n = F.size(t)
+        new = lambda i: (i == 0) | (F.get(t, i) != F.get(t, i - 1))
+        starts = F.when(n > 0, F.filter(F.sequence(F.lit(0), n - 1), new)).otherwise(F.array().cast("array<int>"))
+        run = lambda s: F.transform(s, lambda at, j: F.struct(F.get(t, at).alias("term"), (F.coalesce(F.get(s, j + 1), n) - at).cast("long").alias("tf")))
+        return F.struct(F.greatest(n, F.lit(0)).cast("long").alias("dl"), given(starts, run).alias("terms"))
 
-def phrase_postings(chunks: DataFrame, posted: DataFrame, phrases: DataFrame, text: Column, key: str = "chunk_id", scope: str = "project_id", most: int = 4096) -> DataFrame:
-    """``posted`` with a posting for each phrase of (phrase) that a chunk's lower-cased ``text`` holds, kept whole as a term.
+    return chunks.select(scope, key, given(F.sort_array(tokens), runs).alias("__r")).select(scope, key, "__r.dl", "__r.terms")
 
-    The phrase table is given by the user and of any size (``blocked``); a phrase counts once a chunk.
+
+def postings(lists: DataFrame) -> DataFrame:
+    """``lists`` (stored ones, best) with a row for each term: (..., dl, term, tf)."""
+    rest = [c for c in lists.columns if c != "terms"]
+    return lists.select(*rest, F.explode("terms").alias("__p")).select(*rest, "__p.term", "__p.tf")
+
+
+def with_phrases(chunks: DataFrame, lists: DataFrame, phrases: DataFrame, text: Column, key: str = "chunk_id", most: int = 4096) -> DataFrame:
+    """``lists`` with a term for each phrase of (phrase) that a chunk's lower-cased ``text`` holds, kept whole.
+
+    The phrase table is given by the user and of any size (``blocked``); a phrase counts once a chunk
+    and does not change its length.
     """
-    low = chunks.select(scope, key, F.lower(text).alias("__low"))
+    low = chunks.select(key, F.lower(text).alias("__low"))
     held = blocked(low, phrases.select(F.lower("phrase").alias("term")).where("term <> ''").distinct(), F.contains("__low", F.col("term")), most)
-    lengths = posted.where("head").select(key, "dl")
-    held = held.select(scope, key, "term").join(lengths, key, "left")
-    return posted.unionByName(held.select(scope, key, F.coalesce("dl", F.lit(0)).cast("long").alias("dl"), F.lit(False).alias("head"), "term", F.lit(1).cast("long").alias("tf")))
+    held = held.groupBy(key).agg(F.array_sort(F.collect_set(F.struct("term", F.lit(1).cast("long").alias("tf")))).alias("__more"))
+    return lists.join(held, key, "left").withColumn("terms", F.when(F.col("__more").isNull(), F.col("terms")).otherwise(F.concat("terms", "__more"))).drop("__more")
 
 
-def bm25(queries: DataFrame, posted: DataFrame, k: int = 5, key: str = "chunk_id", k1: float = K1, b: float = B) -> DataFrame:
-    """(query_id, key, score, rank): the ``k`` best chunks of each query of (query_id, term).
+def bm25(queries: DataFrame, lists: DataFrame, k: int = 5, key: str = "chunk_id", k1: float = K1, b: float = B, most_weights: int = 1 << 18) -> DataFrame:
+    """(query_id, key, score, rank): the ``k`` best chunks of each query of (query_id, term), over ``posting_lists``.
 
-    Only postings of asked terms are shuffled, by term, and document frequencies are counted on
-    them. The collection's size and mean length are two sums over ``head`` postings.
+    Document frequencies of asked terms, the collection's size and its mean length are sums over the
+    lists. The weights of asked terms are one narrow table of query terms; up to ``most_weights`` of
+    them go to every task, more go in turns. A task scores its chunks' lists against all queries at
+    once as sums over matching terms and passes on the ``k`` best of a query, so no pair of a chunk
+    and a query is ever a row.
     """
-    terms = queries.select("query_id", "term").distinct()
-    hit = posted.join(terms.select("term").distinct(), "term", "left_semi")
-    df = hit.groupBy("term").agg(F.count("*").alias("df"))
-    whole = posted.agg(F.count_if("head").alias("n"), F.avg(F.when(F.col("head"), F.col("dl"))).alias("avgdl")).first()
+    spark = lists.sparkSession
+    terms = queries.select("query_id", "term").where("query_id is not null and term is not null").distinct()
+    df = postings(lists.select("terms")).join(terms.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
+    whole = lists.agg(F.count_if(F.col("dl") > 0).alias("n"), F.avg(F.when(F.col("dl") > 0, F.col("dl"))).alias("avgdl")).first()
     n, avgdl = whole["n"], whole["avgdl"] or 1.0
     idf = F.log(1 + (F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.lit(avgdl)))
-    scored = hit.join(df, "term").withColumn("part", part).join(terms, "term")
-    total = scored.groupBy("query_id", key).agg(F.round(F.sum("part"), 6).alias("score"))
-    return top(total, k, ["query_id"], [F.col("score").desc(), F.col(key)])
+    weights = stored(terms.join(df, "term").select("query_id", "term", idf.alias("idf")), "weights")
+    turns = max(1, math.ceil(weights.count() / most_weights))
+    kinds = [x.schema[c].dataType.simpleString() for x, c in ((weights, "query_id"), (lists, key))]
+    found = None
+    for turn in range(turns):
+        part = weights.where(F.pmod(F.xxhash64("query_id"), F.lit(turns)) == turn).toArrow()  # about ``most_weights`` rows
+        shared = spark.sparkContext.broadcast(part)
+        scored = lists.where("dl > 0").select(key, "dl", "terms").mapInArrow(_scorer(shared, key, k, k1, b, avgdl), f"query_id {kinds[0]}, {key} {kinds[1]}, score double")
+        found = scored if found is None else found.unionByName(scored)
+    return top(found, k, ["query_id"], [F.col("score").desc(), F.col(key)])
+
+
+def _scorer(shared, key: str, k: int, k1: float, b: float, avgdl: float, at_once: int = 1 << 21) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Scores batches of (key, dl, terms) against the ``shared`` weights (query_id, term, idf)."""
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weights = shared.value.sort_by("term")
+        terms, ids = weights["term"].combine_chunks(), weights["query_id"].combine_chunks().unique()
+        known = terms.unique()
+        query = pc.index_in(weights["query_id"].combine_chunks(), value_set=ids).to_numpy()
+        idf = weights["idf"].to_numpy()
+        starts = np.searchsorted(pc.index_in(terms, value_set=known).to_numpy(), np.arange(len(known) + 1))
+        rows_at_once = max(1, at_once // max(len(ids), 1))
+        for whole in batches:
+            for begin in range(0, whole.num_rows if len(ids) else 0, rows_at_once):
+                batch = whole.slice(begin, rows_at_once)
+                lists = batch.column("terms")
+                counts = pc.fill_null(pc.list_value_length(lists), 0).to_numpy().astype(np.int64)
+                flat = pc.list_flatten(lists)
+                term = pc.fill_null(pc.index_in(flat.field("term"), value_set=known), -1).to_numpy()
+                row, tf = np.repeat(np.arange(len(counts)), counts), flat.field("tf").to_numpy().astype(float)
+                hit = term >= 0
+                row, tf, term = row[hit], tf[hit], term[hit]
+                part = tf * (k1 + 1) / (tf + k1 * (1 - b + b * batch.column("dl").to_numpy()[row] / avgdl))
+                asked = starts[term + 1] - starts[term]  # queries of each term
+                at = np.repeat(starts[term] - np.concatenate([[0], np.cumsum(asked)[:-1]]) if len(term) else starts[:0], asked) + np.arange(asked.sum())
+                cell = query[at] * len(counts) + np.repeat(row, asked)
+                total = np.bincount(cell, weights=idf[at] * np.repeat(part, asked), minlength=len(ids) * len(counts)).reshape(len(ids), -1)
+                yield _best(total, ids, batch.column(key), k, key)
+
+    return score
+
+
+def _best(total: np.ndarray, ids: pa.Array, keys: pa.Array, k: int, key: str) -> pa.RecordBatch:
+    """The ``k`` best keys of each row of ``total`` (rounded to six places), ties to the smaller key; zeros are no hits."""
+    place = np.empty(len(keys), np.int64)
+    place[pc.sort_indices(keys).to_numpy()] = np.arange(len(keys))
+    out_q, out_v, out_s = [], [], []
+    for q, scores in enumerate(total):
+        at = np.flatnonzero(scores > 0)
+        rounded = np.floor(scores[at] * 1e6 + 0.5) / 1e6
+        if len(at) > k:
+            fit = rounded >= np.partition(rounded, len(at) - k)[len(at) - k]
+            at, rounded = at[fit], rounded[fit]
+        best = np.lexsort((place[at], -rounded))[:k]
+        out_q.append(np.full(len(best), q))
+        out_v.append(at[best])
+        out_s.append(rounded[best])
+    return pa.RecordBatch.from_arrays([ids.take(pa.array(np.concatenate(out_q))), keys.take(pa.array(np.concatenate(out_v))), pa.array(np.concatenate(out_s))], ["query_id", key, "score"])
 
 
 def top(rows: DataFrame, k: int, groups: Sequence[str], order: Sequence[Column]) -> DataFrame:
@@ -265,12 +330,12 @@ def rerank(hits: DataFrame, scorer: Callable[[Column, Column], Column], query: s
 
 
 def hybrid(
-    queries: DataFrame, terms: DataFrame, asked: DataFrame, pages: DataFrame, excluded: DataFrame, posted: DataFrame, vectors: DataFrame, chunks: DataFrame, scorer: Callable[[Column, Column], Column], k: int = 5
+    queries: DataFrame, terms: DataFrame, asked: DataFrame, pages: DataFrame, excluded: DataFrame, lists: DataFrame, vectors: DataFrame, chunks: DataFrame, scorer: Callable[[Column, Column], Column], k: int = 5
 ) -> DataFrame:
     """(query_id, chunk_id, slug, title, source, score, rank): search end to end for (query_id, query) with their ``terms`` (query_id, term) and vectors ``asked`` (query_id, vector).
 
     Queries that curated ``pages`` answer get these only. For the others, chunks less ``excluded``
-    (chunk_id) are ranked by ``vectors`` (chunk_id, embedding) and by BM25 over ``posted``, fused,
+    (chunk_id) are ranked by ``vectors`` (chunk_id, embedding) and by BM25 over ``lists``, fused,
     cut to 2k, diversified by title to k, and sorted anew by ``scorer``. Queries without vector
     are ranked by BM25 alone.
     """
@@ -280,7 +345,7 @@ def hybrid(
     rest, allowed = queries.join(answered, "query_id", "left_anti"), lambda rows: rows.join(excluded, "chunk_id", "left_anti")
     ours = lambda rows: rows.join(rest.select("query_id"), "query_id", "left_semi")
     near = nearest(ours(asked), allowed(vectors).withColumnRenamed("chunk_id", "vec_id"), CANDIDATES, itself=True).withColumnRenamed("vec_id", "chunk_id")
-    found = fuse({"vector": (near, VECTOR_WEIGHT), "bm25": (bm25(ours(terms), allowed(posted), CANDIDATES), TEXT_WEIGHT)})
+    found = fuse({"vector": (near, VECTOR_WEIGHT), "bm25": (bm25(ours(terms), allowed(lists), CANDIDATES), TEXT_WEIGHT)})
     cut = top(found, 2 * k, ["query_id"], [F.col("score").desc(), F.col("chunk_id")]).drop("rank")
     diverse = diversify(cut.join(chunks.select("chunk_id", "title", "content"), "chunk_id"), k)
     ranked = rerank(diverse.join(rest, "query_id"), scorer, "query", "content", k)

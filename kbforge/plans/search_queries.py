@@ -18,7 +18,7 @@ def _tokens(column="content"):
 
 
 def _posted(spark, d):
-    return stored(r.postings(chunks(spark, d), _tokens()), "postings")
+    return stored(r.posting_lists(chunks(spark, d), _tokens()), "postings")
 
 
 def _asked(spark, d):
@@ -30,7 +30,7 @@ def _bm25(spark, d, k=5):
 
 
 def _postings(spark, d):
-    return r.postings(chunks(spark, d), _tokens()).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
+    return r.postings(_posted(spark, d)).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
 
 
 def _titled(spark, d, hits):
@@ -76,8 +76,8 @@ def _phrases(spark, d):
 
 def _phrase_postings(spark, d):
     lines = chunks(spark, d)
-    posted = r.phrase_postings(lines, stored(r.postings(lines, _tokens()), "postings"), _phrases(spark, d), F.col("content"))
-    return posted.where(F.contains("term", F.lit(" "))).groupBy("term").agg(F.count("*").alias("df"), F.sum("dl").alias("words"))
+    lists = r.with_phrases(lines, _posted(spark, d), _phrases(spark, d), F.col("content"))
+    return r.postings(lists).where(F.contains("term", F.lit(" "))).groupBy("term").agg(F.count("*").alias("df"), F.sum("dl").alias("words"))
 
 
 def _keyword_profile(spark, d):
@@ -118,7 +118,7 @@ def _path_match(spark, d):
 QUERIES = {
     "search_bm25_diverse": _diverse,
     "r1_postings": _postings,
-    "r2_postings_delete": lambda spark, d: r.postings(chunks(spark, d), _tokens()).where("chunk_id % 3 <> 0").groupBy("project_id").agg(F.count("*").alias("n"), F.sum("tf").alias("tf")),
+    "r2_postings_delete": lambda spark, d: r.postings(_posted(spark, d).where("chunk_id % 3 <> 0")).groupBy("project_id").agg(F.count("*").alias("n"), F.sum("tf").alias("tf")),
     "r3_bm25": lambda spark, d: _bm25(spark, d).withColumn("rank", F.col("rank").cast("long")),
     "r4_phrase_tokens": lambda spark, d: table(spark, d, "documents").select("doc_id", F.size(F.filter(t.literals(["of the", "in the", "de la", "und der"]), lambda p: F.contains(F.lower("text"), p))).cast("long").alias("phrases")),
     "r4_phrase_postings": _phrase_postings,

@@ -1,6 +1,7 @@
 """Golden cases and invariants of single operators."""
 
 import datetime
+import math
 import random
 
 import pytest
@@ -89,7 +90,7 @@ def test_diagnose_takes_three_samples_without_gathering(spark, capsys):
 
 def test_bm25_ranks_scopes_and_deletes(spark):
     rows = spark.createDataFrame([(1, "a", "alpha beta gamma"), (2, "a", "delta epsilon zeta"), (3, "b", "delta delta eta")], "chunk_id long, project_id string, content string")
-    posted = retrieval.postings(rows, F.split("content", " "))
+    posted = retrieval.posting_lists(rows, F.split("content", " "))
     asked = spark.createDataFrame([(1, "delta"), (1, "epsilon")], "query_id long, term string")
     assert retrieval.bm25(asked, posted).orderBy("rank").first().chunk_id == 2
     assert [r.chunk_id for r in retrieval.bm25(asked, posted.where("project_id = 'b'")).collect()] == [3]
@@ -132,7 +133,7 @@ def test_hybrid_takes_every_step(spark):
     asked = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0, 0.0])], "query_id long, vector array<double>")
     vectors = spark.createDataFrame([(1, [0.0, 1.0]), (3, [1.0, 0.0]), (4, [1.0, 0.0])], "chunk_id long, embedding array<double>")
     pages = spark.createDataFrame([("m", "The Manual", "x"), ("n", "y", "a manual")], "slug string, title string, content string")
-    posted = retrieval.postings(lines, words("content"), scope="title")
+    posted = retrieval.posting_lists(lines, words("content"), scope="title")
     out = retrieval.hybrid(queries, terms, asked, pages, spark.createDataFrame([(4,)], "chunk_id long"), posted, vectors, lines, lambda q, c: retrieval.jaccard(words(q), words(c)))
     found = [(r.query_id, r.chunk_id, r.slug, r.source, r.score) for r in out.orderBy("query_id", "rank").collect()]
     assert found == [(1, 1, None, "both", 1.0), (1, 2, None, "bm25", 0.5), (1, 3, None, "vector", 0.0), (2, None, "m", "page", 0.7), (2, None, "n", "page", 0.4)]
@@ -338,11 +339,35 @@ def test_profile_match_counts_similarity_and_containment(spark):
 
 def test_postings_count_inside_rows(spark):
     rows = spark.createDataFrame([("a", 1, "x y x x z"), ("a", 2, ""), ("b", 3, "y")], "project_id string, chunk_id long, content string")
-    posted = retrieval.postings(rows, F.filter(F.split("content", " "), lambda w: w != ""))
-    assert sorted((r.chunk_id, r.term, r.tf, r.dl) for r in posted.collect()) == [(1, "x", 3, 5), (1, "y", 1, 5), (1, "z", 1, 5), (3, "y", 1, 1)]
-    assert posted.where("head").count() == 2
-    held = retrieval.phrase_postings(rows, posted, spark.createDataFrame([("Y X",), ("y",), ("q q",)], "phrase string"), F.col("content")).where("not head and tf = 1").where("term = 'y x'").collect()
-    assert [(r.chunk_id, r.dl) for r in held] == [(1, 5)]
+    lists = retrieval.posting_lists(rows, F.filter(F.split("content", " "), lambda w: w != ""))
+    assert sorted((r.chunk_id, r.term, r.tf, r.dl) for r in retrieval.postings(lists).collect()) == [(1, "x", 3, 5), (1, "y", 1, 5), (1, "z", 1, 5), (3, "y", 1, 1)]
+    held = retrieval.postings(retrieval.with_phrases(rows, lists, spark.createDataFrame([("Y X",), ("q q",)], "phrase string"), F.col("content"))).where("term = 'y x'").collect()
+    assert [(r.chunk_id, r.dl, r.tf) for r in held] == [(1, 5, 1)] and retrieval.with_phrases(rows, lists, spark.createDataFrame([], "phrase string"), F.col("content")).count() == 3
+
+
+def test_bm25_matches_plain_loops(spark):
+    """Ties, chunks of many batches and weights in several turns."""
+    random.seed(13)
+    words = [f"w{k}" for k in range(12)]
+    texts = {k: [random.choice(words) for _ in range(random.randint(0, 6))] for k in range(300)}
+    lists = retrieval.posting_lists(spark.createDataFrame([("a", k, x) for k, x in texts.items()], "project_id string, chunk_id long, t array<string>"), F.col("t"))
+    asked = {q: random.sample(words + ["none"], 3) for q in range(9)}
+    made = spark.createDataFrame([(q, w) for q, ws in asked.items() for w in ws] + [(99, "none"), (None, "w1")], "query_id long, term string")
+    full = {k: x for k, x in texts.items() if x}
+    mean, df = sum(map(len, full.values())) / len(full), {w: sum(w in x for x in full.values()) for w in words}
+    want = []
+    for q, ws in asked.items():
+        scores = []
+        for k, x in full.items():
+            total = sum(math.log(1 + (len(full) - df[w] + 0.5) / (df[w] + 0.5)) * x.count(w) * 2.2 / (x.count(w) + 1.2 * (0.25 + 0.75 * len(x) / mean)) for w in ws if w in x)
+            if total:
+                scores.append((-round(total, 6), k))
+        want += [(q, k, -s, n + 1) for n, (s, k) in enumerate(sorted(scores)[:7])]
+    for most in (1 << 18, 5):
+        out = retrieval.bm25(made, lists, 7, most_weights=most).collect()
+        assert sorted((r.query_id, r.chunk_id, r["rank"]) for r in out) == sorted((q, k, n) for q, k, _, n in want)
+        assert all(abs(r.score - s) < 2e-6 for r, (_, _, s, _) in zip(sorted(out, key=lambda r: (r.query_id, r["rank"])), sorted(want, key=lambda w: (w[0], w[3]))))
+    assert retrieval.bm25(made, lists.limit(0)).isEmpty() and retrieval.bm25(made.limit(0), lists).isEmpty()
 
 
 def test_newest_places_and_coverage_of_tests(spark):
