@@ -12,6 +12,7 @@ from .retrieval import cosine
 
 #: Hedging words and words that state a product fact.
 HEDGES = ["可能", "应该", "一般来说", "通常", "据说", "maybe", "probably", "usually", "generally"]
+#: Words that deny a fact, and words that affirm one.
 NEGATIONS = ["不支持", "无法", "不能", "不可", "没有"]
 AFFIRMATIONS = ["支持", "可以", "能", "可", "有"]
 PLEASANTRIES = ["你好", "请问", "抱歉", "谢谢", "可以", "请", "您好", "总结", "根据", "综上所述"]
