@@ -341,12 +341,14 @@ def hybrid(
     """
     curated = top(shortcut(queries, pages), k, ["query_id"], [F.col("score").desc(), F.col("slug")]).join(pages.select("slug", "title"), "slug")
     curated = curated.select("query_id", F.lit(None).cast(chunks.schema["chunk_id"].dataType).alias("chunk_id"), "slug", "title", F.lit("page").alias("source"), "score", "rank")
-    answered = curated.select("query_id").distinct()
-    rest, allowed = queries.join(answered, "query_id", "left_anti"), lambda rows: rows.join(excluded, "chunk_id", "left_anti")
+    curated = stored(curated, "curated")
+    rest = stored(queries.join(curated.select("query_id").distinct(), "query_id", "left_anti"), "rest")
+    excluded = stored(excluded.select("chunk_id").distinct(), "excluded")  # written, so that a short list meets the wide rows without a shuffle
+    allowed = lambda rows: rows.join(excluded, "chunk_id", "left_anti")
     ours = lambda rows: rows.join(rest.select("query_id"), "query_id", "left_semi")
     near = nearest(ours(asked), allowed(vectors).withColumnRenamed("chunk_id", "vec_id"), CANDIDATES, itself=True).withColumnRenamed("vec_id", "chunk_id")
     found = fuse({"vector": (near, VECTOR_WEIGHT), "bm25": (bm25(ours(terms), allowed(lists), CANDIDATES), TEXT_WEIGHT)})
-    cut = top(found, 2 * k, ["query_id"], [F.col("score").desc(), F.col("chunk_id")]).drop("rank")
-    diverse = diversify(cut.join(chunks.select("chunk_id", "title", "content"), "chunk_id"), k)
+    cut = stored(top(found, 2 * k, ["query_id"], [F.col("score").desc(), F.col("chunk_id")]).drop("rank"), "cut")
+    diverse = diversify(chunks.select("chunk_id", "title", "content").join(cut, "chunk_id"), k)
     ranked = rerank(diverse.join(rest, "query_id"), scorer, "query", "content", k)
     return ranked.select("query_id", "chunk_id", F.lit(None).cast("string").alias("slug"), "title", "source", "score", "rank").unionByName(curated)
