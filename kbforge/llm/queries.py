@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, langid, media, minhash, mixing, packing, pii, quality, tokens, topk
+from . import chat, langid, media, minhash, mixing, packing, pieces, pii, quality, tokens, topk
 from .workspace import written
 
 
@@ -78,8 +78,16 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_features(media.store_media(_table(spark, sf_dir, "documents")))
 
 
+def op13_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    encoded = pieces.encode_pieces(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+    text = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return encoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(text, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_pii, op2_chat, op3_tokens, op4_quality, op5_minhash, op6_packing, op7_topk, op8_langid, op9_mixing, op10_media]
+    own = [op1_pii, op2_chat, op3_tokens, op4_quality, op5_minhash, op6_packing, op7_topk, op8_langid, op9_mixing, op10_media, op13_pieces]
     found = {f.__name__: f for f in own}
     import corpus_pipeline
 
