@@ -130,6 +130,7 @@ class MergeEncoder:
     def check(self, library, texts: list[str], ids: list[list[int]]) -> None:
         """Raises if the library encodes a text, or a word that is new since the last check, otherwise."""
         if self.by_word:  # the library puts the first mark itself
+            self.fresh.pop(MARK, None)  # a blank at the end: nothing to merge, and no text of its own
             given, own = [w[1:].replace(MARK, " ") for w in self.fresh], [list(w) for w in self.fresh.values()]
             texts, ids = texts[:1] + given, ids[:1] + own
             self.fresh = {}
