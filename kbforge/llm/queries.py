@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, langid, media, minhash, mixing, packing, pieces, pii, quality, tokens, topk
+from . import chat, langid, media, minhash, mixing, negatives, packing, pieces, pii, quality, tokens, topk
 from .workspace import written
 
 
@@ -78,6 +78,11 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_features(media.store_media(_table(spark, sf_dir, "documents")))
 
 
+def op12_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings")
+    return negatives.hard_negatives(vectors.withColumn("label", F.expr("if(vec_id % 7 = 0, (label + 1) % 10, label)")))
+
+
 def op13_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -87,7 +92,7 @@ def op13_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_pii, op2_chat, op3_tokens, op4_quality, op5_minhash, op6_packing, op7_topk, op8_langid, op9_mixing, op10_media, op13_pieces]
+    own = [op1_pii, op2_chat, op3_tokens, op4_quality, op5_minhash, op6_packing, op7_topk, op8_langid, op9_mixing, op10_media, op12_negatives, op13_pieces]
     found = {f.__name__: f for f in own}
     import corpus_pipeline
 
@@ -123,6 +128,17 @@ ORACLES = {
             from v q join v c on q.vec_id <> c.vec_id where q.vec_id % 50 = 0)
         select query_id, cast(rank as int) as rank, vec_id, score
         from (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from scored) where rank <= 5""",
+    "op12_negatives": """
+        with v as (select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+                   [cast(floor(256 * cast(c as double)) as bigint) for c in embedding] as x from embeddings where label is not null),
+        scored as (select a.vec_id as anchor_id, c.vec_id, a.label = c.label as same, cast(list_sum([a.x[i] * c.x[i] for i in range(1, len(a.x) + 1)]) as bigint) as score
+            from v a join v c on a.vec_id <> c.vec_id where a.vec_id % 100 = 0),
+        positives as (select anchor_id, vec_id as positive_id, score as positive_score from scored where same
+            qualify row_number() over (partition by anchor_id order by score desc, vec_id) <= 5)
+        select anchor_id, positive_id, cast(row_number() over (partition by anchor_id, positive_id order by score desc, vec_id) as int) as rank,
+            vec_id as negative_id, positive_score, score as negative_score
+        from positives join scored using (anchor_id) where not same and 30 * positive_score <= 100 * score and 100 * score <= 90 * positive_score
+        qualify rank <= 10""",
 }
 
 

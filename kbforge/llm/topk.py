@@ -34,11 +34,11 @@ SCORES = "query_id long, vec_id long, score long"
 EXACT = float(1 << 53)
 
 
-def integer_vectors(vectors: DataFrame, scale: int = 256) -> DataFrame:
-    """(vec_id, vec, dims) with vec = floor(scale * x) as longs, for the rows that take part."""
+def integer_vectors(vectors: DataFrame, scale: int = 256, also: tuple[str, ...] = ()) -> DataFrame:
+    """(vec_id, vec, dims, columns in ``also``) with vec = floor(scale * x) as longs, for the rows that take part."""
     x = F.col("embedding").cast("array<double>")
     fine = F.col("vec_id").isNotNull() & (F.size(x) > 0) & F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
-    return vectors.where(fine).select(F.col("vec_id").cast("long").alias("vec_id"), F.transform(x, lambda c: F.floor(c * scale)).alias("vec"), F.size(x).alias("dims"))
+    return vectors.where(fine).select(F.col("vec_id").cast("long").alias("vec_id"), F.transform(x, lambda c: F.floor(c * scale)).alias("vec"), F.size(x).alias("dims"), *also)
 
 
 def _matrix(table: pa.Table) -> np.ndarray:
