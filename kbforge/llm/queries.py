@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, langid, media, minhash, mixing, negatives, packing, pieces, pii, quality, tokens, topk
+from . import chat, langid, media, minhash, mixing, negatives, packing, pieces, pii, quality, tokens, topk, variants
 from .workspace import written
 
 
@@ -78,6 +78,10 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_features(media.store_media(_table(spark, sf_dir, "documents")))
 
 
+def op11_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.group_variants(variants.word_counts(_table(spark, sf_dir, "documents"), slips=97))
+
+
 def op12_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = _table(spark, sf_dir, "embeddings")
     return negatives.hard_negatives(vectors.withColumn("label", F.expr("if(vec_id % 7 = 0, (label + 1) % 10, label)")))
@@ -92,7 +96,7 @@ def op13_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_pii, op2_chat, op3_tokens, op4_quality, op5_minhash, op6_packing, op7_topk, op8_langid, op9_mixing, op10_media, op12_negatives, op13_pieces]
+    own = [op1_pii, op2_chat, op3_tokens, op4_quality, op5_minhash, op6_packing, op7_topk, op8_langid, op9_mixing, op10_media, op11_variants, op12_negatives, op13_pieces]
     found = {f.__name__: f for f in own}
     import corpus_pipeline
 
@@ -128,6 +132,23 @@ ORACLES = {
             from v q join v c on q.vec_id <> c.vec_id where q.vec_id % 50 = 0)
         select query_id, cast(rank as int) as rank, vec_id, score
         from (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from scored) where rank <= 5""",
+    "op11_variants": r"""
+        with recursive runs as (select doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-zÀ-ÿ]+')) as run from documents),
+        each as (select doc_id, run, count(*) as n from runs group by all),
+        bits as (select *, list_reduce(list_prepend(cast(4294967295 as ubigint), flatten([[cast(('0x' || substr(b, 2 * k - 1, 2)) as ubigint), 0, 0, 0, 0, 0, 0, 0] for k in range(1, len(b) // 2 + 1)])),
+                lambda c, x: xor(xor(c, x) >> 1, cast(3988292384 as ubigint) * (xor(c, x) & 1))) as c
+            from (select *, hex(encode(doc_id || ':' || run)) as b from each)),
+        summed as (select run, n, xor(c, 4294967295) as h from bits),
+        slipped as (select case when h % 97 = 0 then substr(run, 1, cast(h % length(run) as bigint)) || substr(run, cast(h % length(run) as bigint) + 2) else run end as word, n from summed),
+        words as (select word, cast(sum(n) as bigint) as n from slipped where length(word) >= 5 group by word having sum(n) >= 3),
+        skips as (select word, n, i, substr(word, 1, i - 1) as a, substr(word, i + 1) as b from words, range(1, length(word) + 1) as r(i)),
+        near as (select distinct x.word, y.word as other, y.n from skips x join skips y on x.i = y.i and x.a = y.a and x.b = y.b and x.word <> y.word
+            union select x.word, y.word, y.n from skips x join words y on x.a || x.b = y.word
+            union select y.word, x.word, x.n from skips x join words y on x.a || x.b = y.word),
+        best as (select word, count(*) as n_near, arg_min(struct_pack(other := other, n := n), struct_pack(m := -n, other := encode(other))) as top from near group by word),
+        formed as (select w.word, w.n, coalesce(n_near, 0) as n_near, case when top.n >= 2 * w.n then top.other end as form, case when top.n >= 2 * w.n then top.n end as form_n from words w left join best using (word)),
+        led as (select word, word as here, form as next, 0 as step from formed union all select l.word, f.word, f.form, l.step + 1 from led l join formed f on f.word = l.next)
+        select f.word, f.n, f.n_near, f.form, f.form_n, e.root from formed f join (select word, arg_max(here, step) as root from led group by word) e using (word)""",
     "op12_negatives": """
         with v as (select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
                    [cast(floor(256 * cast(c as double)) as bigint) for c in embedding] as x from embeddings where label is not null),
