@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .analytics import latest
 from .graph import extract_links
-from .retrieval import blocked
+from .substrings import substring_hits
 
 
 def without_documents(chunks: DataFrame, excluded: DataFrame, key: str = "document_id") -> DataFrame:
@@ -28,10 +28,12 @@ def expand_to_parents(hits: DataFrame, chunks: DataFrame) -> DataFrame:
     return chunks.join(wanted, "chunk_id", "left_semi")
 
 
-def suggest_links(pages: DataFrame, queries: DataFrame, n: int = 5, most: int = 1000) -> DataFrame:
+def suggest_links(pages: DataFrame, queries: DataFrame, n: int = 5) -> DataFrame:
     """(query, slug): the first ``n`` pages (slug, title) by title whose title or slug holds the query, without the page that asks (``self_slug``)."""
-    fits = (F.contains("title", F.col("query")) | F.contains("slug", F.col("query"))) & ~F.col("slug").eqNullSafe(F.col("self_slug"))
-    hits = blocked(pages.select("slug", "title"), queries.select("query", "self_slug").distinct(), fits, most)
+    asked = queries.select("query", "self_slug").distinct()
+    texts = pages.select("slug", "title", F.col("slug").alias("in_slug"), F.col("title").alias("in_title"))
+    hits = substring_hits(texts, ["slug", "title"], ["in_slug", "in_title"], asked, F.col("query")).withColumnRenamed("found", "query")
+    hits = hits.join(asked, "query").where(~F.col("slug").eqNullSafe(F.col("self_slug")))
     return latest(hits, ["query", "self_slug"], [F.col("title"), F.col("slug")], n).select("query", "self_slug", "slug")
 
 
@@ -141,6 +143,7 @@ def repeated_keys(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     return rows.groupBy(*keys).count().where("count > 1")
 
 
-def match_paths(pages: DataFrame, patterns: DataFrame, path: Column, points: float = 5.0, most: int = 4096) -> DataFrame:
-    """``pages`` joined with (pattern_id, pattern) that their lower-cased path holds, each worth ``points``."""
-    return blocked(pages.withColumn("__path", F.lower(path)), patterns, F.contains("__path", F.col("pattern")), most).drop("__path").withColumn("score", F.lit(points))
+def match_paths(pages: DataFrame, patterns: DataFrame, path: Column, key: str = "page_id", points: float = 5.0) -> DataFrame:
+    """(key, pattern_id, pattern, score): the (pattern_id, pattern) that a page's lower-cased path holds, each worth ``points``."""
+    hits = substring_hits(pages.select(key, F.lower(path).alias("path")), [key], ["path"], patterns, F.col("pattern"))
+    return hits.join(patterns.withColumnRenamed("pattern", "found"), "found").select(key, "pattern_id", F.col("found").alias("pattern"), F.lit(points).alias("score"))

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..sources.scratch import fresh_dir, stored
 from .analytics import latest, running_total
 from .retrieval import blocked, matrices
+from .substrings import substring_hits
 
 
 def classify_arrivals(arrivals: DataFrame, existing: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -150,18 +151,25 @@ def coverage(required: DataFrame, files: DataFrame, most: int = 4096) -> DataFra
     return listed.unionByName(extra.select("phase", "name", F.lit(False).alias("required"), F.lit("optional").alias("status"), "path"))
 
 
-def sign_off(cells: DataFrame, events: DataFrame, most: int = 4096) -> DataFrame:
+def sign_off(cells: DataFrame, events: DataFrame) -> DataFrame:
     """``cells`` (cell, phase, name, status) with the last sign-off of the completed ``events`` (event, phase, name, signed_off) that chose each.
 
     An event chooses the first cell whose phase and name fit: equal, or one phase holds the other;
     names equal with or without extension, or the cell's holds the event's, or the event's holds the
-    cell's without extension. A cell once signed off is done.
+    cell's without extension. A cell once signed off is done. Which phases fit each other, and which
+    names, is found over the distinct ones; only pairs of both that an event bears are joined.
     """
     stem = lambda c: F.regexp_replace(c, r"(?<=.)\.[^.]*$", "")
     asked = events.select("event", F.col("phase").alias("ep"), F.col("name").alias("en"), "signed_off")
-    phase = F.contains("phase", F.col("ep")) | F.contains("ep", F.col("phase"))
-    name = (stem("name") == stem("en")) | F.contains("name", F.col("en")) | F.contains("en", stem("name"))
-    chosen = blocked(cells.select("cell", "phase", "name"), asked, phase & name, most).groupBy("event", "signed_off").agg(F.min("cell").alias("cell"))
+    listed = stored(cells.groupBy("phase", "name").agg(F.min("cell").alias("cell")).withColumn("stem", stem("name")), "cells")
+    borne = stored(asked.select("ep", "en").distinct().withColumn("stem", stem("en")), "borne")
+    phases, wanted, names, stems, given = listed.select("phase").distinct(), borne.select("ep").distinct(), listed.select("name").distinct(), listed.select("stem", "name").distinct(), borne.select("en", "stem").distinct()
+    holds = lambda texts, text, strings, string: substring_hits(texts.withColumn("within", F.col(text)), [text], ["within"], strings, F.col(string)).drop("within").withColumnRenamed("found", string)
+    same_phase = holds(phases, "phase", wanted, "ep").unionByName(holds(wanted, "ep", phases, "phase")).distinct()
+    same_name = holds(names, "name", given.select("en"), "en").unionByName(given.join(stems, "stem").select("name", "en"))
+    same_name = same_name.unionByName(holds(given.select("en").distinct(), "en", stems, "stem").join(stems, "stem").select("name", "en")).distinct()
+    fits = borne.select("ep", "en").join(same_phase, "ep").join(same_name, "en").join(listed, ["phase", "name"]).groupBy("ep", "en").agg(F.min("cell").alias("cell"))
+    chosen = asked.join(fits, ["ep", "en"])
     last = chosen.groupBy("cell").agg(F.max_by("signed_off", "event").alias("signed_off"), F.bool_or("signed_off").alias("ever"))
     found = cells.join(last, "cell", "left")
     return found.select("cell", "phase", "name", F.when(F.col("ever"), "done").otherwise(F.col("status")).alias("status"), F.coalesce("signed_off", F.lit(False)).alias("signed_off"))

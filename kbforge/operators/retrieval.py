@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.scratch import stored
+from .substrings import TURN_BYTES, substring_hits
 
 #: BM25 and fusion constants.
 K1, B = 1.2, 0.75
@@ -43,14 +44,14 @@ def postings(lists: DataFrame) -> DataFrame:
     return lists.select(*rest, F.explode("terms").alias("__p")).select(*rest, "__p.term", "__p.tf")
 
 
-def with_phrases(chunks: DataFrame, lists: DataFrame, phrases: DataFrame, text: Column, key: str = "chunk_id", most: int = 4096) -> DataFrame:
+def with_phrases(chunks: DataFrame, lists: DataFrame, phrases: DataFrame, text: Column, key: str = "chunk_id") -> DataFrame:
     """``lists`` with a term for each phrase of (phrase) that a chunk's lower-cased ``text`` holds, kept whole.
 
-    The phrase table is given by the user and of any size (``blocked``); a phrase counts once a chunk
-    and does not change its length.
+    The phrase table is given by the user and of any size (``substring_hits``); a phrase counts once
+    a chunk and does not change its length.
     """
     low = chunks.select(key, F.lower(text).alias("__low"))
-    held = blocked(low, phrases.select(F.lower("phrase").alias("term")).where("term <> ''").distinct(), F.contains("__low", F.col("term")), most)
+    held = substring_hits(low, [key], ["__low"], phrases.where("phrase <> ''"), F.lower("phrase")).withColumnRenamed("found", "term")
     held = held.groupBy(key).agg(F.array_sort(F.collect_set(F.struct("term", F.lit(1).cast("long").alias("tf")))).alias("__more"))
     return lists.join(held, key, "left").withColumn("terms", F.when(F.col("__more").isNull(), F.col("terms")).otherwise(F.concat("terms", "__more"))).drop("__more")
 
@@ -260,11 +261,11 @@ def diversify(hits: DataFrame, k: int, title: str = "title", key: str = "chunk_i
     return top(rows, k, ["query_id"], [F.col("round"), *by, F.col("score").desc(), F.col(key)])
 
 
-def shortcut(queries: DataFrame, pages: DataFrame, gate: float = 0.5, most_queries: int = 4096) -> DataFrame:
+def shortcut(queries: DataFrame, pages: DataFrame, gate: float = 0.5, turn_bytes: int = TURN_BYTES) -> DataFrame:
     """Curated pages for (query_id, query): 0.7 where the title holds the query, 0.4 where only the content does; only queries whose best passes ``gate``."""
-    low = lambda c: F.lower(F.col(c))
-    pairs = blocked(pages, queries, F.contains(low("title"), low("query")) | F.contains(low("content"), low("query")), most_queries)
-    scored = pairs.select("query_id", "slug", F.when(F.contains(low("title"), low("query")), 0.7).otherwise(0.4).alias("score"))
+    low = pages.select("slug", F.lower("title").alias("title"), F.lower("content").alias("content"))
+    hits = substring_hits(low, ["slug"], ["title", "content"], queries, F.lower("query"), turn_bytes)
+    scored = queries.select("query_id", F.lower("query").alias("found")).join(hits, "found").select("query_id", "slug", F.when(F.col("title"), 0.7).otherwise(0.4).alias("score"))
     best = scored.groupBy("query_id").agg(F.max("score").alias("best")).where(F.col("best") > gate).select("query_id")
     return scored.join(best, "query_id", "left_semi")
 

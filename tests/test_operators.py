@@ -121,7 +121,7 @@ def test_any_number_of_queries_is_answered(spark):
     pages = ids.select(F.concat(F.lit("p"), "id").alias("slug"), F.col("id").cast("string").alias("title"), F.lit("7 x").alias("content"))
     asked = ids.select(F.col("id").alias("query_id"), F.col("id").cast("string").alias("query"))
     want = sorted(map(tuple, retrieval.shortcut(asked, pages).collect()))
-    assert want and sorted(map(tuple, retrieval.shortcut(asked, pages, most_queries=7).collect())) == want
+    assert want and sorted(map(tuple, retrieval.shortcut(asked, pages, turn_bytes=500).collect())) == want
     assert sorted(map(tuple, retrieval.blocked(pages, asked, F.contains("title", F.col("query")), 7, 10).collect())) == sorted(map(tuple, pages.join(asked, F.contains("title", F.col("query"))).collect()))
 
 
