@@ -1,4 +1,8 @@
-"""The page graph: four edge signals, statistics, bounded traversal, recommendations."""
+"""The page graph: four edge signals, statistics, bounded traversal, recommendations.
+
+Pages of a group are pairwise edges; ``memberships`` answers what is asked of them without a row a
+pair, which only ``tag_edges``, ``source_edges``, ``co_citation_edges`` and ``build_graph`` list.
+"""
 
 from __future__ import annotations
 
@@ -7,10 +11,12 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import memberships
 from .pairs import pairs_within
 
 #: Edge weights by signal.
 WEIGHTS = {"wikilink": 1.0, "tag": 0.6, "source": 0.4, "co_citation": 0.3}
+weight_of = lambda signal: F.element_at(F.create_map(*[F.lit(x) for kv in WEIGHTS.items() for x in kv]), F.col(signal))
 EDGE = ["project_id", "source_slug", "target_slug", "signal", "weight"]
 
 
@@ -70,18 +76,22 @@ def backfill_links(pages: DataFrame) -> DataFrame:
     return out.withColumn("wikilinks", F.when(F.size("wikilinks") == 0, F.coalesce("__found", "wikilinks")).otherwise(F.col("wikilinks"))).drop("__found")
 
 
-def traverse(edges: DataFrame, seeds: DataFrame, depth: int = 2, least: float = 0.3, cut: Callable[[DataFrame], DataFrame] = lambda f: f) -> DataFrame:
+def traverse(edges: DataFrame, seeds: DataFrame, depth: int = 2, least: float = 0.3, cut: Callable[[DataFrame], DataFrame] = lambda f: f, members: DataFrame | None = None) -> DataFrame:
     """Bounded walks from many (project_id, seed): per target its depths, signals and mean weight.
 
     Each hop joins the frontier with the edges and is made distinct, so the work is bounded by
-    distinct (seed, target, signal, weight) rows. ``cut`` may write a frontier out between hops.
+    distinct (seed, target, signal, weight) rows. ``members`` are ``memberships`` whose pairs are
+    edges too, walked from page to group to page. ``cut`` may write a frontier out between hops.
     """
     strong = edges.where(F.col("weight") >= least).select("project_id", F.col("source_slug").alias("at"), F.col("target_slug").alias("to"), "signal", "weight")
     frontier = seeds.select("project_id", "seed", F.col("seed").alias("at"))
     walked = None
     for hop in range(1, depth + 1):
-        step = frontier.select("project_id", "seed", "at").distinct().join(strong, ["project_id", "at"]).where("to <> seed")
-        step = cut(step.select("project_id", "seed", F.col("to").alias("at"), "signal", "weight").distinct().withColumn("depth", F.lit(hop)))
+        ends = frontier.select("project_id", "seed", "at").distinct()
+        step = ends.join(strong, ["project_id", "at"]).select("project_id", "seed", "to", "signal", "weight")
+        if members is not None:
+            step = step.unionByName(memberships.step(ends, members.where(weight_of("signal") >= least)).withColumn("weight", weight_of("signal")))
+        step = cut(step.where("to <> seed").select("project_id", "seed", F.col("to").alias("at"), "signal", "weight").distinct().withColumn("depth", F.lit(hop)))
         walked = step if walked is None else walked.unionByName(step)
         frontier = step
     grouped = walked.groupBy("project_id", "seed", F.col("at").alias("target"))
@@ -99,11 +109,27 @@ def recommend(walks: DataFrame, k: int = 10) -> DataFrame:
     return rows.withColumn("rank", nth.cast("long")).where(F.col("rank") <= k)
 
 
-def statistics(edges: DataFrame) -> DataFrame:
-    """Per project: edges, nodes, edges of each signal, edges a node."""
-    ends = edges.select("project_id", F.explode(F.array("source_slug", "target_slug")).alias("slug")).distinct().groupBy("project_id").agg(F.count("*").alias("nodes"))
-    counts = edges.groupBy("project_id").agg(F.count("*").alias("edges"), *[F.count_if(F.col("signal") == s).alias(f"n_{s}") for s in WEIGHTS])
-    return counts.join(ends, "project_id").withColumn("density", F.round(F.col("edges") / F.col("nodes"), 6))
+def signal_counts(links: DataFrame, members: DataFrame) -> DataFrame:
+    """(project_id, signal, n, weight): how many edges each signal has, and their weights' sum, from ``wikilink_edges`` and ``memberships``."""
+    direct = links.groupBy("project_id", "signal").agg(F.count("*").alias("n"))
+    counts = direct.unionByName(memberships.pair_counts(members).withColumnRenamed("pairs", "n"))
+    return counts.withColumn("weight", F.round(F.col("n") * weight_of("signal"), 4))
+
+
+def statistics(links: DataFrame, members: DataFrame) -> DataFrame:
+    """Per project: edges, nodes, edges of each signal, edges a node, of the graph of ``wikilink_edges`` and ``memberships``."""
+    ends = links.select("project_id", F.explode(F.array("source_slug", "target_slug")).alias("slug"))
+    nodes = ends.unionByName(memberships.paired_pages(members)).distinct().groupBy("project_id").agg(F.count("*").alias("nodes"))
+    of = lambda s: F.coalesce(F.sum(F.when(F.col("signal") == s, F.col("n"))), F.lit(0)).alias(f"n_{s}")
+    counts = signal_counts(links, members).groupBy("project_id").agg(F.sum("n").alias("edges"), *map(of, WEIGHTS))
+    return counts.join(nodes, "project_id").withColumn("density", F.round(F.col("edges") / F.col("nodes"), 6))
+
+
+def strongest(links: DataFrame, members: DataFrame, most: int) -> DataFrame:
+    """``EDGE`` rows among which are the strongest ``most`` edges of each project, by weight and slugs."""
+    nth = F.row_number().over(Window.partitionBy("project_id").orderBy("source_slug", "target_slug"))
+    direct = links.withColumn("nth", nth).where(F.col("nth") <= most)
+    return direct.select(EDGE).unionByName(memberships.first_pairs(members, most).withColumn("weight", weight_of("signal")).select(EDGE))
 
 
 def degrees(edges: DataFrame) -> DataFrame:

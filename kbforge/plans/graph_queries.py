@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import graph as g
+from ..operators import memberships
 from ..sources.scratch import stored
 from .fixtures import PAGES, table, wiki_pages
 
@@ -30,14 +31,17 @@ def _links(pages):
 
 
 def _walk(spark, d):
-    """Walks over edges that are stored once and read for each hop."""
-    pages = wiki_pages(spark, d)
-    edges = stored(g.wikilink_edges(pages).select(g.EDGE).unionByName(g.source_edges(pages)), "edges")
-    return g.traverse(edges, _seeds(spark, d), 2, cut=lambda f: stored(f, "frontier"))
+    """Walks over links, and over sources from page to group to page; both are stored once and read for each hop."""
+    pages = stored(wiki_pages(spark, d).select("project_id", "slug", "tags", "wikilinks", "sources"), "pages")
+    members = stored(memberships.memberships(pages, g.wikilink_edges(pages)).where("signal = 'source'"), "members")
+    return g.traverse(stored(g.wikilink_edges(pages).select(g.EDGE), "links"), _seeds(spark, d), 2, cut=lambda f: stored(f, "frontier"), members=members)
 
 
 def _graph(spark, d):
-    return g.build_graph(stored(wiki_pages(spark, d), "pages"))
+    """Links and memberships, stored once."""
+    pages = stored(wiki_pages(spark, d).select("project_id", "slug", "tags", "wikilinks", "sources"), "pages")
+    links = stored(g.wikilink_edges(pages).select(g.EDGE), "links")
+    return links, stored(memberships.memberships(pages, links), "members")
 
 
 QUERIES = {
@@ -47,14 +51,14 @@ QUERIES = {
     "g2_tag_pairs_first_50": _edges(lambda p: g.tag_edges(p, 50)),
     "g3_source_pairs_first_50": _edges(lambda p: g.source_edges(p, 50)),
     "g4_co_citations": _edges(lambda p: g.co_citation_edges(g.wikilink_edges(p))),
-    "g5_build": lambda spark, d: _graph(spark, d).groupBy("project_id", "signal").agg(F.count("*").alias("n"), F.round(F.sum("weight"), 4).alias("weight")),
+    "g5_build": lambda spark, d: g.signal_counts(*_graph(spark, d)),
     "g6_backfill": lambda spark, d: g.backfill_links(_with_text(spark, d)).select("project_id", "slug", F.size("wikilinks").cast("long").alias("links")),
     "x19_link_extraction": lambda spark, d: g.extract_links(_with_text(spark, d), wiki_pages(spark, d), "slug", "content").select("slug", F.array_join("wikilinks", ",").alias("links")),
     "g7_traverse": lambda spark, d: _walk(spark, d).withColumn("signals", F.array_join("signals", ",")),
     "g8_neighbours": lambda spark, d: g.neighbours(g.wikilink_edges(wiki_pages(spark, d)), wiki_pages(spark, d)).select("project_id", "source_slug", "target_slug", "title"),
-    "g9_statistics": lambda spark, d: g.statistics(_graph(spark, d)),
-    "g10_display": lambda spark, d: g.display_graph(_graph(spark, d), wiki_pages(spark, d), 500),
-    "g10_display_whole": lambda spark, d: g.display_graph(_graph(spark, d), wiki_pages(spark, d)),
+    "g9_statistics": lambda spark, d: g.statistics(*_graph(spark, d)),
+    "g10_display": lambda spark, d: g.display_graph(g.strongest(*_graph(spark, d), 500), wiki_pages(spark, d), 500),
+    "g10_display_whole": lambda spark, d: g.display_graph(g.strongest(*_graph(spark, d), 5000), wiki_pages(spark, d)),
     "g11_recommend": lambda spark, d: g.recommend(_walk(spark, d), 5).select("project_id", "seed", "target", "score", "depth", "rank"),
     "g12_diagnose": lambda spark, d: g.diagnose(_with_text(spark, d), F.contains("content", F.lit("[["))).withColumn("samples", F.array_join("samples", ",")),
     "j5_backlinks": lambda spark, d: wiki_pages(spark, d).select(F.explode("wikilinks").alias("target"), "slug").groupBy("target").agg(F.count("*").alias("backlinks"), F.min("slug").alias("first")),
