@@ -37,31 +37,26 @@ def pair_counts(members: DataFrame, small: int = 64, subsets: int = 10) -> DataF
     have too are taken off.
     """
     key = ["project_id", "signal"]
-    pages = stored(members.select(*key, "slug").distinct().withColumn("page", F.monotonically_increasing_id()), "pages")
-    rows = stored(members.join(pages, [*key, "slug"]).select(*GROUP, "page"), "members")
-    large = stored(rows.groupBy(*GROUP).agg(F.count("*").alias("n")).where(F.col("n") > small).select(*GROUP).withColumn("number", F.monotonically_increasing_id()), "large")
-
-    ids = F.sort_array(F.collect_list("page"))
-    listed = rows.join(large, GROUP, "left_anti").groupBy(*GROUP).agg(ids.alias("ids")).where(F.size("ids") > 1)
+    large = stored(members.groupBy(*GROUP).agg(F.count("*").alias("n")).where(F.col("n") > small).select(*GROUP), "large")
+    listed = members.join(large, GROUP, "left_anti").groupBy(*GROUP).agg(F.sort_array(F.collect_list("slug")).alias("ids")).where(F.size("ids") > 1)
     later = F.expr("flatten(transform(ids, (a, i) -> transform(slice(ids, i + 2, size(ids)), b -> struct(a as a, b as b))))")
     near = listed.select(*key, F.inline(later)).distinct()
 
-    sets = stored(rows.join(large, GROUP).groupBy(*key, "page").agg(F.sort_array(F.collect_list("number")).alias("set")), "sets")
-    classes = stored(sets.groupBy(*key, "set").agg(F.count("*").alias("n")).withColumn("class", F.monotonically_increasing_id()), "classes")
+    sets = stored(members.join(large, GROUP).groupBy(*key, "slug").agg(F.sort_array(F.collect_list("group")).alias("set")), "sets")
+    classes = sets.groupBy(*key, "set").agg(F.count("*").alias("n"))
     light, heavy = classes.where(F.size("set") <= subsets), classes.where(F.size("set") > subsets)
-    masks = F.expr("sequence(1L, shiftleft(1L, size(set)) - 1)")
-    parts = light.select(*key, "n", "set", F.explode(masks).alias("mask"))
+    parts = light.select(*key, "n", "set", F.explode(F.expr("sequence(1L, shiftleft(1L, size(set)) - 1)")).alias("mask"))
     parts = parts.select(*key, "n", F.expr("filter(set, (x, i) -> shiftright(mask, i) % 2 = 1)").alias("part"))
     met = parts.groupBy(*key, "part").agg(F.sum("n").alias("n"))
     of_light = met.select(*key, (F.when(F.size("part") % 2 == 1, 1).otherwise(-1) * _pairs_of(F.col("n"))).alias("pairs"))
 
-    each = classes.select(*key, "class", "n", F.explode("set").alias("number"), (F.size("set") > subsets).alias("heavy"))
-    a, b = each.where("heavy").select("number", F.col("class").alias("a"), F.col("n").alias("m")), each.withColumnRenamed("class", "b")
-    crossed = b.join(a, "number").where("a < b or a <> b and not heavy").select(*key, "a", "b", (F.col("n") * F.col("m")).alias("pairs")).distinct().select(*key, "pairs")
+    each = classes.select(*key, F.col("set").alias("b"), "n", F.explode("set").alias("group"), (F.size("set") > subsets).alias("heavy"))
+    other = each.where("heavy").select(*GROUP, F.col("b").alias("a"), F.col("n").alias("m"))
+    crossed = each.join(other, GROUP).where("a < b or not heavy").select(*key, "a", "b", (F.col("n") * F.col("m")).alias("pairs")).distinct().select(*key, "pairs")
     of_heavy = crossed.unionByName(heavy.select(*key, _pairs_of(F.col("n")).alias("pairs")))
 
-    x, y = sets.select(F.col("page").alias("a"), F.col("set").alias("of_a")), sets.select(F.col("page").alias("b"), F.col("set").alias("of_b"))
-    twice = near.join(x, "a").join(y, "b").where(F.arrays_overlap("of_a", "of_b"))
+    x, y = (sets.select(*key, F.col("slug").alias(c), F.col("set").alias(f"of_{c}")) for c in "ab")
+    twice = near.join(x, [*key, "a"]).join(y, [*key, "b"]).where(F.arrays_overlap("of_a", "of_b"))
     ones = lambda df, n: df.groupBy(*key).agg((F.count("*") * n).alias("pairs"))
     found = ones(near, 1).unionByName(ones(twice, -1)).unionByName(of_light).unionByName(of_heavy)
     return found.groupBy(*key).agg(F.sum("pairs").cast("long").alias("pairs")).where("pairs > 0")
