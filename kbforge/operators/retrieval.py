@@ -56,14 +56,14 @@ def with_phrases(chunks: DataFrame, lists: DataFrame, phrases: DataFrame, text:
     return lists.join(held, key, "left").withColumn("terms", F.when(F.col("__more").isNull(), F.col("terms")).otherwise(F.concat("terms", "__more"))).drop("__more")
 
 
-def bm25(queries: DataFrame, lists: DataFrame, k: int = 5, key: str = "chunk_id", k1: float = K1, b: float = B, most_weights: int = 1 << 18) -> DataFrame:
+def bm25(queries: DataFrame, lists: DataFrame, k: int = 5, key: str = "chunk_id", k1: float = K1, b: float = B, most_weights: int = 1 << 18, most_best: int = 1 << 22) -> DataFrame:
     """(query_id, key, score, rank): the ``k`` best chunks of each query of (query_id, term), over ``posting_lists``.
 
     Document frequencies of asked terms, the collection's size and its mean length are sums over the
     lists. The weights of asked terms are one narrow table of query terms; up to ``most_weights`` of
     them go to every task, more go in turns. A task scores its chunks' lists against all queries at
-    once as sums over matching terms and passes on the ``k`` best of a query, so no pair of a chunk
-    and a query is ever a row.
+    once as sums over matching terms, keeps the ``k`` best of each query over all that it reads and
+    passes only these on: at most tasks x queries x k rows. A turn keeps ``most_best`` of them.
     """
     spark = lists.sparkSession
     terms = queries.select("query_id", "term").where("query_id is not null and term is not null").distinct()
@@ -72,7 +72,8 @@ def bm25(queries: DataFrame, lists: DataFrame, k: int = 5, key: str = "chunk_id"
     n, avgdl = whole["n"], whole["avgdl"] or 1.0
     idf = F.log(1 + (F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weights = stored(terms.join(df, "term").select("query_id", "term", idf.alias("idf")), "weights")
-    turns = max(1, math.ceil(weights.count() / most_weights))
+    asking = weights.agg(F.count("*").alias("weights"), F.countDistinct("query_id").alias("queries")).first()
+    turns = max(1, math.ceil(asking["weights"] / most_weights), math.ceil(asking["queries"] * k / most_best))
     kinds = [x.schema[c].dataType.simpleString() for x, c in ((weights, "query_id"), (lists, key))]
     found = None
     for turn in range(turns):
@@ -94,6 +95,7 @@ def _scorer(shared, key: str, k: int, k1: float, b: float, avgdl: float, at_once
         idf = weights["idf"].to_numpy()
         starts = np.searchsorted(pc.index_in(terms, value_set=known).to_numpy(), np.arange(len(known) + 1))
         rows_at_once = max(1, at_once // max(len(ids), 1))
+        least, held, waiting = np.zeros(len(ids)), None, []  # each query's k-th best so far; its best; hits since
         for whole in batches:
             for begin in range(0, whole.num_rows if len(ids) else 0, rows_at_once):
                 batch = whole.slice(begin, rows_at_once)
@@ -109,27 +111,26 @@ def _scorer(shared, key: str, k: int, k1: float, b: float, avgdl: float, at_once
                 at = np.repeat(starts[term] - np.concatenate([[0], np.cumsum(asked)[:-1]]) if len(term) else starts[:0], asked) + np.arange(asked.sum())
                 cell = query[at] * len(counts) + np.repeat(row, asked)
                 total = np.bincount(cell, weights=idf[at] * np.repeat(part, asked), minlength=len(ids) * len(counts)).reshape(len(ids), -1)
-                yield _best(total, ids, batch.column(key), k, key)
+                total = np.floor(total * 1e6 + 0.5) / 1e6
+                q, r = np.nonzero((total > 0) & (total >= least[:, None]))
+                waiting.append(pa.table([pa.array(q), pa.array(total[q, r]), batch.column(key).take(pa.array(r))], names=["q", "score", key]))
+                if sum(x.num_rows for x in waiting) > max(at_once, len(ids) * k):
+                    held, waiting = _best([held, *waiting], k, key), []
+                    at = held["q"].to_numpy()
+                    full = np.flatnonzero(np.bincount(at, minlength=len(ids)) == k)
+                    least[full] = held["score"].to_numpy()[np.searchsorted(at, full, "right") - 1]
+        if held is not None or waiting:
+            held = _best([held, *waiting], k, key)
+            yield from pa.table([ids.take(held["q"].combine_chunks()), held[key], held["score"]], names=["query_id", key, "score"]).to_batches(1 << 16)
 
     return score
 
 
-def _best(total: np.ndarray, ids: pa.Array, keys: pa.Array, k: int, key: str) -> pa.RecordBatch:
-    """The ``k`` best keys of each row of ``total`` (rounded to six places), ties to the smaller key; zeros are no hits."""
-    place = np.empty(len(keys), np.int64)
-    place[pc.sort_indices(keys).to_numpy()] = np.arange(len(keys))
-    out_q, out_v, out_s = [], [], []
-    for q, scores in enumerate(total):
-        at = np.flatnonzero(scores > 0)
-        rounded = np.floor(scores[at] * 1e6 + 0.5) / 1e6
-        if len(at) > k:
-            fit = rounded >= np.partition(rounded, len(at) - k)[len(at) - k]
-            at, rounded = at[fit], rounded[fit]
-        best = np.lexsort((place[at], -rounded))[:k]
-        out_q.append(np.full(len(best), q))
-        out_v.append(at[best])
-        out_s.append(rounded[best])
-    return pa.RecordBatch.from_arrays([ids.take(pa.array(np.concatenate(out_q))), keys.take(pa.array(np.concatenate(out_v))), pa.array(np.concatenate(out_s))], ["query_id", key, "score"])
+def _best(parts: list[pa.Table | None], k: int, key: str) -> pa.Table:
+    """The ``k`` best (q, score, key) of each q, ties to the smaller key, sorted."""
+    rows = pa.concat_tables([p for p in parts if p is not None]).sort_by([("q", "ascending"), ("score", "descending"), (key, "ascending")])
+    q = rows["q"].to_numpy()
+    return rows.filter(pa.array(np.arange(len(q)) - np.searchsorted(q, q) < k))
 
 
 def top(rows: DataFrame, k: int, groups: Sequence[str], order: Sequence[Column]) -> DataFrame:

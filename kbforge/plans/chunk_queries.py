@@ -81,6 +81,15 @@ _PACK = f"""case when strlen(b.cur) > {c.TARGET} then {{'done': list_concat(case
 _LEVEL = f"""case when a.cur = '' then b when (strlen(a.cur) < {c.SMALL} or strlen(b.cur) < {c.SMALL}) and strlen(a.cur) + 1 + strlen(b.cur) <= {c.LARGE} then {{'done': a.done, 'cur': a.cur || chr(10) || b.cur}}
     else {{'done': list_append(a.done, a.cur), 'cur': b.cur}} end"""
 
+CHUNKED = f"""p as (select doc_id, [trim(x, {_BLANK}) for x in string_split(coalesce(text, ''), chr(10)) if trim(x, {_BLANK}) <> ''] as ps from documents),
+        packed as (select doc_id, case when r.cur = '' then r.done else list_append(r.done, r.cur) end as cs from (select doc_id, {_fold("ps", _PACK)} as r from p)),
+        levelled as (select doc_id, list_append(r.done, r.cur) as cs from (select doc_id, {_fold("cs", _LEVEL)} as r from packed where len(cs) > 0)),
+        cut as (select doc_id, flatten([case when strlen(x) > {c.LARGE} then {_packed_sentences("x", c.LARGE)} else [x] end for x in cs]) as cs from levelled),
+        ch as (select doc_id, unnest(cs) as content, unnest(range(len(cs))) as chunk_no from cut),
+        kids as (select doc_id, chunk_no, [s for s in {_packed_sentences("content", c.CHILD_SIZE)} if length(s) >= {c.CHILD_MIN}][1:{c.CHILDREN}] as ks from ch
+            where length(content) >= {c.PARENT_MIN} and len(regexp_extract_all(content, '[{_ENDERS}]')) >= 2),
+        chunked as (select doc_id, chunk_no, cast(0 as bigint) as child_no, content from ch union all select doc_id, chunk_no, unnest(range(1, len(ks) + 1)), unnest(ks) from kids)"""
+
 ORACLES = {
     "c1_sections": """with lines as (select doc_id, i - 1 as n, case when i % 3 = 0 then '## ' || line else line end as line
             from (select doc_id, unnest(string_split(text, chr(10))) as line, unnest(range(1, len(string_split(text, chr(10))) + 1)) as i from documents)),
@@ -89,14 +98,7 @@ ORACLES = {
         whole as (select doc_id, cast(section_no as bigint) as section_no, max(case when line like '## %' then trim(line[4:]) end) as heading, cast(min(pos) as bigint) as start,
             trim(coalesce(string_agg(case when line not like '## %' then line end, chr(10) order by n), ''), ' ' || chr(10)) as content from numbered group by 1, 2)
         select doc_id, section_no, heading, start, md5(content) as digest from whole where content <> ''""",
-    "c2_c5_chunks": f"""with p as (select doc_id, [trim(x, {_BLANK}) for x in string_split(coalesce(text, ''), chr(10)) if trim(x, {_BLANK}) <> ''] as ps from documents),
-        packed as (select doc_id, case when r.cur = '' then r.done else list_append(r.done, r.cur) end as cs from (select doc_id, {_fold("ps", _PACK)} as r from p)),
-        levelled as (select doc_id, list_append(r.done, r.cur) as cs from (select doc_id, {_fold("cs", _LEVEL)} as r from packed where len(cs) > 0)),
-        cut as (select doc_id, flatten([case when strlen(x) > {c.LARGE} then {_packed_sentences("x", c.LARGE)} else [x] end for x in cs]) as cs from levelled),
-        ch as (select doc_id, unnest(cs) as content, unnest(range(len(cs))) as chunk_no from cut),
-        kids as (select doc_id, chunk_no, [s for s in {_packed_sentences("content", c.CHILD_SIZE)} if length(s) >= {c.CHILD_MIN}][1:{c.CHILDREN}] as ks from ch
-            where length(content) >= {c.PARENT_MIN} and len(regexp_extract_all(content, '[{_ENDERS}]')) >= 2)
-        select doc_id, chunk_no, cast(0 as bigint) as child_no, content from ch union all select doc_id, chunk_no, unnest(range(1, len(ks) + 1)), unnest(ks) from kids""",
+    "c2_c5_chunks": f"with {CHUNKED} select * from chunked",
     "c6_windows": f"with {_WINDOWS} select doc_id, window_no, md5(content) as digest from windows",
     "c7_budget_batches": rf"""with recursive {CHUNKS}, p as (select document_id, row_number() over (partition by document_id order by line_no) as r, cast(ceil(w / 1.2::double + (strlen(content) - w) / 3.5::double) as bigint) as tokens
             from (select *, length(regexp_replace(content, '[\x00-\x7f]', '', 'g')) as w from chunks)),

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as t
-from ..operators import lookups
+from ..operators import chunking, index, lookups
 from ..operators import retrieval as r
 from ..sources.scratch import stored
+from .chunk_queries import CHUNKED
 from .fixtures import CHUNKS, chunks, table
 
 WORDS = r"[a-z0-9]+"
@@ -29,6 +30,45 @@ def _bm25(spark, d, k=5):
     return r.bm25(_asked(spark, d), _posted(spark, d), k)
 
 
+def _titled_lines(spark, d):
+    """Lines of documents with a title: the beginning of the document's text."""
+    lines = table(spark, d, "documents").select("doc_id", F.substring("text", 1, 60).alias("title"), F.posexplode(F.split("text", "\n")).alias("line_no", "content"))
+    return lines.where(F.trim("content") != "").select((F.col("doc_id") * 2**31 + F.col("line_no")).alias("chunk_id"), "title", "content")
+
+
+def _small_to_big(spark, d):
+    """Chunks with their children below, under the document's title: (key, owner, parent_id, title, content)."""
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    number = F.col("doc_id") * 2**31 + F.col("chunk_no") * 4  # a chunk has at most three children
+    rows = chunking.chunk_documents(docs).join(docs.select("doc_id", F.substring("text", 1, 60).alias("title")), "doc_id")
+    return rows.select((number + F.col("child_no")).cast("long").alias("chunk_id"), number.cast("long").alias("owner"), F.when(F.col("child_no") > 0, number.cast("long")).alias("parent_id"), "title", "content")
+
+
+def _fields():
+    return {"title": _tokens("title"), "content": _tokens()}
+
+
+def _fielded(spark, d):
+    return index.search(index.build_index(_titled_lines(spark, d), _fields()), _asked(spark, d)).withColumnRenamed("key", "chunk_id")
+
+
+def _folded(spark, d):
+    """Children are searched, parents found."""
+    made = index.build_index(_small_to_big(spark, d), _fields(), owner="owner")
+    return index.search(made, _asked(spark, d), fold=True).withColumnRenamed("key", "parent_id")
+
+
+def _term_statistics(spark, d):
+    blocks = index.build_index(_titled_lines(spark, d), _fields()).blocks
+    return blocks.groupBy("term", "field").agg(F.sum("n").alias("df"), F.sum("cf").alias("cf"), F.max("max_tf").alias("max_tf"), F.min("min_length").alias("min_length"))
+
+
+def _parents_of_children(spark, d):
+    rows = _small_to_big(spark, d)
+    hits = rows.where(F.col("parent_id").isNotNull() & F.contains("content", F.lit("tion"))).select("chunk_id", "parent_id")
+    return lookups.expand_to_parents(hits, rows).select("chunk_id", F.md5("content").alias("digest"))
+
+
 def _postings(spark, d):
     return r.postings(_posted(spark, d)).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
 
@@ -119,7 +159,11 @@ QUERIES = {
     "search_bm25_diverse": _diverse,
     "r1_postings": _postings,
     "r2_postings_delete": lambda spark, d: r.postings(_posted(spark, d).where("chunk_id % 3 <> 0")).groupBy("project_id").agg(F.count("*").alias("n"), F.sum("tf").alias("tf")),
-    "r3_bm25": lambda spark, d: _bm25(spark, d).withColumn("rank", F.col("rank").cast("long")),
+    "r3_bm25": lambda spark, d: _fielded(spark, d).withColumn("rank", F.col("rank").cast("long")),
+    "r3_bm25_content": lambda spark, d: _bm25(spark, d).withColumn("rank", F.col("rank").cast("long")),
+    "r1_index": _term_statistics,
+    "c5_small_to_big": lambda spark, d: _folded(spark, d).withColumn("rank", F.col("rank").cast("long")),
+    "j4_parents_of_children": _parents_of_children,
     "r4_phrase_tokens": lambda spark, d: table(spark, d, "documents").select("doc_id", F.size(F.filter(t.literals(["of the", "in the", "de la", "und der"]), lambda p: F.contains(F.lower("text"), p))).cast("long").alias("phrases")),
     "r4_phrase_postings": _phrase_postings,
     "r6_nearest": lambda spark, d: _nearest(spark, d).withColumn("rank", F.col("rank").cast("long")),
@@ -143,6 +187,15 @@ _BM25 = _POSTED + """, asked as (select distinct item_id as query_id, unnest(reg
     scored as (select query_id, chunk_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))), 6) as score
         from asked join posted using (term) join dl using (chunk_id) join df using (term), whole group by 1, 2),
     bm as (select *, row_number() over (partition by query_id order by score desc, chunk_id) as rank from scored)"""
+_LINES = """rows as (select doc_id * 2147483648 + i - 1 as chunk_id, doc_id * 2147483648 + i - 1 as owner, substr(text, 1, 60) as title, content
+    from (select doc_id, text, unnest(string_split(text, chr(10))) as content, unnest(range(1, len(string_split(text, chr(10))) + 1)) as i from documents) where trim(content) <> '')"""
+_FAMILY = CHUNKED + """, rows as (select c.doc_id * 2147483648 + chunk_no * 4 + child_no as chunk_id, c.doc_id * 2147483648 + chunk_no * 4 as owner, child_no, substr(d.text, 1, 60) as title, content from chunked c join documents d on d.doc_id = c.doc_id)"""
+_FIELDED = """, posted as (select chunk_id, owner, field, term, count(*) as tf from (select chunk_id, owner, 'title' as field, unnest(regexp_extract_all(lower(title), '[a-z0-9]+')) as term from rows
+        union all select chunk_id, owner, 'content', unnest(regexp_extract_all(lower(content), '[a-z0-9]+')) from rows) group by all),
+    asked as (select distinct item_id as query_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) as term from benchmark),
+    dl as (select chunk_id, field, sum(tf) as dl from posted group by all), df as (select term, field, count(*) as df from posted group by all), whole as (select field, count(*) as n, avg(dl) as avgdl from dl group by all),
+    scored as (select query_id, owner, chunk_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))), 6) as score
+        from asked join posted using (term) join dl using (chunk_id, field) join df using (term, field) join whole using (field) group by all)"""
 _NEAR = """near as (select *, row_number() over (partition by query_id order by similarity desc, vec_id) as rank from
     (select q.vec_id as query_id, v.vec_id, round(list_cosine_similarity(cast(q.embedding as double[]), cast(v.embedding as double[])), 6) as similarity from embeddings q join embeddings v on q.vec_id <> v.vec_id where q.vec_id % 50 = 0))"""
 _FUSED = _BM25 + """, vc as (select min(chunk_id) as chunk_id, any_value(embedding) as embedding from chunks join embeddings on vec_id = document_id group by document_id),
@@ -157,7 +210,12 @@ ORACLES = {
     "r11_diversity_by_score": f"""with {_DIVERSE} select query_id, chunk_id, title, score, rank from (select *, row_number() over (partition by query_id order by least(nth, 3), score desc, chunk_id) as rank from titled) where rank <= 5""",
     "r1_postings": f"with {_POSTED} select term, count(*) as df, cast(sum(tf) as bigint) as cf from posted group by 1",
     "r2_postings_delete": f"with {_POSTED} select project_id, count(*) as n, cast(sum(tf) as bigint) as tf from posted where chunk_id % 3 <> 0 group by 1",
-    "r3_bm25": f"with {_BM25} select query_id, chunk_id, score, rank from bm where rank <= 5",
+    "r3_bm25": f"with {_LINES}{_FIELDED} select * exclude (owner) from (select *, row_number() over (partition by query_id order by score desc, chunk_id) as rank from scored) where rank <= 5",
+    "c5_small_to_big": f"""with {_FAMILY}{_FIELDED}, best as (select query_id, owner as parent_id, max(score) as score from scored group by all)
+        select * from (select *, row_number() over (partition by query_id order by score desc, parent_id) as rank from best) where rank <= 5""",
+    "r1_index": f"""with {_LINES}{_FIELDED} select term, field, count(*) as df, cast(sum(tf) as bigint) as cf, max(tf) as max_tf, cast(min(dl) as bigint) as min_length from posted join dl using (chunk_id, field) group by all""",
+    "j4_parents_of_children": f"""with {_FAMILY} select chunk_id, md5(content) as digest from rows where child_no = 0 and owner in (select owner from rows where child_no > 0 and contains(content, 'tion'))""",
+    "r3_bm25_content": f"with {_BM25} select query_id, chunk_id, score, rank from bm where rank <= 5",
     "r4_phrase_tokens": "select doc_id, cast(contains(lower(text), 'of the') as bigint) + cast(contains(lower(text), 'in the') as bigint) + cast(contains(lower(text), 'de la') as bigint) + cast(contains(lower(text), 'und der') as bigint) as phrases from documents",
     "r6_nearest": f"with {_NEAR} select query_id, vec_id, similarity, rank from near where rank <= 5",
     "r8_rank_fusion": f"with {_FUSED} select * from fused",
