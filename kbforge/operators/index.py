@@ -19,13 +19,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.scratch import fresh_dir, stored
-from .retrieval import K1, B, posting_lists, top
+from .retrieval import K1, B, term_counts, top
 
 POSTINGS = "term string, field string, slot long, n long, cf long, max_tf long, min_length long, keys array<long>, owners array<long>, tfs array<long>, lengths array<long>, bucket int"
+BLOCK = [c.split()[0] for c in POSTINGS.split(", ")]
 
 
 @dataclass(frozen=True)
@@ -45,25 +47,41 @@ def build_index(chunks: DataFrame, fields: dict[str, Column], key: str = "chunk_
     without key are left out.
     """
     spark = chunks.sparkSession
-    rows = chunks.where(F.col(key).isNotNull()).withColumn("__owner", F.coalesce(F.col(owner), F.col(key)) if owner else F.col(key))
-    slots = max(1, math.ceil(rows.count() / slot_chunks))
-    each = None
-    for name, tokens in fields.items():
-        part = posting_lists(rows, tokens, key, "__owner").select(F.col(key).alias("key"), F.col("__owner").alias("owner"), F.lit(name).alias("field"), "dl", "terms")
-        each = part if each is None else each.unionByName(part)
+    whose = F.coalesce(F.col(owner), F.col(key)) if owner else F.col(key)
+    counted = F.array(*[F.struct(F.lit(name).alias("field"), term_counts(tokens).alias("r")) for name, tokens in fields.items()])
+    each = chunks.where(F.col(key).isNotNull()).select(F.col(key).alias("key"), whose.alias("owner"), F.inline(counted))
+    each = stored(each.select("key", "owner", "field", "r.dl", "r.terms"), "lists")
+    slots = max(1, math.ceil(each.count() / len(fields) / slot_chunks))
     path = path or fresh_dir(spark, "index")
     totals = each.where("dl > 0").groupBy("field").agg(F.count("*").alias("n"), F.sum("dl").alias("length"))
     totals.write.parquet(f"{path}/totals")
-    slot = F.pmod(F.xxhash64("owner"), F.lit(slots))
-    postings = each.select("key", "owner", "field", "dl", slot.alias("slot"), F.inline("terms")).withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int"))
+    postings = each.select("key", "owner", "field", "dl", F.pmod(F.xxhash64("owner"), F.lit(slots)).alias("slot"), F.inline("terms"))
+    postings = postings.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int"))
     block = ["bucket", "term", "field", "slot"]
-    posted = F.sort_array(F.collect_list(F.struct("key", "owner", "tf", "dl")))
-    whole = postings.repartitionByRange(*block).groupBy(*block).agg(F.count("*").alias("n"), F.sum("tf").alias("cf"), F.max("tf").alias("max_tf"), F.min("dl").alias("min_length"), posted.alias("p"))
-    arrays = [F.col(f"p.{c}").alias(name) for c, name in (("key", "keys"), ("owner", "owners"), ("tf", "tfs"), ("dl", "lengths"))]
-    whole.select("term", "field", "slot", "n", "cf", "max_tf", "min_length", *arrays, "bucket").sortWithinPartitions(*block).write.partitionBy("bucket").parquet(f"{path}/blocks")
+    sorted_rows = postings.repartitionByRange(*block, "key").sortWithinPartitions(*block, "key")
+    sorted_rows.mapInArrow(_blocks, POSTINGS).write.partitionBy("bucket").parquet(f"{path}/blocks")
     return Index(spark.read.schema(POSTINGS).parquet(f"{path}/blocks"), spark.read.schema(totals.schema).parquet(f"{path}/totals"), buckets, slots)
 
 
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted postings as blocks. One that goes on in the next batch, or in the next task's range, continues there as a block of its own."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        new = np.zeros(batch.num_rows, bool)
+        new[0] = True
+        for c in ("bucket", "term", "field", "slot"):
+            x = batch.column(c)
+            new[1:] |= pc.not_equal(x[1:], x[:-1]).to_numpy(zero_copy_only=False)
+        starts = np.flatnonzero(new)
+        ends = np.append(starts, batch.num_rows)
+        tf, dl = (batch.column(c).to_numpy() for c in ("tf", "dl"))
+        one = [batch.column(c).take(pa.array(starts)) for c in ("term", "field", "slot")]
+        of = [np.diff(ends), np.add.reduceat(tf, starts), np.maximum.reduceat(tf, starts), np.minimum.reduceat(dl, starts)]
+        lists = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), batch.column(c)) for c in ("key", "owner", "tf", "dl")]
+        yield pa.RecordBatch.from_arrays([*one, *map(pa.array, of), *lists, batch.column("bucket").take(pa.array(starts))], BLOCK)
+
+
 def asked_blocks(index: Index, terms: DataFrame) -> DataFrame:
     """The blocks of (term): read from the folders that hold any of them."""
     bucket = F.pmod(F.xxhash64("term"), F.lit(index.buckets)).cast("int")

@@ -19,12 +19,8 @@ K1, B = 1.2, 0.75
 FUSION_K, VECTOR_WEIGHT, TEXT_WEIGHT, CANDIDATES = 60, 2.0, 1.0, 200
 
 
-def posting_lists(chunks: DataFrame, tokens: Column, key: str = "chunk_id", scope: str = "project_id") -> DataFrame:
-    """(scope, key, dl, terms): a row for each chunk with its length and its (term, tf), in order of terms.
-
-    Terms are counted inside the row, as runs of its sorted tokens, so nothing is shuffled. Store
-    the result (``sources.scratch.stored``, or a table partitioned by scope) and ask it many times.
-    """
+def term_counts(tokens: Column) -> Column:
+    """(dl, terms): the length of a row's ``tokens`` and its (term, tf), in order of terms, as runs of its sorted tokens."""
     # inside lambdas, so that no part is evaluated again for each element
     given = lambda x, f: F.get(F.transform(F.array(x), f), F.lit(0))
 
@@ -35,7 +31,16 @@ def posting_lists(chunks: DataFrame, tokens: Column, key: str = "chunk_id", scop
         run = lambda s: F.transform(s, lambda at, j: F.struct(F.get(t, at).alias("term"), (F.coalesce(F.get(s, j + 1), n) - at).cast("long").alias("tf")))
         return F.struct(F.greatest(n, F.lit(0)).cast("long").alias("dl"), given(starts, run).alias("terms"))
 
-    return chunks.select(scope, key, given(F.sort_array(tokens), runs).alias("__r")).select(scope, key, "__r.dl", "__r.terms")
+    return given(F.sort_array(tokens), runs)
+
+
+def posting_lists(chunks: DataFrame, tokens: Column, key: str = "chunk_id", scope: str = "project_id") -> DataFrame:
+    """(scope, key, dl, terms): a row for each chunk with its length and its (term, tf), in order of terms.
+
+    Terms are counted inside the row, so nothing is shuffled. Store the result
+    (``sources.scratch.stored``, or a table partitioned by scope) and ask it many times.
+    """
+    return chunks.select(scope, key, term_counts(tokens).alias("__r")).select(scope, key, "__r.dl", "__r.terms")
 
 
 def postings(lists: DataFrame) -> DataFrame:
