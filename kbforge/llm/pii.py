@@ -16,8 +16,8 @@ Base spans are never taken away. A further span is added if its probability reac
 ``threshold``, no rule of its kind (a checksum, a count of digits) fails for it, and it overlaps
 neither a base span nor an added one that starts before it (at one start the longer one is added).
 
-Defined cases: null text is empty; empty texts have no spans; very long texts are matched whole, in
-linear time; repeated rows are handled each; an empty table gives an empty result; other columns,
+Defined cases: null text is empty; empty texts have no spans; very long texts are matched whole, and
+texts with any number of spans settled and redacted, in (but for sorting) linear time; repeated rows are handled each; an empty table gives an empty result; other columns,
 of whatever names, are carried by ``redact`` and ignored else.
 """
 
@@ -129,12 +129,14 @@ def _table(state: Column, side: str, at: Column) -> Column:
     return F.element_at(state[side], (at + 1).cast("int"))
 
 
-def reliabilities(counts: DataFrame, rounds: int = 25, smoothing: float = 2.0) -> DataFrame:
+def reliabilities(counts: DataFrame, rounds: int = 25, smoothing: float = 2.0, weight: float = 1000.0) -> DataFrame:
     """(kind, votes, probability) by expectation-maximisation from (kind, votes, n).
 
     The state is the share of true spans and, for true and false spans, each labeler's
-    probabilities of its three votes; the start trusts every labeler moderately.
+    probabilities of its three votes; the start trusts every labeler moderately. Counts weigh as
+    shares of ``weight``, so that the same mixture has the same outcome at any size of the corpus.
     """
+    counts = counts.withColumn("n", F.col("n") * weight / F.sum("n").over(Window.partitionBy("kind")))  # at most 81 rows
     patterns = counts.groupBy("kind").agg(F.array_sort(F.collect_list(F.struct("votes", F.col("n").cast("double").alias("n")))).alias("patterns"))  # at most 81
     slots = [(k, v) for k in range(LABELERS) for v in (-1, 0, 1)]
     floats = lambda xs: F.array(*[F.lit(float(x)) for x in xs])
@@ -199,17 +201,33 @@ def classify(candidates: DataFrame, smoothing: float = 1.0) -> DataFrame:
 def detect(rows: DataFrame, threshold: float = 0.95) -> DataFrame:
     """(uid, bases, spans): each an array of (start, rank of the kind, stop) in order, for ``rows`` (uid, text) with any."""
     candidates = written(find_candidates(rows), "candidates")
-    span = F.struct("start", F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind")).cast("int").alias("rank"), "stop")
     extra = (F.col("probability") >= threshold) & ~F.col("base") & (F.get("votes", F.lit(0)) >= 0)
-    found = classify(candidates).where(F.col("base") | extra).select("uid", "base", span.alias("span"))
-    found = found.groupBy("uid").agg(F.array_sort(F.collect_list(F.when(F.col("base"), F.col("span")))).alias("bases"), F.array_sort(F.collect_set(F.when(~F.col("base"), F.col("span")))).alias("extras"))
-    apart = lambda e, b: (e["stop"] <= b["start"]) | (b["stop"] <= e["start"])
-    free = F.filter("extras", lambda e: F.forall("bases", lambda b: apart(e, b)))
-    longest_first = F.array_sort(free, lambda x, y: F.when(x["start"] < y["start"], -1).when(x["start"] > y["start"], 1).when(x["stop"] > y["stop"], -1).when(x["stop"] < y["stop"], 1).otherwise(x["rank"] - y["rank"]))
-    begin = F.struct(F.lit(0).cast("long").alias("at"), F.slice("bases", 1, 0).alias("kept"))
+    rank = F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind")).cast("int").alias("rank")
+    found = classify(candidates).where(F.col("base") | extra).select("uid", "base", "start", rank, "stop").distinct()
+    added = added_spans(found)
+    span = F.struct("start", "rank", "stop")
+    whole = found.where("base").select("uid", "base", span.alias("span")).unionByName(added.select("uid", F.lit(False).alias("base"), span.alias("span")))
+    return whole.groupBy("uid").agg(F.array_sort(F.collect_list(F.when(F.col("base"), F.col("span")))).alias("bases"), F.array_sort(F.collect_list("span")).alias("spans"))
+
+
+def added_spans(found: DataFrame) -> DataFrame:
+    """(uid, start, rank, stop): the spans of ``found`` (uid, base, start, rank, stop) that are not base and meet no base one, nor each other.
+
+    Sweeps over a document's spans in order: a base span meets one if it begins before and ends
+    inside or behind, or is the next to begin. Spans that overlap in a chain are settled from the left,
+    the longer of two that begin together first; such chains are short.
+    """
+    document = Window.partitionBy("uid")
+    base_stop, base_start = (F.when(F.col("base"), F.col(c)) for c in ("stop", "start"))
+    swept = found.withColumn("reached", F.max(base_stop).over(document.orderBy("start"))).withColumn("next", F.min(base_start).over(document.orderBy(F.col("start").desc())))
+    free = swept.where(~F.col("base") & (F.coalesce("reached", F.lit(0)) <= F.col("start")) & F.coalesce(F.col("next") >= F.col("stop"), F.lit(True)))
+    longest_first = document.orderBy("start", F.col("stop").desc(), "rank")
+    before = F.max("stop").over(longest_first.rowsBetween(Window.unboundedPreceding, -1))
+    chained = free.withColumn("opens", F.coalesce((F.col("start") >= before), F.lit(True)).cast("long")).withColumn("chain", F.sum("opens").over(longest_first))
+    chains = chained.groupBy("uid", "chain").agg(F.array_sort(F.collect_list(F.struct("start", (-F.col("stop")).alias("back"), "rank", "stop"))).alias("all"))
+    begin = F.struct(F.lit(0).cast("long").alias("at"), F.slice("all", 1, 0).alias("kept"))
     take = lambda a, e: F.when(e["start"] >= a["at"], F.struct(e["stop"].alias("at"), F.concat(a["kept"], F.array(e)).alias("kept"))).otherwise(a)
-    added = F.aggregate(longest_first, begin, take)["kept"]
-    return found.select("uid", "bases", F.array_sort(F.concat("bases", added)).alias("spans"))
+    return chains.select("uid", F.inline(F.aggregate("all", begin, take)["kept"])).select("uid", "start", "rank", "stop")
 
 
 def _suspect() -> Column:
@@ -245,16 +263,53 @@ def spans_text(spans: Column) -> Column:
 def redact(docs: DataFrame, threshold: float = 0.95) -> DataFrame:
     """``docs`` with each span of ``text`` replaced by its kind in brackets; other rows and columns stay as they are."""
     rows = _suspects(docs)
-    text, spans = F.col("row.text").cast("string"), F.col("spans")
-    kind = lambda s: F.upper(F.element_at(F.array(*map(F.lit, KINDS)), s["rank"]))
-    begin = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("parts"))
-    last = lambda a, s: F.greatest(a["at"], s["stop"])
+    changed = rows.join(detect(_texts(rows), threshold).select("uid", "spans"), "uid", "left")
+    text = F.col("row.text").cast("string")
+    whole = F.when(F.size("spans") > 0, replaced(text, F.col("spans"))).otherwise(text)
+    return docs.where(~_suspect()).unionByName(changed.select(F.col("row").withField("text", whole).alias("row")).select("row.*"))
 
-    def cut(a: Column, s: Column) -> Column:
-        plain = F.substring(text, (a["at"] + 1).cast("int"), F.greatest(s["start"] - a["at"], F.lit(0)).cast("int"))
-        return F.struct(last(a, s).alias("at"), F.concat(a["parts"], F.array(plain, F.concat(F.lit("["), kind(s), F.lit("]")))).alias("parts"))
 
-    whole = F.aggregate(spans, begin, cut, lambda a: F.concat(F.array_join(a["parts"], ""), F.substring(text, (a["at"] + 1).cast("int"), F.char_length(text))))
-    changed = rows.join(detect(_texts(rows), threshold).select("uid", "spans"), "uid", "left")
-    changed = changed.select(F.col("row").withField("text", F.when(F.size(spans) > 0, whole).otherwise(text)).alias("row")).select("row.*")
-    return docs.where(~_suspect()).unionByName(changed)
+def replaced(text: Column, spans: Column, block: int = 256) -> Column:
+    """``text`` with each of ``spans`` (start, rank, stop; sorted) replaced by its kind in brackets.
+
+    A substring far into a text costs the way to it, so the text is cut into blocks once and only
+    blocks with parts of spans are folded; what lies between them is joined as it is.
+    """
+    # inside lambdas, so that no part is evaluated again for each element
+    given = lambda x, f: F.get(F.transform(F.array(x), f), F.lit(0))
+    label = lambda s: F.concat(F.lit("["), F.upper(F.element_at(F.array(*map(F.lit, KINDS)), s["rank"])), F.lit("]"))
+
+    def parts_of(s: Column) -> Column:
+        """A span's parts in each block that it touches; the first bears its kind."""
+
+        def part(b: Column) -> Column:
+            first = b == F.floor(s["start"] / block)
+            return F.struct(b.alias("b"), F.greatest(s["start"] - b * block, F.lit(0)).alias("low"), first.cast("int").alias("first"), s["rank"].alias("rank"), F.least(s["stop"] - b * block, F.lit(block)).alias("high"), F.when(first, label(s)).otherwise("").alias("label"))
+
+        return F.transform(F.sequence(F.floor(s["start"] / block), F.floor((s["stop"] - 1) / block)), part)
+
+    def folded(whole: Column, parts: Column) -> Column:
+        begin = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("made"))
+        plain = lambda a, p: F.substring(whole, (a["at"] + 1).cast("int"), F.greatest(p["low"] - a["at"], F.lit(0)).cast("int"))
+        step = lambda a, p: F.struct(F.greatest(a["at"], p["high"]).alias("at"), F.concat(a["made"], plain(a, p), p["label"]).alias("made"))
+        return F.aggregate(parts, begin, step, lambda a: F.concat(a["made"], F.substring(whole, (a["at"] + 1).cast("int"), F.lit(block))))
+
+    def joined(blocks: Column, parts: Column) -> Column:
+        new = lambda i: (i == 0) | (F.get(parts, i)["b"] != F.get(parts, i - 1)["b"])
+        n = F.size(parts)
+
+        def assembled(starts: Column) -> Column:
+            at = lambda j: F.coalesce(F.get(parts, F.get(starts, j))["b"], F.lit(-1))
+
+            def piece(start: Column, j: Column) -> Column:
+                here, before = at(j).cast("int"), F.when(j == 0, F.lit(-1)).otherwise(at(j - 1)).cast("int")
+                own = F.slice(parts, start + 1, F.coalesce(F.get(starts, j + 1), n) - start)
+                return F.concat(F.array_join(F.slice(blocks, before + 2, here - before - 1), ""), folded(F.get(blocks, here), own))
+
+            rest = F.slice(blocks, at(F.size(starts) - 1).cast("int") + 2, F.size(blocks))
+            return F.concat(F.array_join(F.transform(starts, piece), ""), F.array_join(rest, ""))
+
+        return given(F.filter(F.sequence(F.lit(0), n - 1), new), assembled)
+
+    blocks = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{block}}}"), F.lit(0))
+    return given(blocks, lambda whole: given(F.array_sort(F.flatten(F.transform(spans, parts_of))), lambda parts: joined(whole, parts)))

@@ -78,13 +78,14 @@ def test_pii_reliabilities_match_reference_em(spark):
     """The SQL expectation-maximisation against plain loops."""
     random.seed(3)
     counts = {tuple(random.choice((-1, 0, 1)) for _ in range(pii.LABELERS)): random.randint(1, 40) for _ in range(25)}
+    weighed = {v: n * 1000 / sum(counts.values()) for v, n in counts.items()}  # the operator weighs counts as shares
     share, yes, no = 0.5, np.tile([0.1, 0.3, 0.6], (pii.LABELERS, 1)), np.tile([0.6, 0.3, 0.1], (pii.LABELERS, 1))
     q_of = lambda v: 1 / (1 + (1 - share) / share * np.prod([no[k, x + 1] / yes[k, x + 1] for k, x in enumerate(v)]))
     for _ in range(25):
         q = {v: q_of(v) for v in counts}
-        true, every = sum(n * q[v] for v, n in counts.items()), sum(counts.values())
+        true, every = sum(n * q[v] for v, n in weighed.items()), sum(weighed.values())
         yes_n, no_n = np.full((pii.LABELERS, 3), 2.0), np.full((pii.LABELERS, 3), 2.0)
-        for v, n in counts.items():
+        for v, n in weighed.items():
             for k, x in enumerate(v):
                 yes_n[k, x + 1] += n * q[v]
                 no_n[k, x + 1] += n * (1 - q[v])
