@@ -6,7 +6,9 @@ it. A segment tree over the possible amounts of room finds that window in log2(w
 
 Each task packs what it reads, in runs of ``run_tokens`` ids: no shuffle, bounded memory, and a
 lost task packs the same again. A run leaves at most a few windows partly filled, which is a
-vanishing share where a task reads millions of ids.
+vanishing share where a task reads millions of ids. So that it does, however many small files or
+partitions the documents come in, partitions are read together by tasks of about ``task_bytes``
+of text at least; a corpus of less is one task's.
 
 Defined cases: null and empty texts are the end id alone; a very long text is cut into full windows
 and what is left; pieces of one length are placed in the order of reading; repeated rows and rows
@@ -80,7 +82,7 @@ def best_fit_decreasing(lengths: np.ndarray, window: int) -> tuple[np.ndarray, n
     return windows, offsets, count
 
 
-def pack_documents(docs: DataFrame, tokenizer_path: str, window: int = 2048, end_id: int = 1, run_tokens: int = 1 << 22) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer_path: str, window: int = 2048, end_id: int = 1, run_tokens: int = 1 << 22, task_bytes: int = 8 << 20) -> DataFrame:
     """One row for each piece of a document: its ids and its place in a sequence of at most ``window`` ids."""
     with open(tokenizer_path, encoding="utf-8") as f:
         vocabulary = docs.sparkSession.sparkContext.broadcast(f.read())  # of a fixed size
@@ -123,4 +125,6 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, window: int = 2048, end
         if run:
             yield from flush()
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(pack, PIECES)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    size = rows.agg(F.sum(F.octet_length("text")).alias("bytes")).first()["bytes"] or 0
+    return rows.coalesce(max(1, size // task_bytes)).mapInArrow(pack, PIECES)

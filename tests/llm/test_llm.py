@@ -337,11 +337,19 @@ def test_packing_places_each_id_once(spark):
     assert packing.pack_documents(documents(spark).limit(0), queries._vocabulary()).isEmpty()
 
 
+def test_packing_fills_windows_over_any_number_of_partitions(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    for partitions in (1, 200):
+        out = packing.pack_documents(docs.repartition(partitions), queries._vocabulary())
+        used = out.groupBy("sequence_id").agg(F.sum("length").alias("n")).agg(F.sum("n").alias("ids"), F.count("*").alias("sequences")).first()
+        assert used.ids >= 0.99 * 2048 * used.sequences
+
+
 def test_packing_in_several_runs(spark):
     """Runs of few ids, repeated rows, rows without id and clashing columns: every row is packed, sequences of runs never mix."""
     rows = [(k % 7, f"text number {k} " * (k % 30), "x", 1) for k in range(200)] + [(None, "no id", "y", 2)] * 3 + [(5, None, "z", 3)] * 2
-    made = spark.createDataFrame(rows, "doc_id long, text string, ids string, length int").coalesce(2)
-    out = packing.pack_documents(made, queries._vocabulary(), window=64, run_tokens=500).collect()
+    made = spark.createDataFrame(rows, "doc_id long, text string, ids string, length int").repartition(2)
+    out = packing.pack_documents(made, queries._vocabulary(), window=64, run_tokens=500, task_bytes=1).collect()
     by_seq = defaultdict(list)
     for r in out:
         by_seq[r.sequence_id].append((r.offset, r.length))
