@@ -20,7 +20,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.scratch import fresh_dir, stored
@@ -40,27 +40,35 @@ class Index:
     slots: int
 
 
-def build_index(chunks: DataFrame, fields: dict[str, Column], key: str = "chunk_id", owner: str | None = None, slot_chunks: int = 1 << 15, buckets: int = 32, path: str | None = None) -> Index:
+def build_index(chunks: DataFrame, fields: dict[str, Column], key: str = "chunk_id", owner: str | None = None, slot_chunks: int = 1 << 15, buckets: int = 32, path: str | None = None, batch: int = 0, slots: int | None = None) -> Index:
     """The index of ``chunks``: their ``key`` and ``owner`` (long; itself if none), and the tokens of each of ``fields``.
 
     ``path`` keeps it where it can be opened again; it lies in the scratch folder otherwise. Chunks
-    without key are left out.
+    without key are left out. An index grows by batches of further chunks, built with the same
+    ``slots``: document frequencies, numbers and lengths are sums over its batches' blocks and totals.
+    A batch that is built again takes its own place.
     """
     spark = chunks.sparkSession
     whose = F.coalesce(F.col(owner), F.col(key)) if owner else F.col(key)
     counted = F.array(*[F.struct(F.lit(name).alias("field"), term_counts(tokens).alias("r")) for name, tokens in fields.items()])
     each = chunks.where(F.col(key).isNotNull()).select(F.col(key).alias("key"), whose.alias("owner"), F.inline(counted))
     each = stored(each.select("key", "owner", "field", "r.dl", "r.terms"), "lists")
-    slots = max(1, math.ceil(each.count() / len(fields) / slot_chunks))
+    slots = slots or max(1, math.ceil(each.count() / len(fields) / slot_chunks))
     path = path or fresh_dir(spark, "index")
     totals = each.where("dl > 0").groupBy("field").agg(F.count("*").alias("n"), F.sum("dl").alias("length"))
-    totals.write.parquet(f"{path}/totals")
+    totals.write.mode("overwrite").parquet(f"{path}/totals/batch={batch}")
     postings = each.select("key", "owner", "field", "dl", F.pmod(F.xxhash64("owner"), F.lit(slots)).alias("slot"), F.inline("terms"))
     postings = postings.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int"))
     block = ["bucket", "term", "field", "slot"]
     sorted_rows = postings.repartitionByRange(*block, "key").sortWithinPartitions(*block, "key")
-    sorted_rows.mapInArrow(_blocks, POSTINGS).write.partitionBy("bucket").parquet(f"{path}/blocks")
-    return Index(spark.read.schema(POSTINGS).parquet(f"{path}/blocks"), spark.read.schema(totals.schema).parquet(f"{path}/totals"), buckets, slots)
+    sorted_rows.mapInArrow(_blocks, POSTINGS).write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/blocks/batch={batch}")
+    return open_index(spark, path, buckets, slots)
+
+
+def open_index(spark: SparkSession, path: str, buckets: int, slots: int) -> Index:
+    """The index that was built below ``path``."""
+    read = lambda name, schema: spark.read.schema(schema).parquet(f"{path}/{name}").drop("batch")
+    return Index(read("blocks", f"{POSTINGS}, batch int"), read("totals", "field string, n long, length long, batch int"), buckets, slots)
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -100,7 +108,8 @@ def search(
     """
     spark = index.blocks.sparkSession
     terms = queries.select("query_id", "term").where("query_id is not null and term is not null").distinct()
-    n, length = ({r.field: r[c] for r in index.totals.collect()} for c in ("n", "length"))  # a row a field
+    totals = index.totals.groupBy("field").agg(F.sum("n").alias("n"), F.sum("length").alias("length")).collect()  # a row a field
+    n, length = ({r.field: r[c] for r in totals} for c in ("n", "length"))
     of = lambda d: F.element_at(F.create_map(*[F.lit(x) for kv in d.items() for x in kv]), F.col("field")) if d else F.lit(0)
     df = asked_blocks(index, terms).groupBy("term", "field").agg(F.sum("n").alias("df"))
     idf = F.log(1 + (of(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))

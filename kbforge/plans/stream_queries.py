@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators.redaction import redact_texts, restore
+from ..operators.chunking import chunk_documents
+from ..operators.redaction import PATTERNS, redact_texts, restore
 from ..sources import files
 from ..sources.scratch import fresh_dir
 from ..streaming import streams as st
+from .chunk_queries import CHUNKED
 from .fixtures import signals, table
 
 
@@ -63,8 +65,10 @@ def _divergence(spark, d):
 
 
 def _alarms(spark, d):
-    calls = _stream(spark, d).select(F.col("user_id").alias("session_id"), F.col("event_type").alias("tool"), F.col("props").alias("args"), "at")
-    return st.run_once(st.repeated_call_alarms(calls, 2), "alarms", "append").groupBy("session_id", "tool", "args").agg(F.max("calls").alias("calls"))
+    """A session's steps are its days; events of a kind are calls of a tool, a tenth of their number their arguments."""
+    args = F.floor(F.get_json_object("props", "$.k").cast("long") / 100).cast("string")
+    calls = _stream(spark, d).select(F.col("user_id").alias("session_id"), F.to_date("at").alias("step"), F.col("event_type").alias("tool"), args.alias("args"), "at")
+    return st.run_once(st.repeated_call_alarms(calls, 1), "alarms", "append").groupBy("session_id", "step", "tool", "args").agg(F.max("calls").alias("calls"))
 
 
 def _ingest(spark, d):
@@ -74,6 +78,16 @@ def _ingest(spark, d):
     return done.groupBy("source").agg(F.count("*").alias("versions"), F.sum("lines").alias("lines"))
 
 
+def _ingest_index(spark, d):
+    """Documents ingested as a flow: each version of a source's text once, chunked with children, into a search index; its terms."""
+    schema = spark.read.parquet(f"{d}/documents.parquet").schema
+    stream = st.tail(spark, f"{d}/document[s].parquet", schema).withColumn("sha", F.sha2("text", 256))
+    number = (F.col("doc_id") * 2**31 + F.col("chunk_no") * 4).cast("long")
+    to_chunks = lambda df: chunk_documents(df).select((number + F.col("child_no")).alias("chunk_id"), number.alias("owner"), "content")
+    made = st.ingest_index(stream, to_chunks, lambda: {"content": F.regexp_extract_all(F.lower("content"), F.lit("[a-z0-9]+"), F.lit(0))}, ["source", "sha"], fresh_dir(spark, "ingest"), slots=64, owner="owner")
+    return made.blocks.groupBy("term").agg(F.sum("n").alias("df"), F.sum("cf").alias("cf"))
+
+
 def _redacted(spark, d):
     return redact_texts(table(spark, d, "documents").select("doc_id", "text"))
 
@@ -84,6 +98,14 @@ def _restored(spark, d):
     return back.select("doc_id", (F.col("restored") == F.col("original")).alias("same"))
 
 
+def _tolerant(spark, d):
+    """Placeholders come back in small letters and with blanks."""
+    damaged = F.regexp_replace("safe_text", r"\[\$\$_([A-Z]+)_([0-9]+)\]", r"[ \$\$_ $1 _$2 ]")
+    damaged = F.when(F.col("doc_id") % 2 == 0, damaged).otherwise(F.regexp_replace("safe_text", r"\[\$\$_EMAIL_", r"[\$\$_Email_"))
+    back = restore(_redacted(spark, d).withColumn("safe_text", damaged))
+    return back.select("doc_id", F.md5("restored").alias("digest"), F.size("found").cast("long").alias("placeholders")).where("placeholders > 0").select("doc_id", "digest")
+
+
 QUERIES = {
     "s1_scan": _scan,
     "s3_event_log": _log,
@@ -94,11 +116,15 @@ QUERIES = {
     "st3_divergence": _divergence,
     "st4_alarms": _alarms,
     "st5_ingest": _ingest,
+    "st5_index": _ingest_index,
     "st7_sessions": lambda spark, d: st.run_once(st.sessions(_stream(spark, d)), "sessions", "complete").select("user_id", F.date_format("started", "yyyy-MM-dd HH:mm:ss").alias("started"), "n"),
     "x26_redaction": lambda spark, d: _redacted(spark, d).select("doc_id", F.md5("safe_text").alias("digest"), F.size("found").cast("long").alias("found")),
     "x27_restore": _restored,
+    "x27_tolerant": _tolerant,
 }
 
+_REDACTED = "|".join(pattern for _, pattern in PATTERNS)
+
 ORACLES = {
     "s1_scan": "select doc_id, md5(text) as digest from documents",
     "s3_event_log": """select case when event_type in ('error', 'click') then 'quality' when event_type = 'signup' then 'risk' when event_type = 'view' then 'stakeholder' else 'cost' end as baseline,
@@ -111,7 +137,11 @@ ORACLES = {
     "st2_daily_counts": "select cast(ts as date) as day, event_type, count(*) as n from events group by 1, 2",
     "st3_divergence": """with w as (select cast(ts as date) - k as start, user_id % 20 as project_id, event_type from events, (select unnest([0, 1, 2]) as k)),
         g as (select start, project_id, count(*) filter (where event_type = 'error') as opened, count(*) filter (where event_type = 'click') as closed from w group by 1, 2) select * from g where opened > closed""",
-    "st4_alarms": "select user_id as session_id, event_type as tool, props as args, count(*) as calls from events group by 1, 2, 3 having count(*) > 2",
+    "st4_alarms": "select user_id as session_id, cast(ts as date) as step, event_type as tool, cast(cast(floor(cast(json_extract_string(props, '$.k') as bigint) / 100) as bigint) as varchar) as args, count(*) as calls from events group by all having count(*) > 1",
+    "st5_index": f"""with {CHUNKED.replace("from documents", "from (select min(doc_id) as doc_id, text from documents group by source, text)")}, each as (select doc_id, chunk_no, child_no, term, count(*) as tf
+            from (select doc_id, chunk_no, child_no, unnest(regexp_extract_all(lower(content), '[a-z0-9]+')) as term from chunked) group by all)
+        select term, count(*) as df, cast(sum(tf) as bigint) as cf from each group by 1""",
+    "x27_tolerant": rf"""select doc_id, md5(text) as digest from documents where regexp_matches(text, '{_REDACTED}')""",
     "st5_ingest": "select source, count(*) as versions, cast(sum(n) as bigint) as lines from (select distinct source, sha256(text) as s, len(string_split(text, chr(10))) as n from documents) group by 1",
     "st7_sessions": """with e as (select user_id, ts, case when ts - lag(ts) over (partition by user_id order by ts) < interval 12 hour then 0 else 1 end as f from events), s as (select *, sum(f) over (partition by user_id order by ts, f desc rows unbounded preceding) as k from e)
         select user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') as started, count(*) as n from s group by user_id, k""",

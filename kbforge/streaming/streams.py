@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..operators.index import Index, build_index, open_index
 from ..sources.scratch import fresh_dir
 
 
@@ -39,20 +40,22 @@ def sessions(events: DataFrame, gap: str = "12 hours") -> DataFrame:
 
 
 def repeated_call_alarms(calls: DataFrame, allowed: int = 3, keep_ms: int = 86_400_000) -> DataFrame:
-    """(session_id, tool, args, calls): an alarm when a session repeats a call more than ``allowed`` times; the count of a key is forgotten after ``keep_ms`` of event time."""
+    """(session_id, step, tool, args, calls): an alarm when a session's step repeats a call more than ``allowed`` times; the count of a key is forgotten when the watermark has passed its last call by ``keep_ms``."""
 
     def count(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
-        before = state.get[0] if state.exists else 0
-        now = before + sum(len(f) for f in frames)
-        state.update((now,))
-        state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs(), 0) + keep_ms)
+        now, last = state.get if state.exists else (0, 0)
+        for f in frames:
+            now, last = now + len(f), max(last, int(f["at_ms"].max()))
+        state.update((now, last))
+        state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs(), last) + keep_ms)
         if now > allowed:
-            yield pd.DataFrame({"session_id": [key[0]], "tool": [key[1]], "args": [key[2]], "calls": [now]})
+            yield pd.DataFrame({"session_id": [key[0]], "step": [key[1]], "tool": [key[2]], "args": [key[3]], "calls": [now]})
 
-    return calls.groupBy("session_id", "tool", "args").applyInPandasWithState(count, "session_id long, tool string, args string, calls long", "n long", "append", GroupStateTimeout.EventTimeTimeout)
+    timed = calls.withColumn("at_ms", F.unix_millis("at"))
+    return timed.groupBy("session_id", "step", "tool", "args").applyInPandasWithState(count, "session_id long, step date, tool string, args string, calls long", "n long, last long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def run_once(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
@@ -71,12 +74,18 @@ def run_once(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
     return spark.read.schema(stream.schema).parquet(out)
 
 
-def ingest_once(stream: DataFrame, name: str, process: Callable[[DataFrame], DataFrame], keys: list[str], folder: str | None = None) -> DataFrame:
+def once(stream: DataFrame, keys: list[str], within: tuple[str, str] | None = None) -> DataFrame:
+    """The first row of each of ``keys``. State holds every key ever seen, or, with ``within`` (a time column and a delay), those of that long before the watermark."""
+    return stream.dropDuplicates(keys) if within is None else stream.withWatermark(*within).dropDuplicatesWithinWatermark(keys)
+
+
+def ingest_once(stream: DataFrame, name: str, process: Callable[[DataFrame], DataFrame], keys: list[str], folder: str | None = None, within: tuple[str, str] | None = None) -> DataFrame:
     """Each version of a source processed once, over all runs that share ``folder``: all that has been processed so far.
 
     The keys seen are state of the stream and live in its checkpoint, below ``folder`` (a fresh one
-    if none is given), beside the results; a run reads new files and the state of their keys only. A
-    batch that runs again replaces its own folder.
+    if none is given), beside the results; a run reads new files and the state of their keys only,
+    which ``within`` bounds (``once``). A batch that runs again replaces its own folder. A source
+    without rows gives an empty table.
     """
     spark = stream.sparkSession
     base = folder or fresh_dir(spark, name)
@@ -85,6 +94,32 @@ def ingest_once(stream: DataFrame, name: str, process: Callable[[DataFrame], Dat
     def batch(df: DataFrame, number: int) -> None:
         process(df).write.mode("overwrite").parquet(f"{out}/batch={number}")
 
-    new = stream.dropDuplicates(keys)
-    new.writeStream.option("checkpointLocation", log).trigger(availableNow=True).foreachBatch(batch).start().awaitTermination()
+    once(stream, keys, within).writeStream.option("checkpointLocation", log).trigger(availableNow=True).foreachBatch(batch).start().awaitTermination()
+    if not _exists(spark, out):
+        return process(spark.createDataFrame([], stream.schema))
     return spark.read.parquet(out).drop("batch")
+
+
+def ingest_index(
+    stream: DataFrame, to_chunks: Callable[[DataFrame], DataFrame], fields: Callable[[], dict[str, Column]], keys: list[str], folder: str, slots: int, key: str = "chunk_id", owner: str | None = None, buckets: int = 32, within: tuple[str, str] | None = None
+) -> Index:
+    """The search index below ``folder``, grown by what is new in ``stream``: each version of a source is chunked and indexed once.
+
+    A batch's chunks become blocks and totals of their own, which a search sums up, so nothing that
+    is indexed already is read or written. A batch that runs again replaces its own blocks.
+    """
+    spark = stream.sparkSession
+    path = f"{folder}/index"
+
+    def batch(df: DataFrame, number: int) -> None:
+        build_index(to_chunks(df), fields(), key, owner, buckets=buckets, path=path, batch=number, slots=slots)
+
+    once(stream, keys, within).writeStream.option("checkpointLocation", f"{folder}/log").trigger(availableNow=True).foreachBatch(batch).start().awaitTermination()
+    if not _exists(spark, f"{path}/totals"):
+        batch(spark.createDataFrame([], stream.schema), -1)
+    return open_index(spark, path, buckets, slots)
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder)

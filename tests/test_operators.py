@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from kbforge.functions import text as t
 from kbforge.functions import transcript
-from kbforge.operators import analytics, chunking, graph, logs, maintenance, pairs, redaction, retrieval, verification
+from kbforge.operators import analytics, chunking, graph, index, logs, maintenance, pairs, redaction, retrieval, verification
 from kbforge.streaming import streams
 
 
@@ -175,6 +175,13 @@ def test_redaction_round_trip(spark):
     assert back == {1: text, 2: "", 3: ""}
 
 
+def test_damaged_placeholders_are_restored(spark):
+    found = {"[$$_ID_1]": "A", "[$$_ID_11]": "B [$$_ID_1]", "[$$_EMAIL_2]": "c@d"}
+    assert redaction.restore_one("[ $$_id_1 ] [$$_ID_11][$$ _ Email_2] [$$_ID_3] [$_ID_1]", found) == "A B [$$_ID_1]c@d [$$_ID_3] [$_ID_1]"
+    rows = spark.createDataFrame([(1, "x [$$_id_1]", {"[$$_ID_1]": "A"}), (2, None, None), (3, "[$$_ID_1]", None)], "k long, safe_text string, found map<string,string>")
+    assert sorted((r.k, r.restored) for r in redaction.restore(rows).collect()) == [(1, "x A"), (2, None), (3, "[$$_ID_1]")]
+
+
 def test_rate_limit_counts_accepted_only(spark):
     at = lambda s: datetime.datetime(2024, 1, 1) + datetime.timedelta(seconds=s)
     calls = spark.createDataFrame([(1, k, at(s)) for k, s in enumerate((0, 10, 20, 61, 65, 130))], "session_id long, call_id long, started_at timestamp")
@@ -290,6 +297,64 @@ def test_ingestion_happens_once_over_runs(spark, tmp_path):
     assert sum(seen) == 3
 
 
+def test_ingestion_of_an_empty_source_and_within_a_watermark(spark, tmp_path):
+    schema = "source string, text string, at timestamp"
+    (tmp_path / "in").mkdir()
+    process = lambda df: df.select("source", "text")
+    made = streams.ingest_once(streams.tail(spark, str(tmp_path / "in"), schema), "t", process, ["source", "text"], str(tmp_path / "none"))
+    assert made.columns == ["source", "text"] and made.isEmpty()
+    at = lambda d: datetime.datetime(2024, 1, d)
+    run = lambda: sorted(map(tuple, streams.ingest_once(streams.tail(spark, str(tmp_path / "in"), schema), "t", process, ["source"], str(tmp_path / "some"), ("at", "2 days")).collect()))
+    put = lambda rows: spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    put([("a", "1", at(1)), ("b", "1", at(2))])
+    assert run() == [("a", "1"), ("b", "1")]
+    put([("a", "2", at(2)), ("c", "1", at(9))])
+    assert run() == [("a", "1"), ("b", "1"), ("c", "1")]  # a was seen
+    put([("a", "3", at(9))])
+    assert run() == [("a", "1"), ("a", "3"), ("b", "1"), ("c", "1")]  # a has been forgotten
+
+
+def test_index_grows_by_batches(spark, tmp_path):
+    """Two runs and a batch that runs again equal an index built at once; an empty source gives an empty one."""
+    schema = "chunk_id long, content string"
+    source, folder = str(tmp_path / "in"), str(tmp_path / "state")
+    (tmp_path / "in").mkdir()
+    fields = lambda: {"content": F.split("content", " ")}
+    grow = lambda to: streams.ingest_index(streams.tail(spark, source, schema), lambda df: df, fields, ["content"], to, slots=3, buckets=2)
+    asked = spark.createDataFrame([(1, "a"), (1, "c"), (2, "b")], "query_id long, term string")
+    hits = lambda made: sorted(map(tuple, index.search(made, asked, 3).collect()))
+    assert hits(grow(str(tmp_path / "none"))) == []
+    first, second = [(1, "a b"), (2, "a a c"), (1, "a b")], [(4, "b c c"), (5, "a a c"), (6, "d a")]
+    put = lambda rows: spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(source)
+    put(first)
+    grow(folder)
+    put(second)
+    made = grow(folder)
+    whole = index.build_index(spark.createDataFrame([(1, "a b"), (2, "a a c"), (4, "b c c"), (6, "d a")], schema), fields(), slots=3, buckets=2)
+    assert hits(made) == hits(whole) and hits(whole)
+    index.build_index(spark.createDataFrame([(4, "b c c"), (6, "d a")], schema), fields(), path=f"{folder}/index", batch=1, slots=3, buckets=2)  # runs again
+    assert hits(index.open_index(spark, f"{folder}/index", 2, 3)) == hits(whole)
+
+
+def test_alarms_forget_and_know_steps(spark, tmp_path):
+    schema = "session_id long, step date, tool string, args string, at timestamp"
+    day = lambda d: datetime.date(2024, 1, d)
+    at = lambda d, h=0: datetime.datetime(2024, 1, d, h)
+    source, out, log = (str(tmp_path / x) for x in ("in", "out", "log"))
+
+    def run(rows):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(source)
+        calls = streams.tail(spark, source, schema).withWatermark("at", "1 hour")
+        alarms = streams.repeated_call_alarms(calls, 1, keep_ms=3_600_000)
+        alarms.writeStream.option("checkpointLocation", log).option("path", out).format("parquet").trigger(availableNow=True).start().awaitTermination()
+        return sorted((r.session_id, r.step.day, r.calls) for r in spark.read.schema(alarms.schema).parquet(out).collect())
+
+    assert run([(1, day(1), "t", "x", at(1)), (1, day(2), "t", "x", at(1)), (2, day(1), "t", "x", at(1)), (2, day(1), "t", "x", at(1))]) == [(2, 1, 2)]  # steps of session 1 differ
+    assert run([(1, day(1), "t", "x", at(1, 1))]) == [(1, 1, 2), (2, 1, 2)]
+    run([(9, day(9), "t", "x", at(9))])  # the watermark moves on, so counts are forgotten
+    assert run([(1, day(1), "t", "x", at(9, 1))]) == [(1, 1, 2), (2, 1, 2)]
+
+
 def test_salvage_and_source_keys(spark):
     broken = 'x [{"a": "}{\\" \\\\"}, {"b": {"c": [1, {"d": 2}]}}, {"e": {"f": 1}'
     assert one(spark, t.whole_objects, broken) == ['{"a": "}{\\" \\\\"}', '{"b": {"c": [1, {"d": 2}]}}']
