@@ -123,14 +123,14 @@ def alike(x: str, y: str, values: int, percent: int) -> str:
     return f"({' + '.join(apart)}) <= {most_apart(values, percent)}"
 
 
-def spread_join(rows: DataFrame, lookup: DataFrame, key: str, by: str, salts: int = 256) -> DataFrame:
-    """``rows`` joined with ``lookup`` (one row a ``key``), where any number of rows may share a key.
+def spread_join(rows: DataFrame, lookup: DataFrame, key: str, by: str, salts: int = 256, how: str = "inner") -> DataFrame:
+    """``rows`` joined (``how``: inner or left) with ``lookup`` (one row a ``key``), where any number of rows may share a key.
 
     Rows are dealt by ``key`` and a salt of ``by``; the lookup first goes to the salts that occur, so a
     key with one row costs nothing and one with many is shared by ``salts`` tasks.
     """
     salted = rows.withColumn("__salt", F.pmod(F.xxhash64(by), F.lit(salts)).cast("int"))
-    return salted.join(salted.select(key, "__salt").distinct().join(lookup, key), [key, "__salt"]).drop("__salt")
+    return salted.join(salted.select(key, "__salt").distinct().join(lookup, key), [key, "__salt"], how).drop("__salt")
 
 
 def common(x: np.ndarray, y: np.ndarray) -> int:
@@ -242,7 +242,7 @@ def components(edges: DataFrame) -> DataFrame:
 
     Each round hooks every node to its smallest neighbour, follows that pointer twice and contracts
     the edges, so the rounds grow with the logarithm of a component's diameter. Nothing is
-    collected; rows are two ids wide, and a pointer that many follow is left to adaptive skew joins.
+    collected; rows are two ids wide, and a pointer that many follow is dealt by salts.
     """
     edges = written(edges.select("a", "b").where("a <> b").distinct(), "edges")
     labels = None
@@ -252,17 +252,17 @@ def components(edges: DataFrame) -> DataFrame:
         hook = near
         for _ in range(2):
             jump = hook.select(F.col("x").alias("y"), F.col("y").alias("z"))
-            hook = hook.join(jump, "y").select("x", F.col("z").alias("y"))
+            hook = spread_join(hook, jump, "y", "x").select("x", F.col("z").alias("y"))
         hook = written(hook, "hook")
         if labels is None:
             labels = hook.select(F.col("x").alias("node"), F.col("y").alias("component"))
         else:
             step = hook.select(F.col("x").alias("component"), "y")
-            labels = labels.join(step, "component", "left").select("node", F.coalesce("y", "component").alias("component"))
+            labels = spread_join(labels, step, "component", "node", how="left").select("node", F.coalesce("y", "component").alias("component"))
         labels = written(labels, "labels")
         a = hook.select(F.col("x").alias("a"), F.col("y").alias("a2"))
         b = hook.select(F.col("x").alias("b"), F.col("y").alias("b2"))
-        contracted = edges.join(a, "a").join(b, "b").where("a2 <> b2")
+        contracted = spread_join(spread_join(edges, a, "a", "b"), b, "b", "a").where("a2 <> b2")
         contracted = written(contracted.select(F.col("a2").alias("a"), F.col("b2").alias("b")).distinct(), "edges")
         discard(edges, near, hook)
         edges = contracted
@@ -271,16 +271,16 @@ def components(edges: DataFrame) -> DataFrame:
     return labels
 
 
-def _labelled(rows: DataFrame, labels: DataFrame, column: str, name: str) -> DataFrame:
+def _labelled(rows: DataFrame, labels: DataFrame, column: str, name: str, by: str) -> DataFrame:
     labels = labels.select(F.col("node").alias(column), F.col("component").alias(name))
-    return rows.join(labels, column, "left").withColumn(name, F.coalesce(name, column))
+    return spread_join(rows, labels, column, by, how="left").withColumn(name, F.coalesce(name, column))
 
 
 def _class_links(classes: DataFrame, texts: DataFrame, repeated: bool, width: int, percent: int, values: int, unit: int) -> DataFrame:
     """(node, component) over the ``rep`` of ``classes``, for those that are linked with another; ``texts`` is (doc_id, text_key, text), with ``repeated`` rows or not."""
     members = classes.select("rep", F.explode("bands").alias("key"))  # a band's number is in its key
     shared = members.groupBy("key").agg(F.min("rep").alias("centre"), F.max("rep").alias("last")).where("centre < last").drop("last")
-    buckets = written(members.join(shared, "key"), "buckets")  # only members of buckets that hold several
+    buckets = written(spread_join(members, shared, "key", "rep"), "buckets")  # only members of buckets that hold several
     known = written(classes.join(buckets.select("rep").distinct(), "rep", "left_semi").select("rep", "n", "sketch", "doc_id", "text_key"), "known")
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -303,16 +303,16 @@ def _class_links(classes: DataFrame, texts: DataFrame, repeated: bool, width: in
     checked = written(confirm(first, sets, percent), "checked")
     labels = components(checked.where("linked"))
     rest = stars.join(first, ["a", "b"], "left_anti")
-    rest = _labelled(_labelled(rest, labels, "a", "ca"), labels, "b", "cb").where("ca <> cb")
+    rest = _labelled(_labelled(rest, labels, "a", "ca", "b"), labels, "b", "cb", "a").where("ca <> cb")
     checked_2 = written(confirm(rest.select("a", "b"), sets, percent), "checked")
     links = checked.where("linked").select("a", "b").unionByName(checked_2.where("linked").select("a", "b"))
     labels = components(links)
 
     # What is left of a bucket: members of different components that no centre has linked.
-    placed = _labelled(buckets.select("key", "rep"), labels, "rep", "comp")
+    placed = _labelled(buckets.select("key", "rep"), labels, "rep", "comp", "key")
     sized = placed.join(known.select("rep", "n"), "rep")
     mixed = sized.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("m"), (8 * F.sum("n")).alias("bytes")).where("low < high").select("key", "m", "bytes")
-    placed = written(placed.join(mixed, "key"), "mixed")
+    placed = written(spread_join(placed, mixed, "key", "rep"), "mixed")
     left = written(link_leftovers(placed, classes, sets, percent, values, unit), "left")
     labels = components(links.unionByName(left))
     discard(buckets, known, sets, stars, checked, checked_2, placed, left)
@@ -333,7 +333,7 @@ def place(docs: DataFrame, width: int = 5, percent: int = 80, bands: int = 24, p
     )
     classes = written(classes.select("set_key", F.col("own.uid").alias("rep"), "own.doc_id", "own.text_key", "first", "n", "bands", "sketch"), "classes")
     labels = _class_links(classes, _keyed(docs), _repeats(signed), width, percent, 2 * bands * perms_per_band, unit)
-    grouped = _labelled(classes.select("set_key", "rep", "first"), labels, "rep", "root")
+    grouped = _labelled(classes.select("set_key", "rep", "first"), labels, "rep", "root", "set_key")
     firsts = grouped.groupBy("root").agg(F.min("first").alias("first"))
     of_class = spread_join(grouped.select("set_key", "rep", "root"), firsts, "root", "rep").select("set_key", "first")
     linked = spread_join(able.select("uid", "doc_id", "text_key", "n_shingles", "set_key"), of_class, "set_key", "uid")
