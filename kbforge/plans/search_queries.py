@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as t
-from ..operators import chunking, index, lookups
+from ..operators import cells, chunking, index, lookups
 from ..operators import retrieval as r
 from ..sources.scratch import stored
 from .chunk_queries import CHUNKED
@@ -91,6 +91,14 @@ def _nearest(spark, d, k=5):
     return r.nearest(v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector")), v, k)
 
 
+def _approximate(spark, d):
+    """Recall of the approximate search against the exact one."""
+    v = _vectors(spark, d)
+    asked = v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    counts = cells.recall(cells.approximate_nearest(asked, v), _nearest(spark, d))
+    return counts.select("queries", "wanted", (F.col("found") >= 0.9 * F.col("wanted")).alias("nine_tenths"))
+
+
 def _chunk_vectors(spark, d):
     """The tables hold vectors of documents only: a document's stands for its first chunk."""
     first = chunks(spark, d).groupBy(F.col("document_id").alias("vec_id")).agg(F.min("chunk_id").alias("chunk_id"))
@@ -167,6 +175,7 @@ QUERIES = {
     "r4_phrase_tokens": lambda spark, d: table(spark, d, "documents").select("doc_id", F.size(F.filter(t.literals(["of the", "in the", "de la", "und der"]), lambda p: F.contains(F.lower("text"), p))).cast("long").alias("phrases")),
     "r4_phrase_postings": _phrase_postings,
     "r6_nearest": lambda spark, d: _nearest(spark, d).withColumn("rank", F.col("rank").cast("long")),
+    "r6_approximate": _approximate,
     "r8_rank_fusion": _fused,
     "r10_candidate_cut": lambda spark, d: r.top(_fused(spark, d), 10, ["query_id"], [F.col("score").desc(), F.col("chunk_id")]).withColumn("rank", F.col("rank").cast("long")),
     "r11_diversity_by_score": lambda spark, d: _diverse(spark, d, "score"),
@@ -218,6 +227,7 @@ ORACLES = {
     "r3_bm25_content": f"with {_BM25} select query_id, chunk_id, score, rank from bm where rank <= 5",
     "r4_phrase_tokens": "select doc_id, cast(contains(lower(text), 'of the') as bigint) + cast(contains(lower(text), 'in the') as bigint) + cast(contains(lower(text), 'de la') as bigint) + cast(contains(lower(text), 'und der') as bigint) as phrases from documents",
     "r6_nearest": f"with {_NEAR} select query_id, vec_id, similarity, rank from near where rank <= 5",
+    "r6_approximate": "select count(*) as queries, cast(sum(least(n - 1, 5)) as bigint) as wanted, true as nine_tenths from embeddings, (select count(*) as n from embeddings) where vec_id % 50 = 0",
     "r8_rank_fusion": f"with {_FUSED} select * from fused",
     "r10_candidate_cut": f"with {_FUSED} select * from (select *, row_number() over (partition by query_id order by score desc, chunk_id) as rank from fused) where rank <= 10",
     "r12_shortcut": """with q as (select distinct x as query_id, x as query from (select string_split(p_name, ' ')[1] as x from part union all select p_brand from part)),
