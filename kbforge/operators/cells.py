@@ -27,7 +27,8 @@ def usable(vector: Column, dims: int | None = None) -> Column:
     return F.coalesce(fine & ((F.size(x) == dims) if dims else F.lit(True)), F.lit(False))
 
 
-def _directions(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+def directions(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    """The vectors of a column of one length, scaled to length 1."""
     m = pc.list_flatten(column).to_numpy(zero_copy_only=False).reshape(len(column), -1)
     return m / np.linalg.norm(m, axis=1, keepdims=True)
 
@@ -39,7 +40,7 @@ def fit_cells(vectors: DataFrame, cells: int, sample: int = 1 << 15, rounds: int
     if not len(taken):
         return np.zeros((0, 0)), np.zeros((0, 0))
     lengths = pc.list_value_length(taken)
-    m = _directions(taken.filter(pc.equal(lengths, pc.mode(lengths)[0]["mode"])))
+    m = directions(taken.filter(pc.equal(lengths, pc.mode(lengths)[0]["mode"])))
     centres = m[np.linspace(0, len(m) - 1, min(cells, len(m))).astype(int)]
     for _ in range(rounds):
         nearest = np.argmax(m @ centres.T, axis=1)
@@ -71,7 +72,7 @@ def in_cells(rows: DataFrame, vector: str, centres: np.ndarray, nearest: int = 1
         for batch in batches:
             if not batch.num_rows:
                 continue
-            scores = _directions(batch.column(vector)) @ shared.value.T
+            scores = directions(batch.column(vector)) @ shared.value.T
             best = np.argpartition(-scores, nearest - 1, axis=1)[:, :nearest] if nearest < scores.shape[1] else np.tile(np.arange(scores.shape[1]), (len(scores), 1))
             whole = batch.take(pa.array(np.repeat(np.arange(batch.num_rows), best.shape[1])))
             yield pa.RecordBatch.from_arrays([*whole.columns, pa.array(best.ravel().astype(np.int32))], [*batch.schema.names, "cell"])

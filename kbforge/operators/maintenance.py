@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..sources.scratch import fresh_dir, stored
 from .analytics import latest, running_total
+from .cells import directions, fit_cells, in_cells, usable
 from .retrieval import blocked, matrices
 from .substrings import substring_hits
 
@@ -28,18 +30,23 @@ def classify_arrivals(arrivals: DataFrame, existing: DataFrame, keys: Sequence[s
     return found.withColumn("state", state).drop("nth", "chunks")
 
 
-def semantic_duplicates(vectors: DataFrame, least: float = 0.92, unit_numbers: int = 1 << 20) -> DataFrame:
+def semantic_duplicates(vectors: DataFrame, least: float = 0.92, unit_numbers: int = 1 << 20, cells: int | None = None) -> DataFrame:
     """(project_id, keep, drop, similarity): pairs of a project's vectors over ``least``; the smaller id is kept.
 
-    Exact: a project is dealt into blocks of about ``unit_numbers`` components, and each pair of
-    blocks is one matrix product inside a task; only pairs over ``least`` leave it.
+    Exact. Vectors lie in cells around centres (``cells.fit_cells``). By the triangle inequality of
+    angles a vector can be that near to a member of another cell only if its angle to the centre is at
+    most the cell's radius and the angle of ``least`` together, so it visits only those cells, and of two
+    cells only the one of smaller number. A project's part of a cell is dealt into blocks of about
+    ``unit_numbers`` components, and each pair of blocks is one matrix product inside a task, of its
+    members with members and visitors; only pairs over ``least`` leave it.
     """
     rows = vectors.select("project_id", "vec_id", F.col("embedding").cast("array<double>").alias("v")).where("project_id is not null and vec_id is not null and v is not null")
     rows = stored(rows, "vectors")
-    sizes = rows.groupBy("project_id").agg(F.ceil(F.sum(F.size("v")) / unit_numbers).cast("int").alias("blocks"))
-    dealt = rows.join(sizes, "project_id").withColumn("block", F.pmod(F.xxhash64("vec_id"), F.greatest("blocks", F.lit(1))).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.greatest("blocks", F.lit(1)) - 1)))
-    dealt = dealt.select("project_id", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "vec_id", "v")
+    met = placed_in_cells(rows, least, cells)
+    sizes = met.groupBy("project_id", "cell").agg(F.greatest(F.ceil(F.sum(F.size("v")) / unit_numbers), F.lit(1)).cast("int").alias("blocks"))
+    dealt = met.join(sizes, ["project_id", "cell"]).withColumn("block", F.pmod(F.xxhash64("vec_id"), "blocks").cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("project_id", "cell", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "vec_id", "home", "v")
     kinds = {c: rows.schema[c].dataType.simpleString() for c in ("project_id", "vec_id")}
     schema = f"project_id {kinds['project_id']}, keep {kinds['vec_id']}, drop {kinds['vec_id']}, similarity double"
     names = ["project_id", "keep", "drop", "similarity"]
@@ -47,23 +54,66 @@ def semantic_duplicates(vectors: DataFrame, least: float = 0.92, unit_numbers: i
     def compare(table: pa.Table) -> pa.Table:
         table = table.take(pc.sort_indices(table["vec_id"]))
         ids, block, i, j = table["vec_id"], table["block"].to_numpy(), table["i"][0].as_py(), table["j"][0].as_py()
+        home = table["home"].to_numpy(zero_copy_only=False)
         one, two, near = [], [], []
         for _, (at, m, gap, norm) in matrices(table["v"])[1].items():
             at = at[~gap & (norm > 0)]
             unit = m[~gap & (norm > 0)] / norm[~gap & (norm > 0)][:, None]
+            members = np.flatnonzero(home[at])
             for begin in range(0, len(at), 512):
-                dot = unit[begin : begin + 512] @ unit.T
+                dot = unit[begin : begin + 512] @ unit[members].T
                 dot = np.copysign(np.floor(np.abs(dot) * 1e6 + 0.5) / 1e6, dot)
                 x, y = np.nonzero(dot > least)
-                fine = (x + begin < y) & ((i == j) | (block[at[x + begin]] != block[at[y]]))
-                one.append(at[x[fine] + begin])
-                two.append(at[y[fine]])
-                near.append(dot[x[fine], y[fine]])
+                x, y, worth = x + begin, members[y], dot[x, y]
+                fine = ((x < y) | ~home[at[x]]) & ((i == j) | (block[at[x]] != block[at[y]]))  # visitors meet members only
+                one.append(at[np.minimum(x, y)[fine]])
+                two.append(at[np.maximum(x, y)[fine]])
+                near.append(worth[fine])
         one, two = (np.concatenate([np.empty(0, np.int64), *k]) for k in (one, two))
         project = pa.repeat(table["project_id"][0], len(one))
         return pa.table([project, ids.take(pa.array(one)), ids.take(pa.array(two)), pa.array(np.concatenate([np.empty(0), *near]))], names=names)
 
-    return dealt.groupBy("project_id", "i", "j").applyInArrow(compare, schema)
+    return dealt.groupBy("project_id", "cell", "i", "j").applyInArrow(compare, schema)
+
+
+def placed_in_cells(rows: DataFrame, least: float, cells: int | None = None) -> DataFrame:
+    """``rows`` (project_id, vec_id, v) once in their own ``cell`` (``home``) and once in each further one that may hold a vector of a cosine above ``least``.
+
+    Vectors without direction, or of another length than most, share a cell of their own.
+    """
+    centres, _ = fit_cells(rows.select("vec_id", F.col("v").alias("embedding")), cells or min(1024, max(1, math.isqrt(rows.count()))))
+    alone = rows.withColumns({"cell": F.lit(-1), "home": F.lit(True)})
+    if not len(centres):
+        return alone
+    owned = stored(in_cells(rows, "v", centres), "owned")
+    shared = rows.sparkSession.sparkContext.broadcast(centres)  # of a chosen size
+    # floor of the similarity's rounding to six places, and of the angles' own
+    reach = math.acos(max(-1.0, min(1.0, least - 1e-6))) + 1e-6
+
+    def angles(batch: pa.RecordBatch) -> np.ndarray:
+        return np.arccos(np.clip(directions(batch.column("v")) @ shared.value.T, -1, 1))
+
+    def radii(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                own = batch.column("cell").to_numpy()
+                yield pa.RecordBatch.from_arrays([batch.column("cell"), pa.array(angles(batch)[np.arange(len(own)), own])], ["cell", "angle"])
+
+    radius = np.zeros(len(centres))
+    for r in owned.mapInArrow(radii, "cell int, angle double").groupBy("cell").agg(F.max("angle").alias("angle")).collect():  # a row a cell
+        radius[r.cell] = r.angle
+
+    def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                own = batch.column("cell").to_numpy()
+                number = np.arange(len(radius))
+                who, where = np.nonzero((number[None, :] == own[:, None]) | (number[None, :] < own[:, None]) & (angles(batch) <= reach + radius[None, :] + 1e-6))
+                whole = batch.select(["project_id", "vec_id", "v"]).take(pa.array(who))
+                yield pa.RecordBatch.from_arrays([*whole.columns, pa.array(where.astype(np.int32)), pa.array(own[who] == where)], ["project_id", "vec_id", "v", "cell", "home"])
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
+    return owned.mapInArrow(visit, f"{kinds}, cell int, home boolean").unionByName(alone.where(~usable(F.col("v"), centres.shape[1])))
 
 
 def retain_newest(rows: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int) -> DataFrame:

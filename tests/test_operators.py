@@ -4,6 +4,7 @@ import datetime
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -262,6 +263,22 @@ def test_semantic_duplicates_match_brute_force(spark):
         assert sorted(map(tuple, maintenance.semantic_duplicates(made, 0.8, numbers).collect())) == sorted(map(tuple, want.collect()))
 
 
+def test_semantic_duplicates_visit_near_cells_only(spark):
+    """Clustered vectors: all pairs are found, few are multiplied."""
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(40, 12))
+    rows = [(k % 2, k, (centres[k % 40] + 0.15 * rng.normal(size=12)).tolist()) for k in range(800)] + [(0, 900, [1.0, 2.0]), (0, 901, [1.0, 2.0]), (0, 902, [0.0] * 12)]
+    made = spark.createDataFrame(rows, "project_id long, vec_id long, embedding array<double>")
+    a, b = made.select("project_id", F.col("vec_id").alias("keep"), F.col("embedding").alias("x")), made.select("project_id", F.col("vec_id").alias("drop"), F.col("embedding").alias("y"))
+    for least in (0.92, 0.5):
+        want = a.join(b, "project_id").where("keep < drop").select("project_id", "keep", "drop", F.round(retrieval.cosine(F.col("x"), F.col("y")), 6).alias("s")).where(F.col("s") > least)
+        for numbers in (1 << 9, 1 << 20):
+            assert sorted(map(tuple, maintenance.semantic_duplicates(made, least, numbers).collect())) == sorted(map(tuple, want.collect()))
+    placed = maintenance.placed_in_cells(made.withColumnRenamed("embedding", "v"), 0.92)
+    sizes = placed.groupBy("project_id", "cell").agg(F.count_if("home").alias("m"), F.count("*").alias("n")).collect()
+    assert sum(r.m * (r.m - 1) // 2 + r.m * (r.n - r.m) for r in sizes) < 0.25 * 2 * (400 * 399 // 2)
+
+
 def test_running_totals_of_any_key(spark):
     rows = [(k % 3 if k % 7 else None, k * 37 % 101, k % 5) for k in range(300)]
     made = spark.createDataFrame(rows, "g long, at long, n long").repartition(5)
