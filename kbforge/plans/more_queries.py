@@ -10,6 +10,8 @@ from ..operators import logs
 from ..operators import lookups as lk
 from ..operators import maintenance as m
 from ..operators import retrieval as r
+from ..operators import vectortable as vt
+from ..sources.scratch import fresh_dir, stored
 from ..streaming import streams as st
 from .fixtures import chunks, table
 from .search_queries import _BM25, _FUSED, _asked_vectors, _chunk_vectors, _fused, _posted, _titled, _tokens
@@ -86,6 +88,20 @@ def _deliverables(spark, d):
     return lk.state_counts(rows, "phase", "status", ["done", "pending", "missing", "optional"])
 
 
+def _compaction(spark, d):
+    """A third of the vectors of four folders and a tenth of the others are deleted, then folders with over a fifth dead are rewritten."""
+    path = fresh_dir(spark, "vectors")
+    v = table(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
+    vt.append(path, v, 1, 8)
+    turn = F.floor(F.col("vec_id") / 8)
+    vt.delete(path, v.where(((F.col("vec_id") % 8 < 4) & (turn % 3 == 0)) | (turn % 10 == 0)).select("vec_id"), 2)
+    before = stored(vt.read_live(spark, path), "before")
+    found = vt.compact(spark, path)
+    after = spark.read.parquet(f"{path}/rows").groupBy("folder").agg(F.count("*").alias("stored_after"))
+    live = lambda rows, name: rows.groupBy(F.pmod("vec_id", F.lit(8)).cast("int").alias("folder")).agg(F.count("*").alias(name), F.round(F.sum(F.element_at("embedding", 1)), 4).alias(f"{name}_sum"))
+    return found.join(after, "folder").join(live(before, "live_before"), "folder").join(live(vt.read_live(spark, path), "live_after"), "folder").drop("dead")
+
+
 def _vector_table(spark, d):
     """Whole vectors after a keyed replacement (turned round) and a removal."""
     v = table(spark, d, "embeddings").select("vec_id", F.lit(1).alias("version"), "label", F.col("embedding").cast("array<double>").alias("embedding"))
@@ -133,6 +149,7 @@ QUERIES = {
     "m17_payloads": _payloads,
     "a22_deliverables": _deliverables,
     "r7_vector_table": _vector_table,
+    "r7_compaction": _compaction,
     "r22_hybrid": _hybrid,
     "r22_end_to_end": _end_to_end,
     "st6_snapshots": _snapshots,
@@ -154,6 +171,9 @@ ORACLES = {
         select o_orderkey, project, case when k and o_orderkey % 7 = 0 then 'ignored' when project is not null then 'linked' else 'unlinked' end as status from y""",
     "m17_payloads": "select event_id as id, case event_type when 'view' then 'ended' when 'click' then 'ongoing' else 'scheduled' end as status from events",
     "a22_deliverables": "select p_brand as phase, count(*) filter (where p_size % 4 = 0) as done, count(*) filter (where p_size % 4 = 1) as pending, count(*) filter (where p_size % 4 = 2) as missing, count(*) filter (where p_size % 4 = 3) as optional from part group by 1",
+    "r7_compaction": """with v as (select *, cast(vec_id % 8 as int) as folder, (vec_id % 8 < 4 and vec_id // 8 % 3 = 0) or vec_id // 8 % 10 = 0 as gone from embeddings),
+        c as (select folder, count(*) as stored, count(*) filter (where gone) as dead, count(*) filter (where not gone) as live_before, round(sum(cast(embedding[1] as double)) filter (where not gone), 4) as live_before_sum from v group by 1)
+        select folder, stored, dead > 0.2 * stored as rewritten, case when dead > 0.2 * stored then live_before else stored end as stored_after, live_before, live_before_sum, live_before as live_after, live_before_sum as live_after_sum from c""",
     "r7_vector_table": """select vec_id, case when vec_id % 4 = 0 then -1 else label end as label, len(e) as dims, round(e[1], 6) as first, round(e[2], 6) as second, round(e[-1], 6) as last
         from (select vec_id, label, case when vec_id % 4 = 0 then list_reverse(cast(embedding as double[])) else cast(embedding as double[]) end as e from embeddings where vec_id % 10 <> 3)""",
     "r22_hybrid": f"""with {_FUSED}, cut as (select * from (select *, row_number() over (partition by query_id order by score desc, chunk_id) as r from fused) where r <= 10),
