@@ -239,3 +239,24 @@ def mask_digits(text: Column) -> Column:
     x = F.regexp_replace(text, r"([A-Za-z0-9])[A-Za-z0-9._%+-]*@", "$1***@")
     x = F.regexp_replace(x, r"([0-9]{4})[0-9]{5,11}([0-9]{4})", "$1****$2")
     return F.regexp_replace(x, r"(\+[0-9]{1,3} ?\(?[0-9]{3}\)? ?)[0-9]{3}(-?[0-9]{4})", "$1***$2")
+
+
+#: What is sanitised: a kind's pattern, in groups of which the first and last stay visible under a mask.
+SENSITIVE = {
+    "card": r"([0-9]{4})[0-9]{5,11}([0-9]{4})",
+    "phone": r"(\+[0-9]{1,3} ?\(?[0-9]{3}\)? ?)[0-9]{3}(-?[0-9]{4})",
+    "email": r"([A-Za-z0-9])[A-Za-z0-9._%+-]*(@[A-Za-z0-9-]+\.[A-Za-z0-9.-]*[A-Za-z0-9])",
+}
+
+
+def sanitise(text: Column, policies: dict[str, str]) -> Column:
+    """``text`` with each kind of ``policies`` masked (its ends stay), replaced by a placeholder, or deleted; kinds without policy stay."""
+    for kind, pattern in SENSITIVE.items():
+        if kind in policies:
+            text = F.regexp_replace(text, pattern, {"mask": "$1***$2", "placeholder": f"[{kind.upper()}]", "delete": ""}[policies[kind]])
+    return text
+
+
+def residue(text: Column, kinds: Sequence[str]) -> Column:
+    """How many of ``kinds`` a text still holds."""
+    return sum((F.coalesce(text.rlike(SENSITIVE[k]), F.lit(False)).cast("long") for k in kinds), F.lit(0).cast("long"))

@@ -68,6 +68,29 @@ def _salvage(spark, d):
     return rows.select("doc_id", F.from_json("object", "n int, item struct<name: string>").alias("x")).select("doc_id", "x.n", F.md5("x.item.name").alias("digest"))
 
 
+#: Masks, placeholders and deletions in turn over the kinds; what has no policy stays.
+POLICIES = [{"card": "mask", "phone": "mask", "email": "mask"}, {"card": "placeholder", "phone": "delete", "email": "placeholder"}, {"card": "delete", "phone": "placeholder", "email": "delete"}, {"email": "delete"}]
+
+
+def _policies(spark, d):
+    """Each text under each policy, with what is left of the kinds that the policy covers."""
+    docs, found = table(spark, d, "documents").select("doc_id", "text"), None
+    for number, policies in enumerate(POLICIES):
+        safe = docs.select("doc_id", F.lit(number).alias("policy"), t.sanitise(F.col("text"), policies).alias("safe"))
+        part = safe.select("doc_id", "policy", F.md5("safe").alias("digest"), t.residue(F.col("safe"), list(policies)).alias("residue"))
+        found = part if found is None else found.unionByName(part)
+    return found
+
+
+def _sanitised(policies):
+    text = "text"
+    for kind, pattern in t.SENSITIVE.items():
+        if kind in policies:
+            put = {"mask": r"\1***\2", "placeholder": f"[{kind.upper()}]", "delete": ""}[policies[kind]]
+            text = f"regexp_replace({text}, '{pattern}', '{put}', 'g')"
+    return f"select doc_id, {POLICIES.index(policies)} as policy, md5({text}) as digest, cast(0 as bigint) as residue from documents"
+
+
 QUERIES = {
     "s2_html_text": _pages(lambda: t.html_text(F.col("html")).alias("text")),
     "x1_clean_markup": _pages(lambda: t.clean_markup(F.col("html")).alias("text")),
@@ -96,6 +119,7 @@ QUERIES = {
     "x21_salvage": _salvage,
     "x24_injection_phrase": lambda spark, d: table(spark, d, "documents").select("doc_id", t.first_injection_phrase(F.when(F.col("doc_id") % 7 == 0, F.concat("text", F.lit(" Act as if"))).otherwise(F.col("text"))).alias("phrase")),
     "x25_scrub_context": lambda spark, d: table(spark, d, "conversations").select("conv_id", "turn", F.md5(t.scrub_context(F.concat(F.regexp_replace("text", "([a-z]{6,})", "<context>$1\n</context>"), F.when(F.col("turn") % 2 == 0, F.concat(F.lit("<context>"), "text")).otherwise(F.lit(""))))).alias("digest")),
+    "x28_policies": _policies,
     "x28_masking": _docs(lambda x: F.md5(t.mask_digits(x)).alias("digest")),
     "x29_change_ratio": lambda spark, d: table(spark, d, "part").select("p_partkey", F.round(t.change_ratio(F.col("p_name"), F.concat_ws(" ", "p_type", "p_name")), 6).alias("ratio")),
     "x30_failure_words": lambda spark, d: table(spark, d, "conversations").select("conv_id", "turn", t.has_failure_word(F.concat("text", F.when(F.col("turn") == 1, F.lit(" Error")).otherwise(F.lit("")))).alias("failed")),
@@ -145,6 +169,7 @@ ORACLES = {
         select doc_id, count(*) as sentences, cast(sum(length(s)) as bigint) as chars from s where strlen(s) > 3 group by 1""",
     "x24_injection_phrase": f"select doc_id, [p for p in {_phrases} if contains(lower(x), p)][1] as phrase from (select doc_id, case when doc_id % 7 = 0 then text || ' Act as if' else text end as x from documents)",
     "x25_scrub_context": "select conv_id, turn, md5(regexp_replace(text, '[a-z]{6,}', '', 'g')) as digest from conversations",
+    "x28_policies": " union all ".join(_sanitised(p) for p in POLICIES),
     "x28_masking": r"select doc_id, md5(regexp_replace(regexp_replace(regexp_replace(text, '([A-Za-z0-9])[A-Za-z0-9._%+-]*@', '\1***@', 'g'), '([0-9]{4})[0-9]{5,11}([0-9]{4})', '\1****\2', 'g'), '(\+[0-9]{1,3} ?\(?[0-9]{3}\)? ?)[0-9]{3}(-?[0-9]{4})', '\1***\2', 'g')) as digest from documents",
     "x29_change_ratio": "select p_partkey, round(levenshtein(p_name, p_type || ' ' || p_name) / length(p_type || ' ' || p_name), 6) as ratio from part",
     "x30_failure_words": f"select conv_id, turn, len([w for w in {_failures} if contains(lower(x), w)]) > 0 as failed from (select conv_id, turn, case when turn = 1 then text || ' Error' else text end as x from conversations)",
