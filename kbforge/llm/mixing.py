@@ -1,11 +1,15 @@
 """Mixing sources to target weights by weighted fair queueing (operator 9).
 
 A source's documents queue in a shuffled order (a hash of id and seed, so reruns agree), and queue
-again for each further pass. A document's virtual finish time is the number of words that its
-source has then sent, divided by the source's target; ordered by it, every prefix of the mix has
-all sources in proportion. The mix is sorted globally by virtual finish. The cut is made per
-source, where it has sent its target: the document that is in service then is taken in part, one
-a source at most. The targets add up to the total budget or less, so no further cut follows.
+again for each further pass, up to the cap. A document's virtual finish time is the number of words
+that its source has then sent, divided by the source's target; ordered by it, every prefix of the
+mix has all sources in proportion. The mix is sorted globally by virtual finish and truncated at
+the total budget: that order alone decides what is taken. A document longer than 1 / ``grain`` of
+its source's words queues in parts of that length, each with its own finish, so that a long one
+does not hold its source back; as in fair queueing, only parts that a server working on all sources
+at once would have begun by the end are eligible. So a source differs from its target by less than
+a part: one word where a source has at most ``grain`` words, 1 / ``grain`` of it else. Parts of a
+document are taken from its beginning, and at most one document a source in part.
 
 Running totals, within a source and over the mix, go by blocks of the shuffle hash and of virtual
 time, so a source that holds a third of all rows is spread over tasks like any other.
@@ -58,7 +62,7 @@ def source_targets(sizes: DataFrame, weights: Sequence[float] = (5, 2, 1), share
 
 def _key(seed: int) -> Column:
     """The shuffle hash: of id and text, so that only rows that agree in both share it."""
-    return F.xxhash64(F.lit(seed), F.col("doc_id").cast("long"), F.hash(F.col("text").cast("string")))
+    return F.xxhash64(F.lit(seed), F.col("doc_id").cast("long"), F.xxhash64(F.col("text").cast("string")))
 
 
 def queue(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, most: float = 2.0, seed: int = 7, blocks: int = 8192) -> DataFrame:
@@ -76,7 +80,7 @@ def queue(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float =
     return rows.join(targets, F.col("source").eqNullSafe(F.col("__of"))).drop("__of", "block")
 
 
-def mix_sources(queued: DataFrame, most: float = 2.0, blocks: int = 8192) -> DataFrame:
+def mix_sources(queued: DataFrame, most: float = 2.0, blocks: int = 8192, grain: int = 16384) -> DataFrame:
     """The mix: a row for each time a document of ``queued`` is taken, with ``copy``, ``taken`` words and ``virtual_finish``.
 
     Rows are range-partitioned and sorted by virtual finish time. ``before`` counts the words of
@@ -84,18 +88,21 @@ def mix_sources(queued: DataFrame, most: float = 2.0, blocks: int = 8192) -> Dat
     """
     passes = F.explode(F.sequence(F.lit(0), F.lit(int(-(-most // 1)) - 1)))
     copies = queued.where("size > 0 and target > 0").withColumn("copy", passes)
-    start = F.col("start") + F.col("copy") * F.col("source_size")
-    whole = F.floor(F.col("target"))
-    copies = (
-        copies.withColumn("virtual_finish", F.least((start + F.col("size")) / F.col("target"), F.lit(1.0)))
-        .withColumn("taken", F.least(F.col("size"), whole - start))
-        .where("taken > 0")
+    copies = copies.withColumn("queued_at", F.col("start") + F.col("copy") * F.col("source_size")).where("queued_at < target")
+    quantum = F.ceil(F.col("source_size") / grain)
+    parts = (
+        copies.withColumn("at", F.explode(F.sequence(F.lit(0).cast("long"), F.col("size") - 1, quantum)))
+        .withColumn("sent", F.col("queued_at") + F.col("at"))
+        .withColumn("words", F.least(quantum, F.col("size") - F.col("at"), F.floor(F.col("source_size") * F.lit(most)) - F.col("sent")))
+        .where("sent < target and words > 0")
+        .withColumn("virtual_finish", (F.col("sent") + F.col("words")) / F.col("target"))
         .withColumn("block", F.floor(F.col("virtual_finish") * blocks).cast("int"))
     )
-    order = [F.col("virtual_finish"), F.col("source").asc_nulls_last(), F.col("copy"), F.col("start")]
-    copies = blocked_running_sum(copies, [], "block", order, "taken", "before")
-    copies = copies.where(F.col("before") + F.col("taken") <= F.col("budget"))
-    return copies.drop("block").repartitionByRange(*order).sortWithinPartitions(*order)
+    parts = blocked_running_sum(parts, [], "block", [F.col("virtual_finish"), F.col("source").asc_nulls_last(), F.col("sent")], "words", "before")
+    parts = parts.where("before < budget").withColumn("taken", F.least(F.col("words"), F.col("budget") - F.col("before")))
+    mix = parts.groupBy(*queued.columns, "copy", "queued_at").agg(F.sum("taken").alias("taken"), F.max("virtual_finish").alias("virtual_finish"), F.min("before").alias("before"))
+    order = [F.col("virtual_finish"), F.col("source").asc_nulls_last(), F.col("queued_at")]
+    return mix.repartitionByRange(*order).sortWithinPartitions(*order)
 
 
 def mixed_documents(docs: DataFrame, mix: DataFrame, seed: int = 7, in_order: bool = False) -> DataFrame:

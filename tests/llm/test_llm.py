@@ -523,6 +523,53 @@ def test_mixing_meets_targets(spark, make):
     assert mixing.mix_sources(mixing.queue(docs.limit(0))).isEmpty()
 
 
+def brute_mix(queued, most=2, grain=16384, in_order=True):
+    """Words taken by (document, start in its queue): all parts in one list, sorted by virtual finish, truncated at the budget."""
+    parts = []
+    for r in queued:
+        quantum = -(-r.source_size // grain)
+        for copy in range(most):
+            for at in range(0, r.size, max(1, quantum)):
+                sent = r.start + copy * r.source_size + at
+                words = min(quantum, r.size - at, most * r.source_size - sent)
+                if sent < r.target and words > 0:
+                    parts.append(((sent + words) / r.target, r.source is None, (r.source or "").encode(), sent, words, (r.doc_id, r.source, r.start)))
+    left, taken = queued[0].budget if queued else 0, defaultdict(int)
+    for *_, words, row in sorted(parts) if in_order else sorted(parts, key=lambda part: part[1:4]):
+        taken[row] += min(words, left)
+        left -= min(words, left)
+    return {row: n for row, n in taken.items() if n}
+
+
+@pytest.mark.parametrize("make", [documents, odd_documents])
+@pytest.mark.parametrize("grain", [16384, 50, 1])
+def test_mixing_is_cut_in_virtual_finish_order(spark, make, grain):
+    """What is taken equals a plain sort and truncation, whatever the length of parts; another order takes other words."""
+    queued = mixing.queue(make(spark), blocks=16)
+    rows = queued.collect()
+    mix = mixing.mix_sources(queued, blocks=16, grain=grain)
+    taken = defaultdict(int)
+    for r in mix.collect():
+        taken[(r.doc_id, r.source, r.start)] += r.taken
+    assert taken == brute_mix(rows, grain=grain) and sum(taken.values()) <= rows[0].budget
+    if make is documents:
+        assert taken != brute_mix(rows, grain=grain, in_order=False) and sum(taken.values()) == rows[0].budget
+        got = defaultdict(int)
+        for (_, source, _), n in taken.items():
+            got[source] += n
+        for r in rows:
+            assert abs(got[r.source] - r.target) <= max(-(-r.source_size // grain), 1)
+
+
+def test_mixing_tells_two_texts_of_one_id_apart(spark):
+    docs = spark.createDataFrame([(1, "a b c", "s"), (1, "d e f g", "s"), (1, "a b c", "s"), (2, "x " * 9, None)], "doc_id long, text string, source string")
+    queued = mixing.queue(docs)
+    mix = mixing.mix_sources(queued)
+    mixed = mixing.mixed_documents(docs, mix, in_order=True)
+    assert sum(len(WORD.findall(r.text)) for r in mixed.collect()) == sum(r.taken for r in mix.collect())
+    assert {r.text for r in mixed.collect()} >= {"a b c", "d e f g"}
+
+
 def test_media_round_trip(spark):
     docs = odd_documents(spark).unionByName(documents(spark).withColumns({"kind": F.lit("k"), "size": F.lit(1), "votes": F.lit("")}))
     texts = [(r.doc_id, r.text) for r in docs.collect()]
