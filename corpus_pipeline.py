@@ -33,9 +33,9 @@ def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources are mixed to their targets: documents are repeated, left out, or cut at the end of a source's share."""
+    """Sources are mixed to their targets, in the order of virtual finish: documents are repeated, left out, or cut where the budget ends."""
     queued = written(mixing.queue(docs), "queued")
-    mixed = mixing.mixed_documents(docs, mixing.mix_sources(queued))
+    mixed = mixing.mixed_documents(docs, mixing.mix_sources(queued), in_order=True)
     return mixed.withColumn("n_chars", F.coalesce(F.char_length("text"), F.lit(0)).cast("long"))
 
 
