@@ -27,6 +27,23 @@ def _repeats(spark, d):
     return table(spark, d, "conversations").select("conv_id", "turn", transcript.collapse_repeats(F.concat(F.lit("okok "), F.left("role", F.lit(3)), F.lit(" nooo"))).alias("text"))
 
 
+#: Utterances as recognised, and as they read after clean-up.
+SPOKEN = [
+    ("我们先看看但是没有时间", "我们先看看，但是没有时间。"),
+    ("然后然后我好好好想那个那个那个", "然后我好好想那个。"),
+    ("这个方案什么时候能上线", "这个方案什么时候能上线？"),
+    ("嗯。今天先讨论预算和人员的安排。好的。", "嗯。今天先讨论预算和人员的安排，好的。"),
+    ("项目 进度 正常所以 不用担心！", "项目进度正常，所以不用担心！"),
+]
+
+
+def _spoken(spark, d):
+    """A turn says one of the utterances, by the length of its text."""
+    said = F.array(*[F.lit(x) for x, _ in SPOKEN])
+    nth = F.length("text") % len(SPOKEN) + 1
+    return table(spark, d, "conversations").select("conv_id", "turn", transcript.clean_transcript(F.element_at(said, nth)).alias("text"))
+
+
 def _rules(spark, d):
     """Failed and blocked events as failures, their payload and a word as the reason."""
     kind = F.when(F.col("event_type") == "error", "exhausted").when(F.col("event_type") == "view", "replan").when(F.col("event_type") == "click", "timeout").otherwise("other")
@@ -139,6 +156,7 @@ def _snapshots(spark, d):
 QUERIES = {
     "x2_transcripts": _transcripts,
     "x2_repeats": _repeats,
+    "x2_golden": _spoken,
     "x31_rules": _rules,
     "j10_cache_keys": _cache_keys,
     "j14_sign_off": _sign_off,
@@ -155,7 +173,10 @@ QUERIES = {
     "st6_snapshots": _snapshots,
 }
 
+_CLEAN = "[" + ", ".join(f"'{x}'" for _, x in SPOKEN) + "]"
+
 ORACLES = {
+    "x2_golden": f"select conv_id, turn, {_CLEAN}[length(text) % {len(SPOKEN)} + 1] as text from conversations",
     "x2_repeats": "select conv_id, turn, 'ok ' || case role when 'assistant' then 'ass' else role[1:3] end || ' noo' as text from conversations",
     "x31_rules": f"""with e as (select event_id, event_type as t, ['result empty ', '超时 ', 'not supported ', ''][cast(json_extract_string(props, '$.k') as int) % 4 + 1] || props as reason from events)
         select event_id, case when t = 'error' then case when contains(reason, 'empty') then '{logs.RULES["empty"]}' when contains(reason, '超时') then '{logs.RULES["timeout"]}' when contains(reason, 'not supported') then '{logs.RULES["unsupported"]}' else '{logs.RULES["exhausted"]}' || reason[1:80] end

@@ -125,8 +125,10 @@ QUERIES = {
     "x30_failure_words": lambda spark, d: table(spark, d, "conversations").select("conv_id", "turn", t.has_failure_word(F.concat("text", F.when(F.col("turn") == 1, F.lit(" Error")).otherwise(F.lit("")))).alias("failed")),
 }
 
-_phrases = "[" + ", ".join(f"'{p}'" for p in t.INJECTION_PHRASES) + "]"
-_failures = "[" + ", ".join(f"'{p}'" for p in t.FAILURE_WORDS) + "]"
+# Written out for the twins, so that they do not follow the library's lists.
+_phrases = """['ignore previous instructions', 'ignore above instructions', 'disregard all prior', 'you are now', 'system prompt', 'act as if', 'pretend you are',
+    'forget your instructions', 'override your rules', 'bypass your guidelines', '忽略之前的指令', '忽略以上指令', '你现在是', '系统提示词']"""
+_failures = "['失败', '错误', '不支持', '无法', '遇到问题', '未能完成', 'failed', 'error', 'not supported', 'unable', 'cannot', 'blocked', 'exception']"
 
 ORACLES = {
     "s2_html_text": r"select page_id, trim(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<!--.*?-->', ' ', 'g'), '<[^>]+>', ' ', 'g'), '[ \t\r\n]+', ' ', 'g')) as text from pages",
