@@ -4,7 +4,7 @@
 member of a zip archive in the shared folder; every task writes archives of bounded size.
 
 ``ArchiveDataSource`` reads such folders: it plans partitions from the archives' paths and sizes
-alone, as ranges of bytes. A task reads its archive's directory, takes the members whose header
+alone, as ranges of bytes; a manifest tells the archives of finished tasks from those of lost ones. A task reads its archive's directory, takes the members whose header
 starts in its range, and streams their bytes through one handle as Arrow batches. A member that
 fails its checksum or a read (a short one too) is tried again from its own offset, with the file
 opened anew, without reading others again; so is the directory.
@@ -26,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.dataset as ds
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -37,6 +38,7 @@ from .workspace import fresh_dir
 #: Payloads are multiples of this many bytes; an image row has so many samples.
 UNIT = 576
 PNG = b"\x89PNG\r\n\x1a\n"
+MANIFEST = pa.schema([("archive", pa.string()), ("bytes", pa.int64())])
 MEMBERS = "doc_id long, archive string, offset long, media binary"
 
 
@@ -92,8 +94,10 @@ def image_features(payload: bytes) -> str:
 def write_archives(docs: DataFrame, folder: str, archive_bytes: int = 32 << 20) -> DataFrame:
     """Writes (doc_id, text) as archives into ``folder``; one row for each archive: (archive, members, bytes).
 
-    Names come from the partition and a running number, and an archive appears under its name only
-    when it is whole, so a task that runs again replaces what the lost one wrote by the same bytes.
+    An archive's name holds the task's attempt, so no attempt touches another's files and no store
+    has to replace or rename one. Which attempt counts is Spark's decision: the rows returned name
+    the archives of those whose result was taken, and written as Parquet they are the manifest to
+    read by. Archives that it does not name are left over from lost attempts.
     """
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -106,11 +110,9 @@ def write_archives(docs: DataFrame, folder: str, archive_bytes: int = 32 << 20)
             nonlocal buffer, archive, number
             members = len(archive.namelist())
             archive.close()
-            name = f"part-{task.partitionId():06d}-{number:05d}.zip"
-            temporary = f"{root}/.{name}.{task.taskAttemptId()}"
-            with store.open_output_stream(temporary) as out:
+            name = f"part-{task.partitionId():06d}-{number:05d}-{task.taskAttemptId()}.zip"
+            with store.open_output_stream(f"{root}/{name}") as out:
                 out.write(buffer.getbuffer())
-            store.move(temporary, f"{root}/{name}")
             made.append((name, members, buffer.getbuffer().nbytes))
             buffer, archive, number = None, None, number + 1
 
@@ -169,15 +171,20 @@ class ArchiveHandle:
 class ArchiveReader(DataSourceReader):
     def __init__(self, options: dict):
         self.folder = options["path"]
+        self.manifest = options.get("manifest")
         self.range_bytes = int(options.get("rangebytes", 8 << 20))
         self.batch_bytes = int(options.get("batchbytes", 4 << 20))
         self.attempts = int(options.get("attempts", 3))
 
     def partitions(self) -> list[ByteRange]:
-        """Ranges of bytes over the folder's archives; no archive is opened here."""
+        """Ranges of bytes over the archives that the manifest names, or, without one, over all of the folder; no archive is opened here."""
         store, root = fs.FileSystem.from_uri(self.folder)
-        found = store.get_file_info(fs.FileSelector(root, allow_not_found=True))
-        files = sorted((f.path, f.size) for f in found if f.is_file and f.base_name.endswith(".zip") and not f.base_name.startswith("."))
+        if self.manifest:
+            named = ds.dataset(self.manifest, format="parquet", schema=MANIFEST).to_table()
+            files = sorted((f"{root}/{name}", size) for name, size in zip(named["archive"].to_pylist(), named["bytes"].to_pylist()))
+        else:
+            found = store.get_file_info(fs.FileSelector(root, allow_not_found=True))
+            files = sorted((f.path, f.size) for f in found if f.is_file and f.base_name.endswith(".zip") and not f.base_name.startswith("."))
         return [ByteRange(path, at, min(at + self.range_bytes, size)) for path, size in files for at in range(0, size, self.range_bytes)]
 
     def directory(self, archive: ArchiveHandle) -> list[zipfile.ZipInfo]:
@@ -226,7 +233,7 @@ class ArchiveReader(DataSourceReader):
 
 
 class ArchiveDataSource(DataSource):
-    """``spark.read.format("media_archives").load(folder)``; options rangeBytes, batchBytes, attempts."""
+    """``spark.read.format("media_archives").load(folder)``; options manifest, rangeBytes, batchBytes, attempts."""
 
     @classmethod
     def name(cls) -> str:
@@ -240,7 +247,7 @@ class ArchiveDataSource(DataSource):
 
 
 def read_archives(spark: SparkSession, folder: str, **options: str) -> DataFrame:
-    """(doc_id, archive, offset, media) of the members in ``folder``."""
+    """(doc_id, archive, offset, media) of the members of the archives in ``folder``, or of those that a ``manifest`` of it names."""
     spark.dataSource.register(ArchiveDataSource)
     return spark.read.format("media_archives").options(**options).load(folder)
 
@@ -248,9 +255,9 @@ def read_archives(spark: SparkSession, folder: str, **options: str) -> DataFrame
 def store_media(docs: DataFrame) -> DataFrame:
     """The documents' payloads, written as archives into the shared folder and read back through the data source."""
     spark = docs.sparkSession
-    folder = fresh_dir(spark, "archives")
-    write_archives(docs, folder).write.parquet(fresh_dir(spark, "manifest"))
-    return read_archives(spark, folder)
+    folder, manifest = fresh_dir(spark, "archives"), fresh_dir(spark, "manifest")
+    write_archives(docs, folder).write.parquet(manifest)
+    return read_archives(spark, folder, manifest=manifest)
 
 
 def media_features(media: DataFrame) -> DataFrame:

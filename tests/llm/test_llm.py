@@ -587,6 +587,21 @@ def test_media_round_trip(spark):
     assert media.media_features(media.store_media(docs.limit(0))).isEmpty()
 
 
+def test_media_of_lost_attempts_is_not_read(spark, tmp_path):
+    """Archives that a lost attempt has left beside the others, whole or broken, take no part."""
+    docs = odd_documents(spark)
+    folder, manifest = f"file://{tmp_path}/a", f"file://{tmp_path}/m"
+    assert media.write_archives(docs, folder).count() > 0  # an attempt whose result nobody took
+    media.write_archives(docs, folder).write.parquet(manifest)
+    (tmp_path / "a" / "part-000000-00000-999999.zip").write_bytes(b"broken")
+    kept = media.read_archives(spark, folder, manifest=manifest)
+    ids = lambda df: sorted(str(r.doc_id) for r in df.collect())
+    assert ids(kept) == ids(docs)
+    empty = f"file://{tmp_path}/e"
+    media.write_archives(docs.limit(0), folder).write.parquet(empty)
+    assert media.read_archives(spark, folder, manifest=empty).isEmpty()
+
+
 def test_media_retries_members_by_offset(tmp_path):
     import zipfile
 
