@@ -87,16 +87,16 @@ def top_k(vectors: DataFrame, is_query: str = "vec_id % 50 = 0", k: int = 5, sca
     ``query_numbers`` (32 MB and 4 MB), whatever the vectors' length, so queries are repeated once a
     shard and candidates once a group; small tables get a shard a core.
     """
-    rows = written(integer_vectors(vectors, scale), "vectors")
+    rows = written(integer_vectors(vectors, scale).withColumn("row", F.monotonically_increasing_id()), "vectors")
     counts = rows.agg(F.count("*").alias("rows"), F.count_if(F.expr(is_query)).alias("queries"), F.max("dims").alias("dims")).first()
     cores = vectors.sparkSession.sparkContext.defaultParallelism
     shards = max(1, math.ceil(counts["rows"] * (counts["dims"] or 1) / shard_numbers), min(cores, counts["rows"] // 1024))
     groups = max(1, math.ceil(counts["queries"] * (counts["dims"] or 1) / query_numbers))
-    spread = lambda n, seed: F.pmod(F.xxhash64("vec_id", "vec", F.lit(seed)), F.lit(n)).cast("int")
+    spread = lambda by, n: F.pmod(F.xxhash64(by), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     asked = rows.where(is_query).groupBy("vec_id").agg(F.min("vec").alias("vec")).withColumn("dims", F.size("vec"))
-    left = asked.select("vec_id", "vec", "dims", spread(groups, 1).alias("group"), every(shards).alias("shard"))
-    right = rows.select("vec_id", "vec", "dims", every(groups).alias("group"), spread(shards, 2).alias("shard"))
+    left = asked.select("vec_id", "vec", "dims", spread("vec_id", groups).alias("group"), every(shards).alias("shard"))
+    right = rows.select("vec_id", "vec", "dims", every(groups).alias("group"), spread("row", shards).alias("shard"))
 
     def search(queries: pa.Table, candidates: pa.Table) -> pa.Table:
         if not queries.num_rows or not candidates.num_rows:

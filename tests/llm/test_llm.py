@@ -405,6 +405,18 @@ def test_top_k_matches_brute_force(spark):
     assert not out  # the one query of another length has no partner
 
 
+def test_top_k_deals_repeats_of_one_row(spark, monkeypatch):
+    """A row that occurs thousands of times is dealt over all units, and every occurrence is found."""
+    made = []
+    keep = topk.written
+    monkeypatch.setattr(topk, "written", lambda df, name: made.append(keep(df, name)) or made[-1])
+    rows = [(0, [1.0, 2.0])] + [(1, [3.0, 1.0])] * 4000
+    out = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), shard_numbers=800).collect()
+    assert sorted((r["rank"], r.vec_id, r.score) for r in out) == [(n, 1, 256 * 256 * 5) for n in range(1, 6)]
+    units = [r["count"] for r in made[0].groupBy(F.pmod(F.xxhash64("row"), F.lit(11)).alias("shard")).count().collect()]
+    assert len(units) == 11 and max(units) < 2 * 4001 / 11
+
+
 def test_empty_tables_and_further_columns(spark):
     none = spark.createDataFrame([], "vec_id long, embedding array<double>, vec string, dims string, group int, shard int")
     assert topk.top_k(none).isEmpty()
