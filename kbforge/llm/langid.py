@@ -21,6 +21,7 @@ table gives no rows; further columns are ignored.
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -118,32 +119,45 @@ class LanguageFilter:
 def learn(docs: DataFrame, min_share: float = 2e-5, held_langs: int = 32) -> LanguageFilter:
     """A filter from (doc_id, text, lang): all rows with a text and a lang that are not held out.
 
-    A task holds the counts of at most ``held_langs`` languages at once. The driver holds the list
-    of languages and one bit of every slot for each.
+    A task keeps counts of every slot for the first ``held_langs`` languages that it meets. Slots of
+    further ones wait together, and are counted by language whenever a filter's size of them has
+    come, so any order of any number of languages is combined before the shuffle. The driver holds
+    the list of languages and one bit of every slot for each.
     """
     rows = docs.where("text is not null and lang is not null").where(~held_out()).select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     size = HASHES << SLOT_BITS
 
-    def emit(totals: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
-        for lang, total in totals.items():
-            at = np.flatnonzero(total)
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at), pa.array(total[at])], ["lang", "slot", "n"])
-        totals.clear()
+    def counted(lang: str, at: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int64()), pa.array(n, pa.int64())], ["lang", "slot", "n"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals: dict[str, np.ndarray] = {}
+        further: dict[str, list[np.ndarray]] = defaultdict(list)
+        waiting = 0
         for batch in batches:
             for text, lang in zip(batch.column("text"), batch.column("lang").to_pylist()):
-                if lang not in totals and len(totals) >= held_langs:
-                    yield from emit(totals)
-                total = totals.setdefault(lang, np.zeros(size, np.int64))
+                if lang not in totals and len(totals) < held_langs:
+                    totals[lang] = np.zeros(size, np.int64)
+                total = totals.get(lang)
                 for _, found in slots(text.as_py()):
-                    found = found.ravel()
-                    if len(found) < size // 8:
+                    found = found.ravel().astype(np.int64)
+                    if total is None:
+                        further[lang].append(found)
+                        waiting += len(found)
+                    elif len(found) < size // 8:
                         np.add.at(total, found, 1)
                     else:
                         total += np.bincount(found, minlength=size)
-        yield from emit(totals)
+                    if waiting >= size:
+                        for of, parts in further.items():
+                            yield counted(of, *np.unique(np.concatenate(parts), return_counts=True))
+                        further.clear()
+                        waiting = 0
+        for of, parts in further.items():
+            yield counted(of, *np.unique(np.concatenate(parts), return_counts=True))
+        for lang, total in totals.items():
+            at = np.flatnonzero(total)
+            yield counted(lang, at, total[at])
 
     counts = rows.mapInArrow(count, "lang string, slot long, n long").groupBy("lang", "slot").agg(F.sum("n").alias("n"))
     counts = written(counts, "counts")
