@@ -11,8 +11,9 @@ the training rows.
 
 Defined cases: null and empty texts have all statistics of an empty text and get its score; a
 document with several labels counts by their mean (from 0.5 on: 1), labels that are null or of
-unknown documents not at all; with no label of a class, every score is the share of the other
-(0.5 without labels); repeated rows are scored each; texts of any length are scored whole; an empty
+unknown documents not at all; a class with a single labelled
+document has no covariance and counts as one without any; with no label of a class, every score is
+the share of the other (0.5 without labels); repeated rows are scored each; texts of any length are scored whole; an empty
 table gives no rows; further columns are ignored by ``quality_scores`` and kept by ``keep_good``.
 """
 
