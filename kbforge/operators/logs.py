@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -16,16 +16,17 @@ COMPLEX_EN = ["step by step", "first", "then", "finally", "next", "plan", "archi
 SIMPLE = ["查询", "搜索", "查找", "什么", "多少", "是否", "search", "find", "what", "how many"]
 DRIFT = ["接下来我将", "同时我也会", "综合以上所有步骤", "跳过", "我决定改为", "Next I will", "Furthermore", "In summary", "skip", "I decide to", "instead", "let me also"]
 
+#: Words that mark a step's output as failed.
 STEP_FAILURES = ["失败", "错误", "error", "failed", "exception", "超时", "timeout", "不支持", "not supported"]
-#: What is learned from a failure, by its kind and by words of its reason.
+#: What is learned from a failure, by its kind and by words of its reason; those that end in a blank go on with the reason.
 RULES = {
-    "empty": "调用工具后必须检查结果是否为空，空结果不应继续后续流程",
-    "timeout": "工具调用超时时必须降级处理，不要反复重试同一操作",
-    "unsupported": "遇到不支持的功能时，应立即告知用户而非反复尝试",
-    "exhausted": "连续失败时需检查原因: ",
-    "replan": "任务执行受阻时应重新评估方案: ",
-    "one_timeout": "单次工具调用超时时，应切换备选方案而非无限等待",
-    "other": "注意: ",
+    "empty": "stop when a tool returns nothing, and say so",
+    "timeout": "after a timeout take a smaller request or another tool",
+    "unsupported": "name an unsupported feature to the user at once",
+    "exhausted": "retries ran out, look into: ",
+    "replan": "the plan was blocked, plan anew around: ",
+    "one_timeout": "do not wait twice for the same call",
+    "other": "take note of: ",
 }
 
 
@@ -57,12 +58,12 @@ def step_failure(output: Column, expected: Column) -> Column:
     return F.when(blank, "empty").when(word.isNotNull(), F.concat(F.lit("word:"), word)).when(short, "short")
 
 
-def rule_of(kind: Column, reason: Column) -> Column:
-    """The rule that a failure of a kind (exhausted, replan, timeout, any other) teaches."""
+def rule_of(kind: Column, reason: Column, rules: Mapping[str, str] = RULES) -> Column:
+    """The rule that a failure of a kind (exhausted, replan, timeout, any other) teaches, in the words of ``rules``."""
     has = lambda *words: F.contains(reason, F.lit(words[0])) | F.contains(reason, F.lit(words[1]))
-    told = lambda name: F.concat(F.lit(RULES[name]), F.left(reason, F.lit(80)))
-    exhausted = F.when(has("为空", "empty"), RULES["empty"]).when(has("超时", "timeout"), RULES["timeout"]).when(has("不支持", "not supported"), RULES["unsupported"]).otherwise(told("exhausted"))
-    return F.when(kind == "exhausted", exhausted).when(kind == "replan", told("replan")).when(kind == "timeout", RULES["one_timeout"]).otherwise(told("other"))
+    told = lambda name: F.concat(F.lit(rules[name]), F.left(reason, F.lit(80)))
+    exhausted = F.when(has("为空", "empty"), rules["empty"]).when(has("超时", "timeout"), rules["timeout"]).when(has("不支持", "not supported"), rules["unsupported"]).otherwise(told("exhausted"))
+    return F.when(kind == "exhausted", exhausted).when(kind == "replan", told("replan")).when(kind == "timeout", rules["one_timeout"]).otherwise(told("other"))
 
 
 def failure_streaks(results: DataFrame, most: int, order: Sequence[str]) -> DataFrame:

@@ -389,6 +389,8 @@ def test_step_failures_and_rules(spark):
     assert rule("exhausted", "结果为空") == logs.RULES["empty"] and rule("exhausted", "timeout, not supported") == logs.RULES["timeout"]
     assert rule("exhausted", "z" * 99) == logs.RULES["exhausted"] + "z" * 80 and rule("replan", "a") == logs.RULES["replan"] + "a"
     assert rule("timeout", "a") == logs.RULES["one_timeout"] and rule("odd", "a") == logs.RULES["other"] + "a"
+    own = logs.rule_of(F.lit("replan"), F.lit("a"), {**logs.RULES, "replan": "think: "})
+    assert spark.range(1).select(own).first()[0] == "think: a"
 
 
 def test_coverage_and_sign_off(spark):
