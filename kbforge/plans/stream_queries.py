@@ -22,8 +22,7 @@ def _scan(spark, d):
     """Documents written as lines of text files and scanned again."""
     out = fresh_dir(spark, "texts")
     table(spark, d, "documents").select(F.to_json(F.struct("doc_id", "text")).alias("value")).write.text(out)
-    rows, _ = files.scan_text_files(spark, out)
-    lines = rows.select(F.explode(F.split(F.trim("text", F.lit("\n")), "\n")).alias("line"))
+    lines, _ = files.scan_text_lines(spark, out)
     each = lines.select(F.from_json("line", "doc_id long, text string").alias("doc"))
     return each.select(F.col("doc.doc_id").alias("doc_id"), F.md5("doc.text").alias("digest"))
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .scratch import stored
+
 TEXT_FILES = r"(?i)\.(?:md|txt|json|csv|html?|xml|ya?ml|log)$"
 SKIPPED = r"(?:^|/)(?:~\$[^/]*|Thumbs\.db)$"
 EVENTS = "ts timestamp, baseline string, type string, id string, payload string"
@@ -19,6 +21,19 @@ def scan_text_files(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFr
     return rows, files.where(~good).select("path", F.col("length").alias("size"), F.lit("no UTF-8").alias("error"))
 
 
+def scan_text_lines(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """(rows, errors): path and each line of the files that ``scan_text_files`` takes, and the same errors.
+
+    Files are read in splits, so a task holds a line, not a file; what is no UTF-8 is found in a pass before.
+    """
+    of = F.col("_metadata")
+    lines = spark.read.option("recursiveFileLookup", True).option("lineSep", "\n").text(folder)
+    lines = lines.select(of["file_path"].alias("path"), of["file_size"].alias("size"), F.col("value").alias("line"))
+    lines = lines.where(F.col("path").rlike(TEXT_FILES) & ~F.col("path").rlike(SKIPPED))
+    bad = stored(lines.where(~F.is_valid_utf8("line")).select("path", "size").distinct(), "bad")  # written, so that a short list meets the lines without a shuffle
+    return lines.join(bad.select("path"), "path", "left_anti").select("path", "line"), bad.withColumn("error", F.lit("no UTF-8"))
+
+
 def read_events(spark: SparkSession, path: str, schema: str = EVENTS) -> DataFrame:
     """Events of a JSON-lines log; malformed lines and those without baseline or type are left out."""
     rows = spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)

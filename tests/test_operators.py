@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from kbforge.functions import text as t
 from kbforge.functions import transcript
 from kbforge.operators import analytics, chunking, graph, index, logs, maintenance, pairs, redaction, retrieval, verification
+from kbforge.sources import files
 from kbforge.streaming import streams
 
 
@@ -465,3 +466,24 @@ def test_newest_places_and_coverage_of_tests(spark):
     assert [r.test_id for r in analytics.open_issues(tests, tests.where("false")).collect()] == [11]
     facts = spark.createDataFrame([(1, "tests", 1, 1), (1, "tests", 0, 1), (1, "defects", 0, 0)], "project_id long, kind string, hits long, total long")
     assert tuple(analytics.closing_rates(facts).first()) == (1, None, 0.5, None, None)
+
+
+def test_a_text_file_of_any_size_is_read_in_splits(spark, tmp_path):
+    (tmp_path / "sub").mkdir()
+    (tmp_path / "sub" / "big.txt").write_text("".join(f"line {k} é\n" for k in range(50_000)), encoding="utf-8")
+    (tmp_path / "bad.md").write_bytes(b"fine\n\xff\xfe\n")
+    (tmp_path / "x.bin").write_bytes(b"no text\n")
+    (tmp_path / "cr.log").write_bytes(b"a\rb\n\nlast")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64k")
+    try:
+        rows, errors = files.scan_text_lines(spark, str(tmp_path))
+        found = rows.withColumn("task", F.spark_partition_id()).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    big = [r for r in found if r.path.endswith("big.txt")]
+    assert len({r.task for r in big}) > 4 and sorted(r.line for r in big) == sorted(f"line {k} é" for k in range(50_000))
+    assert [r.line for r in found if r.path.endswith("cr.log")] == ["a\rb", "", "last"] and not any(r.path.endswith(("bad.md", "x.bin")) for r in found)
+    whole, bad = files.scan_text_files(spark, str(tmp_path))
+    assert [r.path.split("/")[-1] for r in errors.collect()] == [r.path.split("/")[-1] for r in bad.collect()] == ["bad.md"]
+    assert {r.size for r in errors.collect()} == {r.size for r in bad.collect()}
