@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -39,23 +41,46 @@ def sessions(events: DataFrame, gap: str = "12 hours") -> DataFrame:
     return grouped.select("user_id", F.col("session_window.start").alias("started"), "n")
 
 
-def repeated_call_alarms(calls: DataFrame, allowed: int = 3, keep_ms: int = 86_400_000) -> DataFrame:
-    """(session_id, step, tool, args, calls): an alarm when a session's step repeats a call more than ``allowed`` times; the count of a key is forgotten when the watermark has passed its last call by ``keep_ms``."""
+def repeated_call_alarms(calls: DataFrame, allowed: int = 3, keep_ms: int = 86_400_000, buckets: int = 1024) -> DataFrame:
+    """(session_id, step, tool, args, calls): an alarm when a session's step repeats a call more than ``allowed`` times; the count of a key is forgotten when the watermark has passed its last call by ``keep_ms``.
+
+    Keys are dealt by their hash into ``buckets``; a bucket's counts are one state, brought up to date
+    by one call for all of its keys. A batch rewrites the counts of the buckets that it has calls for;
+    ``buckets`` must stay the same over the runs of a stream.
+    """
+    fields = "session_id long, step date, tool string, args string"
+    names = [f.split()[0] for f in fields.split(", ")]
 
     def count(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
+        held = pa.ipc.open_stream(state.get[0]).read_pandas().set_index("key") if state.exists else None
+        parts = [f.groupby("key")["at_ms"].agg(n="size", last="max") for f in frames if len(f)] if not state.hasTimedOut else []
+        watermark = state.getCurrentWatermarkMs()
+        if parts:
+            new = pd.concat(parts).groupby(level="key").agg({"n": "sum", "last": "max"})
+            if held is not None:
+                old = held.reindex(new.index)
+                new = pd.DataFrame({"n": new["n"] + old["n"].fillna(0).astype("int64"), "last": new["last"].where(old["last"].isna(), np.maximum(new["last"], old["last"].fillna(0).astype("int64")))})
+            new["until"] = np.maximum(new["last"], watermark) + keep_ms
+            held = new if held is None else pd.concat([held[~held.index.isin(new.index) & (held["until"] >= watermark)], new])
+            over = new[new["n"] > allowed]
+            if len(over):
+                yield pd.DataFrame({"key": over.index, "calls": over["n"].to_numpy()})
+        else:
+            held = held[held["until"] >= watermark]
+        if not len(held):
             state.remove()
             return
-        now, last = state.get if state.exists else (0, 0)
-        for f in frames:
-            now, last = now + len(f), max(last, int(f["at_ms"].max()))
-        state.update((now, last))
-        state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs(), last) + keep_ms)
-        if now > allowed:
-            yield pd.DataFrame({"session_id": [key[0]], "step": [key[1]], "tool": [key[2]], "args": [key[3]], "calls": [now]})
-
-    timed = calls.withColumn("at_ms", F.unix_millis("at"))
-    return timed.groupBy("session_id", "step", "tool", "args").applyInPandasWithState(count, "session_id long, step date, tool string, args string, calls long", "n long, last long", "append", GroupStateTimeout.EventTimeTimeout)
+        sink = pa.BufferOutputStream()
+        table = pa.Table.from_pandas(held.reset_index(), preserve_index=False)
+        with pa.ipc.new_stream(sink, table.schema) as to:
+            to.write_table(table)
+        state.update((sink.getvalue().to_pybytes(),))
+        state.setTimeoutTimestamp(max(int(held["until"].min()), watermark + 1))
+
+    key = F.to_json(F.struct(*names), {"ignoreNullFields": "false"})
+    timed = calls.select(key.alias("key"), F.unix_millis("at").alias("at_ms"), "at").withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(buckets)))
+    counted = timed.groupBy("bucket").applyInPandasWithState(count, "key string, calls long", "held binary", "append", GroupStateTimeout.EventTimeTimeout)
+    return counted.select(F.from_json("key", fields).alias("key"), "calls").select("key.*", "calls")
 
 
 def run_once(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:

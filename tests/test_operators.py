@@ -487,3 +487,22 @@ def test_a_text_file_of_any_size_is_read_in_splits(spark, tmp_path):
     whole, bad = files.scan_text_files(spark, str(tmp_path))
     assert [r.path.split("/")[-1] for r in errors.collect()] == [r.path.split("/")[-1] for r in bad.collect()] == ["bad.md"]
     assert {r.size for r in errors.collect()} == {r.size for r in bad.collect()}
+
+
+def test_alarms_call_python_once_a_bucket(spark, tmp_path):
+    """Keys with nulls, quotes and large numbers are told apart, and counted over batches; what is forgotten in a bucket does not take its other keys along."""
+    schema = "session_id long, step date, tool string, args string, at timestamp"
+    source, out, log = (str(tmp_path / x) for x in ("in", "out", "log"))
+    day, at = datetime.date(2024, 1, 1), lambda d: datetime.datetime(2024, 1, d)
+    odd = [(2**62 + k, None if k % 2 else day, None if k % 3 else 't"\\', [None, "", "null"][k % 3]) for k in range(6)]
+
+    def run(rows):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(source)
+        alarms = streams.repeated_call_alarms(streams.tail(spark, source, schema).withWatermark("at", "1 hour"), 1, keep_ms=86_400_000, buckets=1)
+        alarms.writeStream.option("checkpointLocation", log).option("path", out).format("parquet").trigger(availableNow=True).start().awaitTermination()
+        return {(*r[:4], r.calls) for r in spark.read.schema(alarms.schema).parquet(out).collect()}
+
+    assert run([(*k, at(1)) for k in odd] + [(*odd[0], at(1))]) == {(*odd[0], 2)}
+    assert run([(*odd[1], at(2)), (*odd[2], at(1))]) == {(*odd[0], 2), (*odd[1], 2), (*odd[2], 2)}
+    run([(9, day, "t", "x", datetime.datetime(2024, 1, 2, 23))])  # by now all but odd[1] and this are forgotten
+    assert run([(*odd[1], at(3)), (*odd[3], at(3))]) == {(*odd[0], 2), (*odd[1], 2), (*odd[2], 2), (*odd[1], 3)}
