@@ -506,3 +506,22 @@ def test_alarms_call_python_once_a_bucket(spark, tmp_path):
     assert run([(*odd[1], at(2)), (*odd[2], at(1))]) == {(*odd[0], 2), (*odd[1], 2), (*odd[2], 2)}
     run([(9, day, "t", "x", datetime.datetime(2024, 1, 2, 23))])  # by now all but odd[1] and this are forgotten
     assert run([(*odd[1], at(3)), (*odd[3], at(3))]) == {(*odd[0], 2), (*odd[1], 2), (*odd[2], 2), (*odd[1], 3)}
+
+
+def test_pairs_of_large_groups_are_listed_once_without_a_shuffle_of_pairs(spark, capsys):
+    """Classes of equal large groups, blocks of classes, small groups beside large ones, items in no pair, nulls."""
+    import itertools
+
+    rng = random.Random(5)
+    rows = {(p, g, f"s{k}") for p in (1, 2) for k in range(120) for g in {f"a{k % 3}", f"b{rng.randrange(4)}", f"c{rng.randrange(40)}", f"d{k if k % 7 else 0}"}}
+    made = spark.createDataFrame([*rows, *rows, (1, None, "s1"), (1, "a0", None), (None, "a0", "s5")], "project_id long, group string, slug string")
+    found = pairs.pairs_once(made, ["project_id"], "group", "slug", small=10, unit=7, task_rows=100)
+    of = {}
+    for p, g, s in rows:
+        of.setdefault((p, g), set()).add(s)
+    want = sorted({(p, *sorted(two)) for (p, _), s in of.items() for two in itertools.combinations(s, 2)})
+    assert sorted((r.project_id, r.x, r.y) for r in found.collect()) == want
+
+    whole = pairs.pairs_once(spark.range(2000).select(F.lit(1).alias("project_id"), (F.col("id") % 2).alias("group"), F.col("id").alias("slug")), ["project_id"], "group", "slug", task_rows=1 << 17)
+    sizes = [r["count"] for r in whole.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(sizes) == 2 * 1000 * 999 // 2 and max(sizes) < sum(sizes) / 2
