@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .analytics import latest
@@ -29,11 +29,18 @@ def expand_to_parents(hits: DataFrame, chunks: DataFrame) -> DataFrame:
 
 
 def suggest_links(pages: DataFrame, queries: DataFrame, n: int = 5) -> DataFrame:
-    """(query, slug): the first ``n`` pages (slug, title) by title whose title or slug holds the query, without the page that asks (``self_slug``)."""
+    """(query, slug): the first ``n`` pages (slug, title) by title whose title or slug holds the query, without the page that asks (``self_slug``).
+
+    An asking page takes one slug out, so of each query's hits only those of the first ``n`` + 1 slugs,
+    and of a slug the first ``n``, meet the pages that ask: the work is hits and answers, not their product.
+    """
     asked = queries.select("query", "self_slug").distinct()
     texts = pages.select("slug", "title", F.col("slug").alias("in_slug"), F.col("title").alias("in_title"))
     hits = substring_hits(texts, ["slug", "title"], ["in_slug", "in_title"], asked, F.col("query")).withColumnRenamed("found", "query")
-    hits = hits.join(asked, "query").where(~F.col("slug").eqNullSafe(F.col("self_slug")))
+    hits = latest(hits, ["query", "slug"], [F.col("title")], n)
+    hits = hits.withColumn("__first", F.first("title").over(Window.partitionBy("query", "slug").orderBy("title")))
+    hits = hits.withColumn("__place", F.dense_rank().over(Window.partitionBy("query").orderBy("__first", "slug"))).where(F.col("__place") <= n + 1)
+    hits = hits.drop("nth").join(asked, "query").where(~F.col("slug").eqNullSafe(F.col("self_slug")))
     return latest(hits, ["query", "self_slug"], [F.col("title"), F.col("slug")], n).select("query", "self_slug", "slug")
 
 

@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from kbforge.operators import retrieval, substrings
+from kbforge.operators import lookups, retrieval, substrings
 from kbforge.plans import registry
 
 SF = "/root/testdata/sf0.001"
@@ -54,3 +54,18 @@ def test_many_phrases_in_one_pass(spark):
 def test_no_nested_loops(spark, name):
     plan = registry.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_pages_of_one_title_ask_without_meeting_all_of_them(spark):
+    """Equal titles, a slug of several titles, null titles; the hits of a query are cut before they meet its askers."""
+    pages = [(f"p{k:03d}", "same title") for k in range(200)] + [("p000", "a same title"), ("p001", None), ("p001", "same title"), ("same title", None), ("p002", "same titles")]
+    asked = [("same title", f"p{k:03d}") for k in range(200)] + [("same title", None), ("p00", "p001"), ("none", "p001")]
+    made = lookups.suggest_links(spark.createDataFrame(pages, "slug string, title string"), spark.createDataFrame(asked, "query string, self_slug string"), 3)
+    want = []
+    for query, own in set(asked):
+        hits = sorted(((t is not None, t or "", s) for s, t in pages if (query in (t or "") or query in s) and s != own))
+        want += [(query, own, s) for _, _, s in hits[:3]]
+    key = lambda r: tuple(x or "" for x in r)
+    assert sorted(map(tuple, made.collect()), key=key) == sorted(want, key=key)
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert "dense_rank" in plan[plan.index("Join") :]
