@@ -89,7 +89,7 @@ def bm25(queries: DataFrame, lists: DataFrame, k: int = 5, key: str = "chunk_id"
     return top(found, k, ["query_id"], [F.col("score").desc(), F.col(key)])
 
 
-def _scorer(shared, key: str, k: int, k1: float, b: float, avgdl: float, at_once: int = 1 << 21) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _scorer(shared, key: str, k: int, k1: float, b: float, avgdl: float, at_once: int = 1 << 20) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Scores batches of (key, dl, terms) against the ``shared`` weights (query_id, term, idf)."""
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -102,20 +102,14 @@ def _scorer(shared, key: str, k: int, k1: float, b: float, avgdl: float, at_once
         rows_at_once = max(1, at_once // max(len(ids), 1))
         least, held, waiting = np.zeros(len(ids)), None, []  # each query's k-th best so far; its best; hits since
         for whole in batches:
-            for begin in range(0, whole.num_rows if len(ids) else 0, rows_at_once):
-                batch = whole.slice(begin, rows_at_once)
-                lists = batch.column("terms")
-                counts = pc.fill_null(pc.list_value_length(lists), 0).to_numpy().astype(np.int64)
-                flat = pc.list_flatten(lists)
-                term = pc.fill_null(pc.index_in(flat.field("term"), value_set=known), -1).to_numpy()
-                row, tf = np.repeat(np.arange(len(counts)), counts), flat.field("tf").to_numpy().astype(float)
-                hit = term >= 0
-                row, tf, term = row[hit], tf[hit], term[hit]
+            for begin, end in _strips(whole.column("terms"), known, starts, rows_at_once, at_once) if len(ids) else ():
+                batch = whole.slice(begin, end - begin)
+                row, tf, term = _known_terms(batch.column("terms"), known)
                 part = tf * (k1 + 1) / (tf + k1 * (1 - b + b * batch.column("dl").to_numpy()[row] / avgdl))
                 asked = starts[term + 1] - starts[term]  # queries of each term
                 at = np.repeat(starts[term] - np.concatenate([[0], np.cumsum(asked)[:-1]]) if len(term) else starts[:0], asked) + np.arange(asked.sum())
-                cell = query[at] * len(counts) + np.repeat(row, asked)
-                total = np.bincount(cell, weights=idf[at] * np.repeat(part, asked), minlength=len(ids) * len(counts)).reshape(len(ids), -1)
+                cell = query[at] * batch.num_rows + np.repeat(row, asked)
+                total = np.bincount(cell, weights=idf[at] * np.repeat(part, asked), minlength=len(ids) * batch.num_rows).reshape(len(ids), -1)
                 total = np.floor(total * 1e6 + 0.5) / 1e6
                 q, r = np.nonzero((total > 0) & (total >= least[:, None]))
                 waiting.append(pa.table([pa.array(q), pa.array(total[q, r]), batch.column(key).take(pa.array(r))], names=["q", "score", key]))
@@ -131,6 +125,27 @@ def _scorer(shared, key: str, k: int, k1: float, b: float, avgdl: float, at_once
     return score
 
 
+def _known_terms(lists: pa.Array, known: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, tf, place in ``known``) of the terms of ``lists`` that are known, in order."""
+    counts = pc.fill_null(pc.list_value_length(lists), 0).to_numpy().astype(np.int64)
+    flat = pc.list_flatten(lists)
+    term = pc.fill_null(pc.index_in(flat.field("term"), value_set=known), -1).to_numpy()
+    hit = term >= 0
+    return np.repeat(np.arange(len(counts)), counts)[hit], flat.field("tf").to_numpy().astype(float)[hit], term[hit]
+
+
+def _strips(lists: pa.Array, known: pa.Array, starts: np.ndarray, most_rows: int, most_hits: int) -> Iterator[tuple[int, int]]:
+    """Ranges of rows: at most ``most_rows``, and ``most_hits`` hits of terms by queries unless one row has more."""
+    row, _, term = _known_terms(lists, known)
+    ends = np.cumsum(np.bincount(row, starts[term + 1] - starts[term], len(lists)).astype(np.int64))
+    begin = 0
+    while begin < len(lists):
+        before = ends[begin - 1] if begin else 0
+        end = max(begin + 1, min(begin + most_rows, len(lists), int(np.searchsorted(ends, before + most_hits, "right"))))
+        yield begin, end
+        begin = end
+
+
 def _best(parts: list[pa.Table | None], k: int, key: str) -> pa.Table:
     """The ``k`` best (q, score, key) of each q, ties to the smaller key, sorted."""
     rows = pa.concat_tables([p for p in parts if p is not None]).sort_by([("q", "ascending"), ("score", "descending"), (key, "ascending")])
@@ -194,7 +209,7 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int = 5, most_queries: in
     return top(found, k, ["query_id"], [F.col("similarity").desc(), F.col("vec_id")])
 
 
-def _unit_nearest(queries: pa.Table, rows: pa.Table, k: int, itself: bool = False, at_once: int = 256) -> pa.Table:
+def _unit_nearest(queries: pa.Table, rows: pa.Table, k: int, itself: bool = False, at_once: int = 64) -> pa.Table:
     """The ``k`` best rows of each query, as ``cosine`` rounded to six places has it; null similarities last, NaN first."""
     rows = rows.take(pc.sort_indices(rows["vec_id"]))  # ties go to the smaller id
     ids, asked = rows["vec_id"].to_numpy(), queries["query_id"].to_numpy()

@@ -525,3 +525,35 @@ def test_pairs_of_large_groups_are_listed_once_without_a_shuffle_of_pairs(spark,
     whole = pairs.pairs_once(spark.range(2000).select(F.lit(1).alias("project_id"), (F.col("id") % 2).alias("group"), F.col("id").alias("slug")), ["project_id"], "group", "slug", task_rows=1 << 17)
     sizes = [r["count"] for r in whole.groupBy(F.spark_partition_id()).count().collect()]
     assert sum(sizes) == 2 * 1000 * 999 // 2 and max(sizes) < sum(sizes) / 2
+
+
+def _peak_mb(work):
+    import tracemalloc
+
+    tracemalloc.start()
+    try:
+        work()
+        return tracemalloc.get_traced_memory()[1] / 1e6
+    finally:
+        tracemalloc.stop()
+
+
+def test_scoring_and_comparing_hold_strips_only():
+    """Memory of a task does not grow with how many queries ask a frequent term, nor with the queries of a block."""
+    import types
+
+    import pyarrow as pa
+
+    asked, terms, rows = 400, 20, 4000
+    weights = pa.table({"query_id": np.repeat(np.arange(asked), terms), "term": [f"t{k}" for k in range(terms)] * asked, "idf": np.linspace(0.1, 1, asked * terms)})
+    lists = pa.array([[{"term": f"t{k}", "tf": 1 + (r + k) % 3} for k in range(terms)] + [{"term": "other", "tf": 1}] for r in range(rows)], pa.list_(pa.struct([("term", pa.string()), ("tf", pa.int64())])))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(rows)), pa.array([terms + 1 + r % 5 for r in range(rows)]), lists], ["chunk_id", "dl", "terms"])
+    score = lambda **most: pa.Table.from_batches(retrieval._scorer(types.SimpleNamespace(value=weights), "chunk_id", 5, 1.2, 0.75, 22.0, **most)(iter([batch])))
+    assert score() == score(at_once=1 << 12) and score().num_rows == 5 * asked
+    assert _peak_mb(score) < 250  # a bounded number of hits of terms by queries at once
+
+    rng = np.random.default_rng(0)
+    vectors = lambda n: pa.array(list(rng.normal(size=(n, 4))), pa.list_(pa.float64()))
+    queries, many = pa.table({"query_id": range(300), "v": vectors(300)}), pa.table({"vec_id": range(16384), "v": vectors(16384)})
+    assert retrieval._unit_nearest(queries, many, 5) == retrieval._unit_nearest(queries, many, 5, at_once=300)
+    assert _peak_mb(lambda: retrieval._unit_nearest(queries, many, 5)) < 100
