@@ -30,7 +30,7 @@ def classify_arrivals(arrivals: DataFrame, existing: DataFrame, keys: Sequence[s
     return found.withColumn("state", state).drop("nth", "chunks")
 
 
-def semantic_duplicates(vectors: DataFrame, least: float = 0.92, unit_numbers: int = 1 << 20, cells: int | None = None) -> DataFrame:
+def semantic_duplicates(vectors: DataFrame, least: float = 0.92, unit_numbers: int = 1 << 20, cells: int | None = None, most_scores: int = 1 << 20) -> DataFrame:
     """(project_id, keep, drop, similarity): pairs of a project's vectors over ``least``; the smaller id is kept.
 
     Exact. Vectors lie in cells around centres (``cells.fit_cells``). By the triangle inequality of
@@ -38,7 +38,8 @@ def semantic_duplicates(vectors: DataFrame, least: float = 0.92, unit_numbers: i
     most the cell's radius and the angle of ``least`` together, so it visits only those cells, and of two
     cells only the one of smaller number. A project's part of a cell is dealt into blocks of about
     ``unit_numbers`` components, and each pair of blocks is one matrix product inside a task, of its
-    members with members and visitors; only pairs over ``least`` leave it.
+    members with members and visitors, in strips of ``most_scores`` scores; the pairs over ``least`` leave it
+    strip by strip.
     """
     rows = vectors.select("project_id", "vec_id", F.col("embedding").cast("array<double>").alias("v")).where("project_id is not null and vec_id is not null and v is not null")
     rows = stored(rows, "vectors")
@@ -51,27 +52,28 @@ def semantic_duplicates(vectors: DataFrame, least: float = 0.92, unit_numbers: i
     schema = f"project_id {kinds['project_id']}, keep {kinds['vec_id']}, drop {kinds['vec_id']}, similarity double"
     names = ["project_id", "keep", "drop", "similarity"]
 
-    def compare(table: pa.Table) -> pa.Table:
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(list(batches))  # at most two blocks and their visitors
         table = table.take(pc.sort_indices(table["vec_id"]))
-        ids, block, i, j = table["vec_id"], table["block"].to_numpy(), table["i"][0].as_py(), table["j"][0].as_py()
-        home = table["home"].to_numpy(zero_copy_only=False)
-        one, two, near = [], [], []
+        ids, block, i, j = table["vec_id"].combine_chunks(), table["block"].to_numpy(), table["i"][0].as_py(), table["j"][0].as_py()
+        home, project = table["home"].to_numpy(zero_copy_only=False), table["project_id"][0]
         for _, (at, m, gap, norm) in matrices(table["v"])[1].items():
             at = at[~gap & (norm > 0)]
             unit = m[~gap & (norm > 0)] / norm[~gap & (norm > 0)][:, None]
             members = np.flatnonzero(home[at])
-            for begin in range(0, len(at), 512):
-                dot = unit[begin : begin + 512] @ unit[members].T
+            of = unit[members].T
+            step = max(1, most_scores // max(len(members), 1))
+            for begin in range(0, len(at), step):  # pairs are handed on as they are found
+                dot = unit[begin : begin + step] @ of
                 dot = np.copysign(np.floor(np.abs(dot) * 1e6 + 0.5) / 1e6, dot)
                 x, y = np.nonzero(dot > least)
-                x, y, worth = x + begin, members[y], dot[x, y]
+                worth = dot[x, y]
+                x, y = x + begin, members[y]
                 fine = ((x < y) | ~home[at[x]]) & ((i == j) | (block[at[x]] != block[at[y]]))  # visitors meet members only
-                one.append(at[np.minimum(x, y)[fine]])
-                two.append(at[np.maximum(x, y)[fine]])
-                near.append(worth[fine])
-        one, two = (np.concatenate([np.empty(0, np.int64), *k]) for k in (one, two))
-        project = pa.repeat(table["project_id"][0], len(one))
-        return pa.table([project, ids.take(pa.array(one)), ids.take(pa.array(two)), pa.array(np.concatenate([np.empty(0), *near]))], names=names)
+                x, y, worth = x[fine], y[fine], worth[fine]
+                if len(x):
+                    pair = [ids.take(pa.array(at[f(x, y)])) for f in (np.minimum, np.maximum)]
+                    yield pa.RecordBatch.from_arrays([pa.repeat(project, len(x)), *pair, pa.array(worth)], names)
 
     return dealt.groupBy("project_id", "cell", "i", "j").applyInArrow(compare, schema)
 

@@ -557,3 +557,12 @@ def test_scoring_and_comparing_hold_strips_only():
     queries, many = pa.table({"query_id": range(300), "v": vectors(300)}), pa.table({"vec_id": range(16384), "v": vectors(16384)})
     assert retrieval._unit_nearest(queries, many, 5) == retrieval._unit_nearest(queries, many, 5, at_once=300)
     assert _peak_mb(lambda: retrieval._unit_nearest(queries, many, 5)) < 100
+
+
+def test_semantic_duplicates_leave_a_task_strip_by_strip(spark):
+    """Many pairs over a low bound: those of a unit are handed on in several batches, none lost."""
+    made = spark.range(200).select((F.col("id") % 2).alias("project_id"), F.col("id").alias("vec_id"), F.array(F.cos("id"), F.sin("id"), F.lit(1.0)).alias("embedding"))
+    sets = [sorted(map(tuple, maintenance.semantic_duplicates(made, 0.3, cells=3, most_scores=m).collect())) for m in (1, 500, 1 << 20)]
+    a, b = made.alias("a"), made.alias("b")
+    want = a.join(b, F.expr("a.project_id = b.project_id and a.vec_id < b.vec_id")).select(F.col("a.vec_id").alias("x"), F.col("b.vec_id").alias("y"), retrieval.cosine(F.col("a.embedding"), F.col("b.embedding")).alias("s")).where("round(s, 6) > 0.3")
+    assert sets[0] == sets[1] == sets[2] and [(r[1], r[2]) for r in sets[0]] == sorted(((r.x, r.y) for r in want.collect()), key=lambda p: (p[0] % 2, *p))
