@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 import pandas as pd
@@ -134,16 +135,21 @@ def preview(text: Column, n: int) -> Column:
 
 
 def truncate_to_budget(text: Column, budget: int, wide: float = 1.2, narrow: float = 3.5) -> Column:
-    """The longest prefix whose token estimate stays within ``budget``, by bisection over the prefix length."""
-    fits = lambda n: token_estimate(F.left(text, n), wide, narrow) <= budget
-    start = F.struct(F.lit(0).alias("low"), F.char_length(text).alias("high"))
+    """The longest prefix whose token estimate stays within ``budget``, by bisection over the prefix length.
+
+    A character counts at least 1 / ``narrow``, so no prefix beyond ``budget`` * ``narrow`` fits, and no more of a text is read.
+    """
+    most = max(0, math.floor(budget * narrow)) + 1
+    head = F.left(text, F.lit(most))
+    fits = lambda n: token_estimate(F.left(head, n), wide, narrow) <= budget
+    start = F.struct(F.lit(0).alias("low"), F.char_length(head).alias("high"))
 
     def halve(s: Column, _: Column) -> Column:
         mid = F.floor((s["low"] + s["high"] + 1) / 2).cast("int")
         ok = fits(mid)
         return F.struct(F.when(ok, mid).otherwise(s["low"]).alias("low"), F.when(ok, s["high"]).otherwise(F.greatest(mid - 1, s["low"])).alias("high"))
 
-    return F.left(text, F.aggregate(F.sequence(F.lit(1), F.lit(32)), start, halve)["low"])
+    return F.left(head, F.aggregate(F.sequence(F.lit(1), F.lit(most.bit_length() + 1)), start, halve)["low"])
 
 
 def context_prefix(title: Column, section: Column, text: Column) -> Column:

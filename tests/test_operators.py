@@ -566,3 +566,12 @@ def test_semantic_duplicates_leave_a_task_strip_by_strip(spark):
     a, b = made.alias("a"), made.alias("b")
     want = a.join(b, F.expr("a.project_id = b.project_id and a.vec_id < b.vec_id")).select(F.col("a.vec_id").alias("x"), F.col("b.vec_id").alias("y"), retrieval.cosine(F.col("a.embedding"), F.col("b.embedding")).alias("s")).where("round(s, 6) > 0.3")
     assert sets[0] == sets[1] == sets[2] and [(r[1], r[2]) for r in sets[0]] == sorted(((r.x, r.y) for r in want.collect()), key=lambda p: (p[0] % 2, *p))
+
+
+def test_truncation_reads_no_more_than_the_budget_can_hold(spark):
+    import time
+
+    made = spark.createDataFrame([("é" + "a b " * 1_000_000,)], "x string").repartition(1)
+    began = time.time()
+    cut = made.select(t.truncate_to_budget(F.col("x"), 100)).first()[0]
+    assert cut == ("é" + "a b " * 100)[: len(cut)] and len(cut) == 347 and time.time() - began < 20
