@@ -5,7 +5,6 @@ from __future__ import annotations
 import re
 from collections.abc import Iterable, Iterator, Sequence
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -120,20 +119,33 @@ def children_of(chunk: str) -> list[str]:
     return [p for p in parts if len(p) >= CHILD_MIN][:CHILDREN]
 
 
-def chunk_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", children: bool = True) -> DataFrame:
-    """(key, chunk_no, child_no, content): packed and levelled chunks, with their children below (child_no from 1; 0 is the chunk)."""
-    kind = docs.schema[key].dataType.simpleString()
+def chunk_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", children: bool = True, carried: Sequence[str] = ()) -> DataFrame:
+    """(key, carried, chunk_no, child_no, content): packed and levelled chunks, with their children below (child_no from 1; 0 is the chunk) and the document's ``carried`` columns."""
+    kept = [key, *carried]
+    kinds = "".join(f"{c} {docs.schema[c].dataType.simpleString()}, " for c in kept)
+    names = [*kept, "chunk_no", "child_no", "content"]
 
-    def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows = []
-            for k, x in zip(frame[key], frame[text]):
-                for n, c in enumerate(level_sizes(pack_paragraphs(x or ""))):
-                    rows.append((k, n, 0, c))
-                    rows += [(k, n, m + 1, child) for m, child in enumerate(children_of(c) if children else [])]
-            yield pd.DataFrame(rows, columns=[key, "chunk_no", "child_no", "content"])
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, numbers, kids, contents = [], [], [], []
 
-    return docs.select(key, text).mapInPandas(fold, f"{key} {kind}, chunk_no long, child_no long, content string")
+            def rows() -> pa.RecordBatch:
+                columns = [batch.column(c).take(pa.array(at, pa.int64())) for c in kept]
+                return pa.RecordBatch.from_arrays([*columns, pa.array(numbers, pa.int64()), pa.array(kids, pa.int64()), pa.array(contents, pa.string())], names)
+
+            for row, x in enumerate(batch.column(text).to_pylist()):
+                for n, c in enumerate(level_sizes(pack_paragraphs(x or ""))):
+                    below = children_of(c) if children else []
+                    at += [row] * (1 + len(below))
+                    numbers += [n] * (1 + len(below))
+                    kids += range(1 + len(below))
+                    contents += [c, *below]
+                if len(at) >= 1 << 14:
+                    yield rows()
+                    at, numbers, kids, contents = [], [], [], []
+            yield rows()
+
+    return docs.select(*kept, text).mapInArrow(fold, f"{kinds}chunk_no long, child_no long, content string")
 
 
 def budget_batches(chunks: DataFrame, budget: int, key: str = "document_id", order: str = "line_no", content: str = "content", weight: str = "tokens") -> DataFrame:

@@ -3,8 +3,9 @@
 A block holds the postings of one (term, field) for the chunks of one slot, with the largest term
 frequency and the shortest length among them. Slots deal the chunks out evenly by the hash of their
 owner, so a frequent term is many blocks and no block outgrows its slot; a chunk's children share
-their parent's slot. Blocks lie in folders by the hash of their term, sorted by term inside, so a
-search reads the folders of the asked terms only and skips row groups between them.
+their parent's slot. Blocks lie in folders by the hash of their term, a file for each ``PART`` slots,
+sorted by term inside, so a search reads the folders of the asked terms only and skips row groups
+between them. Terms are counted inside tasks, and lists of postings are shuffled, not single ones.
 
 A search brings the asked blocks of a slot together, scores each query there, and keeps the best of
 each query over all slots of a task. A query whose blocks cannot add up to more than its k-th best
@@ -24,10 +25,18 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.scratch import fresh_dir, stored
-from .retrieval import K1, B, term_counts, top
+from .retrieval import K1, B, top
 
-POSTINGS = "term string, field string, slot long, n long, cf long, max_tf long, min_length long, keys array<long>, owners array<long>, tfs array<long>, lengths array<long>, bucket int"
+POSTINGS = "term string, field string, slot long, n long, cf long, max_tf long, min_length long, postings binary, bucket int"
 BLOCK = [c.split()[0] for c in POSTINGS.split(", ")]
+LISTS = "term string, field string, part int, first long, n long, length long, postings binary"
+LIST = [c.split()[0] for c in LISTS.split(", ")]
+#: A posting, packed into the ``postings`` of its list or block.
+POSTING = np.dtype([("key", "<i8"), ("owner", "<i8"), ("slot", "<i4"), ("tf", "<i4"), ("length", "<i4")])
+#: Slots whose postings of a term travel together.
+PART = 32
+#: The folder of rows without term, which count a field's chunks (n) and tokens (cf).
+TOTALS = -1
 
 
 @dataclass(frozen=True)
@@ -50,44 +59,115 @@ def build_index(chunks: DataFrame, fields: dict[str, Column], key: str = "chunk_
     """
     spark = chunks.sparkSession
     whose = F.coalesce(F.col(owner), F.col(key)) if owner else F.col(key)
-    counted = F.array(*[F.struct(F.lit(name).alias("field"), term_counts(tokens).alias("r")) for name, tokens in fields.items()])
-    each = chunks.where(F.col(key).isNotNull()).select(F.col(key).alias("key"), whose.alias("owner"), F.inline(counted))
-    each = stored(each.select("key", "owner", "field", "r.dl", "r.terms"), "lists")
-    slots = slots or max(1, math.ceil(each.count() / len(fields) / slot_chunks))
+    chunks = chunks.where(F.col(key).isNotNull())
+    slots = slots or max(1, math.ceil(chunks.count() / slot_chunks))
     path = path or fresh_dir(spark, "index")
-    totals = each.where("dl > 0").groupBy("field").agg(F.count("*").alias("n"), F.sum("dl").alias("length"))
+    slot = F.pmod(F.xxhash64(whose), F.lit(slots)).cast("int")
+    each = chunks.select(F.col(key).cast("long").alias("key"), whose.cast("long").alias("owner"), slot.alias("slot"), *[tokens.alias(f"tokens_{i}") for i, tokens in enumerate(fields.values())])
+    bucket = F.when(F.col("term").isNull(), TOTALS).otherwise(F.pmod(F.xxhash64("term"), F.lit(buckets))).cast("int")
+    dealt = each.mapInArrow(_lister(list(fields)), LISTS).withColumn("bucket", bucket).repartition(buckets * math.ceil(slots / PART), "bucket", "part")
+    dealt = dealt.sortWithinPartitions("bucket", "term", "field", "part", "first").select("bucket", "term", "field", "n", "length", "postings")
+    writer = dealt.mapInArrow(_blocks, POSTINGS).write.mode("overwrite").option("parquet.enable.dictionary#postings", "false")
+    writer.partitionBy("bucket").parquet(f"{path}/blocks/batch={batch}")
+    counted = spark.read.schema(POSTINGS).parquet(f"{path}/blocks/batch={batch}").where(F.col("bucket") == TOTALS)
+    totals = counted.groupBy("field").agg(F.sum("n").alias("n"), F.sum("cf").alias("length")).where("n > 0")
     totals.write.mode("overwrite").parquet(f"{path}/totals/batch={batch}")
-    postings = each.select("key", "owner", "field", "dl", F.pmod(F.xxhash64("owner"), F.lit(slots)).alias("slot"), F.inline("terms"))
-    postings = postings.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int"))
-    block = ["bucket", "term", "field", "slot"]
-    sorted_rows = postings.repartitionByRange(*block, "key").sortWithinPartitions(*block, "key")
-    sorted_rows.mapInArrow(_blocks, POSTINGS).write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/blocks/batch={batch}")
     return open_index(spark, path, buckets, slots)
 
 
 def open_index(spark: SparkSession, path: str, buckets: int, slots: int) -> Index:
     """The index that was built below ``path``."""
     read = lambda name, schema: spark.read.schema(schema).parquet(f"{path}/{name}").drop("batch")
-    return Index(read("blocks", f"{POSTINGS}, batch int"), read("totals", "field string, n long, length long, batch int"), buckets, slots)
+    return Index(read("blocks", f"{POSTINGS}, batch int").where(F.col("bucket") != TOTALS), read("totals", "field string, n long, length long, batch int"), buckets, slots)
+
+
+def _lister(names: list[str], most_tokens: int = 1 << 20) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Chunks (key, owner, slot, a list of tokens for each field) as ``LISTS``: the postings of each (term, field, part) of about ``most_tokens`` tokens, by slot and key, and the field's number of chunks and tokens in a row without term."""
+
+    def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, tokens = [], 0
+        for whole in batches:
+            sizes = sum(pc.fill_null(pc.list_value_length(c), 0).to_numpy().astype(np.int64) for c in whole.columns[3:])
+            ends = np.cumsum(sizes)
+            begin = 0
+            while begin < whole.num_rows:
+                before = ends[begin - 1] if begin else 0
+                end = max(begin + 1, int(np.searchsorted(ends, before + most_tokens - tokens, "right")))
+                held.append(whole.slice(begin, end - begin))
+                tokens += int(ends[end - 1] - before)
+                if tokens >= most_tokens or end < whole.num_rows:
+                    yield from _listed(held, names)
+                    held, tokens = [], 0
+                begin = end
+        if held:
+            yield from _listed(held, names)
+
+    return lists
+
+
+def _listed(held: list[pa.RecordBatch], names: list[str]) -> Iterator[pa.RecordBatch]:
+    rows = pa.Table.from_batches(held).combine_chunks()
+    key, owner, slot = (rows[c].to_numpy() for c in ("key", "owner", "slot"))
+    order = np.lexsort((key, slot))
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    for i, name in enumerate(names):
+        tokens = pa.concat_arrays(rows[f"tokens_{i}"].chunks) if rows.num_rows else pa.array([], pa.list_(pa.string()))
+        length = pc.fill_null(pc.list_value_length(tokens), 0).to_numpy().astype(np.int64)
+        coded = pc.list_flatten(tokens).dictionary_encode()
+        code = pc.fill_null(coded.indices, -1).to_numpy().astype(np.int64)
+        cells = (code * len(order) + np.repeat(place, length))[code >= 0]
+        cells, tf = np.unique(cells, return_counts=True)
+        code, at = np.divmod(cells, max(len(order), 1))
+        at = order[at]
+        found = np.empty(len(at), POSTING)
+        found["key"], found["owner"], found["slot"], found["tf"], found["length"] = key[at], owner[at], slot[at], tf, length[at]
+        part = slot[at] // PART
+        starts = np.flatnonzero((np.diff(code, prepend=-1) != 0) | (np.diff(part, prepend=-1) != 0))
+        offsets = np.append(starts, len(at))
+        one = [coded.dictionary.take(pa.array(code[starts])), pa.array([name] * len(starts), pa.string()), pa.array(part[starts], pa.int32()), pa.array(key[at[starts]]), pa.array(np.diff(offsets)), pa.nulls(len(starts), pa.int64()), _packed(found, offsets)]
+        yield pa.RecordBatch.from_arrays(one, LIST)
+        of = [pa.nulls(1, pa.string()), pa.array([name]), pa.nulls(1, pa.int32()), pa.nulls(1, pa.int64()), pa.array([int((length > 0).sum())]), pa.array([int(length.sum())]), pa.nulls(1, pa.binary())]
+        yield pa.RecordBatch.from_arrays(of, LIST)
+
+
+def _packed(found: np.ndarray, offsets: np.ndarray) -> pa.Array:
+    return pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer((offsets * POSTING.itemsize).astype(np.int32)), pa.py_buffer(found.view(np.uint8))])
+
+
+def _unpacked(packed: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The postings of all rows, and where each row's begin and the last one's end."""
+    offsets = np.frombuffer(packed.buffers()[1], np.int32)[packed.offset : packed.offset + len(packed) + 1].astype(np.int64)
+    data = packed.buffers()[2]
+    found = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]] if data else np.empty(0, np.uint8)
+    return found.view(POSTING), (offsets - offsets[0]) // POSTING.itemsize
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted postings as blocks. One that goes on in the next batch, or in the next task's range, continues there as a block of its own."""
+    """Sorted lists of postings as blocks. One that goes on in the next batch continues there as a block of its own."""
     for batch in batches:
         if not batch.num_rows:
             continue
         new = np.zeros(batch.num_rows, bool)
         new[0] = True
-        for c in ("bucket", "term", "field", "slot"):
+        for c in ("bucket", "term", "field"):
             x = batch.column(c)
-            new[1:] |= pc.not_equal(x[1:], x[:-1]).to_numpy(zero_copy_only=False)
-        starts = np.flatnonzero(new)
-        ends = np.append(starts, batch.num_rows)
-        tf, dl = (batch.column(c).to_numpy() for c in ("tf", "dl"))
-        one = [batch.column(c).take(pa.array(starts)) for c in ("term", "field", "slot")]
-        of = [np.diff(ends), np.add.reduceat(tf, starts), np.maximum.reduceat(tf, starts), np.minimum.reduceat(dl, starts)]
-        lists = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), batch.column(c)) for c in ("key", "owner", "tf", "dl")]
-        yield pa.RecordBatch.from_arrays([*one, *map(pa.array, of), *lists, batch.column("bucket").take(pa.array(starts))], BLOCK)
+            new[1:] |= pc.fill_null(pc.not_equal(x[1:], x[:-1]), True).to_numpy(zero_copy_only=False)
+        found, offsets = _unpacked(batch.column("postings"))
+        row = np.repeat(np.arange(batch.num_rows), np.diff(offsets))
+        block = np.cumsum(new)[row] << 32 | found["slot"]
+        order = np.argsort(block, kind="stable")  # the lists are sorted already
+        found, row, block = found[order], row[order], block[order]
+        starts = np.flatnonzero(np.diff(block, prepend=-1))
+        ends = np.append(starts, len(found))
+        if len(found):
+            tf, dl = found["tf"].astype(np.int64), found["length"].astype(np.int64)
+            one = [batch.column(c).take(pa.array(row[starts])) for c in ("term", "field")]
+            of = [found["slot"][starts].astype(np.int64), np.diff(ends), np.add.reduceat(tf, starts), np.maximum.reduceat(tf, starts), np.minimum.reduceat(dl, starts)]
+            yield pa.RecordBatch.from_arrays([*one, *map(pa.array, of), _packed(found, ends), batch.column("bucket").take(pa.array(row[starts]))], BLOCK)
+        counts = batch.filter(pc.is_null(batch.column("term")))
+        none = pa.nulls(counts.num_rows, pa.int64())
+        yield pa.RecordBatch.from_arrays([counts["term"], counts["field"], none, counts["n"], counts["length"], none, none, pa.nulls(counts.num_rows, pa.binary()), counts["bucket"]], BLOCK)
 
 
 def asked_blocks(index: Index, terms: DataFrame) -> DataFrame:
@@ -121,7 +201,7 @@ def search(
     found = None
     for turn in range(turns):
         part = weights.where(F.pmod(F.xxhash64("query_id"), F.lit(turns)) == turn)
-        read = asked_blocks(index, part).select("slot", "term", "field", "max_tf", "min_length", "keys", "owners", "tfs", "lengths")
+        read = asked_blocks(index, part).select("slot", "term", "field", "max_tf", "min_length", "postings")
         if excluded is not None:  # a slot's excluded keys come as a block without term, and first
             gone = excluded.select(F.col(excluded.columns[0]).alias("key"), F.col(excluded.columns[-1]).alias("owner")).distinct()
             gone = gone.groupBy(F.pmod(F.xxhash64("owner"), F.lit(index.slots)).alias("slot")).agg(F.collect_list("key").alias("keys"))
@@ -192,18 +272,17 @@ def _slot_scorer(shared, k: int, fold: bool, k1: float, b: float, mean: dict[str
 
         slot, blocks, gone = None, [], np.empty(0, np.int64)
         for batch in batches:
-            arrays = [batch.column(c) for c in ("keys", "owners", "tfs", "lengths")]
+            postings, offsets = _unpacked(batch.column("postings"))
             columns = [batch.column(c).to_pylist() for c in ("slot", "term", "field", "max_tf", "min_length")]
             for row, (at, term, field, max_tf, min_length) in enumerate(zip(*columns)):
                 if at != slot:
                     finish(blocks, gone)
                     slot, blocks, gone = at, [], np.empty(0, np.int64)
-                keys = arrays[0][row].values.to_numpy()
                 if term is None:
-                    gone = keys
+                    gone = batch.column("keys")[row].values.to_numpy()
                     continue
-                owners, tfs, lengths = (a[row].values.to_numpy() for a in arrays[1:])
-                blocks.append(((term, field), part(max_tf, min_length, field), keys, owners, part(tfs, lengths, field)))
+                found = postings[offsets[row] : offsets[row + 1]]
+                blocks.append(((term, field), part(max_tf, min_length, field), found["key"], found["owner"], part(found["tf"], found["length"], field)))
         finish(blocks, gone)
         held = [(q, keys, scores) for q, (keys, scores) in best.held.items()]
         for begin in range(0, len(held), 1024):

@@ -38,9 +38,9 @@ def _titled_lines(spark, d):
 
 def _small_to_big(spark, d):
     """Chunks with their children below, under the document's title: (key, owner, parent_id, title, content)."""
-    docs = table(spark, d, "documents").select("doc_id", "text")
+    docs = table(spark, d, "documents").select("doc_id", "text", F.substring("text", 1, 60).alias("title"))
     number = F.col("doc_id") * 2**31 + F.col("chunk_no") * 4  # a chunk has at most three children
-    rows = chunking.chunk_documents(docs).join(docs.select("doc_id", F.substring("text", 1, 60).alias("title")), "doc_id")
+    rows = chunking.chunk_documents(docs, carried=["title"])
     return rows.select((number + F.col("child_no")).cast("long").alias("chunk_id"), number.cast("long").alias("owner"), F.when(F.col("child_no") > 0, number.cast("long")).alias("parent_id"), "title", "content")
 
 
@@ -54,7 +54,7 @@ def _fielded(spark, d):
 
 def _folded(spark, d):
     """Children are searched, parents found."""
-    made = index.build_index(_small_to_big(spark, d), _fields(), owner="owner")
+    made = index.build_index(stored(_small_to_big(spark, d), "chunks"), _fields(), owner="owner")
     return index.search(made, _asked(spark, d), fold=True).withColumnRenamed("key", "parent_id")
 
 

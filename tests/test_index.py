@@ -89,3 +89,17 @@ def test_empty(spark, made):
     assert index.search(made, none).collect() == []
     bare = index.build_index(spark.createDataFrame([], "chunk_id long, title string, content string"), fields())
     assert index.search(bare, queries_of(spark, {1: ["w1"]})).collect() == []
+
+
+def test_tasks_pass_lists_on():
+    """A task gives one packed list for each term, field and part of slots, in order of slots, and the blocks of several tasks' lists are whole."""
+    batch = lambda at: pa.record_batch([pa.array(at), pa.array(at), pa.array([k % 40 for k in at], pa.int32()), pa.array([["a", "b", "a"]] * len(at))], ["key", "owner", "slot", "tokens_0"])
+    tasks = [pa.Table.from_batches(index._lister(["content"])(iter([batch(range(n, n + 100)), batch(range(n + 100, n + 200))]))).to_pylist() for n in (0, 200)]
+    for rows in tasks:
+        assert [(r["term"], r["part"], r["n"], r["length"]) for r in rows] == [("a", 0, 160, None), ("a", 1, 40, None), ("b", 0, 160, None), ("b", 1, 40, None), (None, None, 200, 600)]
+    rows = sorted((dict(r, bucket=0) for rows in tasks for r in rows if r["term"]), key=lambda r: (r["term"], r["part"], r["first"]))
+    lists = pa.RecordBatch.from_pylist(rows, pa.schema([("bucket", pa.int32()), ("term", pa.string()), ("field", pa.string()), ("n", pa.int64()), ("length", pa.int64()), ("postings", pa.binary())]))
+    blocks = [r for b in index._blocks(iter([lists])) for r in b.to_pylist()]
+    assert [(r["term"], r["slot"], r["n"]) for r in blocks] == [(t, s, 10) for t in "ab" for s in range(40)]
+    found, ends = index._unpacked(pa.array([blocks[3]["postings"]]))
+    assert found["key"].tolist() == list(range(3, 400, 40)) and set(found["tf"]) == {2} and ends.tolist() == [0, 10]
