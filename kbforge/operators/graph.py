@@ -109,19 +109,20 @@ def recommend(walks: DataFrame, k: int = 10) -> DataFrame:
     return rows.withColumn("rank", nth.cast("long")).where(F.col("rank") <= k)
 
 
-def signal_counts(links: DataFrame, members: DataFrame) -> DataFrame:
+def signal_counts(links: DataFrame, members: DataFrame, groups: memberships.Groups | None = None) -> DataFrame:
     """(project_id, signal, n, weight): how many edges each signal has, and their weights' sum, from ``wikilink_edges`` and ``memberships``."""
     direct = links.groupBy("project_id", "signal").agg(F.count("*").alias("n"))
-    counts = direct.unionByName(memberships.pair_counts(members).withColumnRenamed("pairs", "n"))
+    counts = direct.unionByName(memberships.pair_counts(members, groups=groups).withColumnRenamed("pairs", "n"))
     return counts.withColumn("weight", F.round(F.col("n") * weight_of("signal"), 4))
 
 
 def statistics(links: DataFrame, members: DataFrame) -> DataFrame:
     """Per project: edges, nodes, edges of each signal, edges a node, of the graph of ``wikilink_edges`` and ``memberships``."""
+    groups = memberships.grouped(members)
     ends = links.select("project_id", F.explode(F.array("source_slug", "target_slug")).alias("slug"))
-    nodes = ends.unionByName(memberships.paired_pages(members)).distinct().groupBy("project_id").agg(F.count("*").alias("nodes"))
+    nodes = ends.unionByName(memberships.paired_pages(members, groups)).distinct().groupBy("project_id").agg(F.count("*").alias("nodes"))
     of = lambda s: F.coalesce(F.sum(F.when(F.col("signal") == s, F.col("n"))), F.lit(0)).alias(f"n_{s}")
-    counts = signal_counts(links, members).groupBy("project_id").agg(F.sum("n").alias("edges"), *map(of, WEIGHTS))
+    counts = signal_counts(links, members, groups).groupBy("project_id").agg(F.sum("n").alias("edges"), *map(of, WEIGHTS))
     return counts.join(nodes, "project_id").withColumn("density", F.round(F.col("edges") / F.col("nodes"), 6))
 
 

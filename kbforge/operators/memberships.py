@@ -7,6 +7,8 @@ that is asked of the graph besides the pairs themselves comes from these rows.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,7 +28,28 @@ def _pairs_of(n: Column) -> Column:
     return (n * (n - 1) / 2).cast("long")
 
 
-def pair_counts(members: DataFrame, small: int = 64, subsets: int = 10) -> DataFrame:
+@dataclass(frozen=True)
+class Groups:
+    """Groups of at least two pages: small ones as ``listed`` (``GROUP``, ids in order), pages of larger ones with the ``sets`` of these (project_id, signal, slug, set)."""
+
+    listed: DataFrame
+    sets: DataFrame
+
+
+def grouped(members: DataFrame, small: int = 64) -> Groups:
+    """The groups of ``members``, those of more than ``small`` pages as sets; each is written once for all that is asked of it."""
+    key = ["project_id", "signal"]
+    large = stored(members.groupBy(*GROUP).agg(F.count("*").alias("n")).where(F.col("n") > small).select(*GROUP), "large")
+    if large.isEmpty():
+        few, sets = members, members.where(F.lit(False)).groupBy(*key, "slug").agg(F.collect_list("group").alias("set"))
+    else:
+        few = members.join(large, GROUP, "left_anti")
+        sets = members.join(large, GROUP).groupBy(*key, "slug").agg(F.sort_array(F.collect_list("group")).alias("set"))
+    listed = few.groupBy(*GROUP).agg(F.sort_array(F.collect_list("slug")).alias("ids")).where(F.size("ids") > 1)
+    return Groups(stored(listed, "listed"), stored(sets, "sets"))
+
+
+def pair_counts(members: DataFrame, small: int = 64, subsets: int = 10, groups: Groups | None = None) -> DataFrame:
     """(project_id, signal, pairs): how many pairs of pages share a group, each counted once.
 
     Groups of up to ``small`` pages are paired, which is at most ``small`` / 2 rows a membership. Pages
@@ -37,12 +60,10 @@ def pair_counts(members: DataFrame, small: int = 64, subsets: int = 10) -> DataF
     have too are taken off.
     """
     key = ["project_id", "signal"]
-    large = stored(members.groupBy(*GROUP).agg(F.count("*").alias("n")).where(F.col("n") > small).select(*GROUP), "large")
-    listed = members.join(large, GROUP, "left_anti").groupBy(*GROUP).agg(F.sort_array(F.collect_list("slug")).alias("ids")).where(F.size("ids") > 1)
-    later = F.expr("flatten(transform(ids, (a, i) -> transform(slice(ids, i + 2, size(ids)), b -> struct(a as a, b as b))))")
-    near = listed.select(*key, F.inline(later)).distinct()
-
-    sets = stored(members.join(large, GROUP).groupBy(*key, "slug").agg(F.sort_array(F.collect_list("group")).alias("set")), "sets")
+    groups = groups or grouped(members, small)
+    listed, sets = groups.listed, groups.sets
+    each_page = F.expr("transform(slice(ids, 1, size(ids) - 1), (a, i) -> struct(a as a, slice(ids, i + 2, size(ids)) as later))")
+    partners = listed.select(*key, F.inline(each_page)).groupBy(*key, "a").agg(F.array_distinct(F.flatten(F.collect_list("later"))).alias("later"))
     classes = sets.groupBy(*key, "set").agg(F.count("*").alias("n"))
     light, heavy = classes.where(F.size("set") <= subsets), classes.where(F.size("set") > subsets)
     parts = light.select(*key, "n", "set", F.explode(F.expr("sequence(1L, shiftleft(1L, size(set)) - 1)")).alias("mask"))
@@ -56,18 +77,19 @@ def pair_counts(members: DataFrame, small: int = 64, subsets: int = 10) -> DataF
     of_heavy = crossed.unionByName(heavy.select(*key, _pairs_of(F.col("n")).alias("pairs")))
 
     x, y = (sets.select(*key, F.col("slug").alias(c), F.col("set").alias(f"of_{c}")) for c in "ab")
-    twice = near.join(x, [*key, "a"]).join(y, [*key, "b"]).where(F.arrays_overlap("of_a", "of_b"))
-    ones = lambda df, n: df.groupBy(*key).agg((F.count("*") * n).alias("pairs"))
-    found = ones(near, 1).unionByName(ones(twice, -1)).unionByName(of_light).unionByName(of_heavy)
+    both = listed.join(F.broadcast(stored(sets.select(*key).distinct(), "scopes")), key, "left_semi")  # a scope without large groups has nothing to take off
+    later = F.expr("flatten(transform(ids, (a, i) -> transform(slice(ids, i + 2, size(ids)), b -> struct(a as a, b as b))))")
+    both = both.select(*key, F.inline(later)).distinct()
+    twice = both.join(x, [*key, "a"]).join(y, [*key, "b"]).where(F.arrays_overlap("of_a", "of_b"))
+    ones = partners.groupBy(*key).agg(F.sum(F.size("later")).alias("pairs"))
+    found = ones.unionByName(twice.groupBy(*key).agg((-F.count("*")).alias("pairs"))).unionByName(of_light).unionByName(of_heavy)
     return found.groupBy(*key).agg(F.sum("pairs").cast("long").alias("pairs")).where("pairs > 0")
 
 
-def paired_pages(members: DataFrame) -> DataFrame:
+def paired_pages(members: DataFrame, groups: Groups | None = None) -> DataFrame:
     """(project_id, slug): the pages that share some group with another."""
-    alone = members.groupBy(*GROUP).agg(F.count("*").alias("n"), F.min("slug").alias("slug")).where("n = 1")
-    alone = alone.groupBy("project_id", "slug").agg(F.count("*").alias("alone"))
-    every = members.groupBy("project_id", "slug").agg(F.count("*").alias("groups"))
-    return every.join(alone, ["project_id", "slug"], "left").where(F.col("groups") > F.coalesce("alone", F.lit(0))).select("project_id", "slug")
+    groups = groups or grouped(members)
+    return groups.listed.select("project_id", F.explode("ids").alias("slug")).unionByName(groups.sets.select("project_id", "slug")).distinct()
 
 
 def first_pairs(members: DataFrame, k: int) -> DataFrame:

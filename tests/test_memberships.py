@@ -61,3 +61,14 @@ def test_walks(spark, world, least):
 def test_empty(spark, world):
     none = world[2].limit(0)
     assert memberships.pair_counts(none).collect() == [] and memberships.first_pairs(none, 5).collect() == [] and memberships.paired_pages(none).collect() == []
+
+
+def test_groups_are_written_once_for_counts_and_pages(spark):
+    """Pairs of small groups are counted by page without a row a pair; groups of one page are in neither part."""
+    rows = [(1, "tag", "big", f"p{k}") for k in range(6)] + [(1, "source", "s", f"p{k}") for k in range(3)] + [(1, "source", "t", f"p{k}") for k in range(1, 4)] + [(1, "tag", "two", "p0"), (1, "tag", "two", "p1"), (1, "source", "one", "q"), (None, "source", "s", "a")]
+    members = spark.createDataFrame(rows, "project_id long, signal string, group string, slug string")
+    groups = memberships.grouped(members, small=3)
+    assert sorted(tuple(r) for r in groups.listed.selectExpr("signal", "group", "size(ids)").collect()) == [("source", "s", 3), ("source", "t", 3), ("tag", "two", 2)]
+    assert groups.sets.count() == 6
+    assert sorted(tuple(r) for r in memberships.pair_counts(members, groups=groups).collect()) == [(1, "source", 5), (1, "tag", 15)]
+    assert sorted(r.slug for r in memberships.paired_pages(members, groups).collect()) == [f"p{k}" for k in range(6)]
