@@ -36,15 +36,19 @@ LINKS = """links as (select distinct 'part-' || a.l_partkey as source_slug, 'par
     from lineitem a join lineitem b on a.l_orderkey = b.l_orderkey and b.l_linenumber = a.l_linenumber + 1 and a.l_partkey <> b.l_partkey)"""
 
 
+def page_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as pages, without what they link: (project_id, slug, title, page_type, tags)."""
+    return table(spark, sf_dir, "part").select(
+        (F.col("p_size") % 5).cast("long").alias("project_id"), F.concat(F.lit("part-"), "p_partkey").alias("slug"), F.col("p_name").alias("title"), F.col("p_type").alias("page_type"), F.array("p_brand", "p_type").alias("tags")
+    )
+
+
 def wiki_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts as pages: (project_id, slug, title, page_type, tags, wikilinks, sources)."""
     links = wiki_links(spark, sf_dir).groupBy(F.col("source_slug").alias("slug")).agg(F.array_sort(F.collect_set("target_slug")).alias("wikilinks"))
     orders = table(spark, sf_dir, "lineitem").select(F.concat(F.lit("part-"), "l_partkey").alias("slug"), F.concat(F.lit("source_id:"), "l_orderkey").alias("key")).groupBy("slug").agg(F.array_sort(F.collect_set("key")).alias("sources"))
     none = F.array().cast("array<string>")
-    pages = table(spark, sf_dir, "part").select(
-        (F.col("p_size") % 5).cast("long").alias("project_id"), F.concat(F.lit("part-"), "p_partkey").alias("slug"), F.col("p_name").alias("title"), F.col("p_type").alias("page_type"), F.array("p_brand", "p_type").alias("tags")
-    )
-    return pages.join(links, "slug", "left").join(orders, "slug", "left").select("project_id", "slug", "title", "page_type", "tags", F.coalesce("wikilinks", none).alias("wikilinks"), F.coalesce("sources", none).alias("sources"))
+    return page_titles(spark, sf_dir).join(links, "slug", "left").join(orders, "slug", "left").select("project_id", "slug", "title", "page_type", "tags", F.coalesce("wikilinks", none).alias("wikilinks"), F.coalesce("sources", none).alias("sources"))
 
 
 PAGES = LINKS + """, pages0 as (select cast(p_size % 5 as bigint) as project_id, 'part-' || p_partkey as slug, p_name as title, p_type as page_type, p_brand, p_partkey from part)"""

@@ -72,3 +72,13 @@ def test_groups_are_written_once_for_counts_and_pages(spark):
     assert groups.sets.count() == 6
     assert sorted(tuple(r) for r in memberships.pair_counts(members, groups=groups).collect()) == [(1, "source", 5), (1, "tag", 15)]
     assert sorted(r.slug for r in memberships.paired_pages(members, groups).collect()) == [f"p{k}" for k in range(6)]
+
+
+def test_titles_read_parts_only(spark):
+    """Titles of pages are those of the whole pages, without reading what pages link."""
+    from kbforge.plans import fixtures
+
+    sf = "/root/testdata/sf0.001"
+    titles = fixtures.page_titles(spark, sf)
+    assert [f.rsplit("/", 1)[1] for f in titles.inputFiles()] == ["part.parquet"]
+    assert sorted(titles.collect()) == sorted(fixtures.wiki_pages(spark, sf).select(titles.columns).collect())
