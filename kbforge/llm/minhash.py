@@ -19,6 +19,8 @@ Work per step, with D documents and B bands:
 
 A representative that many others are compared with, and a class that many rows belong to, are
 dealt over tasks by salts (``spread_join``, ``confirm``), so no group of copies makes a large task.
+What such a step reads more than once is written first: its plan stays small, and so does the
+number of stages that the driver starts at once.
 
 Defined cases: null or blank text has size 0 and links with nothing; very long texts are hashed by
 blocks; rows that share a doc_id are placed each by its own text; a row without doc_id links with
@@ -299,23 +301,23 @@ def _class_links(classes: DataFrame, texts: DataFrame, repeated: bool, width: in
     stars = written(stars.select("a", "b"), "stars")
 
     # First each member with its smallest centre, then with centres in other components.
-    first = stars.groupBy("b").agg(F.min("a").alias("a"))
+    first = written(stars.groupBy("b").agg(F.min("a").alias("a")), "first")
     checked = written(confirm(first, sets, percent), "checked")
     labels = components(checked.where("linked"))
-    rest = stars.join(first, ["a", "b"], "left_anti")
-    rest = _labelled(_labelled(rest, labels, "a", "ca", "b"), labels, "b", "cb", "a").where("ca <> cb")
-    checked_2 = written(confirm(rest.select("a", "b"), sets, percent), "checked")
+    rest = written(_labelled(stars.join(first, ["a", "b"], "left_anti"), labels, "a", "ca", "b"), "rest")
+    apart = written(_labelled(rest, labels, "b", "cb", "a").where("ca <> cb").select("a", "b"), "apart")
+    checked_2 = written(confirm(apart, sets, percent), "checked")
     links = checked.where("linked").select("a", "b").unionByName(checked_2.where("linked").select("a", "b"))
     labels = components(links)
 
     # What is left of a bucket: members of different components that no centre has linked.
-    placed = _labelled(buckets.select("key", "rep"), labels, "rep", "comp", "key")
-    sized = placed.join(known.select("rep", "n"), "rep")
+    lying = written(_labelled(buckets.select("key", "rep"), labels, "rep", "comp", "key"), "lying")
+    sized = lying.join(known.select("rep", "n"), "rep")
     mixed = sized.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("m"), (8 * F.sum("n")).alias("bytes")).where("low < high").select("key", "m", "bytes")
-    placed = written(spread_join(placed, mixed, "key", "rep"), "mixed")
+    placed = written(spread_join(lying, mixed, "key", "rep"), "mixed")
     left = written(link_leftovers(placed, classes, sets, percent, values, unit), "left")
     labels = components(links.unionByName(left))
-    discard(buckets, known, sets, stars, checked, checked_2, placed, left)
+    discard(buckets, known, sets, stars, first, rest, apart, checked, checked_2, lying, placed, left)
     return labels
 
 
@@ -333,9 +335,10 @@ def place(docs: DataFrame, width: int = 5, percent: int = 80, bands: int = 24, p
     )
     classes = written(classes.select("set_key", F.col("own.uid").alias("rep"), "own.doc_id", "own.text_key", "first", "n", "bands", "sketch"), "classes")
     labels = _class_links(classes, _keyed(docs), _repeats(signed), width, percent, 2 * bands * perms_per_band, unit)
-    grouped = _labelled(classes.select("set_key", "rep", "first"), labels, "rep", "root", "set_key")
+    grouped = written(_labelled(classes.select("set_key", "rep", "first"), labels, "rep", "root", "set_key"), "grouped")
     firsts = grouped.groupBy("root").agg(F.min("first").alias("first"))
-    of_class = spread_join(grouped.select("set_key", "rep", "root"), firsts, "root", "rep").select("set_key", "first")
+    of_class = written(spread_join(grouped.select("set_key", "rep", "root"), firsts, "root", "rep").select("set_key", "first"), "of_class")
+    discard(grouped)
     linked = spread_join(able.select("uid", "doc_id", "text_key", "n_shingles", "set_key"), of_class, "set_key", "uid")
     alone = signed.where("not (n_shingles > 0 and doc_id is not null)").select("doc_id", "text_key", "n_shingles", F.lit(None).cast(linked.schema["first"].dataType).alias("first"))
     return linked.select("doc_id", "text_key", "n_shingles", "first").unionByName(alone)

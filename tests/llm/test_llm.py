@@ -280,6 +280,22 @@ def test_leftover_buckets_cross_blocks(spark, monkeypatch):
     assert seen[0] > 16 and {r.doc_id: r.component_id for r in out} == comps
 
 
+def test_near_duplicates_plans_stay_small(spark, monkeypatch):
+    """No step of near-dedup derives again what an earlier one has: a plan's joins would multiply, and so would the stages that start at once."""
+    seen, real = {}, minhash.written
+
+    def counted(df, name):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        seen[name] = max(seen.get(name, 0), plan.count("Join "))
+        return real(df, name)
+
+    monkeypatch.setattr(minhash, "written", counted)
+    near = " ".join(f"w{k}" for k in range(60))
+    rows = [(k, near + f" end{k}" * (k % 3)) for k in range(9)]
+    assert len(minhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()) == 1
+    assert {"checked", "mixed", "left"} <= set(seen) and max(seen.values()) <= 10, seen
+
+
 def test_repeated_and_null_ids_follow_one_rule(spark):
     near = " ".join(f"w{k}" for k in range(60))
     rows = [(3, "text a one two"), (7, "text b one two"), (7, "text a one two"), (9, "text c one two"), (None, near), (None, near)]
