@@ -23,7 +23,11 @@ EDGE = ["project_id", "source_slug", "target_slug", "signal", "weight"]
 def wikilink_edges(pages: DataFrame) -> DataFrame:
     """Directed edges of pages to the slugs that they link, without blanks and self-links."""
     links = pages.select("project_id", F.col("slug").alias("source_slug"), F.explode("wikilinks").alias("target_slug"))
-    links = links.where((F.trim("target_slug") != "") & (F.col("source_slug") != F.col("target_slug"))).distinct()
+    return as_wikilinks(links.where((F.trim("target_slug") != "") & (F.col("source_slug") != F.col("target_slug"))).distinct())
+
+
+def as_wikilinks(links: DataFrame) -> DataFrame:
+    """Distinct (project_id, source_slug, target_slug) as edges."""
     return links.withColumns({"signal": F.lit("wikilink"), "weight": F.lit(WEIGHTS["wikilink"])})
 
 
@@ -77,27 +81,39 @@ def backfill_links(pages: DataFrame) -> DataFrame:
 
 
 def traverse(edges: DataFrame, seeds: DataFrame, depth: int = 2, least: float = 0.3, cut: Callable[[DataFrame], DataFrame] = lambda f: f, members: DataFrame | None = None) -> DataFrame:
-    """Bounded walks from many (project_id, seed): per target its depths, signals and mean weight.
+    """Bounded walks from many (project_id, seed): per target its depths, signals (those of ``WEIGHTS``) and mean weight.
 
     Each hop joins the frontier with the edges and is made distinct, so the work is bounded by
     distinct (seed, target, signal, weight) rows. ``members`` are ``memberships`` whose pairs are
-    edges too, walked from page to group to page. ``cut`` may write a frontier out between hops.
+    edges too, walked from page to group to page. ``cut`` may write out what is read for several
+    hops: a frontier, and the memberships that lead anywhere. Walks are dealt by seed and target
+    once, and made distinct and summed up where they lie.
     """
     strong = edges.where(F.col("weight") >= least).select("project_id", F.col("source_slug").alias("at"), F.col("target_slug").alias("to"), "signal", "weight")
+    if members is not None:
+        members = cut(memberships.passages(members.where(weight_of("signal") >= least)))
     frontier = seeds.select("project_id", "seed", F.col("seed").alias("at"))
     walked = None
     for hop in range(1, depth + 1):
         ends = frontier.select("project_id", "seed", "at").distinct()
-        step = ends.join(strong, ["project_id", "at"]).select("project_id", "seed", "to", "signal", "weight")
+        step = memberships.by_hash(ends, strong, ["project_id", "at"]).select("project_id", "seed", "to", "signal", "weight")
         if members is not None:
-            step = step.unionByName(memberships.step(ends, members.where(weight_of("signal") >= least)).withColumn("weight", weight_of("signal")))
-        step = cut(step.where("to <> seed").select("project_id", "seed", F.col("to").alias("at"), "signal", "weight").distinct().withColumn("depth", F.lit(hop)))
+            step = step.unionByName(memberships.step(ends, members).withColumn("weight", weight_of("signal")))
+        step = step.where("to <> seed").select("project_id", "seed", F.col("to").alias("at"), "signal", "weight")
+        if hop < depth:
+            step = frontier = cut(step.distinct())
+        step = step.withColumn("depth", F.lit(hop))
         walked = step if walked is None else walked.unionByName(step)
-        frontier = step
-    grouped = walked.groupBy("project_id", "seed", F.col("at").alias("target"))
-    return grouped.agg(
-        F.max("depth").cast("long").alias("depth"), F.min("depth").cast("long").alias("min_depth"), F.array_sort(F.collect_set("signal")).alias("signals"), F.round(F.avg("weight"), 6).alias("weight")
+    each = walked.repartition("project_id", "seed", "at").distinct()
+    names = sorted(WEIGHTS)
+    bits = F.create_map(*[F.lit(x) for k, name in enumerate(names) for x in (name, 1 << k)])
+    unknown = F.raise_error(F.concat(F.lit("no such signal: "), "signal")).cast("int")
+    bit = F.coalesce(F.element_at(bits, F.col("signal")), F.when(F.col("signal").isNotNull(), unknown))
+    found = each.groupBy("project_id", "seed", F.col("at").alias("target")).agg(
+        F.max("depth").cast("long").alias("depth"), F.min("depth").cast("long").alias("min_depth"), F.bit_or(bit).alias("bits"), F.round(F.avg("weight"), 6).alias("weight")
     )
+    signals = F.array_compact(F.array(*[F.when(F.col("bits").bitwiseAND(1 << k) != 0, F.lit(name)) for k, name in enumerate(names)]))
+    return found.select("project_id", "seed", "target", "depth", "min_depth", signals.alias("signals"), "weight")
 
 
 def recommend(walks: DataFrame, k: int = 10) -> DataFrame:

@@ -24,6 +24,17 @@ def memberships(pages: DataFrame, links: DataFrame) -> DataFrame:
     return of("tags", "tag").unionByName(of("sources", "source")).unionByName(cited).distinct()
 
 
+def signalled(rows: DataFrame, signal: str) -> DataFrame:
+    """Distinct (project_id, group, slug) as memberships of one signal."""
+    return rows.select("project_id", F.lit(signal).alias("signal"), "group", "slug")
+
+
+def of_rows(tags: DataFrame, sources: DataFrame, links: DataFrame) -> DataFrame:
+    """``memberships`` from distinct rows instead of lists a page: (project_id, group, slug) of tags and of sources, and distinct links."""
+    cited = links.select("project_id", F.col("target_slug").alias("group"), F.col("source_slug").alias("slug"))
+    return signalled(tags, "tag").unionByName(signalled(sources, "source")).unionByName(signalled(cited, "co_citation"))
+
+
 def _pairs_of(n: Column) -> Column:
     return (n * (n - 1) / 2).cast("long")
 
@@ -114,10 +125,26 @@ def first_pairs(members: DataFrame, k: int) -> DataFrame:
     return pairs.withColumn("rank", rank).where(F.col("rank") <= k).drop("rank")
 
 
+def by_hash(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
+    """An inner join on ``on`` that sorts by a hash of these first: a few projects and texts of equal beginnings tell rows apart slowly."""
+    left, right = (x.withColumn("__hash", F.xxhash64(*on)) for x in (left, right))
+    return left.join(right, ["__hash", *on]).drop("__hash")
+
+
+def passages(members: DataFrame) -> DataFrame:
+    """The ``members`` without those that are alone in their group and lead nowhere.
+
+    Groups are told apart by 64 bits here, which may keep a few more; nothing that leads on is lost.
+    """
+    members = members.withColumn("__group", F.xxhash64(*GROUP))
+    several = members.groupBy("__group").agg(F.count("*").alias("n")).where("n > 1").select("__group")
+    return members.join(several, "__group").drop("__group")
+
+
 def step(frontier: DataFrame, members: DataFrame) -> DataFrame:
-    """(project_id, seed, to, signal) that pairs lead to from (project_id, seed, at): page to group to later page.
+    """(project_id, seed, to, signal) that pairs lead to from (project_id, seed, at): page to group to later page, repeated if several groups do.
 
     A group that a seed reaches by several pages is entered once, at the first of them.
     """
-    entered = frontier.join(members.withColumnRenamed("slug", "at"), ["project_id", "at"]).groupBy(*GROUP, "seed").agg(F.min("at").alias("at"))
-    return entered.join(members.withColumnRenamed("slug", "to"), GROUP).where("to > at").select("project_id", "seed", "to", "signal").distinct()
+    entered = by_hash(frontier, members.withColumnRenamed("slug", "at"), ["project_id", "at"]).groupBy(*GROUP, "seed").agg(F.min("at").alias("at"))
+    return by_hash(entered, members.withColumnRenamed("slug", "to"), GROUP).where("to > at").select("project_id", "seed", "to", "signal")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -23,13 +23,38 @@ CHUNKS = """chunks as (select source as project_id, doc_id as document_id, doc_i
     where trim(content) <> '')"""
 
 
+def _slug(key: str) -> Column:
+    return F.concat(F.lit("part-"), key)
+
+
+def _part_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys (a, b) of parts on following lines of an order, repeated if several lines or orders have them. One side is made distinct, where it meets the other."""
+    lines = table(spark, sf_dir, "lineitem")
+    a = lines.select("l_orderkey", F.col("l_partkey").alias("a"), (F.col("l_linenumber") + 1).alias("n"))
+    b = lines.select("l_orderkey", F.col("l_partkey").alias("b"), F.col("l_linenumber").alias("n")).repartition("l_orderkey", "n").distinct()
+    return a.join(b, ["l_orderkey", "n"]).where("a <> b").select("a", "b")
+
+
 def wiki_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Directed links (source_slug, target_slug) between parts on following lines of an order."""
-    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber").distinct()
-    a = lines.select("l_orderkey", F.col("l_partkey").alias("a"), (F.col("l_linenumber") + 1).alias("n"))
-    b = lines.select("l_orderkey", F.col("l_partkey").alias("b"), F.col("l_linenumber").alias("n"))
-    slug = lambda c: F.concat(F.lit("part-"), c)
-    return a.join(b, ["l_orderkey", "n"]).where("a <> b").select(slug(F.col("a")).alias("source_slug"), slug(F.col("b")).alias("target_slug")).distinct()
+    return _part_links(spark, sf_dir).distinct().select(_slug("a").alias("source_slug"), _slug("b").alias("target_slug"))
+
+
+def _projects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(project_id, part): the projects of each part, by its key."""
+    return table(spark, sf_dir, "part").select((F.col("p_size") % 5).cast("long").alias("project_id"), F.col("p_partkey").alias("part")).distinct()
+
+
+def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What ``wiki_pages`` link, a row each instead of a list a page: distinct (project_id, source_slug, target_slug)."""
+    links = _part_links(spark, sf_dir).withColumnRenamed("a", "part").repartition("part").distinct()
+    return links.join(_projects(spark, sf_dir), "part").select("project_id", _slug("part").alias("source_slug"), _slug("b").alias("target_slug"))
+
+
+def page_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sources of ``wiki_pages``, a row each instead of a list a page: distinct (project_id, group, slug)."""
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("part"), "l_orderkey").repartition("part").distinct()
+    return lines.join(_projects(spark, sf_dir), "part").select("project_id", F.concat(F.lit("source_id:"), "l_orderkey").alias("group"), _slug("part").alias("slug"))
 
 
 LINKS = """links as (select distinct 'part-' || a.l_partkey as source_slug, 'part-' || b.l_partkey as target_slug
@@ -43,6 +68,11 @@ def page_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def page_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tags of ``page_titles``, a row each: distinct (project_id, group, slug)."""
+    return page_titles(spark, sf_dir).select("project_id", F.explode("tags").alias("group"), "slug").distinct()
+
+
 def wiki_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts as pages: (project_id, slug, title, page_type, tags, wikilinks, sources)."""
     links = wiki_links(spark, sf_dir).groupBy(F.col("source_slug").alias("slug")).agg(F.array_sort(F.collect_set("target_slug")).alias("wikilinks"))

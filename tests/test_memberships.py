@@ -82,3 +82,28 @@ def test_titles_read_parts_only(spark):
     titles = fixtures.page_titles(spark, sf)
     assert [f.rsplit("/", 1)[1] for f in titles.inputFiles()] == ["part.parquet"]
     assert sorted(titles.collect()) == sorted(fixtures.wiki_pages(spark, sf).select(titles.columns).collect())
+
+
+def test_walks_take_rows_not_lists(spark):
+    """Links, sources and tags come as distinct rows, equal to the lists of the whole pages; no list of a page is built for a walk."""
+    from kbforge.plans import fixtures, graph_queries
+
+    sf = "/root/testdata/sf0.001"
+    pages = fixtures.wiki_pages(spark, sf)
+    links = graph.wikilink_edges(pages).select("project_id", "source_slug", "target_slug")
+    made = fixtures.page_links(spark, sf)
+    assert rows_of(made, *links.columns) == rows_of(links, *links.columns)
+    columns = ["project_id", "signal", "group", "slug"]
+    rows = memberships.of_rows(fixtures.page_tags(spark, sf), fixtures.page_sources(spark, sf), made)
+    assert rows_of(rows, *columns) == rows_of(memberships.memberships(pages, links), *columns)
+    walk = graph_queries.QUERIES["g7_traverse"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_" not in walk
+
+
+def test_members_alone_in_their_group_are_not_walked(spark):
+    rows = [(1, "source", "s", "a"), (1, "source", "s", "b"), (1, "source", "own", "a"), (2, "source", "s", "c"), (None, "source", "s", "d")]
+    members = spark.createDataFrame(rows, "project_id long, signal string, group string, slug string")
+    assert rows_of(memberships.passages(members), "group", "slug") == [("s", "a"), ("s", "b")]
+    odd = spark.createDataFrame([(1, "a", "b", "other", 1.0)], "project_id long, source_slug string, target_slug string, signal string, weight double")
+    with pytest.raises(Exception, match="no such signal: other"):
+        graph.traverse(odd, spark.createDataFrame([(1, "a")], "project_id long, seed string")).collect()
