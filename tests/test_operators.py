@@ -527,6 +527,17 @@ def test_pairs_of_large_groups_are_listed_once_without_a_shuffle_of_pairs(spark,
     assert sum(sizes) == 2 * 1000 * 999 // 2 and max(sizes) < sum(sizes) / 2
 
 
+def test_pairs_leave_a_unit_item_by_item(spark):
+    """The two steps that expand a unit are not fused, so a task holds the pairs of one item as rows; a task has many pairs, whatever the members' dealing."""
+    made = spark.range(2000).select(F.lit(1).alias("project_id"), (F.col("id") % 2).alias("group"), F.col("id").alias("slug"))
+    found = pairs.pairs_once(made, ["project_id"], "group", "slug", task_rows=1 << 10, task_pairs=1 << 20)
+    nodes = [line.strip(" :+-|").lstrip("*(0123456789) ").split("(")[0].split()[0] for line in found._jdf.queryExecution().executedPlan().toString().splitlines()]
+    first, second = [i for i, n in enumerate(nodes) if n == "Generate"][:2]
+    assert "Coalesce" in nodes[first:second]
+    sizes = [r["count"] for r in found.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(sizes) == 2 * 1000 * 999 // 2 and len(sizes) == 1
+
+
 def _peak_mb(work):
     import tracemalloc
 
