@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -36,18 +36,21 @@ def semantic_duplicates(vectors: DataFrame, least: float = 0.92, unit_numbers: i
     Exact. Vectors lie in cells around centres (``cells.fit_cells``). By the triangle inequality of
     angles a vector can be that near to a member of another cell only if its angle to the centre is at
     most the cell's radius and the angle of ``least`` together, so it visits only those cells, and of two
-    cells only the one of smaller number. A project's part of a cell is dealt into blocks of about
-    ``unit_numbers`` components, and each pair of blocks is one matrix product inside a task, of its
-    members with members and visitors, in strips of ``most_scores`` scores; the pairs over ``least`` leave it
-    strip by strip.
+    cells only the one of smaller number. Vectors without clusters, which would visit most cells, share
+    one. A project's part of a cell is dealt into blocks of about ``unit_numbers`` components, and each
+    pair of blocks is compared inside a task, members with members and visitors, in strips of
+    ``most_scores`` scores; the pairs over ``least`` leave it strip by strip.
     """
     rows = vectors.select("project_id", "vec_id", F.col("embedding").cast("array<double>").alias("v")).where("project_id is not null and vec_id is not null and v is not null")
     rows = stored(rows, "vectors")
     met = placed_in_cells(rows, least, cells)
-    sizes = met.groupBy("project_id", "cell").agg(F.greatest(F.ceil(F.sum(F.size("v")) / unit_numbers), F.lit(1)).cast("int").alias("blocks"))
-    dealt = met.join(sizes, ["project_id", "cell"]).withColumn("block", F.pmod(F.xxhash64("vec_id"), "blocks").cast("int"))
+    sizes = met.groupBy("project_id", "cell").agg(F.sum(F.size("v")).alias("numbers"))
+    sizes = stored(sizes.withColumn("blocks", F.greatest(F.ceil(F.col("numbers") / unit_numbers), F.lit(1)).cast("int")), "sizes")
+    sent = sizes.agg(F.sum(F.col("numbers") * F.col("blocks"))).first()[0] or 1
+    dealt = met.join(sizes.drop("numbers"), ["project_id", "cell"]).withColumn("block", F.pmod(F.xxhash64("vec_id"), "blocks").cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("project_id", "cell", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "vec_id", "home", "v")
+    dealt = dealt.repartition(min(1 << 12, math.ceil(8 * sent / unit_numbers)), "project_id", "cell", "i", "j")  # their work is more than their size
     kinds = {c: rows.schema[c].dataType.simpleString() for c in ("project_id", "vec_id")}
     schema = f"project_id {kinds['project_id']}, keep {kinds['vec_id']}, drop {kinds['vec_id']}, similarity double"
     names = ["project_id", "keep", "drop", "similarity"]
@@ -60,20 +63,23 @@ def semantic_duplicates(vectors: DataFrame, least: float = 0.92, unit_numbers: i
         for _, (at, m, gap, norm) in matrices(table["v"])[1].items():
             at = at[~gap & (norm > 0)]
             unit = m[~gap & (norm > 0)] / norm[~gap & (norm > 0)][:, None]
-            members = np.flatnonzero(home[at])
-            of = unit[members].T
-            step = max(1, most_scores // max(len(members), 1))
-            for begin in range(0, len(at), step):  # pairs are handed on as they are found
-                dot = unit[begin : begin + step] @ of
-                dot = np.copysign(np.floor(np.abs(dot) * 1e6 + 0.5) / 1e6, dot)
-                x, y = np.nonzero(dot > least)
-                worth = dot[x, y]
-                x, y = x + begin, members[y]
-                fine = ((x < y) | ~home[at[x]]) & ((i == j) | (block[at[x]] != block[at[y]]))  # visitors meet members only
-                x, y, worth = x[fine], y[fine], worth[fine]
-                if len(x):
-                    pair = [ids.take(pa.array(at[f(x, y)])) for f in (np.minimum, np.maximum)]
-                    yield pa.RecordBatch.from_arrays([pa.repeat(project, len(x)), *pair, pa.array(worth)], names)
+            member, first = home[at], block[at] == i
+            # visitors meet members only
+            sides = [(np.ones(len(at), bool), member)] if i == j else [(first, ~first & member), (~first & ~member, first & member)]
+            for left, right in (map(np.flatnonzero, side) for side in sides):
+                of = unit[right].T
+                step = max(1, most_scores // max(len(right), 1))
+                for begin in range(0, len(left) if len(right) else 0, step):  # pairs are handed on as they are found
+                    dot = unit[left[begin : begin + step]] @ of
+                    x, y = np.nonzero(dot > least - 1e-6)
+                    worth = dot[x, y]
+                    worth = np.copysign(np.floor(np.abs(worth) * 1e6 + 0.5) / 1e6, worth)
+                    x, y = left[x + begin], right[y]
+                    fine = (worth > least) & ((x < y) | ~member[x] | (i != j))
+                    x, y, worth = x[fine], y[fine], worth[fine]
+                    if len(x):
+                        pair = [ids.take(pa.array(at[f(x, y)])) for f in (np.minimum, np.maximum)]
+                        yield pa.RecordBatch.from_arrays([pa.repeat(project, len(x)), *pair, pa.array(worth)], names)
 
     return dealt.groupBy("project_id", "cell", "i", "j").applyInArrow(compare, schema)
 
@@ -81,41 +87,63 @@ def semantic_duplicates(vectors: DataFrame, least: float = 0.92, unit_numbers: i
 def placed_in_cells(rows: DataFrame, least: float, cells: int | None = None) -> DataFrame:
     """``rows`` (project_id, vec_id, v) once in their own ``cell`` (``home``) and once in each further one that may hold a vector of a cosine above ``least``.
 
-    Vectors without direction, or of another length than most, share a cell of their own.
+    Vectors without direction, or of another length than most, share a cell of their own. All others
+    share one, too, if those of the sample would visit more than half of the cells and no number of
+    ``cells`` is given: the copies would spare few comparisons.
     """
-    centres, _ = fit_cells(rows.select("vec_id", F.col("v").alias("embedding")), cells or min(1024, max(1, math.isqrt(rows.count()))))
+    centres, sample = fit_cells(rows.select("vec_id", F.col("v").alias("embedding")), cells or min(1024, max(1, math.isqrt(rows.count()))))
     alone = rows.withColumns({"cell": F.lit(-1), "home": F.lit(True)})
     if not len(centres):
         return alone
-    owned = stored(in_cells(rows, "v", centres), "owned")
-    shared = rows.sparkSession.sparkContext.broadcast(centres)  # of a chosen size
     # floor of the similarity's rounding to six places, and of the angles' own
     reach = math.acos(max(-1.0, min(1.0, least - 1e-6))) + 1e-6
-
-    def angles(batch: pa.RecordBatch) -> np.ndarray:
-        return np.arccos(np.clip(directions(batch.column("v")) @ shared.value.T, -1, 1))
+    fine = usable(F.col("v"), centres.shape[1])
+    if cells is None and visited_share(centres, sample, reach) > 0.5:
+        return rows.withColumns({"cell": F.when(fine, 0).otherwise(-1), "home": F.lit(True)})
+    owned = stored(in_cells(rows, "v", centres), "owned")
+    shared = rows.sparkSession.sparkContext.broadcast(centres)  # of a chosen size
 
     def radii(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 own = batch.column("cell").to_numpy()
-                yield pa.RecordBatch.from_arrays([batch.column("cell"), pa.array(angles(batch)[np.arange(len(own)), own])], ["cell", "angle"])
+                near = np.clip((directions(batch.column("v")) * shared.value[own]).sum(axis=1), -1, 1)
+                yield pa.RecordBatch.from_arrays([batch.column("cell"), pa.array(np.arccos(near))], ["cell", "angle"])
 
     radius = np.zeros(len(centres))
     for r in owned.mapInArrow(radii, "cell int, angle double").groupBy("cell").agg(F.max("angle").alias("angle")).collect():  # a row a cell
         radius[r.cell] = r.angle
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
+    return owned.mapInArrow(_visitor(shared, radius, reach), f"{kinds}, cell int, home boolean").unionByName(alone.where(~fine))
+
+
+def visited_share(centres: np.ndarray, sample: np.ndarray, reach: float, asked: int = 512) -> float:
+    """The share of cells that are within ``reach`` of ``asked`` vectors of the sample, by the radii that cells have in it."""
+    radius, own = np.zeros(len(centres)), np.empty(len(sample), int)
+    for begin in range(0, len(sample), asked):
+        angle = np.arccos(np.clip(sample[begin : begin + asked] @ centres.T, -1, 1))
+        own[begin : begin + asked] = angle.argmin(axis=1)
+        np.maximum.at(radius, own[begin : begin + asked], angle.min(axis=1))
+    some = sample[np.linspace(0, len(sample) - 1, min(asked, len(sample))).astype(int)]
+    return float((np.arccos(np.clip(some @ centres.T, -1, 1)) <= reach + radius[None, :]).mean())
+
+
+def _visitor(shared, radius: np.ndarray, reach: float, most_numbers: int = 1 << 21) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """(project_id, vec_id, v, cell) for each cell that it visits, and its own, at most about ``most_numbers`` components at once."""
 
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
+        number = np.arange(len(radius))
+        step = max(1, most_numbers // shared.value.size)
+        for whole in batches:
+            for begin in range(0, whole.num_rows, step):
+                batch = whole.slice(begin, step)
                 own = batch.column("cell").to_numpy()
-                number = np.arange(len(radius))
-                who, where = np.nonzero((number[None, :] == own[:, None]) | (number[None, :] < own[:, None]) & (angles(batch) <= reach + radius[None, :] + 1e-6))
-                whole = batch.select(["project_id", "vec_id", "v"]).take(pa.array(who))
-                yield pa.RecordBatch.from_arrays([*whole.columns, pa.array(where.astype(np.int32)), pa.array(own[who] == where)], ["project_id", "vec_id", "v", "cell", "home"])
+                angles = np.arccos(np.clip(directions(batch.column("v")) @ shared.value.T, -1, 1))
+                who, where = np.nonzero((number[None, :] == own[:, None]) | (number[None, :] < own[:, None]) & (angles <= reach + radius[None, :] + 1e-6))
+                rows = batch.select(["project_id", "vec_id", "v"]).take(pa.array(who))
+                yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(where.astype(np.int32)), pa.array(own[who] == where)], ["project_id", "vec_id", "v", "cell", "home"])
 
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
-    return owned.mapInArrow(visit, f"{kinds}, cell int, home boolean").unionByName(alone.where(~usable(F.col("v"), centres.shape[1])))
+    return visit
 
 
 def retain_newest(rows: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int) -> DataFrame:

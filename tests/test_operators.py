@@ -579,6 +579,25 @@ def test_semantic_duplicates_leave_a_task_strip_by_strip(spark):
     assert sets[0] == sets[1] == sets[2] and [(r[1], r[2]) for r in sets[0]] == sorted(((r.x, r.y) for r in want.collect()), key=lambda p: (p[0] % 2, *p))
 
 
+def test_vectors_without_clusters_are_not_multiplied(spark):
+    """At a low bound they would visit nearly all cells: they share one; visits that are made leave a task in bounded batches."""
+    import types
+
+    import pyarrow as pa
+
+    rng = np.random.default_rng(4)
+    made = spark.createDataFrame([(k % 2, k, rng.normal(size=16).tolist()) for k in range(1000)] + [(0, 2000, [0.0] * 16)], "project_id long, vec_id long, v array<double>")
+    assert maintenance.placed_in_cells(made, 0.3).count() == 1001
+    pairs_of = lambda **how: sorted(map(tuple, maintenance.semantic_duplicates(made.withColumnRenamed("v", "embedding"), 0.3, **how).collect()))
+    assert pairs_of() == pairs_of(cells=9) == pairs_of(cells=9, unit_numbers=1 << 9) == pairs_of(unit_numbers=1 << 9, most_scores=1 << 10) != []
+
+    centres = rng.normal(size=(256, 16))
+    batch = pa.RecordBatch.from_arrays([pa.array([0] * 8000), pa.array(range(8000)), pa.array(list(rng.normal(size=(8000, 16))), pa.list_(pa.float64())), pa.array([255] * 8000, pa.int32())], ["project_id", "vec_id", "v", "cell"])
+    visit = maintenance._visitor(types.SimpleNamespace(value=centres / np.linalg.norm(centres, axis=1, keepdims=True)), np.full(256, 3.2), 1.0)
+    assert max(b.num_rows for b in visit(iter([batch]))) * 16 <= 1 << 21
+    assert _peak_mb(lambda: [b.num_rows for b in visit(iter([batch]))]) < 100
+
+
 def test_truncation_reads_no_more_than_the_budget_can_hold(spark):
     import time
 
