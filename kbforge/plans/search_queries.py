@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import text as t
 from ..operators import cells, chunking, index, lookups
 from ..operators import retrieval as r
-from ..sources.scratch import stored
+from ..sources.scratch import fresh_dir, stored
 from .chunk_queries import CHUNKED
 from .fixtures import CHUNKS, chunks, table
 
@@ -30,15 +30,15 @@ def _bm25(spark, d, k=5):
     return r.bm25(_asked(spark, d), _posted(spark, d), k)
 
 
-def _titled_lines(spark, d):
+def _titled_lines(docs):
     """Lines of documents with a title: the beginning of the document's text."""
-    lines = table(spark, d, "documents").select("doc_id", F.substring("text", 1, 60).alias("title"), F.posexplode(F.split("text", "\n")).alias("line_no", "content"))
+    lines = docs.select("doc_id", F.substring("text", 1, 60).alias("title"), F.posexplode(F.split("text", "\n")).alias("line_no", "content"))
     return lines.where(F.trim("content") != "").select((F.col("doc_id") * 2**31 + F.col("line_no")).alias("chunk_id"), "title", "content")
 
 
-def _small_to_big(spark, d):
+def _small_to_big(docs):
     """Chunks with their children below, under the document's title: (key, owner, parent_id, title, content)."""
-    docs = table(spark, d, "documents").select("doc_id", "text", F.substring("text", 1, 60).alias("title"))
+    docs = docs.select("doc_id", "text", F.substring("text", 1, 60).alias("title"))
     number = F.col("doc_id") * 2**31 + F.col("chunk_no") * 4  # a chunk has at most three children
     rows = chunking.chunk_documents(docs, carried=["title"])
     return rows.select((number + F.col("child_no")).cast("long").alias("chunk_id"), number.cast("long").alias("owner"), F.when(F.col("child_no") > 0, number.cast("long")).alias("parent_id"), "title", "content")
@@ -48,23 +48,38 @@ def _fields():
     return {"title": _tokens("title"), "content": _tokens()}
 
 
+def _indexed(docs, make, slots, owner=None, least=64 << 20):
+    """The index of ``make`` of the documents, grown by two batches of them if each has ``least`` bytes of text: the lists on their way to blocks are half of all."""
+    spark = docs.sparkSession
+    batches = min(2, max(1, (docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // least))
+    path = fresh_dir(spark, "index")
+    for batch in range(batches):
+        made = index.build_index(make(docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(batches)) == batch)), _fields(), owner=owner, path=path, batch=batch, slots=slots)
+    return made
+
+
+def _indexed_lines(spark, d):
+    docs = table(spark, d, "documents")
+    return _indexed(docs, _titled_lines, max(1, -(-_titled_lines(docs).count() // (1 << 15))))
+
+
 def _fielded(spark, d):
-    return index.search(index.build_index(_titled_lines(spark, d), _fields()), _asked(spark, d)).withColumnRenamed("key", "chunk_id")
+    return index.search(_indexed_lines(spark, d), _asked(spark, d)).withColumnRenamed("key", "chunk_id")
 
 
 def _folded(spark, d):
     """Children are searched, parents found."""
-    made = index.build_index(stored(_small_to_big(spark, d), "chunks"), _fields(), owner="owner")
+    made = index.build_index(stored(_small_to_big(table(spark, d, "documents")), "chunks"), _fields(), owner="owner")
     return index.search(made, _asked(spark, d), fold=True).withColumnRenamed("key", "parent_id")
 
 
 def _term_statistics(spark, d):
-    blocks = index.build_index(_titled_lines(spark, d), _fields()).blocks
+    blocks = _indexed_lines(spark, d).blocks
     return blocks.groupBy("term", "field").agg(F.sum("n").alias("df"), F.sum("cf").alias("cf"), F.max("max_tf").alias("max_tf"), F.min("min_length").alias("min_length"))
 
 
 def _parents_of_children(spark, d):
-    rows = _small_to_big(spark, d)
+    rows = _small_to_big(table(spark, d, "documents"))
     hits = rows.where(F.col("parent_id").isNotNull() & F.contains("content", F.lit("tion"))).select("chunk_id", "parent_id")
     return lookups.expand_to_parents(hits, rows).select("chunk_id", F.md5("content").alias("digest"))
 

@@ -1,13 +1,18 @@
 """The fielded index against plain loops: slots, turns, exclusions, folding, pruned reading."""
 
+import glob
 import math
 import random
+import time
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from kbforge.operators import index, retrieval
+from kbforge.plans import search_queries
+from kbforge.sources import scratch
 
 WORDS = [f"w{k}" for k in range(14)]
 
@@ -103,3 +108,56 @@ def test_tasks_pass_lists_on():
     assert [(r["term"], r["slot"], r["n"]) for r in blocks] == [(t, s, 10) for t in "ab" for s in range(40)]
     found, ends = index._unpacked(pa.array([blocks[3]["postings"]]))
     assert found["key"].tolist() == list(range(3, 400, 40)) and set(found["tf"]) == {2} and ends.tolist() == [0, 10]
+
+
+def test_packed_postings_are_small_and_whole():
+    """Any long comes back, whatever rows are packed or read together; lines of documents take a third of the bytes that their numbers have."""
+    rng, of = np.random.default_rng(2), np.iinfo(np.int64)
+    made = np.empty(5000, index.POSTING)
+    made["key"], made["owner"] = (rng.integers(of.min, of.max, 5000, endpoint=True) for _ in range(2))
+    made["key"][:2002] = [of.min, of.max, *np.sort(rng.integers(0, 50000, 2000) * 2**31 + rng.integers(0, 300, 2000))]
+    made["owner"][2:2002] = made["key"][2:2002]
+    made["slot"], made["tf"], made["length"] = 5, rng.integers(1, 9, 5000), rng.integers(0, 3000, 5000)
+    made["slot"][2002:] = rng.integers(0, 2**31, 2998)
+    offsets = np.array([0, 0, 2, 2002, 2003, 4000, 5000, 5000])
+    for at_once in (1, 1500, 1 << 20):
+        packed = index._packed(made, offsets, at_once)
+        found, ends = index._unpacked(packed)
+        assert (found == made).all() and (ends == offsets).all()
+        assert (index._unpacked(packed.slice(2, 3))[0] == made[2:4000]).all()
+        parts = list(index._spans(pa.RecordBatch.from_arrays([packed], ["postings"]), 10000))
+        assert pa.Table.from_batches(parts)["postings"].to_pylist() == packed.to_pylist() and len(parts) > 2
+    assert len(packed[2].as_py()) < 2000 * index.POSTING.itemsize / 3
+    found, ends = index._unpacked(pa.array([None, packed[3].as_py(), None], pa.binary()))
+    assert (found == made[2002:2003]).all() and ends.tolist() == [0, 0, 1, 1]
+
+
+def test_parcels_hold_all_lists():
+    batch = pa.RecordBatch.from_arrays([pa.array(range(900)), pa.array(range(900)), pa.array([k % 600 for k in range(900)], pa.int32()), pa.array([[f"w{k % 7}", "a"] for k in range(900)])], ["key", "owner", "slot", "tokens_0"])
+    lists = [r for b in index._lister(["content"], slots=index.WIDE)(iter([batch])) for r in b.to_pylist()]
+    parcels = [r for b in index._parcels(["content"], 4)(iter([batch])) for r in b.to_pylist()]
+    opened = [r for b in index._opened(iter([pa.RecordBatch.from_pylist(parcels)])) for r in b.to_pylist()]
+    assert len({(p["bucket"], p["part"]) for p in parcels}) == len(parcels) and {p["part"] for p in parcels} == {-1, 0, 1, 2}
+    by = lambda rows: sorted((tuple(r[c] for c in index.LIST) for r in rows), key=repr)
+    assert by(opened) == by(lists) and {r["bucket"] for r in opened if r["term"] is None} == {index.TOTALS}
+
+
+def test_what_is_stored_leaves_no_shuffle_files(spark, rows):
+    dirs = list(spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString())
+    files = lambda: {f for d in dirs for f in glob.glob(f"{d}/*/shuffle_*.data")}
+    before, kept = files(), spark.conf.get(scratch.CLEANUP, None)
+    index.build_index(spark.createDataFrame(rows, "chunk_id long, parent long, title string, content string"), fields(), slots=3)
+    assert scratch.stored(spark.range(1000).repartition(5), "rows").count() == 1000
+    until = time.time() + 20
+    while files() - before and time.time() < until:  # they are deleted in the background
+        time.sleep(0.2)
+    left = {f.split("/shuffle_")[1].split("_")[0] for f in files() - before}
+    assert len(left) <= 2 and spark.conf.get(scratch.CLEANUP, None) == kept  # of the counts, which keep their few bytes
+
+
+@pytest.mark.parametrize("make,owner", [(search_queries._titled_lines, None), (search_queries._small_to_big, "owner")])
+def test_an_index_built_in_batches_is_the_same(spark, make, owner):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    sums = lambda made: sorted(map(tuple, made.blocks.groupBy("term", "field", "slot").agg(F.sum("n"), F.sum("cf"), F.max("max_tf"), F.min("min_length")).collect()))
+    one, two = (search_queries._indexed(docs, make, 3, owner, least) for least in (1 << 30, 1 << 10))
+    assert sums(one) == sums(two) and two.blocks.count() > one.blocks.count()
