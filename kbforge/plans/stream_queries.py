@@ -78,9 +78,9 @@ def _ingest(spark, d):
 
 
 def _ingest_index(spark, d):
-    """Documents ingested as a flow: each version of a source's text once, chunked with children, into a search index; its terms."""
-    schema = spark.read.parquet(f"{d}/documents.parquet").schema
-    stream = st.tail(spark, f"{d}/document[s].parquet", schema).withColumn("sha", F.sha2("text", 256))
+    """Documents ingested as a flow: each version of a source's text once, chunked with children, into a search index; its terms. Several files are four batches at least, so that shuffles on the way hold a part only."""
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    stream = st.tail(spark, f"{d}/document[s].parquet", docs.schema, files=min(64, -(-len(docs.inputFiles()) // 4) or 1)).withColumn("sha", F.sha2("text", 256))
     number = (F.col("doc_id") * 2**31 + F.col("chunk_no") * 4).cast("long")
     to_chunks = lambda df: chunk_documents(df).select((number + F.col("child_no")).alias("chunk_id"), number.alias("owner"), "content")
     made = st.ingest_index(stream, to_chunks, lambda: {"content": F.regexp_extract_all(F.lower("content"), F.lit("[a-z0-9]+"), F.lit(0))}, ["source", "sha"], fresh_dir(spark, "ingest"), slots=64, owner="owner")

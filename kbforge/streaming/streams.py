@@ -12,12 +12,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.index import Index, build_index, open_index
-from ..sources.scratch import fresh_dir
+from ..sources.scratch import fresh_dir, shuffles_released
 
 
-def tail(spark: SparkSession, path: str, schema, kind: str = "parquet") -> DataFrame:
-    """A stream over the files of an append-only log."""
-    return spark.readStream.format(kind).schema(schema).option("maxFilesPerTrigger", 64).load(path)
+def tail(spark: SparkSession, path: str, schema, kind: str = "parquet", files: int = 64) -> DataFrame:
+    """A stream over the files of an append-only log, at most so many ``files`` a batch."""
+    return spark.readStream.format(kind).schema(schema).option("maxFilesPerTrigger", files).load(path)
 
 
 def signal_stream(events: DataFrame, late: str = "1 day") -> DataFrame:
@@ -131,7 +131,8 @@ def ingest_index(
     """The search index below ``folder``, grown by what is new in ``stream``: each version of a source is chunked and indexed once.
 
     A batch's chunks become blocks and totals of their own, which a search sums up, so nothing that
-    is indexed already is read or written. A batch that runs again replaces its own blocks.
+    is indexed already is read or written. A batch that runs again replaces its own blocks. What a
+    batch has shuffled goes with it.
     """
     spark = stream.sparkSession
     path = f"{folder}/index"
@@ -139,7 +140,8 @@ def ingest_index(
     def batch(df: DataFrame, number: int) -> None:
         build_index(to_chunks(df), fields(), key, owner, buckets=buckets, path=path, batch=number, slots=slots)
 
-    once(stream, keys, within).writeStream.option("checkpointLocation", f"{folder}/log").trigger(availableNow=True).foreachBatch(batch).start().awaitTermination()
+    with shuffles_released(spark):
+        once(stream, keys, within).writeStream.option("checkpointLocation", f"{folder}/log").trigger(availableNow=True).foreachBatch(batch).start().awaitTermination()
     if not _exists(spark, f"{path}/totals"):
         batch(spark.createDataFrame([], stream.schema), -1)
     return open_index(spark, path, buckets, slots)

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from kbforge.operators import index, retrieval
-from kbforge.plans import search_queries
+from kbforge.plans import search_queries, stream_queries
 from kbforge.sources import scratch
 
 WORDS = [f"w{k}" for k in range(14)]
@@ -161,3 +161,15 @@ def test_an_index_built_in_batches_is_the_same(spark, make, owner):
     sums = lambda made: sorted(map(tuple, made.blocks.groupBy("term", "field", "slot").agg(F.sum("n"), F.sum("cf"), F.max("max_tf"), F.min("min_length")).collect()))
     one, two = (search_queries._indexed(docs, make, 3, owner, least) for least in (1 << 30, 1 << 10))
     assert sums(one) == sums(two) and two.blocks.count() > one.blocks.count()
+
+
+def test_several_files_are_ingested_in_four_batches(spark, tmp_path):
+    """The terms are those of one batch, and what a batch has shuffled is gone after it."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    docs.repartition(8, "doc_id").write.parquet(str(tmp_path / "documents.parquet"))
+    made = lambda: set(glob.glob(f"{scratch.fresh_dir(spark, 'x').removeprefix('file://').rsplit('/', 1)[0]}/ingest-*/index/blocks/batch=*"))
+    known = made()
+    terms = lambda d: sorted(map(tuple, stream_queries.QUERIES["st5_index"](spark, d).collect()))
+    found = terms(str(tmp_path))
+    assert len(made() - known) == 4
+    assert found == terms("/root/testdata/sf0.001") != []
