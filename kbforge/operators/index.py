@@ -73,7 +73,7 @@ def build_index(chunks: DataFrame, fields: dict[str, Column], key: str = "chunk_
     dealt = each.mapInArrow(_parcels(list(fields), buckets), PARCEL).repartition(buckets * math.ceil(slots / WIDE), "bucket", "part")
     dealt = dealt.mapInArrow(_opened, f"bucket int, {LISTS}")
     dealt = dealt.sortWithinPartitions("bucket", "term", "field", "part", "first").select("bucket", "term", "field", "n", "length", "postings")
-    writer = dealt.mapInArrow(_blocks, POSTINGS).write.mode("overwrite").option("parquet.enable.dictionary#postings", "false").option("compression", "zstd")
+    writer = dealt.mapInArrow(_blocks, POSTINGS).write.mode("overwrite").option("parquet.enable.dictionary#postings", "false").option("compression", "zstd").option("parquet.compression.codec.zstd.level", 6)
     with shuffles_released(spark):
         writer.partitionBy("bucket").parquet(f"{path}/blocks/batch={batch}")
     counted = spark.read.schema(POSTINGS).parquet(f"{path}/blocks/batch={batch}").where(F.col("bucket") == TOTALS)
@@ -309,8 +309,10 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ends = np.append(starts, len(found))
         if len(found):
             tf, dl = found["tf"].astype(np.int64), found["length"].astype(np.int64)
+            slots = found["slot"][starts].astype(np.int64)
+            found["slot"] = 0  # it has a column of its own
             one = [batch.column(c).take(pa.array(row[starts])) for c in ("term", "field")]
-            of = [found["slot"][starts].astype(np.int64), np.diff(ends), np.add.reduceat(tf, starts), np.maximum.reduceat(tf, starts), np.minimum.reduceat(dl, starts)]
+            of = [slots, np.diff(ends), np.add.reduceat(tf, starts), np.maximum.reduceat(tf, starts), np.minimum.reduceat(dl, starts)]
             yield pa.RecordBatch.from_arrays([*one, *map(pa.array, of), _packed(found, ends), batch.column("bucket").take(pa.array(row[starts]))], BLOCK)
         counts = batch.filter(pc.is_null(batch.column("term")))
         none = pa.nulls(counts.num_rows, pa.int64())
